@@ -44,6 +44,18 @@ class HexGrid:
         fr = F.when((dq > dr) & (dq > ds), rr).when(dr > ds, -rq - rs).otherwise(rr)
         return pack(fq, fr)
 
+    def cell_of(self, lat: float, lon: float) -> int:
+        """The cell of one known place (a constant), by the same arithmetic as ``cell``."""
+        x, y = (lon - self.lon0) * (self._kx / self.edge_m), (lat - self.lat0) * (self._ky / self.edge_m)
+        q, r = x * (math.sqrt(3) / 3) - y / 3.0, y * 2.0 / 3.0
+        rq, rr, rs = (math.floor(z + 0.5) for z in (q, r, -q - r))
+        dq, dr, ds = abs(rq - q), abs(rr - r), abs(rs + q + r)
+        if dq > dr and dq > ds:
+            rq = -rr - rs
+        elif dr > ds:
+            rr = -rq - rs
+        return (rq + BIAS) * SHIFT + rr + BIAS
+
     def centroid(self, cell):
         """(lat, lon) of the cell centre."""
         q, r = axial(cell)

@@ -3,6 +3,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
+from .numbers import round_exact
 
 _RAMPS = {c: (lo, hi) for c, _, lo, hi in v.CATEGORIES}
 _INTERVALS = {f[0]: f[1] for f in v.FEEDS}
@@ -30,9 +31,12 @@ def interval_of(feed) -> Column:
 
 def severity(category, measure, cap=None) -> Column:
     """Linear ramp clamped to 0..1 at 4 decimals, half-even; an optional cap (null = none)."""
-    lo, hi = floor_of(category), ceiling_of(category)
-    ramp = F.when(measure <= lo, 0.0).otherwise(
-        F.bround(F.least(F.lit(1.0), (measure - lo) / (hi - lo)), 4))
+    share = None
+    for lo, hi in dict.fromkeys(_RAMPS.values()):  # one branch per distinct ramp
+        on = category.isin(*[c for c, r in _RAMPS.items() if r == (lo, hi)])
+        val = (measure - F.lit(lo)) / F.lit(hi - lo)
+        share = F.when(on, val) if share is None else share.when(on, val)
+    ramp = round_exact(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)), 4)
     return ramp if cap is None else F.least(ramp, cap)
 
 
@@ -48,7 +52,7 @@ def confidence(base, mult, extra=None) -> Column:
 
 def received_at(start, interval_sec, observed=None) -> Column:
     modelled = F.timestamp_seconds(F.unix_timestamp(start) + interval_sec)
-    return modelled if observed is None else F.coalesce(F.greatest(observed, start), modelled)
+    return modelled if observed is None else F.when(observed.isNotNull(), F.greatest(observed, start)).otherwise(modelled)
 
 
 def freshness(received, start) -> Column:

@@ -9,6 +9,7 @@ from ..functions import ids, times
 from ..functions.poisson import poisson_tail
 from ..params import DEFAULT, Params
 from . import baseline as bl
+from ..functions.numbers import round_exact
 
 SEV = "decimal(9,4)"  # severities have 4 decimals, so decimal sums do not depend on row order
 
@@ -68,9 +69,9 @@ def flag(tested: DataFrame, p_rare: float, degraded_feeds=(), p: Params = DEFAUL
         ids.short_id("ANOM-", 8, F.col("h3_cell").cast("string"), F.col("category"), times.iso(start)).alias("anomaly_id"),
         "h3_cell", "category", start.alias("window_start_utc"),
         F.timestamp_seconds(F.col("w") + p.window_sec).alias("window_end_utc"),
-        F.col("observed").alias("observed_count"), F.bround("expected", 4).alias("expected_count"),
-        F.bround("p", 6).alias("p_value"), F.when(F.col("volume"), "volume").otherwise("rare").alias("trigger"),
-        F.bround("severity_weighted", 4).alias("severity_weighted"), "source_feeds",
+        F.col("observed").alias("observed_count"), round_exact("expected", 4).alias("expected_count"),
+        round_exact("p", 6).alias("p_value"), F.when(F.col("volume"), "volume").otherwise("rare").alias("trigger"),
+        round_exact("severity_weighted", 4).alias("severity_weighted"), "source_feeds",
         F.array_sort(F.array_intersect(F.coalesce("feeds", "source_feeds"), bad)).alias("degraded_by_stale_feeds"))
 
 

@@ -15,6 +15,7 @@ from ..functions.hexgrid import HexGrid, in_bbox
 from ..params import DEFAULT, Params
 from . import places
 from .scale import rank_in, running_before
+from ..functions.numbers import round_exact
 
 GRID = HexGrid()
 
@@ -72,7 +73,7 @@ def drain_readings(feed: DataFrame, registry: DataFrame, p: Params = DEFAULT, gr
 
 
 def percent_of_capacity(level, capacity) -> Column:
-    return F.bround(level / capacity * 100.0, 1)
+    return round_exact(level / capacity * 100.0, 1)
 
 
 # ------------------------------------------------------------------ threshold episodes ----
@@ -194,8 +195,7 @@ def complaint_records(feed: DataFrame, p: Params = DEFAULT, grid: HexGrid = GRID
         F.when(F.col("t").isNull(), F.lit("bad_timestamp")),
         F.when(F.col("pos").isNull(), F.lit("unresolved"))))
     f = places.landmark_fields(F.col("pos"), grid)
-    return (d.withColumn("lat", f["lat"]).withColumn("lon", f["lon"])
-            .withColumn("h3_cell", grid.cell(F.col("lat"), F.col("lon"))))
+    return d.withColumn("lat", f["lat"]).withColumn("lon", f["lon"]).withColumn("h3_cell", f["h3_cell"])
 
 
 def complaint_candidates(records: DataFrame) -> DataFrame:
@@ -220,12 +220,12 @@ def build_events(candidates: DataFrame, namespace: str = v.EVENT_NAMESPACE) -> D
     d = d.withColumn("received_at", sv.received_at(F.col("start_utc"), sv.interval_of(F.col("source")), F.col("observed")))
     return d.select(
         ids.event_id(F.col("raw_ref"), F.col("category"), namespace).alias("event_id"), "source", "category", "h3_cell",
-        F.bround(F.col("lat").cast("double"), 5).alias("lat"), F.bround(F.col("lon").cast("double"), 5).alias("lon"),
+        round_exact(F.col("lat").cast("double"), 5).alias("lat"), round_exact(F.col("lon").cast("double"), 5).alias("lon"),
         "start_utc", "end_utc",
         sv.severity(F.col("category"), F.col("measure"), F.col("cap")).alias("severity"), "confidence",
         "received_at", sv.freshness(F.col("received_at"), F.col("start_utc")).alias("freshness_sec"),
         F.lit(True).alias("is_simulated"), "raw_ref", "resolution",
-        F.bround(F.col("measure").cast("double"), 3).alias("measure"), "seq")
+        round_exact(F.col("measure").cast("double"), 3).alias("measure"), "seq")
 
 
 def fold(events: DataFrame) -> DataFrame:

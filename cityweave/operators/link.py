@@ -13,6 +13,7 @@ from ..functions.hexgrid import distance, ring
 from ..params import DEFAULT, Params
 from .detect import SEV
 from .scale import latest_within, stage
+from ..functions.numbers import round_exact
 
 
 # ------------------------------------------------------------------ episodes ---------------
@@ -107,10 +108,10 @@ def lift_table(history: DataFrame, edges: DataFrame, p: Params = DEFAULT) -> Dat
     return d.select(
         "cause", "effect", w.alias("window_sec"), "min_gap_sec", "max_gap_sec",
         F.coalesce("n_cause", F.lit(0)).alias("n_cause"), F.coalesce("n_effect", F.lit(0)).alias("n_effect"),
-        o.alias("cooccurrences"), F.bround(e, 4).alias("expected_cooccurrences"),
-        F.bround(o / hours, 6).alias("observed_rate_per_hour"), F.bround(e / hours, 6).alias("baseline_rate_per_hour"),
-        F.bround((o + p.lift_smoothing) / (e + p.lift_smoothing), 3).alias("value"),
-        F.col("median").alias("median_lag_sec"), F.bround(hours, 2).alias("history_hours"))
+        o.alias("cooccurrences"), round_exact(e, 4).alias("expected_cooccurrences"),
+        round_exact(o / hours, 6).alias("observed_rate_per_hour"), round_exact(e / hours, 6).alias("baseline_rate_per_hour"),
+        round_exact((o + p.lift_smoothing) / (e + p.lift_smoothing), 3).alias("value"),
+        F.col("median").alias("median_lag_sec"), round_exact(hours, 2).alias("history_hours"))
 
 
 def upper_median(hist: DataFrame, keys: list, value: str, n: str) -> DataFrame:
@@ -128,7 +129,7 @@ def score(distance_, gap, lo, hi, lift, p: Params = DEFAULT):
     space = F.when(distance_ == 0, 1.0).otherwise(0.6)
     time = F.greatest(F.lit(0.0), 1.0 - (gap - lo) / F.greatest(F.lit(1.0), (hi - lo).cast("double")))
     above = F.when(lift > 0, F.least(F.lit(1.0), lift / 1.5)).otherwise(0.0)
-    return F.bround(p.w_space * space + p.w_time * time + p.w_lift * above, 4)
+    return round_exact(p.w_space * space + p.w_time * time + p.w_lift * above, 4)
 
 
 def _bucketed(df: DataFrame, lo, hi, width: int) -> DataFrame:

@@ -93,11 +93,12 @@ def resolve_by_join(texts: DataFrame, text: str, gazetteer: DataFrame, max_words
 
 
 def landmark_fields(pos: Column, grid: HexGrid, landmarks=v.LANDMARKS) -> dict:
-    """lat, lon, cell and names of a landmark position."""
-    def pick(i):
-        return F.get(F.array(*[F.lit(lm[i]) for lm in landmarks]), pos)
-    lat, lon = pick(2), pick(3)
-    return {"name": pick(0), "name_hi": pick(1), "lat": lat, "lon": lon, "h3_cell": grid.cell(lat, lon)}
+    """lat, lon, cell and names of a landmark position: picks from constant arrays."""
+    def pick(xs):
+        return F.get(F.array(*[F.lit(x) for x in xs]), pos)
+    cells = [grid.cell_of(lm[2], lm[3]) for lm in landmarks]
+    out = {k: pick([lm[i] for lm in landmarks]) for i, k in enumerate(("name", "name_hi", "lat", "lon"))}
+    return {**out, "h3_cell": pick(cells).cast("bigint")}
 
 
 def locate(landmark, locality, landmarks=v.LANDMARKS) -> Column:
@@ -114,20 +115,18 @@ def nearest_landmark(lat, lon, landmarks=v.LANDMARKS) -> Column:
         for i, lm in enumerate(landmarks)]))["pos"]
 
 
-def zone_label(cell, grid: HexGrid, landmarks=v.LANDMARKS):
-    """(label en, label hi): the landmark's own cell takes its name, others are near it."""
-    lat, lon = grid.centroid(cell)
-    f = landmark_fields(nearest_landmark(lat, lon, landmarks), grid, landmarks)
-    own = f["h3_cell"] == cell
-    return (F.when(own, f["name"]).otherwise(F.concat(F.lit("Near "), f["name"])),
-            F.when(own, f["name_hi"]).otherwise(F.concat(f["name_hi"], F.lit(" के पास"))))
-
-
-def zone_labels(cells: DataFrame, cell: str, grid: HexGrid) -> DataFrame:
-    """Labels for a column of cells, resolved once per distinct cell."""
-    en, hi = zone_label(F.col("_cell"), grid)
-    dim = (cells.select(F.col(cell).alias("_cell")).distinct()
-           .select("_cell", en.alias("zone_en"), hi.alias("zone_hi")))
+def zone_labels(cells: DataFrame, cell: str, grid: HexGrid, landmarks=v.LANDMARKS) -> DataFrame:
+    """Add (zone_en, zone_hi) for a column of cells, resolved once per distinct cell: the
+    landmark's own cell takes its name, others are near it. Steps are separate columns so each
+    expression is evaluated once."""
+    d = cells.select(F.col(cell).alias("_cell")).distinct()
+    lat, lon = grid.centroid(F.col("_cell"))
+    d = d.withColumn("_lat", lat).withColumn("_lon", lon)
+    d = d.withColumn("_pos", nearest_landmark(F.col("_lat"), F.col("_lon"), landmarks))
+    f = landmark_fields(F.col("_pos"), grid, landmarks)
+    own = f["h3_cell"] == F.col("_cell")
+    dim = d.select("_cell", F.when(own, f["name"]).otherwise(F.concat(F.lit("Near "), f["name"])).alias("zone_en"),
+                   F.when(own, f["name_hi"]).otherwise(F.concat(f["name_hi"], F.lit(" के पास"))).alias("zone_hi"))
     return cells.join(dim, F.col(cell) == F.col("_cell"), "left").drop("_cell")
 
 

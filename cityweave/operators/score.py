@@ -8,6 +8,7 @@ from ..functions import times
 from ..params import DEFAULT, Params
 from .link import upper_median
 from .scale import stage
+from ..functions.numbers import round_exact
 
 
 def overlaps(truth_members: DataFrame, sit_members: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def per_truth(matches: DataFrame, truths: DataFrame, situations: DataFrame, p: P
         "truth_id", "situation_id", F.when(~hit, "missed").when(late, late_status).otherwise("matched").alias("status"),
         "expected_alert_level", "detected_alert_level",
         F.when(hit, times.epoch(F.col("created_utc")) - times.epoch(F.col("onset_utc"))).alias("detection_lag_sec"),
-        F.bround("overlap", 2).alias("member_overlap"))
+        round_exact("overlap", 2).alias("member_overlap"))
 
 
 def decoy_status(decoy_members: DataFrame, sit_members: DataFrame) -> DataFrame:
@@ -98,8 +99,8 @@ def scorecard(per_truth_: DataFrame, fps: DataFrame, decoys: DataFrame) -> DataF
     prec, rec = ratio(m, m + F.col("false_positives")), ratio(m, m + F.col("missed"))
     return d.select(
         "truth_situations", (m + F.col("false_positives")).alias("detected_situations"), "matched", "matched_late", "missed",
-        "false_positives", "decoys_planted", "decoys_correctly_ignored", F.bround(prec, 2).alias("precision"), F.bround(rec, 2).alias("recall"),
-        F.bround(ratio(2 * prec * rec, prec + rec), 2).alias("f1"), F.bround(ratio(F.col("_alert"), m), 2).alias("alert_level_accuracy"),
+        "false_positives", "decoys_planted", "decoys_correctly_ignored", round_exact(prec, 2).alias("precision"), round_exact(rec, 2).alias("recall"),
+        round_exact(ratio(2 * prec * rec, prec + rec), 2).alias("f1"), round_exact(ratio(F.col("_alert"), m), 2).alias("alert_level_accuracy"),
         "median_detection_lag_sec")
 
 

@@ -9,6 +9,7 @@ from ..functions.hexgrid import HexGrid, distance, spread, spread_aggs
 from ..params import DEFAULT, Params
 from . import places
 from .scale import rank_in
+from ..functions.numbers import round_exact
 
 DAY = 86400
 
@@ -59,8 +60,8 @@ def zone(members: DataFrame, grid: HexGrid) -> DataFrame:
     a = members.groupBy("situation_id").agg(
         F.array_sort(F.collect_set("h3_cell")).alias("h3_cells"),
         F.min_by("h3_cell", F.struct((-F.col("severity")).alias("s"), "episode_id", "event_id")).alias("label_cell"),
-        F.bround(F.sum(F.col("lat").cast("decimal(10,5)")).cast("double") / F.count("*"), 5).alias("lat"),
-        F.bround(F.sum(F.col("lon").cast("decimal(10,5)")).cast("double") / F.count("*"), 5).alias("lon"),
+        round_exact(F.sum(F.col("lat").cast("decimal(10,5)")).cast("double") / F.count("*"), 5).alias("lat"),
+        round_exact(F.sum(F.col("lon").cast("decimal(10,5)")).cast("double") / F.count("*"), 5).alias("lon"),
         *[x.alias(f"_s{i}") for i, x in enumerate(spread_aggs(F.col("h3_cell")))])
     a = a.withColumn("max_grid_distance", spread([F.col(f"_s{i}") for i in range(6)])).drop(*[f"_s{i}" for i in range(6)])
     a = places.zone_labels(a, "label_cell", grid)
