@@ -197,36 +197,47 @@ def best_link_per_pair(links: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ components -------------
-def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60, salts: int = 16) -> DataFrame:
+def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(episode_id, component): the smallest id reachable over undirected links.
 
-    Each round takes the smallest label around a node, then jumps to that label's own label, so
-    rounds grow with the logarithm of the longest chain. Labels are written to the shared folder
-    every round. The jump looks up distinct labels and is salted, because in a large component
-    almost all rows share one label."""
-    und = links.select(F.col("i").alias("u"), F.col("j").alias("w"))
-    und = stage(und.unionByName(und.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct(), "cc-edges")
-    labels = nodes.select("episode_id", F.col("episode_id").alias("component"))
-    labels = stage(labels, "cc-labels")
+    Each round every node points to the smallest of itself and its neighbours, pointers are
+    followed to their ends twice over, and the graph is contracted to the pointed-to nodes; so
+    links and nodes shrink from round to round. The pointer tables of all rounds are then composed
+    from the last to the first. Every round is written to the shared folder."""
+    g = links.select(F.col("i").alias("u"), F.col("j").alias("w"))
+    g = stage(g.unionByName(g.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct(), "cc-graph")
+    rounds = []
     for _ in range(max_rounds):
-        around = (und.join(labels, und["w"] == labels["episode_id"])
-                  .groupBy("u").agg(F.min("component").alias("_near")))
-        nxt = (labels.join(around, labels["episode_id"] == around["u"], "left")
-               .select("episode_id", F.col("component").alias("_old"),
-                       F.least("component", F.coalesce("_near", "component")).alias("_mid")))
-        nxt = stage(nxt, "cc-mid")
-        hop = (nxt.select(F.col("episode_id").alias("_mid"), F.col("_mid").alias("_to"))
-               .join(nxt.select("_mid").distinct(), "_mid")
-               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-        nxt = (nxt.withColumn("_salt", F.pmod(F.xxhash64("episode_id"), F.lit(salts)).cast("int"))
-               .join(hop, ["_mid", "_salt"], "left")
-               .select("episode_id", "_old", F.least("_mid", F.coalesce("_to", "_mid")).alias("component")))
-        nxt = stage(nxt, "cc-labels")
-        changed = nxt.filter(F.col("_old") != F.col("component")).limit(1).count()
-        labels = nxt.select("episode_id", "component")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+        if g.limit(1).count() == 0:
+            break
+        ptr = g.groupBy("u").agg(F.min("w").alias("p")).select("u", F.least("u", "p").alias("p"))
+        for _ in range(2):
+            ptr = _follow(ptr, ptr)
+        ptr = stage(ptr, "cc-pointers")
+        rounds.append(ptr)
+        left = g.join(ptr, "u").select(F.col("p").alias("a"), "w")
+        g = (left.join(ptr, left["w"] == ptr["u"]).select(F.col("a").alias("u"), F.col("p").alias("w"))
+             .filter("u <> w").distinct())
+        g = stage(g, "cc-graph")
+    else:
+        raise RuntimeError("components did not settle")
+    if not rounds:
+        return nodes.select("episode_id", F.col("episode_id").alias("component"))
+    found = rounds[-1]
+    for ptr in reversed(rounds[:-1]):
+        found = _follow(ptr, found)
+    found = found.select(F.col("u").alias("episode_id"), F.col("p").alias("_root"))
+    out = nodes.select("episode_id").join(found, "episode_id", "left")
+    return stage(out.select("episode_id", F.coalesce("_root", "episode_id").alias("component")), "cc-components")
+
+
+def _follow(ptr: DataFrame, onward: DataFrame, salts: int = 16) -> DataFrame:
+    """Replace each pointer by where ``onward`` sends its target. Many nodes may share a target,
+    so the lookup is salted; ``onward`` is reduced to targets that move before it is copied."""
+    to = (onward.filter("u <> p").select(F.col("u").alias("p"), F.col("p").alias("_to"))
+          .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    return (ptr.withColumn("_salt", F.pmod(F.xxhash64("u"), F.lit(salts)).cast("int")).join(to, ["p", "_salt"], "left")
+            .select("u", F.coalesce("_to", "p").alias("p")))
 
 
 # ------------------------------------------------------------------ evidence ---------------
