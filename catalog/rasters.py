@@ -6,7 +6,7 @@ from cityweave.operators import raster as ra, score as sc, serve
 from cityweave.params import Params
 
 from . import situations as si
-from .base import EV, P, joined, memo, portable, query, r6, values
+from .base import EV, P, joined, memo, portable, query, r6, rnd, values
 from .situations import FACTS, SITS, detected, events, linked
 
 C = F.col
@@ -19,12 +19,11 @@ tp AS (SELECT truth_id, row_number() OVER (ORDER BY truth_id) - 1 AS pos, min(t)
 
 def truth(s, d):
     e = detected(s, d).detection
-    m = e.select(F.concat_ws("-", F.lit("T"), C("h3_cell").cast("string"), F.floor(C("t") / 21600).cast("string")).alias("truth_id"), "event_id", "t", "severity")
-    g = m.groupBy("truth_id").agg(F.min("t").alias("o"), F.max("severity").alias("_s"))
+    m = e.select(F.concat_ws("-", F.lit("T"), C("h3_cell").cast("string"), F.floor(C("t") / 21600).cast("string")).alias("truth_id"), "event_id", "t", "severity", "h3_cell")
+    g = m.groupBy("truth_id", "h3_cell").agg(F.min("t").alias("o"), F.max("severity").alias("_s"))
     from cityweave.operators.scale import rank_in
-    # order of the truths by id, as a chunked rank (cells spread the chunks)
-    chunk = F.substring("truth_id", 3, 16).cast("bigint")
-    t = rank_in(g.withColumn("_k", F.lit(0)), ["_k"], ["truth_id"], chunk, "pos").select(
+    # order of the truths by id, as a chunked rank over cells
+    t = rank_in(g.withColumn("_k", F.lit(0)), ["_k"], ["truth_id"], C("h3_cell"), "pos").select(
         "truth_id", (C("pos") - 1).alias("pos"), F.timestamp_seconds("o").alias("onset_utc"), F.timestamp_seconds(C("o") + 14400).alias("detect_by_utc"),
         F.when(C("_s") > 0.9, "red").otherwise("orange").alias("expected_alert_level"))
     decoys = e.filter("severity < 0.3").select(F.concat_ws("-", F.lit("D"), "category", F.floor(C("t") / 86400).cast("string")).alias("decoy_id"), "event_id")
@@ -52,16 +51,27 @@ query("j17_truth_overlap", SITS + f", {TR}, ts_ AS (SELECT truth_id, count(*) AS
     lambda s, d: sc.overlaps(truth(s, d)[1], linked(s, d).members).select("truth_id", "situation_id", "shared", r6("overlap").alias("overlap")))
 
 
-@query("j17_greedy_match")
+@query("j17_greedy_match", SITS + GRE + " SELECT truth_id, sit AS situation_id, round(o, 6) AS overlap FROM mt")
 def j17(s, d):
     t, tm, _ = truth(s, d)
     l = linked(s, d)
     return sc.match(t, tm, l.situations, l.members, MIN_OVERLAP).select("truth_id", "situation_id", r6("overlap").alias("overlap"))
 
 
-query("a26_scorecard")(lambda s, d: scored(s, d)["scorecard"])
+PT = f""", pt AS (SELECT truth_id, mt.sit, CASE WHEN mt.sit IS NULL THEN 'missed' WHEN created > detect_by THEN 'matched_late' ELSE 'matched' END AS status, expected, alert, CASE WHEN mt.sit IS NOT NULL THEN created - onset END AS lag, {rnd('o', 2)} AS overlap FROM mt LEFT JOIN sx ON sx.sit = mt.sit),
+fp AS (SELECT count(*) AS n FROM sx WHERE sit NOT IN (SELECT sit FROM pt WHERE sit IS NOT NULL)), dc AS (SELECT decoy_id, bool_or(event_id IN (SELECT event_id FROM sm)) AS leak FROM dm GROUP BY decoy_id)"""
+
+
+def card(hit, missed):
+    return PT + f""", k AS (SELECT count(*) AS n, count(*) FILTER ({hit}) AS m, count(*) FILTER (status = 'matched_late' AND {hit}) AS ml, count(*) FILTER ({missed}) AS mi, count(*) FILTER ({hit} AND expected = alert) AS ok, list_sort(list(lag) FILTER (lag IS NOT NULL)) AS lags FROM pt),
+ r AS (SELECT *, m / greatest(1, m + fp.n) AS pr, m / greatest(1, m + mi) AS rc, fp.n AS fpn FROM k, fp) SELECT r.n AS truth_situations, m + fpn AS detected_situations, m AS matched, ml AS matched_late, mi AS missed, fpn AS false_positives, (SELECT count(*) FROM dc) AS decoys_planted, (SELECT count(*) FROM dc WHERE NOT leak) AS decoys_correctly_ignored,
+ {rnd('pr', 2)} AS precision, {rnd('rc', 2)} AS recall, {rnd('CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END', 2)} AS f1, {rnd('ok / greatest(1, m)', 2)} AS alert_level_accuracy, lags[len(lags) // 2 + 1] AS median_detection_lag_sec FROM r"""
+
+
+_HIT = "status IN ('matched', 'matched_late')"
+query("a26_scorecard", FACTS + GRE + card(_HIT, "status = 'missed'"))(lambda s, d: scored(s, d)["scorecard"])
 query("a26_scorecard_strict_deadline")(lambda s, d: scored(s, d, True)["scorecard"])
-query("c5_score")(lambda s, d: scored(s, d)["per_truth"].select("truth_id", "situation_id", "status", "detection_lag_sec", "member_overlap"))
+query("c5_score", FACTS + GRE + PT + " SELECT truth_id, sit AS situation_id, status, lag AS detection_lag_sec, overlap AS member_overlap FROM pt")(lambda s, d: scored(s, d)["per_truth"].select("truth_id", "situation_id", "status", "detection_lag_sec", "member_overlap"))
 query("a32_recall_by_category", SITS + f", {TR}, fl AS (SELECT DISTINCT event_id FROM em) SELECT truth_id, category, count(*) AS total, count(fl.event_id) AS flagged FROM tm JOIN de USING (event_id) LEFT JOIN fl ON fl.event_id = tm.event_id GROUP BY ALL")(
     lambda s, d: sc.recall_by_category(truth(s, d)[1], events(s, d), detected(s, d).members))
 query("a32_link_coverage", SITS + f", {TR}, fl AS (SELECT DISTINCT event_id FROM em), k AS (SELECT truth_id, category, count(*) AS total, count(fl.event_id) AS flagged FROM tm JOIN de USING (event_id) LEFT JOIN fl ON fl.event_id = tm.event_id GROUP BY ALL) SELECT truth_id, sum(total)::bigint AS total, sum(flagged)::bigint AS flagged, count(*) AS links, count(*) FILTER (flagged > 0) AS links_covered FROM k GROUP BY truth_id")(
@@ -70,28 +80,28 @@ query("a33_decoy_status", SITS + f", {TR} SELECT decoy_id, count(x.event_id) AS
     lambda s, d: sc.decoy_status(truth(s, d)[2], linked(s, d).members))
 
 
-@query("a33_decoy_leaks")
-def a33(s, d):
+@query("a33_decoy_leaks", SITS + GRE + " SELECT decoy_id, count(DISTINCT sm.event_id) AS leaked_any, count(DISTINCT sm.event_id) FILTER (sm.sit IN (SELECT sit FROM mt WHERE sit IS NOT NULL)) AS leaked_matched FROM dm LEFT JOIN sm USING (event_id) GROUP BY decoy_id")
+def a33_(s, d):
     t, tm, dm = truth(s, d)
     l = linked(s, d)
     return sc.decoy_leaks(dm, l.members, sc.match(t, tm, l.situations, l.members, MIN_OVERLAP))
 
 
 # ------------------------------------------------------------------ grids from lineitem -----
-GRIDS = """SELECT l_suppkey AS row, cast(floor(l_quantity) as bigint) AS col, avg(l_extendedprice) AS value FROM {lineitem} GROUP BY l_suppkey, floor(l_quantity)"""
-FRAMES = """SELECT cast(l_linenumber - 1 as bigint) AS frame, l_suppkey AS row, cast(floor(l_quantity) as bigint) AS col, avg(l_discount * l_tax) * 2e1 AS value FROM {lineitem} GROUP BY l_linenumber, l_suppkey, floor(l_quantity)"""
+GRIDS = """SELECT l_suppkey AS row, cast(floor(l_quantity) as bigint) AS col, floor(max(l_extendedprice)) AS value FROM {lineitem} GROUP BY l_suppkey, floor(l_quantity)"""
+FRAMES = """SELECT cast(l_linenumber - 1 as bigint) AS frame, l_suppkey AS row, cast(floor(l_quantity) as bigint) AS col, floor(max(l_discount * l_tax) * 128e1) / 128 AS value FROM {lineitem} GROUP BY l_linenumber, l_suppkey, floor(l_quantity)"""
 
 
 def dem(s, d):
-    return memo(s, d, "dem", lambda: si.city.stage(portable(s, d, GRIDS).withColumn("value", F.round("value", 2)), "dem"))
+    return memo(s, d, "dem", lambda: si.city.stage(portable(s, d, GRIDS), "dem"))
 
 
 def depth(s, d):
-    return memo(s, d, "depth", lambda: si.city.stage(portable(s, d, FRAMES).withColumn("value", F.round("value", 6)), "depth"))
+    return memo(s, d, "depth", lambda: si.city.stage(portable(s, d, FRAMES), "depth"))
 
 
-G = f"g AS (SELECT row, col, round(value, 2) AS value FROM ({GRIDS}) z)"
-D = f"f AS (SELECT frame, row, col, round(value, 6) AS value FROM ({FRAMES}) z)"
+G = f"g AS (SELECT * FROM ({GRIDS}) z)"
+D = f"f AS (SELECT * FROM ({FRAMES}) z)"
 query("a34_block_mean", f"WITH {G} SELECT row // 2 AS brow, col // 2 AS bcol, round(avg(value), 6) AS mean FROM g GROUP BY ALL")(lambda s, d: ra.block_mean(dem(s, d), 2).select("brow", "bcol", r6("mean").alias("mean")))
 query("a35_block_depth_series", f"""WITH {D}, b AS (SELECT frame, row // 2 AS brow, col // 2 AS bcol, avg(value) AS mean FROM f GROUP BY ALL), nf AS (SELECT max(frame) + 1 AS n FROM f), k AS (SELECT DISTINCT brow, bcol FROM b WHERE mean >= 0.03),
  s AS (SELECT k.brow, k.bcol, i AS frame, coalesce(round_even(mean * 100, 0), 0)::bigint AS cm FROM k, nf, range(n) r(i) LEFT JOIN b ON b.brow = k.brow AND b.bcol = k.bcol AND b.frame = i)
@@ -115,7 +125,7 @@ query("a37_zonal_peaks", f"""WITH {D}, px AS (SELECT row // 10 AS zone, row, col
  SELECT zone, round(max(peak) * 100, 4) AS peak_depth_cm, arg_min(a, (-peak, row, col)) AS peak_frame, round(100.0 * count(*) FILTER (peak >= 0.1) / count(*), 6) AS area_over_10cm_pct FROM px GROUP BY zone HAVING max(peak) >= 0.02""")(
     lambda s, d: ra.zonal_peaks(depth(s, d).withColumn("zone", F.floor(C("row") / 10)), "zone").select("zone", F.round("peak_depth_cm", 4).alias("peak_depth_cm"), "peak_frame", r6("area_over_10cm_pct").alias("area_over_10cm_pct")))
 # gauges: nations as stations, orders of their customers as readings
-GAUGE = "SELECT c_nationkey AS gauge, @EPOCH(o_orderdate) AS t, avg(o_totalprice) / 1e4 AS value FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey, o_orderdate"
+GAUGE = "SELECT c_nationkey AS gauge, @EPOCH(o_orderdate) AS t, max(o_totalprice) / 1e4 AS value FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey, o_orderdate"
 PROBE = "SELECT c_nationkey AS gauge, @EPOCH(o_orderdate) + 43200 - 864000 AS t FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey, o_orderdate"
 query("j19_gauge_as_of", f"WITH g AS ({GAUGE}), p AS ({PROBE}) SELECT p.gauge::bigint AS gauge, p.t, round(coalesce(g.value, 0), 6) AS rate FROM p ASOF LEFT JOIN g ON g.gauge = p.gauge AND g.t <= p.t")(
     lambda s, d: ra.gauge_as_of(portable(s, d, GAUGE), portable(s, d, PROBE), 86400 * 30).select(C("gauge").cast("bigint").alias("gauge"), "t", r6("rate").alias("rate")))
@@ -146,7 +156,8 @@ query("g8_ring_contrast", f"WITH {EV}, {_ring}, c AS (SELECT h3_cell, avg(severi
 # named places: pixels on one row; pool: all pixels in (row, col) order
 _hash = lambda a, b, n: f"(('0x' || substr(md5('42:' || {a} || ':' || {b}), 1, 8))::bigint % {n})"
 query("a39_resampled_p_value", f"""WITH {G}, pl AS (SELECT row_number() OVER (ORDER BY row, col) - 1 AS pos, value, row FROM g), hot AS (SELECT avg(value) AS hot_mean, count(*) AS k FROM pl WHERE row = 7), n AS (SELECT count(*) AS n FROM pl),
- pool AS (SELECT i, value FROM range(500) r(i), n JOIN pl ON pos = {_hash('i', '-1', 'n')}), dr AS (SELECT draw, avg(value) AS m FROM range(20000) r(draw), hot, range(60) q(j) JOIN pool ON i = {_hash('draw', 'j', '500')} WHERE j < k GROUP BY draw)
+ pi AS MATERIALIZED (SELECT i, {_hash('i', '-1', 'n')} AS pos FROM range(500) r(i), n), pool AS MATERIALIZED (SELECT i, value FROM pi JOIN pl USING (pos)),
+ dj AS MATERIALIZED (SELECT draw, {_hash('draw', 'j', '500')} AS i FROM range(20000) r(draw), hot, range(60) q(j) WHERE j < k), dr AS (SELECT draw, avg(value) AS m FROM dj JOIN pool USING (i) GROUP BY draw)
  SELECT round(hot_mean, 4) AS hot_mean, round(avg(CASE WHEN m >= hot_mean THEN 1.0 ELSE 0.0 END), 6) AS p_value FROM dr, hot GROUP BY hot_mean""")(lambda s, d: resampled(s, d))
 
 

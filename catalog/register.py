@@ -1,5 +1,5 @@
 """Imports every catalog module so that its queries are registered."""
-from . import columns, feeds, rasters, situations  # noqa: F401
+from . import columns, feeds, rasters, situations, streams  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,12 +6,12 @@ State is keyed by entity; a micro-batch of one entity is what its trigger admits
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import vocabulary as v
-from ..functions import times
+from ..functions import severity as sv, times
 from ..operators import ingest as ig
 from ..operators import serve as srv
 from ..params import DEFAULT, Params
@@ -173,43 +173,40 @@ def delta_writer(reveals: DataFrame, ms: DataFrame, path: str):
 
 
 # ------------------------------------------------------------------ health ------------------
-def health_changes(arrivals: DataFrame, p: Params = DEFAULT, late_sec: int = 90) -> DataFrame:
-    """(feed, state, t) whenever a feed's state changes. ``arrivals``: feed, t. Arrivals are first
-    reduced to one row per feed and minute, so a busy feed costs its minutes. A silent feed turns
-    stale when event time passes its limit."""
-    limit = {f[0]: p.stale_intervals * f[1] for f in v.FEEDS}
-    minute = (arrivals.withWatermark("t", f"{late_sec} seconds").groupBy("feed", F.window("t", "1 minute"))
-              .agg(F.max("t").alias("last")).select("feed", F.col("window.end").alias("end"), "last"))
+def health_writer(path: str, p: Params = DEFAULT, late_sec: int = 90):
+    """``foreachBatch`` function over arrivals (feed, t): writes (feed, state, t) whenever a feed's
+    state changes. A batch is first reduced to the last arrival per feed and minute, so a busy
+    feed costs its minutes; the state kept between batches is one row per feed. Like
+    ``delta_writer``, a batch rewrites only its own folders."""
+    state_ddl = "feed string, last bigint, state string"
 
-    def step(key, chunks, state):
-        feed = key[0]
-        last, now = state.get if state.exists else (None, None)
-        rows = []
-        if state.hasTimedOut:
-            if now == "live":
-                rows.append((feed, "stale", pd.Timestamp(last + limit[feed] + 1, unit="s")))
-                now = "stale"
-            state.update((last, now))
-        else:
-            for r in _sorted(chunks, "last").itertuples(index=False):
-                t = int(r.last.timestamp()) if r.last.tzinfo else int(r.last.tz_localize("UTC").timestamp())
-                if now == "live" and t - last > limit[feed]:
-                    rows.append((feed, "stale", pd.Timestamp(last + limit[feed] + 1, unit="s")))
-                    now = "stale"
-                if now != "live":
-                    rows.append((feed, "live", pd.Timestamp(t, unit="s")))
-                    now = "live"
-                last = t
-            state.update((last, now))
-            due = (last + limit[feed] + 1) * 1000
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
-        out = pd.DataFrame(rows, columns=["feed", "state", "t"])
-        out["t"] = pd.to_datetime(out["t"])
-        yield out
-
-    return minute.groupBy("feed").applyInPandasWithState(
-        step, "feed string, state string, t timestamp", "last bigint, now string", "append", GroupStateTimeout.EventTimeTimeout)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        limit = F.coalesce(sv.interval_of(F.col("feed")) * p.stale_intervals, F.lit(0))
+        t = times.epoch(F.col("t"))
+        now = batch.agg(F.max(t)).first()[0]
+        if now is None:
+            return
+        m = batch.groupBy("feed", F.floor(t / 60).alias("minute")).agg(F.max(t).alias("last"))
+        prev = spark.createDataFrame([], state_ddl)
+        if batch_id > 0:
+            seen = spark.read.schema(state_ddl + ", batch bigint").parquet(f"{path}/state").filter(F.col("batch") < batch_id)
+            prev = seen.groupBy("feed").agg(F.max_by(F.struct("last", "state"), "batch").alias("s")).select("feed", "s.last", "s.state")
+        rows = m.select("feed", "last", F.lit(None).cast("string").alias("state")).unionByName(prev)
+        w = Window.partitionBy("feed").orderBy("last", F.col("state").isNull())
+        d = rows.withColumn("_p", F.lag("last").over(w)).withColumn("_s", F.lag("state").over(w))
+        new = d.filter("state is null")
+        gap = F.col("_p").isNotNull() & (F.col("last") - F.col("_p") > limit)
+        live = new.filter(F.col("_p").isNull() | gap | (F.col("_s") == "stale")).select("feed", F.lit("live").alias("state"), F.col("last").alias("t"))
+        late = new.filter(gap & ~F.coalesce(F.col("_s") == "stale", F.lit(False))).select("feed", F.lit("stale").alias("state"), (F.col("_p") + limit + 1).alias("t"))
+        tail = rows.groupBy("feed").agg(F.max("last").alias("last"), F.max_by("state", F.struct("last", F.col("state").isNull())).alias("state"))
+        silent = F.col("last") + limit < now - late_sec
+        ends = tail.filter(silent & ~F.coalesce(F.col("state") == "stale", F.lit(False))).select("feed", F.lit("stale").alias("state"), (F.col("last") + limit + 1).alias("t"))
+        out = live.unionByName(late).unionByName(ends)
+        out.select("feed", "state", F.timestamp_seconds("t").alias("t")).write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+        state = tail.select("feed", "last", F.when(silent | (F.col("state") == "stale"), "stale").otherwise("live").alias("state"))
+        state.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+    return write
 
 
 def stale_feeds(arrivals: DataFrame, feeds: DataFrame, now, p: Params = DEFAULT) -> DataFrame:
