@@ -260,8 +260,9 @@ _nearest = f"(SELECT arg_min(pos, ({hav('c.clat', 'c.clon', 'm.lat', 'm.lon')},
 NEAR = f"""g AS ({GEO}), {cells('g', 'gc')}, mk AS (SELECT * FROM marks), {cells('mk', 'mkc')}, c AS (SELECT DISTINCT h3_cell, {_clat} AS clat, {_clon} AS clon FROM gc),
  nn AS (SELECT h3_cell, arg_min(pos, km) AS pos FROM (SELECT c.h3_cell, m.pos, {hav('c.clat', 'c.clon', 'm.lat', 'm.lon')} AS km FROM c, marks m) GROUP BY h3_cell)"""
 query("j5_nearest_landmark", f"WITH {MARKS}, {NEAR} SELECT h3_cell, pos::bigint AS pos FROM nn")(
-    lambda s, d: geo_rows(s, d).select(GRID.cell(C("lat"), C("lon")).alias("h3_cell")).distinct().select(
-        "h3_cell", places.nearest_landmark(*GRID.centroid(C("h3_cell"))).cast("bigint").alias("pos")))
+    lambda s, d: geo_rows(s, d).select(GRID.cell(C("lat"), C("lon")).alias("h3_cell")).distinct()
+    .withColumn("la", GRID.centroid(C("h3_cell"))[0]).withColumn("lo", GRID.centroid(C("h3_cell"))[1]).select(
+        "h3_cell", places.nearest_landmark("la", "lo").cast("bigint").alias("pos")))
 query("j6_zone_labels", f"""WITH {MARKS}, {NEAR} SELECT event_id, CASE WHEN m.h3_cell = gc.h3_cell THEN name ELSE 'Near ' || name END || ' + 2 nearby areas' AS en,
  CASE WHEN m.h3_cell = gc.h3_cell THEN name_hi ELSE name_hi || ' के पास' END || ' + 2 और क्षेत्र' AS hi FROM gc JOIN nn ON nn.h3_cell = gc.h3_cell JOIN mkc m ON m.pos = nn.pos""")(
     lambda s, d: (lambda x: x.select("event_id", places.with_nearby(C("zone_en"), C("zone_hi"), F.lit(3))[0].alias("en"),

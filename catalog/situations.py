@@ -431,8 +431,9 @@ query("j18_record_lineage", f"""WITH {OUT}{_PC}, e AS (SELECT raw_ref || '' AS r
 
 
 def lineage(s, d):
-    rec = power_records(s, d)
+    rec = city.stage(power_records(s, d), "records")
     ev = ig.fold(ig.build_events(ig.outage_candidates(ig.pair_outages(rec, PS)))).withColumn("event_id", F.concat_ws("|", "raw_ref", "category"))
+    ev = city.stage(ev, "outages")
     r = rec.select(C("seq").alias("record_id"), "raw_ref", F.regexp_extract("raw_ref", "^[^@]*@", 0).alias("entity_ref"), times.epoch(C("t")).alias("t"))
     return serve.lineage(r, ev).select("record_id", "event_id", C("kind").cast("bigint").alias("kind")).distinct()
 

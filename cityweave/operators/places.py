@@ -6,21 +6,19 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions import text as tx
-from ..functions.hexgrid import HexGrid, haversine_km
+from ..functions.hexgrid import HexGrid
 from .scale import broadcast_if_small
 
 INLINE_LANDMARKS = 200
 _WORDS = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 
 
+_PREFIX = "^(" + "|".join(p.replace(".", "\\.") for p in v.ADDRESS_PREFIXES) + ") "
+
+
 def strip_prefix(c) -> Column:
     """Folded text without one leading address word."""
-    s = tx.fold_space(c)
-    out = None
-    for p in v.ADDRESS_PREFIXES:
-        cond, rest = s.startswith(p + " "), F.trim(F.substring(s, len(p) + 2, 1 << 20))
-        out = F.when(cond, rest) if out is None else out.when(cond, rest)
-    return out.otherwise(s)
+    return F.trim(F.regexp_replace(tx.fold_space(c), _PREFIX, ""))
 
 
 def plausible(c) -> Column:
@@ -47,26 +45,15 @@ def _pieces(name: str) -> list:
 
 
 def _match(s: Column, landmarks) -> Column:
-    """Best landmark position for folded text: longest name, earliest on a tie. Both
-    directions of containment are map lookups, so this is map-only at any row count."""
-    names = [lm[0].lower() for lm in landmarks]
-    rank = {i: (len(n), -i) for i, n in enumerate(names)}
-    forward, reverse = {}, {}
-    for i, n in enumerate(names):
-        if n not in forward or rank[i] > rank[forward[n]]:
-            forward[n] = i
-        for piece in _pieces(n):
-            if piece not in reverse or rank[i] > rank[reverse[piece]]:
-                reverse[piece] = i
-
-    def lookup(mapping):
-        return F.create_map(*[x for k, i in mapping.items() for x in (
-            F.lit(k), F.struct(F.lit(rank[i][0]).alias("n"), F.lit(rank[i][1]).alias("p")))])
-
-    spans = word_spans(s, max(len(n.split(" ")) for n in names))
-    hits = F.transform(spans, lambda x: F.try_element_at(lookup(forward), x))
-    best = F.array_max(F.concat(hits, F.array(F.try_element_at(lookup(reverse), s))))
-    return -best["p"]
+    """Best landmark position for folded text: longest name first, earliest on a tie, as one CASE
+    whose branches test the name inside the text and the text among the name's own pieces. It is
+    map-only at any row count."""
+    out = None
+    for i, lm in sorted(enumerate(landmarks), key=lambda x: (-len(x[1][0]), x[0])):
+        name = lm[0].lower()
+        hit = s.rlike(r"(?U)\b\Q" + name + r"\E\b") | s.isin(*_pieces(name))
+        out = F.when(hit, F.lit(i)) if out is None else out.when(hit, F.lit(i))
+    return out
 
 
 def landmark_position(text, landmarks=v.LANDMARKS) -> Column:
@@ -106,13 +93,15 @@ def locate(landmark, locality, landmarks=v.LANDMARKS) -> Column:
     return F.coalesce(landmark_position(landmark, landmarks), landmark_position(locality, landmarks))
 
 
-def nearest_landmark(lat, lon, landmarks=v.LANDMARKS) -> Column:
-    """Position of the closest landmark by great-circle distance, earliest on a tie."""
+def nearest_landmark(lat: str, lon: str, landmarks=v.LANDMARKS) -> Column:
+    """Position of the closest landmark to two columns by great-circle distance, earliest on a
+    tie: the least of constant many (distance, position) pairs, written as one expression."""
     if len(landmarks) > INLINE_LANDMARKS:
         raise ValueError("gazetteer too large to inline")
-    return F.array_min(F.array(*[F.struct(
-        haversine_km(lat, lon, F.lit(lm[2]), F.lit(lm[3])).alias("km"), F.lit(i).alias("pos"))
-        for i, lm in enumerate(landmarks)]))["pos"]
+    far = 2 * v.EARTH_RADIUS_KM
+    pairs = [f"named_struct('km', {far}D * asin(sqrt(power(sin(radians({la}D - {lat}) / 2), 2) + cos(radians({lat})) * cos(radians({la}D))"
+             f" * power(sin(radians({lo}D - {lon}) / 2), 2))), 'pos', {i})" for i, (_, _, la, lo) in enumerate(landmarks)]
+    return F.expr(f"array_min(array({', '.join(pairs)})).pos")
 
 
 def zone_labels(cells: DataFrame, cell: str, grid: HexGrid, landmarks=v.LANDMARKS) -> DataFrame:
@@ -122,7 +111,7 @@ def zone_labels(cells: DataFrame, cell: str, grid: HexGrid, landmarks=v.LANDMARK
     d = cells.select(F.col(cell).alias("_cell")).distinct()
     lat, lon = grid.centroid(F.col("_cell"))
     d = d.withColumn("_lat", lat).withColumn("_lon", lon)
-    d = d.withColumn("_pos", nearest_landmark(F.col("_lat"), F.col("_lon"), landmarks))
+    d = d.withColumn("_pos", nearest_landmark("_lat", "_lon", landmarks))
     f = landmark_fields(F.col("_pos"), grid, landmarks)
     own = f["h3_cell"] == F.col("_cell")
     dim = d.select("_cell", F.when(own, f["name"]).otherwise(F.concat(F.lit("Near "), f["name"])).alias("zone_en"),

@@ -232,7 +232,7 @@ def _prefixes(ref):
 def lineage(records: DataFrame, events: DataFrame, open_sec: int = 3600) -> DataFrame:
     """(record_id, event_id, kind): the event a raw record opened, else one whose reference
     extends or shortens it, else one of the same entity whose span covers the record's time.
-    Prefixes and hours are join keys; ``records``: record_id, raw_ref, entity_ref, t (epoch)."""
+    Prefixes and time blocks are join keys; ``records``: record_id, raw_ref, entity_ref, t (epoch)."""
     ev = events.select("event_id", F.col("raw_ref").alias("ev_ref"), times.epoch(F.col("start_utc")).alias("s"),
                        F.coalesce(times.epoch(F.col("end_utc")), times.epoch(F.col("start_utc")) + open_sec).alias("e"))
     rec = records.filter(F.col("raw_ref") != "")
@@ -242,11 +242,14 @@ def lineage(records: DataFrame, events: DataFrame, open_sec: int = 3600) -> Data
     prefix = (rec.join(longer, rec["raw_ref"] == longer["k"]).select("record_id", "event_id")
               .unionByName(shorter.join(ev, shorter["k"] == ev["ev_ref"]).select("record_id", "event_id"))
               .distinct().withColumn("kind", F.lit(PREFIX)))
-    hour = 3600
-    spans = ev.withColumn("entity_ref", F.regexp_extract("ev_ref", "^[^@]*@", 0)).filter("entity_ref <> ''")
-    spans = spans.withColumn("_h", F.explode(F.sequence(F.floor(F.col("s") / hour), F.floor(F.greatest("s", "e") / hour))))
-    cover = (rec.filter("entity_ref <> '' and t is not null").withColumn("_h", F.floor(F.col("t") / hour))
-             .join(spans, ["entity_ref", "_h"]).filter("t between s and e").select("record_id", "event_id", F.lit(COVER).alias("kind")))
+    # a span goes to blocks as long as itself (at most two); a record asks only the block sizes its
+    # entity has, so a span costs two rows whatever its length
+    spans = ev.withColumn("entity_ref", F.regexp_extract("ev_ref", "^[^@]*@", 0)).filter("entity_ref <> '' and e >= s")
+    spans = spans.withColumn("_size", F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("e") - F.col("s"), F.lit(60))))).cast("bigint"))
+    blocks = spans.withColumn("_b", F.explode(F.array_distinct(F.array(F.floor(F.col("s") / F.col("_size")), F.floor(F.col("e") / F.col("_size"))))))
+    sizes = spans.select("entity_ref", "_size").distinct()
+    cover = (rec.filter("entity_ref <> '' and t is not null").join(sizes, "entity_ref").withColumn("_b", F.floor(F.col("t") / F.col("_size")))
+             .join(blocks, ["entity_ref", "_size", "_b"]).filter("t between s and e").select("record_id", "event_id", F.lit(COVER).alias("kind")))
     hits = exact.unionByName(prefix).unionByName(cover)
     best = hits.groupBy("record_id").agg(F.min("kind").alias("kind"))
     return hits.join(best, ["record_id", "kind"])

@@ -134,11 +134,11 @@ def link(anomalies: DataFrame, history: DataFrame, detection: DataFrame, degrade
     comps = lk.connected_components(episodes, links)
     anchor = lk.anchors(episodes, links)
     pruned = stage(lk.prune_evidence(em, anchor, p), "pruned")
-    resolved = stage(lk.resolved_episodes(pruned), "resolved")
+    resolved = lk.resolved_episodes(pruned)
     eligible = lk.eligible_components(comps, episodes, edges, cats, p)
     sit_ids = stage(st.situation_ids(eligible, comps, episodes), "situation-ids")
     keyed, members = st.keyed_members(pruned, comps, sit_ids)
-    keyed, members = stage(keyed, "keyed"), stage(members, "members")
+    members = stage(members, "members")
     chain = stage(st.chain(resolved, keyed, phrases), "chain")
     sits = stage(st.assemble(sit_ids, members, chain, keyed, links, edges, lift, phrases, degraded, grid, p), "situations")
     rej = stage(lk.rejected(episodes, comps, seconds, edges, p), "rejected")
