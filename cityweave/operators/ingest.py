@@ -322,10 +322,11 @@ def unhealthy_entities(readings: DataFrame) -> DataFrame:
     return readings.filter(F.col("fault") & F.col("located")).select("source", "entity").distinct()
 
 
-def feed_arrivals(feed: str, times_col: DataFrame) -> DataFrame:
-    """(feed, last, records) from a one-column frame of record times ``t``; every record counts."""
-    return times_col.agg(F.max(sv.received_at(F.col("t"), sv.interval_of(F.lit(feed)))).alias("last"),
-                         F.count("*").alias("records")).select(F.lit(feed).alias("feed"), "last", "records")
+def feed_stats(rows: DataFrame, reason: Column) -> DataFrame:
+    """(feed, drop_reason, n, last): counts and newest arrival per drop reason over every raw row of
+    a feed (``source``, ``t``), dropped ones included."""
+    seen = sv.received_at(F.col("t"), sv.interval_of(F.col("source")))
+    return rows.groupBy(F.col("source").alias("feed"), reason.alias("drop_reason")).agg(F.count("*").alias("n"), F.max(seen).alias("last"))
 
 
 def feed_health(arrivals: DataFrame, feeds: DataFrame, now: Column, killed=(), errors=None,

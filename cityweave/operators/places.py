@@ -45,15 +45,25 @@ def _pieces(name: str) -> list:
 
 
 def _match(s: Column, landmarks) -> Column:
-    """Best landmark position for folded text: longest name first, earliest on a tie, as one CASE
-    whose branches test the name inside the text and the text among the name's own pieces. It is
-    map-only at any row count."""
-    out = None
-    for i, lm in sorted(enumerate(landmarks), key=lambda x: (-len(x[1][0]), x[0])):
+    """Best landmark position for folded text: longest name, earliest on a tie. One pattern looks
+    ahead from every word start for the longest name there, so names may overlap in the text; the
+    opposite containment is a lookup of the text among all pieces of names. Map-only."""
+    rank, pieces = {}, {}
+    for i, lm in enumerate(landmarks):
         name = lm[0].lower()
-        hit = s.rlike(r"(?U)\b\Q" + name + r"\E\b") | s.isin(*_pieces(name))
-        out = F.when(hit, F.lit(i)) if out is None else out.when(hit, F.lit(i))
-    return out
+        rank.setdefault(name, (len(name), -i))
+        for piece in _pieces(name):
+            pieces[piece] = max(pieces.get(piece, (0, 0)), rank[name])
+
+    def table(mapping):
+        return F.create_map(*[x for k, (n, p) in mapping.items() for x in (
+            F.lit(k), F.struct(F.lit(n).alias("n"), F.lit(p).alias("p")))])
+
+    names = "|".join(r"\Q" + n + r"\E" for n in sorted(rank, key=lambda n: (-len(n), n)))
+    found = F.regexp_extract_all(s, F.lit(r"(?U)\b(?=(" + names + r")\b)"), F.lit(1))
+    best = F.array_max(F.concat(F.transform(found, lambda m: F.try_element_at(table(rank), m)),
+                                F.array(F.try_element_at(table(pieces), s))))
+    return -best["p"]
 
 
 def landmark_position(text, landmarks=v.LANDMARKS) -> Column:

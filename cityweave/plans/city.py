@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import times
-from ..functions.hexgrid import HexGrid
+from ..functions.hexgrid import HexGrid, in_bbox
 from ..operators import baseline as bl
 from ..operators import detect as dt
 from ..operators import ingest as ig
@@ -47,22 +47,23 @@ def ingest(spark: SparkSession, weather: DataFrame, complaints: DataFrame, power
     folded = stage(ig.fold(union), "events")
     events = ig.cluster_complaints(folded, p).drop("seq", "n_candidates")
 
-    arrivals = ig.feed_arrivals("weather_imd", weather.select(times.from_epoch(F.col("ts")).alias("t")))
-    for feed, t in (("air_sensors", a.select("t")), ("drain_scada", d.select("t")), ("power_discom", records.select("t")),
-                    ("civic_complaints", register.filter("category is not null").select("t"))):
-        arrivals = arrivals.unionByName(ig.feed_arrivals(feed, t))
-    totals = (register.agg(F.count("*").alias("n")).select(F.lit("civic_complaints").alias("feed"), "n"))
-    arrivals = (arrivals.join(totals, "feed", "left").select("feed", "last", F.coalesce("n", "records").alias("records")))
-    arrivals = stage(arrivals, "arrivals")
+    # one pass per feed gives newest arrival, totals and drops
+    located, fault = F.col("located"), F.coalesce("fault", F.lit(False))
+    reason = F.when(~located, "unresolved").when(fault, "faulty")
+    wx = weather.select(F.lit("weather_imd").alias("source"), times.from_epoch(F.col("ts")).alias("t"),
+                        in_bbox(F.col("lat"), F.col("lon"), p.bbox).alias("located"), F.lit(False).alias("fault"))
+    stats = ig.feed_stats(wx, reason)
+    for r in (a, d):
+        stats = stats.unionByName(ig.feed_stats(r, reason))
+    stats = stats.unionByName(ig.feed_stats(records, F.when(~F.col("resolved"), "unresolved")))
+    stats = stats.unionByName(ig.feed_stats(register.withColumn("source", F.lit("civic_complaints")), F.col("drop_reason")))
+    stats = stage(stats, "feed-stats")
+    # complaints of unknown type do not count as a sign of life
+    arrivals = stats.groupBy("feed").agg(F.max(F.when(~F.col("drop_reason").eqNullSafe("unmapped_type"), F.col("last"))).alias("last"),
+                                         F.sum("n").alias("records"))
+    drops = stats.filter("drop_reason is not null").select("feed", "drop_reason", "n")
     if now is None:
         now = F.lit(arrivals.agg(F.max("last")).first()[0])
-    drops = (register.filter("drop_reason is not null").groupBy("drop_reason").agg(F.count("*").alias("n"))
-             .select(F.lit("civic_complaints").alias("feed"), "drop_reason", "n"))
-    for r in (w.filter("category = 'weather.rain'"), a, d):
-        drops = drops.unionByName(r.filter("not located or fault").groupBy(
-            F.col("source").alias("feed"), F.when(~F.col("located"), "unresolved").otherwise("faulty").alias("drop_reason")).agg(F.count("*").alias("n")))
-    drops = drops.unionByName(records.filter("not resolved").groupBy(F.col("source").alias("feed")).agg(F.count("*").alias("n"))
-                              .select("feed", F.lit("unresolved").alias("drop_reason"), "n"))
     health = ig.feed_health(arrivals, dims.feeds(spark), now, p=p)
     return Ingested(events, drops, health, arrivals)
 

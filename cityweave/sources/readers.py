@@ -25,10 +25,9 @@ def with_arrival(df: DataFrame) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, feed: str) -> DataFrame:
-    """JSON lines of a feed. Bad lines stay, with ``parsed_ok`` false and a reason; blank lines
-    are skipped by the scan."""
-    d = spark.read.schema(schemas.FEEDS[feed] + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return with_arrival(mark_parsed(d))
+    """JSON lines of a feed, read as lines so that a bad one stays whole, with ``parsed_ok`` false
+    and a reason; blank lines are skipped."""
+    return parse_json_lines(with_arrival(spark.read.text(path)), feed)
 
 
 def mark_parsed(d: DataFrame) -> DataFrame:
