@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from cityweave import dims, vocabulary as v
 from cityweave.functions import severity as sv, times
 from cityweave.operators import baseline as bl, detect as dt, ingest as ig, link as lk, serve, situations as st
+from cityweave.operators.scale import one_row
 from cityweave.plans import city
 
 from .base import EV, MARKS, P, PAIRS, canon, cells, dist, hav, iso, joined, lit, memo, portable, query, r6, rnd, ts, values
@@ -65,7 +66,7 @@ DET = "WITH RECURSIVE " + EV + ", " + CUT + ", " + BASE + ", " + win_sql("de", "
 
 # ------------------------------------------------------------------ A4..A14, T13, T14 --------
 query("a4_history_split", f"WITH {EV}, {CUT} SELECT (SELECT count(*) FROM h) AS history, (SELECT count(*) FROM de) AS detection, {ts('cut')} AS boundary, round(n_days, 6) AS n_days FROM cutt, nd")(
-    lambda s, d: (lambda x: x.history.agg(F.count("*").alias("history")).join(x.detection.agg(F.count("*").alias("detection"))).select(
+    lambda s, d: (lambda x: one_row(x.history.agg(F.count("*").alias("history")), x.detection.agg(F.count("*").alias("detection"))).select(
         "history", "detection", iso(F.timestamp_seconds(F.lit(x.start))).alias("boundary"), F.round(F.lit(x.n_days), 6).alias("n_days")))(detected(s, d)))
 query("a5_baseline_grains", f"""WITH {EV}, {CUT}, {BASE} SELECT grain, h3_cell, category, hour, n AS support, round(rate, 9) AS rate FROM (
  SELECT 'cell_category_hour' AS grain, h3_cell, category, hour, n, n / n_days AS rate FROM c3, nd UNION ALL SELECT 'cell_category', h3_cell, category, NULL, n, n / (n_days * 24) FROM c2, nd
@@ -131,7 +132,7 @@ def held_out(s, d):
     h = detected(s, d).history
     day = bl.held_out_day(h, 2)
     a, b = bl.day_slice(h, day)
-    return a.agg(F.count("*").alias("train")).join(b.agg(F.count("*").alias("held"))).select(
+    return one_row(a.agg(F.count("*").alias("train")), b.agg(F.count("*").alias("held"))).select(
         iso(F.timestamp_seconds(F.lit(day))).alias("day"), "train", "held", F.round(F.lit(bl.history_days(a, day)), 6).alias("n_days"))
 
 

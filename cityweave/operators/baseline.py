@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as v
 from ..functions import times
 from ..params import DEFAULT, Params
+from .scale import with_scalars
 
 
 def detection_start(events: DataFrame, p: Params = DEFAULT) -> dt.datetime:
@@ -44,7 +45,7 @@ def learn(history: DataFrame, n_days: float, p: Params = DEFAULT) -> DataFrame:
     days = F.lit(float(n_days))
     city = F.col("_c") == 1
     all_day = F.col("_h") == 1
-    g = g.crossJoin(F.broadcast(cells))  # one row
+    g = with_scalars(g, cells)
     rate = F.col("support") / (days * F.when(all_day, 24.0).otherwise(1.0)
                                * F.when(city, F.col("active_cells")).otherwise(1))
     grain = (F.when(~city & ~all_day, "cell_category_hour").when(~city, "cell_category")

@@ -9,6 +9,7 @@ from ..functions import ids, times
 from ..functions.poisson import poisson_tail
 from ..params import DEFAULT, Params
 from . import baseline as bl
+from .scale import one_row, with_scalars
 from ..functions.numbers import round_exact
 
 SEV = "decimal(9,4)"  # severities have 4 decimals, so decimal sums do not depend on row order
@@ -30,10 +31,10 @@ def window_counts(detection: DataFrame, p: Params = DEFAULT) -> DataFrame:
     lo = F.floor(F.col("t0") / step) * step
     hi = F.when(F.col("t1") > F.col("t0") + p.window_sec,
                 F.ceil((F.col("t1") - p.window_sec) / step) * step).otherwise(lo)
-    span = F.broadcast(span.select(lo.alias("lo"), hi.alias("hi")))  # one row
+    span = span.select(lo.alias("lo"), hi.alias("hi"))
     w = panes.withColumn("w", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("pane") - i * step)))
-    w = w.crossJoin(span).filter("w between lo and hi")
+    w = with_scalars(w, span).filter("w between lo and hi")
     return w.groupBy("h3_cell", "category", "w").agg(
         F.sum("n").alias("observed"), F.sum("sev").cast("double").alias("severity_weighted"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("src")))).alias("source_feeds"))
@@ -100,7 +101,7 @@ def calibration_sweep(tested: DataFrame, day: DataFrame, thresholds=bl.RARE_THRE
     pairs = day.agg(F.count_distinct("h3_cell", "category").alias("pairs"))
     rows = F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(float(th)).alias("threshold"),
                                         F.col(f"t{i}").alias("blocks")) for i, th in enumerate(thresholds)]))
-    d = counts.select(rows.alias("x")).select("x.*").crossJoin(F.broadcast(pairs))  # one row
+    d = with_scalars(counts.select(rows.alias("x")).select("x.*"), pairs)
     trials = F.greatest(F.lit(1), F.col("pairs") * 24)
     q = p.p_volume
     return (d.withColumn("trials", trials)
@@ -135,7 +136,7 @@ def false_alarm(history: DataFrame, cats: DataFrame, p_rare: float, p: Params =
     b = blocks(tested).agg(F.count(F.when(F.col("volume") | (F.col("p_min") < p_rare), 1)).alias("blocks"))
     pairs = held.agg(F.count_distinct("h3_cell", "category").alias("pairs"), F.count("*").alias("events"))
     q = p.p_volume
-    d = b.crossJoin(pairs).withColumn("trials", F.greatest(F.lit(1), F.col("pairs") * 24))
+    d = one_row(b, pairs).withColumn("trials", F.greatest(F.lit(1), F.col("pairs") * 24))
     mu = F.col("trials") * q
     sigma = F.sqrt(F.greatest(F.lit(1e-9), mu * (1 - q)))
     return d.select("events", "pairs", "trials", "blocks", (F.col("blocks") / F.col("trials")).alias("rate"),

@@ -14,7 +14,7 @@ from ..functions import ids, severity as sv, text as tx, times
 from ..functions.hexgrid import HexGrid, in_bbox
 from ..params import DEFAULT, Params
 from . import places
-from .scale import rank_in, running_before
+from .scale import one_row, rank_in, running_before
 from ..functions.numbers import round_exact
 
 GRID = HexGrid()
@@ -302,7 +302,7 @@ def power_ledger(records: DataFrame, paired: DataFrame) -> DataFrame:
         F.count(F.when(F.col("resolved") & trip & ~F.exists("emits", lambda e: e["category"] == "power.outage"), 1)).alias("below_floor"),
         F.count(F.when(F.col("resolved") & trip & F.exists("emits", lambda e: e["category"] == "traffic.signal_down"), 1)).alias("signal_down_emitted"))
     b = outage_spans(paired).agg(F.sum("unmatched").alias("restores_unmatched"))
-    return a.join(b)  # one row each
+    return one_row(a, b)
 
 
 def complaint_ledger(records: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import ids, times
 from ..functions.hexgrid import distance, ring
 from ..params import DEFAULT, Params
 from .detect import SEV
-from .scale import latest_within, stage
+from .scale import latest_within, stage, with_scalars
 from ..functions.numbers import round_exact
 
 
@@ -93,16 +93,16 @@ def lift_table(history: DataFrame, edges: DataFrame, p: Params = DEFAULT) -> Dat
              .groupBy("h3_cell", "effect").agg(F.sum("n").alias("n_local")))
     w = F.col("max_gap_sec") - F.col("min_gap_sec")
     exp = (per_cell.join(edges, per_cell["category"] == edges["cause"]).drop("category")
-           .join(local, ["h3_cell", "effect"]).crossJoin(F.broadcast(span))  # one row
+           .join(local, ["h3_cell", "effect"])
            .groupBy("cause", "effect").agg(F.sum(
-               F.col("n") * (1 - F.exp(-F.col("n_local") * w / F.col("span")))).alias("expected")))
+               F.col("n") * (1 - F.exp(-F.col("n_local") * w / span.scalar()))).alias("expected")))
     hist = (cause_effect_lags(history, edges, p).filter("lag is not null")
             .groupBy("cause", "effect", "lag").agg(F.sum("n").alias("n")))
     obs = upper_median(hist, ["cause", "effect"], "lag", "n")
     d = (edges.join(obs, ["cause", "effect"], "left").join(exp, ["cause", "effect"], "left")
          .join(totals.select(F.col("category").alias("cause"), F.col("n").alias("n_cause")), "cause", "left")
-         .join(totals.select(F.col("category").alias("effect"), F.col("n").alias("n_effect")), "effect", "left")
-         .crossJoin(F.broadcast(span)))
+         .join(totals.select(F.col("category").alias("effect"), F.col("n").alias("n_effect")), "effect", "left"))
+    d = with_scalars(d, span)
     o, e = F.coalesce("total", F.lit(0)), F.coalesce("expected", F.lit(0.0))
     hours = F.col("span") / 3600.0
     return d.select(

@@ -8,6 +8,7 @@ from .. import vocabulary as v
 from ..functions import ids, text as tx, times
 from ..functions.hexgrid import HexGrid, in_bbox
 from ..params import DEFAULT, Params
+from .scale import with_scalars
 
 
 def resolver_rates(complaints: DataFrame) -> DataFrame:
@@ -51,8 +52,8 @@ def stationarity(events: DataFrame) -> DataFrame:
     """Daily counts without the first and last day: variation and peak against the median. The
     daily table has one row per day."""
     daily = events.groupBy(F.to_date("start_utc").alias("d")).agg(F.count("*").alias("n"))
-    ends = F.broadcast(daily.agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("days")))
-    body = daily.crossJoin(ends).filter((F.col("days") <= 2) | ((F.col("d") > F.col("lo")) & (F.col("d") < F.col("hi"))))
+    ends = daily.agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("days"))
+    body = with_scalars(daily, ends).filter((F.col("days") <= 2) | ((F.col("d") > F.col("lo")) & (F.col("d") < F.col("hi"))))
     a = body.agg(F.max("days").alias("days"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), F.max("n").alias("peak"), F.median("n").alias("mid"))
     cv, pk = F.col("sd") / F.col("mean"), F.col("peak") / F.col("mid")
     return a.select("days", "mean", cv.alias("cv"), pk.alias("peak_over_median"), ((cv < 0.35) & (pk < 2.0)).alias("stationary"))

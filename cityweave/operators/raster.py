@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
-from .scale import running_before, running_last, stage
+from .scale import running_before, running_last, stage, with_scalars
 
 D8 = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
 MAX_EXPLODED_OFFSETS = 128
@@ -104,17 +104,15 @@ def cumulative_counts(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
 def share_below(df: DataFrame, value: str, out: str, parts: int = 64) -> DataFrame:
     """Percent of rows strictly below each row's value."""
     c = cumulative_counts(df, value, parts)
-    total = F.broadcast(df.agg(F.count("*").alias("_total")))  # one row
-    c = c.crossJoin(total).select(F.col("value").alias(value), (F.col("before") * 100.0 / F.col("_total")).alias(out))
+    c = with_scalars(c, df.agg(F.count("*").alias("_total"))).select(F.col("value").alias(value), (F.col("before") * 100.0 / F.col("_total")).alias(out))
     return df.join(c, value)
 
 
 def quantiles(df: DataFrame, value: str, probs=(0.1, 0.5, 0.9), parts: int = 64) -> DataFrame:
     """Exact linear-interpolated quantiles from the cumulative counts."""
     c = cumulative_counts(df, value, parts)
-    total = F.broadcast(df.agg(F.count("*").alias("_total")))  # one row
     pr = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q")
-    d = c.crossJoin(total).select("*", pr)
+    d = with_scalars(c, df.agg(F.count("*").alias("_total"))).select("*", pr)
     pos = F.col("q") * (F.col("_total") - 1)
     covers = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
     d = d.filter(covers(F.floor(pos)) | covers(F.ceil(pos)))
@@ -254,12 +252,12 @@ def resample_p(places: DataFrame, share: str, named: DataFrame, draws: int = 20_
     from 0) and a share; a pool of ``pool`` of them is drawn by hash, then ``draws`` samples of
     k = number of named places from the pool."""
     spark = places.sparkSession
-    n = F.broadcast(places.agg(F.count("*").alias("n")))
-    hot = F.broadcast(named.agg(F.avg(share).alias("hot_mean"), F.count("*").alias("k")))
-    pool_df = (spark.range(pool).withColumnRenamed("id", "i").crossJoin(n)
+    n = places.agg(F.count("*").alias("n"))
+    hot = named.agg(F.avg(share).alias("hot_mean"), F.count("*").alias("k"))
+    pool_df = (with_scalars(spark.range(pool).withColumnRenamed("id", "i"), n)
                .withColumn("pos", hash_index(F.col("i"), F.lit(-1), F.col("n"), seed)).join(places.select("pos", share), "pos")
                .select("i", F.col(share).alias("s")))
-    d = (spark.range(draws).withColumnRenamed("id", "draw").crossJoin(hot)
+    d = (with_scalars(spark.range(draws).withColumnRenamed("id", "draw"), hot)
          .withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
          .withColumn("i", hash_index(F.col("draw"), F.col("j"), F.lit(pool), seed)).join(F.broadcast(pool_df), "i"))  # pool rows
     m = d.groupBy("draw", "hot_mean").agg(F.avg("s").alias("m"))
@@ -268,6 +266,6 @@ def resample_p(places: DataFrame, share: str, named: DataFrame, draws: int = 20_
 
 def against_city(named: DataFrame, share: str, city_share: DataFrame) -> DataFrame:
     """Local share over the city-wide share per named place. ``city_share``: one row."""
-    return named.crossJoin(F.broadcast(city_share)).withColumn("vs_city", F.col(share) / F.greatest("city", F.lit(1e-9)))
+    return with_scalars(named, city_share).withColumn("vs_city", F.col(share) / F.greatest("city", F.lit(1e-9)))
 
 

@@ -42,6 +42,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate as scalar subqueries: computed once, no join."""
+    return df.select("*", *[row.select(c).scalar().alias(c) for c in row.columns])
+
+
+def one_row(*rows: DataFrame) -> DataFrame:
+    """The columns of several one-row aggregates side by side."""
+    return rows[0].sparkSession.range(1).select(*[r.select(c).scalar().alias(c) for r in rows for c in r.columns])
+
+
 def running_before(df: DataFrame, keys: list, order: list, chunk: Column, value: Column,
                    out: str) -> DataFrame:
     """Exclusive running sum of ``value`` per key in ``order``.

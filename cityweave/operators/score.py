@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import times
 from ..params import DEFAULT, Params
 from .link import upper_median
-from .scale import stage
+from .scale import one_row, stage
 from ..functions.numbers import round_exact
 
 
@@ -93,7 +93,7 @@ def scorecard(per_truth_: DataFrame, fps: DataFrame, decoys: DataFrame) -> DataF
     med = upper_median(lags, ["_k"], "detection_lag_sec", "_n").select(F.col("median").alias("_m")).agg(F.max("_m").alias("median_detection_lag_sec"))
     b = fps.agg(F.count("*").alias("false_positives"))
     c = decoys.agg(F.count("*").alias("decoys_planted"), F.count(F.when(F.col("status") == "decoy_ignored", 1)).alias("decoys_correctly_ignored"))
-    d = a.join(b).join(c).join(med)  # one row each
+    d = one_row(a, b, c, med)
     m = F.col("matched")
     ratio = lambda x, y: F.coalesce(F.try_divide(x.cast("double"), y.cast("double")), F.lit(0.0))
     prec, rec = ratio(m, m + F.col("false_positives")), ratio(m, m + F.col("missed"))

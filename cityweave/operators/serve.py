@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as v
 from ..functions import severity as sv, text as tx, times
 from ..params import DEFAULT, Params
-from .scale import rank_in
+from .scale import one_row, rank_in, with_scalars
 
 DAY = 86400
 
@@ -164,7 +164,7 @@ def counts(events: DataFrame, situations: DataFrame, t, p: Params = DEFAULT) ->
     act = situations.filter("status = 'active'")
     s = act.agg(F.count("*").alias("situations_active"))
     c = act.select(F.explode("h3_cells").alias("c")).agg(F.count_distinct("c").alias("cells_touched"))
-    return e.join(s).join(c)  # one row each
+    return one_row(e, s, c)
 
 
 # ------------------------------------------------------------------ deltas ------------------
@@ -262,9 +262,10 @@ def feed_rates(events: DataFrame, tick_sec: int = 1, ticks: int = 10) -> DataFra
     k = (F.floor(times.epoch(F.col("received_at")) / tick_sec)).alias("tick")
     per = events.groupBy(k, "source").agg(F.count("*").alias("n"))
     tot = per.groupBy("tick").agg(F.sum("n").alias("total"))
-    edge = F.broadcast(tot.agg(F.min("tick").alias("lo"), F.max("tick").alias("hi")))  # one row
+    edge = tot.agg(F.min("tick").alias("lo"), F.max("tick").alias("hi"))
     roll = (tot.withColumn("tick", F.explode(F.sequence(F.col("tick"), F.col("tick") + ticks - 1)))
-            .groupBy("tick").agg(F.sum("total").alias("recent")).crossJoin(edge).filter("tick between lo and hi"))
+            .groupBy("tick").agg(F.sum("total").alias("recent")))
+    roll = with_scalars(roll, edge).filter("tick between lo and hi")
     rate = F.col("recent") / F.least(F.lit(ticks), F.col("tick") - F.col("lo") + 1)
     return (per.join(roll, "tick").select("tick", "source", "n", rate.alias("per_tick"),
                                           F.floor(rate * (60 / tick_sec) + F.lit(0.5)).alias("per_minute")))
@@ -292,10 +293,11 @@ def _rank(level):
 
 def alert_transitions(updates: DataFrame, keep: int = 3, area: str = None) -> DataFrame:
     """``new`` for a first appearance, ``worse`` when the level rises; the newest ``keep`` stay.
-    ``updates``: situation_id, t, action, alert_level, label_en, status, is_decoy. Ranked per
-    situation, whose updates are bounded by its milestones."""
-    w = Window.partitionBy("situation_id").orderBy("t", "seq")
-    d = updates.withColumn("_prev", F.lag("alert_level").over(w))
+    ``updates``: situation_id, t, seq, action, alert_level, label_en, status, is_decoy. Updates are
+    numbered by chunks and each is joined to the one before it."""
+    n = rank_in(updates, ["situation_id"], ["t", "seq"], F.floor(times.epoch(F.col("t")) / DAY), "_n")
+    prev = n.select("situation_id", (F.col("_n") + 1).alias("_n"), F.col("alert_level").alias("_prev"))
+    d = n.join(prev, ["situation_id", "_n"], "left").drop("_n")
     kind = F.when(F.col("action") == "created", "new").when(_rank(F.col("alert_level")) > _rank(F.col("_prev")), "worse")
     d = d.withColumn("kind", kind).filter("kind is not null and not is_decoy and status <> 'closed'")
     if area is not None:

@@ -56,8 +56,9 @@ class Params:
     show_depth_m: float = 0.02
     display_from_m: float = 0.03
     idw_power: float = 2.0
-    # rows per (key, chunk) in two-level running operators
-    chunk_rows: int = 1_000_000
+    # arrival positions per chunk of the two-level running operators: the most rows of one key a
+    # task sorts; larger chunks mean fewer carried totals
+    chunk_rows: int = 16_000_000
 
     def but(self, **kw) -> "Params":
         return replace(self, **kw)
