@@ -42,9 +42,9 @@ def place_sql(src, col, out):
   AND length(regexp_replace(s, '[^a-z]', '', 'g')) >= 4 AND (s = lower(name) OR regexp_matches(s, '\\b' || lower(name) || '\\b') OR regexp_matches(lower(name), '\\b' || s || '\\b')) GROUP BY txt)"""
 
 
-CR = (MARKS + ", " + _types + ", cf AS (" + duck(COMPLAINTS) + "), mk AS (SELECT * FROM marks), " + cells("mk", "mkc") + ", " + place_sql("cf", "landmark", "pl") + ", " + place_sql("cf", "locality", "pc") + f""",
-cr0 AS (SELECT cf.*, category, epoch(try_strptime(lodged_at, '%d/%m/%Y %I:%M %p'))::bigint - {OFF} AS t, coalesce(pl.pos, pc.pos) AS pos
-  FROM cf LEFT JOIN types ON k = trim(regexp_replace(lower(complaint_type), '\\s+', ' ', 'g')) LEFT JOIN pl ON pl.txt = landmark LEFT JOIN pc ON pc.txt = locality),
+CR = (MARKS + ", " + _types + ", cf AS (" + duck(COMPLAINTS) + "), mk AS (SELECT * FROM marks), " + cells("mk", "mkc") + ", " + place_sql("cf", "landmark", "pl") + ", " + place_sql("cf", "locality", "lc") + f""",
+cr0 AS (SELECT cf.*, category, epoch(try_strptime(lodged_at, '%d/%m/%Y %I:%M %p'))::bigint - {OFF} AS t, coalesce(pl.pos, lc.pos) AS pos
+  FROM cf LEFT JOIN types ON k = trim(regexp_replace(lower(complaint_type), '\\s+', ' ', 'g')) LEFT JOIN pl ON pl.txt = landmark LEFT JOIN lc ON lc.txt = locality),
 cr AS (SELECT *, CASE WHEN category IS NULL THEN 'unmapped_type' WHEN t IS NULL THEN 'bad_timestamp' WHEN pos IS NULL THEN 'unresolved' END AS drop_reason FROM cr0)""")
 
 
@@ -209,14 +209,14 @@ def drain_marked(s, d):
     return ig.mark_islands(drain_readings(s, d), PD, True)
 
 
-def island_sql(src: str) -> str:
+def island_sql(src: str, p: str = "") -> str:
     """Open and close by the previous row: an episode opens on a reading above the floor whose
     previous one is not, and the first later row that is not above closes it."""
-    return f"""il0 AS (SELECT *, above AND NOT coalesce(lag(above) OVER w, false) AS opens, NOT above AND coalesce(lag(above) OVER w, false) AS closes FROM {src} WINDOW w AS (PARTITION BY entity, category ORDER BY seq)),
-il1 AS (SELECT *, sum(opens::int) OVER (PARTITION BY entity, category ORDER BY seq) AS ep FROM il0),
-il2 AS (SELECT *, first_value(t) OVER e AS t_open, first_value(seq) OVER e AS seq_open, max(CASE WHEN above THEN measure END) OVER (PARTITION BY entity, category, ep) AS peak
-  FROM il1 WHERE above OR closes WINDOW e AS (PARTITION BY entity, category, ep ORDER BY seq)),
-cand AS (SELECT entity, category, seq, seq_open, t_open, CASE WHEN closes THEN t END AS t_end, CASE WHEN closes THEN peak ELSE measure END AS measure, conf, lat, lon FROM il2 WHERE located)"""
+    return f"""{p}il0 AS (SELECT *, above AND NOT coalesce(lag(above) OVER w, false) AS opens, NOT above AND coalesce(lag(above) OVER w, false) AS closes FROM {src} WINDOW w AS (PARTITION BY entity, category ORDER BY seq)),
+{p}il1 AS (SELECT *, sum(opens::int) OVER (PARTITION BY entity, category ORDER BY seq) AS ep FROM {p}il0),
+{p}il2 AS (SELECT *, first_value(t) OVER e AS t_open, first_value(seq) OVER e AS seq_open, max(CASE WHEN above THEN measure END) OVER (PARTITION BY entity, category, ep) AS peak
+  FROM {p}il1 WHERE above OR closes WINDOW e AS (PARTITION BY entity, category, ep ORDER BY seq)),
+{p}cand AS (SELECT entity, category, seq, seq_open, t_open, CASE WHEN closes THEN t END AS t_end, CASE WHEN closes THEN peak ELSE measure END AS measure, conf, lat, lon FROM {p}il2 WHERE located)"""
 
 
 _WS = f"""{R} , wm AS (SELECT seq, entity, category, measure, t, CASE WHEN value >= 30 AND value < 32 THEN lat + 1 ELSE lat END AS lat, lon, true AS located, 0.9::double AS conf,
@@ -321,12 +321,36 @@ query("q10_stationarity", f"""WITH {EV}, dd AS (SELECT t // 86400 AS d, count(*)
 
 
 # ------------------------------------------------------------------ the whole ingest ---------
-@query("c1_ingest")
+def _head(sql):
+    """The CTEs of a check query without its leading WITH."""
+    return sql.split("WITH ", 1)[1].rstrip().rstrip(",") if sql.lstrip().startswith("WITH") else sql
+
+
+_w_ctes = _WS.rstrip().rstrip(",") + ", " + island_sql("wm", "w_")
+_a_ctes = _AS.split(" , ", 1)[1].rstrip().rstrip(",") + ", " + island_sql("am", "a_")
+_d_ctes = _head(_DS).rstrip().rstrip(",") + ", " + island_sql("dm", "d_")
+_cc = cells("alls", "allc")
+_uid = lambda x: (f"(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1)::int % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+                  f" FROM (SELECT sha1(unhex('{NS}') || encode({x})) AS h) hh)")
+from .columns import NS, REG_SQL  # noqa: E402
+
+INGEST = _w_ctes + ", " + _a_ctes + ", " + _d_ctes + ", " + OUT + _PC + ", " + CR + f""",
+alls AS (SELECT 'weather_imd' AS source, 'weather_imd:' || entity || '@' || t_open AS raw_ref, category, seq, t_open AS t, t_end, lat, lon, measure, conf, NULL::double AS cap FROM w_cand
+ UNION ALL SELECT 'air_sensors', 'air_sensors:' || entity || '@' || {ts('t_open')}, category, seq, t_open, t_end, lat, lon, measure, conf, NULL FROM a_cand
+ UNION ALL SELECT 'drain_scada', 'drain_scada:' || entity || '@' || t_open, category, seq, t_open, t_end, lat, lon, measure, conf, NULL FROM d_cand
+ UNION ALL SELECT 'power_discom', raw_ref, pc.category, pc.seq, pc.t, NULL, lat, lon, pc.measure, 0.72::double, pc.cap FROM pc JOIN po ON po.seq = pc.seq
+ UNION ALL SELECT 'power_discom', raw_ref, pc.category, pc.seq, pc.t, pc.t_end, lat, lon, pc.measure, 0.72::double, pc.cap FROM pc JOIN po ON po.seq = pc.seq WHERE pc.t_end IS NOT NULL
+ UNION ALL SELECT 'civic_complaints', 'civic_complaints:' || complaint_id, category, seq, t, CASE WHEN {_up} THEN t + 60 END, lat, lon, 1.0::double, 0.6::double, NULL FROM cr JOIN marks USING (pos) WHERE drop_reason IS NULL),
+{_cc}, capd AS (SELECT a.*, CASE WHEN measure <= flo THEN 0.0 ELSE {rnd('least(1.0, (measure - flo) / (cei - flo))', 4)} END AS sev0 FROM allc a JOIN cats USING (category)),
+fo AS (SELECT source, raw_ref, category, min(t) AS t, max(t_end) AS t_end, arg_max(CASE WHEN cap IS NULL THEN sev0 ELSE least(cap, sev0) END, (measure, -seq)) AS sev, min(conf) AS conf, arg_min(h3_cell, seq) AS h3_cell, min(seq) AS seq FROM capd GROUP BY ALL),
+cl AS (SELECT a.raw_ref, a.category, count(*) AS n FROM fo a JOIN fo b ON a.h3_cell = b.h3_cell AND a.category = b.category AND b.t BETWEEN a.t - 1800 AND a.t AND (b.t < a.t OR b.seq <= a.seq) WHERE a.category LIKE 'complaint.%' GROUP BY ALL)
+SELECT {_uid("raw_ref || '|' || category")} AS event_id, source, category, h3_cell, {ts('t')} AS start_utc, {ts('t_end')} AS end_utc,
+ CASE WHEN n IS NULL THEN sev WHEN n <= 1 THEN 0.0 ELSE {rnd('least(1.0, (n - 1) / 11.0::double)', 4)} END AS severity, conf AS confidence, raw_ref FROM fo LEFT JOIN cl USING (raw_ref, category)"""
+from .base import CATS  # noqa: E402
+
+
+@query("c1_ingest", INGEST.replace("WITH ", "WITH " + CATS + ", ", 1))
 def c1(s, d):
     from cityweave.plans import city
     r = city.ingest(s, weather(s, d), complaint_feed(s, d), power_feed(s, d), drains(s, d), air(s, d), portable(s, d, REG_SQL), portable(s, d, DREG_SQL), p=PD.but(chunk_rows=1 << 45))
     return r.events.select("event_id", "source", "category", "h3_cell", iso("start_utc").alias("start_utc"), iso("end_utc").alias("end_utc"), "severity", "confidence", "raw_ref")
-
-
-from .columns import REG_SQL  # noqa: E402
-

@@ -70,7 +70,7 @@ def card(hit, missed):
 
 _HIT = "status IN ('matched', 'matched_late')"
 query("a26_scorecard", FACTS + GRE + card(_HIT, "status = 'missed'"))(lambda s, d: scored(s, d)["scorecard"])
-query("a26_scorecard_strict_deadline")(lambda s, d: scored(s, d, True)["scorecard"])
+query("a26_scorecard_strict_deadline", FACTS + GRE + card("status = 'matched'", "status <> 'matched'"))(lambda s, d: scored(s, d, True)["scorecard"])
 query("c5_score", FACTS + GRE + PT + " SELECT truth_id, sit AS situation_id, status, lag AS detection_lag_sec, overlap AS member_overlap FROM pt")(lambda s, d: scored(s, d)["per_truth"].select("truth_id", "situation_id", "status", "detection_lag_sec", "member_overlap"))
 query("a32_recall_by_category", SITS + f", {TR}, fl AS (SELECT DISTINCT event_id FROM em) SELECT truth_id, category, count(*) AS total, count(fl.event_id) AS flagged FROM tm JOIN de USING (event_id) LEFT JOIN fl ON fl.event_id = tm.event_id GROUP BY ALL")(
     lambda s, d: sc.recall_by_category(truth(s, d)[1], events(s, d), detected(s, d).members))
