@@ -92,7 +92,7 @@ def anom_out(a):
 
 @query("c2_detect", f"{DET} SELECT {_anom} FROM an")
 def c2(s, d):
-    return anom_out(city.detect(canon(s, d), p=P, calibrate=False).anomalies)
+    return anom_out(city.detect(city.stage(canon(s, d), "canon"), p=P, calibrate=False).anomalies)
 
 
 query("a12_degraded_feeds", f"{DET} SELECT anomaly_id, CASE category WHEN 'traffic.signal_down' THEN 'civic_complaints' WHEN 'complaint.waterlogging' THEN 'civic_complaints' WHEN 'complaint.road_damage' THEN 'civic_complaints' ELSE '' END AS degraded FROM an")(
@@ -303,7 +303,7 @@ query("c3_link", FACTS + " SELECT sit AS situation_id, status, pulse AS pulse_sc
 
 
 def c3(s, d):
-    e = canon(s, d)
+    e = city.stage(canon(s, d), "canon")
     x = city.detect(e, p=P, calibrate=False)
     return city.link(x.anomalies, x.history, x.detection, degraded=bad_feeds(s), p=P).situations.select("situation_id", "status", "pulse_score", "alert_level", "confidence_level", "n_members")
 

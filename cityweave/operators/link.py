@@ -72,11 +72,12 @@ def cause_effect_lags(history: DataFrame, edges: DataFrame, p: Params = DEFAULT)
     secs = history.groupBy("h3_cell", "category", times.epoch(F.col("start_utc")).alias("t")).agg(F.count("*").alias("n"))
     causes = (secs.join(edges.select("cause", "effect", "min_gap_sec", "max_gap_sec"), secs["category"] == F.col("cause"))
               .select("h3_cell", "cause", "effect", (F.col("t") + F.col("min_gap_sec")).alias("t"), "n", "min_gap_sec", "max_gap_sec"))
-    near = secs.select(F.explode(ring(F.col("h3_cell"), p.link_max_distance)).alias("h3_cell"),
-                       F.col("category").alias("effect"), "t").distinct()
-    effects = near.join(edges.select("cause", "effect"), "effect").select("h3_cell", "cause", "effect", "t")
+    # one point per effect second and ring cell serves every cause; two cells may give the same
+    # second, which an as-of lookup without carried columns does not mind
+    effects = (secs.join(edges.select(F.col("effect").alias("category")).distinct(), "category", "left_semi")
+               .select(F.explode(ring(F.col("h3_cell"), p.link_max_distance)).alias("h3_cell"), F.col("category").alias("effect"), "t"))
     width = edges.agg(F.max(F.col("max_gap_sec") - F.col("min_gap_sec"))).first()[0]
-    hit = latest_within(causes, effects, ["h3_cell", "cause", "effect"], "t", [], width, reverse=True)
+    hit = latest_within(causes, effects, ["h3_cell", "effect"], "t", [], width, reverse=True)
     lag = F.col("hit.t") - F.col("t") + F.col("min_gap_sec")
     return hit.select("h3_cell", "cause", "effect", "n",
                       F.when(lag <= F.col("max_gap_sec"), lag).alias("lag"))

@@ -99,7 +99,8 @@ def latest_within(probes: DataFrame, points: DataFrame, keys: list, t: str, carr
     (``reverse``: [probe, probe+width]); ``carry`` columns of the point come along.
 
     Points are copied into two buckets of ``width`` seconds, so one task sees at most two
-    buckets of one key and no probe-point pairs are formed. Points must be distinct per (keys, t)."""
+    buckets of one key and no probe-point pairs are formed. Carried columns need points that are
+    distinct per (keys, t)."""
     sign = -1 if reverse else 1
     tt = F.col(t) * sign
     width = max(int(width), 1)
