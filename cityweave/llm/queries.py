@@ -1,5 +1,6 @@
 """The registered query of each operator, with its check SQL where SQL can express it."""
-from . import minhash
+from . import decontaminate, langid, minhash, vectors
 
-QUERIES = {f.__name__: f for f in (minhash.op1_minhash_near_dedup,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    minhash.op1_minhash_near_dedup, decontaminate.op6_benchmark_decontamination, langid.op7_language_id, vectors.op9_embedding_near_dedup)}
+ORACLES = {"op6_benchmark_decontamination": decontaminate.ORACLE_SQL}
