@@ -119,9 +119,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((run[ends] - run[starts]) * down[starts])
 
 
-def shingle_sets(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _levelled(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(8)) | (level.astype(np.uint64) << np.uint64(56))
+
+
+def shingle_sets(words: np.ndarray, first: np.ndarray, k: int, level: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes, offsets by document). A document of fewer than ``k`` words,
-    but not none, has its whole sequence as the one shingle."""
+    but not none, has its whole sequence as the one shingle. ``level`` (0 to 255 by word) puts the
+    least level of a shingle's words into the hash's top byte, so that sets are sorted by it."""
     counts = np.diff(first)
     full = np.maximum(counts - k + 1, 0)
     n = np.where(counts > 0, np.maximum(full, 1), 0)
@@ -142,14 +147,27 @@ def shingle_sets(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarr
             take[max(first[d], 0):min(first[d + 1], total)] = False
         where = np.ones(len(out), dtype=bool)
         where[offs[:-1][(counts > 0) & (counts < k)]] = False
-        out[where] = mix64(acc[take])
+        made = mix64(acc[take])
+        if level is not None:
+            low = level[:total].copy()
+            for j in range(1, k):
+                np.minimum(low, level[j:total + j], out=low)
+            made = _levelled(made, low[take])
+        out[where] = made
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
         acc = np.zeros(len(short), dtype=np.uint64)
         for j in range(k - 1):
             has = counts[short] > j
             acc[has] += words[first[short[has]] + j] * _SHIFTS[j]
-        out[offs[short]] = mix64(acc + counts[short].astype(np.uint64))
+        made = mix64(acc + counts[short].astype(np.uint64))
+        if level is not None:
+            low = np.full(len(short), 255, dtype=np.uint8)
+            for j in range(k - 1):
+                has = counts[short] > j
+                low[has] = np.minimum(low[has], level[first[short[has]] + j])
+            made = _levelled(made, low)
+        out[offs[short]] = made
     for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
         if b - a > 1:
             out[a:b].sort()
