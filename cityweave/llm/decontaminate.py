@@ -103,6 +103,16 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
                       F.col("n_hit").isNotNull().alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
+                      item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without those that hold a window of an item (see ``contamination``)."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
+    base = docs.filter(F.col(text_col).isNotNull()).select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
+    windows = item_windows(items.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")), size)
+    hit = stage(occurrences(base, windows).select(F.col("key").alias("_key")).distinct(), "leak-documents")
+    return docs.join(broadcast_if_small(hit), key == F.col("_key"), "left_anti")
+
+
 def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -155,24 +155,23 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", pred: str = "
     """``docs`` with ``pred`` and ``score`` added (columns of these names are replaced). Null texts and
     texts without a letter are ``und`` with score 0; a text none of whose n-grams is known gets the
     first language, score 0. Equal counts go to the language first in order of name. Whole texts
-    are read; other columns, nulls in them, repeated rows and empty tables pass through."""
-    if not model.languages:
-        raise ValueError("the model knows no language: no labelled text was given")
+    are read; other columns, nulls in them, repeated rows and empty tables pass through. A model that
+    was given no labelled text has no language to name: ``pred`` is then null, or ``und`` as above."""
     docs = docs.drop(pred, score)
     schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MIN_RATE and the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        names = np.array([*m.languages, UND], dtype=object)
+        names = np.array([*(m.languages or (None,)), UND], dtype=object)
         for batch in batches:
             for i, j, data, offs in text_slices(batch, text_col):
-                s = scores(m, data, offs)
+                s = scores(m, data, offs) if m.languages else np.zeros((j - i, 1))
                 best = s.argmax(axis=1)
                 top, total = s.max(axis=1), s.sum(axis=1)
                 value = np.divide(top, total, out=np.zeros(j - i), where=total > 0)
                 letters = _has_letter(data, offs)
-                best[~letters], value[~letters] = len(m.languages), 0.0
+                best[~letters], value[~letters] = len(names) - 1, 0.0
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(value)],
                                                  [*part.schema.names, pred, score])

@@ -1,7 +1,7 @@
 """The registered query of each operator, with its check SQL where SQL can express it."""
-from . import decontaminate, langid, lines, minhash, packing, shards, tokens, vectors, warc
+from . import chat, decontaminate, langid, lines, minhash, packing, shards, tokens, vectors, warc
 
 QUERIES = {f.__name__: f for f in (
-    minhash.op1_minhash_near_dedup, tokens.op2_token_files, lines.op3_line_dedup, packing.op4_best_fit_packing, decontaminate.op6_benchmark_decontamination,
+    minhash.op1_minhash_near_dedup, tokens.op2_token_files, lines.op3_line_dedup, packing.op4_best_fit_packing, chat.op5_chat_formatting, decontaminate.op6_benchmark_decontamination,
     langid.op7_language_id, shards.op8_sharding, vectors.op9_embedding_near_dedup, warc.op10_warc)}
 ORACLES = {"op3_line_dedup": lines.ORACLE_SQL, "op6_benchmark_decontamination": decontaminate.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
