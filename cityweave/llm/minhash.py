@@ -2,9 +2,8 @@
 
 One permutation scatters a document's shingle hashes over Z_2^32, a second one, shifted circularly
 by 0, 1, 2, ..., gives every coordinate of the signature. Bands of the signature propose pairs, and
-the full shingle sets decide. Hot groups stay linear: equal sets are one class, a bucket is tried
-against its best-connected member first, and only buckets that still join different components
-afterwards are paired out."""
+the full shingle sets decide. Hot groups make no pairs of rows: equal sets are one class, a bucket is
+tried against its best-connected member, and what that leaves apart is compared in tiles."""
 from __future__ import annotations
 
 import hashlib
@@ -20,6 +19,7 @@ from .common import SPACES, broadcast_if_small, mix64, shingle_sets, stage, tabl
 
 BANDS, ROWS = 32, 4  # at similarity 0.8 a pair escapes all bands with probability 5e-8, at 0.85 with 6e-11
 SHINGLE = 5
+TILE_ROWS, TILE_BYTES = 512, 16 << 20
 
 
 def _pi(x: np.ndarray) -> np.ndarray:
@@ -67,9 +67,9 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, set_id, bands): ``set_id`` is a 128-bit digest of the whole set, null
-    without shingles."""
-    schema = "id long, n_shingles long, set_id binary, bands array<long>"
+    """(id, th, n_shingles, set_id, bands) of rows (id, text): ``th`` is a hash of the text, ``set_id``
+    a 128-bit digest of the whole set, null without shingles."""
+    schema = "id long, th long, n_shingles long, set_id binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,10 +84,10 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 ids = [digest(raw[8 * a:8 * b]) if b > a else None
                        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(n.astype(np.int64)),
-                                                  pa.array(ids, pa.binary()), lists], ["id", "n_shingles", "set_id", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), batch.column("th").slice(i, j - i), pa.array(n.astype(np.int64)),
+                                                  pa.array(ids, pa.binary()), lists], ["id", "th", "n_shingles", "set_id", "bands"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, schema)
 
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -105,83 +105,128 @@ def _full_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (i, j) of ``pairs`` whose full sets have 100 * intersection >= percent * union."""
+    """(node, centre, n, linked, delta) of pairs (node, centre, n, more): whether the full sets have
+    100 * intersection >= percent * union, and, where ``more``, the symmetric difference of the sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([a, b])
+            linked, delta = [], []
+            for x, y, more in zip(batch.column("x"), batch.column("y"), batch.column("more").to_pylist()):
+                both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
                 both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("j")], ["i", "j"]).filter(pa.array(ok, pa.bool_()))
-
-    left = pairs.join(sets.select(F.col("set_id").alias("i"), F.col("hashes").alias("x")), "i")
-    both = left.join(sets.select(F.col("set_id").alias("j"), F.col("hashes").alias("y")), "j")
-    return both.select("i", "j", "x", "y").mapInArrow(run, "i binary, j binary")
+                twice = both[1:] == both[:-1]
+                common = int(np.count_nonzero(twice))
+                linked.append(100 * common >= percent * (len(both) - common))
+                if more:
+                    once = np.ones(len(both), dtype=bool)
+                    once[1:] &= ~twice
+                    once[:-1] &= ~twice
+                delta.append(both[once].tobytes() if more else None)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("centre"), batch.column("n"), pa.array(linked, pa.bool_()),
+                                              pa.array(delta, pa.binary())], ["node", "centre", "n", "linked", "delta"])
+
+    left = pairs.join(sets.select(F.col("set_id").alias("node"), F.col("hashes").alias("x")), "node")
+    both = left.join(sets.select(F.col("set_id").alias("centre"), F.col("hashes").alias("y")), "centre")
+    return both.select("node", "centre", "n", "more", "x", "y").mapInArrow(run, "node binary, centre binary, n long, linked boolean, delta binary")
+
+
+def delta_links(n: np.ndarray, deltas: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets have 100 * intersection >= percent * union, from their sizes and their symmetric
+    differences with one common set: |a ^ b| = |a ^ c| + |b ^ c| - 2 |(a ^ c) & (b ^ c)|."""
+    size = np.array([len(d) for d in deltas])
+    row = np.repeat(np.arange(len(deltas)), size)
+    _, column, count = np.unique(np.concatenate(deltas), return_inverse=True, return_counts=True)
+    shared = count > 1  # an element of one difference alone is in no intersection
+    rank = np.cumsum(shared) - 1
+    use = shared[column]
+    row, column = row[use], rank[column[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(deltas), len(deltas)), dtype=np.float32)
+    wide = 4096
+    for low in range(0, int(shared.sum()), wide):
+        a, b = np.searchsorted(column, [low, low + wide])
+        part = np.zeros((len(deltas), wide), dtype=np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        common += part @ part.T
+    apart = size[:, None] + size[None, :] - 2 * common.astype(np.int64)
+    total = n[:, None] + n[None, :]
+    return 100 * (total - apart) >= percent * (total + apart)  # twice the intersection, twice the union
+
+
+def _tile(percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        node, label = rows.column("node").to_pylist(), rows.column("component").to_pylist()
+        own, first, second = (rows.column(c).to_numpy() for c in ("b", "bi", "bj"))
+        deltas = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("delta")]
+        ok = delta_links(rows.column("n").to_numpy(), deltas, percent)
+        _, group = np.unique(np.array([x.hex() for x in label]), return_inverse=True)
+        ok &= group[:, None] != group[None, :]
+        if first[0] != second[0]:
+            ok &= own[:, None] != own[None, :]
+        root = np.arange(len(node))  # a spanning forest of what the tile links
+        x, y = np.nonzero(np.triu(ok, 1))
+        while len(x):
+            low = np.minimum(root[x], root[y])
+            before = root.copy()
+            np.minimum.at(root, x, low)
+            np.minimum.at(root, y, low)
+            root = root[root]
+            if (root == before).all():
+                break
+        moved = [(label[k], label[r]) for k, r in enumerate(root.tolist()) if r != k]
+        return pa.table([pa.array([m[0] for m in moved], pa.binary()), pa.array([m[1] for m in moved], pa.binary())], names=["i", "j"])
+
+    return run
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """(set_id, component) of every class that has a link: pairs proposed by the bands and confirmed.
+    """(set_id, component) of every class that shares a bucket: pairs proposed by the bands, confirmed
+    on full sets.
 
-    First each bucket's members are tried against the member with the most bucket neighbours. What
-    that connects needs no further pairs; the rest of a bucket is paired across components."""
-    near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    Each bucket's members are tried against its centre, the member with the most bucket neighbours.
+    Members that end in different components, though they share a centre, are then compared in tiles
+    by their differences from that centre, which are short among near copies; a tile returns a
+    spanning forest. So every pair of a bucket is decided, and none but the centre's is made a row."""
     rows = classes.select("set_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = stage(rows.join(shared, "key"), "minhash-members")
 
     degree = members.groupBy("set_id").agg(F.sum("size").alias("degree"))
     ranked = members.join(degree, "set_id")
-    centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "set_id", "n")).alias("c"))
-    first = (ranked.join(centre, "key").filter(F.col("set_id") != F.col("c.set_id")).filter(near(F.col("n"), F.col("c.n")))
-             .select(F.least("set_id", "c.set_id").alias("i"), F.greatest("set_id", "c.set_id").alias("j")).distinct())
-    first = stage(first, "minhash-stars")
-    found = stage(verify(first, _texts(docs, classes, first, k), percent), "minhash-links")
+    centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "set_id")).alias("c"))
+    pairs = (ranked.join(centre, "key").select(F.col("set_id").alias("node"), F.col("c.set_id").alias("centre"), "n")
+             .filter("node <> centre").distinct())
+    pairs = pairs.join(pairs.groupBy("centre").agg((F.count("*") > 1).alias("more")), "centre")
+    pairs = stage(pairs, "minhash-pairs")
+    tried = stage(verify(pairs, _texts(docs, classes, pairs, k), percent), "minhash-tried")
     nodes = members.select(F.col("set_id").alias("episode_id")).distinct()
+    found = tried.filter("linked").select(F.col("node").alias("i"), F.col("centre").alias("j"))
     component = connected_components(nodes, found).select(F.col("episode_id").alias("set_id"), "component")
 
-    # buckets whose members are in different components still
-    placed = members.join(component, "set_id")
-    open_ = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-    left = stage(placed.join(open_, "key").select("key", "set_id", "n", "component"), "minhash-open")
-    x, y = left.alias("x"), left.alias("y")
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near(F.col("x.n"), F.col("y.n")))
-            .select(F.least("x.set_id", "y.set_id").alias("i"), F.greatest("x.set_id", "y.set_id").alias("j")).distinct()
-            .join(first, ["i", "j"], "left_anti"))
-    rest = stage(rest, "minhash-rest")
-    if rest.limit(1).count() == 0:
-        return component
-    more = verify(rest, _texts(docs, classes, rest, k), percent)
-    # earlier components count as links to their label
-    joined = more.join(component.select(F.col("set_id").alias("i"), F.col("component").alias("a")), "i") \
-                 .join(component.select(F.col("set_id").alias("j"), F.col("component").alias("b")), "j") \
-                 .select(F.col("a").alias("i"), F.col("b").alias("j")).filter("i <> j").distinct()
+    placed = tried.filter("delta is not null").join(component.select(F.col("set_id").alias("node"), "component"), "node")
+    size = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum(F.octet_length("delta")) / TILE_BYTES))
+    open_ = (placed.groupBy("centre").agg(F.min("component").alias("a"), F.max("component").alias("b"), size.alias("blocks"))
+             .filter("a <> b").select("centre", "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o")
+    tiles = (placed.join(open_, "centre").withColumn("b", F.pmod(F.xxhash64("node"), "blocks"))
+             .select("centre", "node", "n", "component", "delta", "b", other)
+             .withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("o"))
+    more = stage(tiles.groupBy("centre", "bi", "bj").applyInArrow(_tile(percent), "i binary, j binary").distinct(), "minhash-more")
     labels = component.select(F.col("component").alias("episode_id")).distinct()
-    merged = connected_components(labels, joined).select(F.col("episode_id").alias("component"), F.col("component").alias("_to"))
+    merged = connected_components(labels, more).select(F.col("episode_id").alias("component"), F.col("component").alias("_to"))
     return component.join(merged, "component").select("set_id", F.col("_to").alias("component"))
 
 
 def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Full sets of the classes in ``pairs``, each from one of its documents."""
-    wanted = pairs.select(F.explode(F.array("i", "j")).alias("set_id")).distinct()
+    wanted = pairs.select(F.col("node").alias("set_id")).unionByName(pairs.select(F.col("centre").alias("set_id"))).distinct()
     wanted = stage(classes.select("set_id", "any_row").join(wanted, "set_id"), "minhash-wanted")
     texts = docs.join(broadcast_if_small(wanted.withColumnRenamed("any_row", "row")), "row")
     return stage(_full_sets(texts, k), "minhash-sets")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id, kept): groups of documents linked by 100 * intersection
-    >= ``percent`` * union of their distinct ``k``-word shingles (A-Z folded, words split at spaces).
-
-    One row per input row. Null and empty texts have no shingles, are linked with nothing and stay.
-    Rows of one id and one text are alike: they get the same answer. A null id never names a
-    component while another member has one, and texts of null ids alone take part through equal sets
-    only; ``kept`` compares null-safely. Other columns are ignored, whatever they are called; an
-    empty table gives no rows."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def _groups(base: DataFrame, percent: int, k: int, bands: int, rows: int) -> DataFrame:
+    """(id, n_shingles, th, component_id) of rows (id, text), one for each."""
     sk = stage(sketch(base, k, bands, rows), "minhash-sketch")
     classes = (sk.filter("set_id is not null")
                .groupBy("set_id").agg(F.min("id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
@@ -192,9 +237,34 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, bands:
     named = classes.select("set_id", "first_id").join(component, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(smallest, "component").select("set_id", "component_id")
-    out = sk.select("id", "n_shingles", "set_id").join(named, "set_id", "left")
-    cid = F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", cid.alias("component_id"), F.col("id").eqNullSafe(cid).alias("kept"))
+    out = sk.select("id", "n_shingles", "th", "set_id").join(named, "set_id", "left")
+    return out.select("id", "n_shingles", "th", F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_shingles, component_id, kept): groups of documents linked by 100 * intersection
+    >= ``percent`` * union of their distinct ``k``-word shingles (A-Z folded, words split at spaces).
+
+    One row per input row. Null and empty texts have no shingles, are linked with nothing and stay.
+    Rows of one id and one text are alike: they get the same answer. A null id never names a
+    component while another member has one, and texts of null ids alone take part through equal sets
+    only; ``kept`` compares null-safely. Other columns are ignored, whatever they are called; an
+    empty table gives no rows."""
+    out = _groups(_base(docs, id_col, text_col), percent, k, bands, rows)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the document of the smallest id alone of each group of ``near_duplicates``."""
+    out = _groups(_base(docs, id_col, text_col), percent, k, BANDS, ROWS)
+    dead = stage(out.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct(), "minhash-dead")
+    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_th"))
+    return docs.join(broadcast_if_small(dead), same, "left_anti")
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
