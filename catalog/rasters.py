@@ -102,8 +102,9 @@ def depth(s, d):
 
 G = f"g AS (SELECT * FROM ({GRIDS}) z)"
 D = f"f AS (SELECT * FROM ({FRAMES}) z)"
-query("a34_block_mean", f"WITH {G} SELECT row // 2 AS brow, col // 2 AS bcol, round(avg(value), 6) AS mean FROM g GROUP BY ALL")(lambda s, d: ra.block_mean(dem(s, d), 2).select("brow", "bcol", r6("mean").alias("mean")))
-query("a35_block_depth_series", f"""WITH {D}, b AS (SELECT frame, row // 2 AS brow, col // 2 AS bcol, avg(value) AS mean FROM f GROUP BY ALL), nf AS (SELECT max(frame) + 1 AS n FROM f), k AS (SELECT DISTINCT brow, bcol FROM b WHERE mean >= 0.03),
+BOX = "(SELECT min(row) AS r0, min(col) AS c0, max(row) AS r1, max(col) AS c1 FROM {}) bx"
+query("a34_block_mean", f"WITH {G} SELECT (row - r0) // 2 AS brow, (col - c0) // 2 AS bcol, round(avg(value), 6) AS mean FROM g, {BOX.format('g')} WHERE row <= r0 + (r1 - r0 + 1) // 2 * 2 - 1 AND col <= c0 + (c1 - c0 + 1) // 2 * 2 - 1 GROUP BY ALL")(lambda s, d: ra.block_mean(dem(s, d), 2).select("brow", "bcol", r6("mean").alias("mean")))
+query("a35_block_depth_series", f"""WITH {D}, b AS (SELECT frame, (row - r0) // 2 AS brow, (col - c0) // 2 AS bcol, avg(value) AS mean FROM f, {BOX.format('f')} WHERE row <= r0 + (r1 - r0 + 1) // 2 * 2 - 1 AND col <= c0 + (c1 - c0 + 1) // 2 * 2 - 1 GROUP BY ALL), nf AS (SELECT max(frame) + 1 AS n FROM f), k AS (SELECT DISTINCT brow, bcol FROM b WHERE mean >= 0.03),
  s AS (SELECT k.brow, k.bcol, i AS frame, coalesce(round_even(mean * 100, 0), 0)::bigint AS cm FROM k, nf, range(n) r(i) LEFT JOIN b ON b.brow = k.brow AND b.bcol = k.bcol AND b.frame = i)
  SELECT brow, bcol, coalesce(min(frame) FILTER (cm > 0), max(frame) + 1) AS "offset", coalesce(string_agg(cm::varchar, ',' ORDER BY frame) FILTER (frame >= coalesce((SELECT min(frame) FROM s x WHERE x.brow = s.brow AND x.bcol = s.bcol AND cm > 0), 99)), '') AS depth_cm, arg_max(frame, (cm, -frame)) AS peak_frame FROM s GROUP BY brow, bcol""")(
     lambda s, d: depth_series(s, d))
@@ -143,18 +144,29 @@ import math  # noqa: E402
 
 GAUSS = {(a, b): math.exp(-(a * a + b * b) / (2 * 1.5 ** 2)) for a in range(-3, 4) for b in range(-3, 4)}
 _gk = values("gk", "dr, dc, w", [(a, b, w) for (a, b), w in GAUSS.items()])
-query("g8_gaussian_focal", f"WITH {G}, {_gk} SELECT a.row, a.col, round(sum(b.value * w) / sum(w), 4) AS focal FROM g a, gk JOIN g b ON b.row = a.row + dr AND b.col = a.col + dc GROUP BY ALL")(
-    lambda s, d: ra.focal(dem(s, d), GAUSS).select("row", "col", F.round("focal", 4).alias("focal")))
+# beyond the edges the nearest pixel is repeated
+_near = f"""WITH {G}, {_gk}, w AS (SELECT a.row, a.col, w, least(greatest(a.row + dr, r0), r1) AS nr, least(greatest(a.col + dc, c0), c1) AS nc FROM g a, gk, {BOX.format('g')})
+ SELECT w.row, w.col, round(sum(b.value * w) / sum(w), 4) AS focal FROM w JOIN g b ON b.row = nr AND b.col = nc GROUP BY ALL"""
+query("g8_gaussian_focal", _near)(lambda s, d: ra.focal(dem(s, d), GAUSS, mode="nearest").select("row", "col", F.round("focal", 4).alias("focal")))
 query("g8_focal_tiles", f"WITH {G}, {_gk} SELECT a.row, a.col, round(sum(b.value * w) / sum(w), 4) AS focal FROM g a, gk JOIN g b ON b.row = a.row + dr AND b.col = a.col + dc GROUP BY ALL")(
-    lambda s, d: ra.focal_tiles(dem(s, d), [[GAUSS[a, b] for b in range(-3, 4)] for a in range(-3, 4)], 32).select("row", "col", F.round("focal", 4).alias("focal")))
-query("g8_disk_share", f"WITH {G} SELECT a.row, a.col, round(avg(b.value), 4) AS mean FROM g a JOIN g b ON b.row BETWEEN a.row - 6 AND a.row + 6 AND b.col BETWEEN a.col - 6 AND a.col + 6 AND (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) <= 36 GROUP BY ALL")(
-    lambda s, d: ra.shares_in_disk(dem(s, d), 6).select("row", "col", F.round("mean", 4).alias("mean")))
+    lambda s, d: ra.focal(dem(s, d), GAUSS, tile=32).select("row", "col", F.round("focal", 4).alias("focal")))
+query("g8_focal_max", f"WITH {G} SELECT a.row, a.col, max(b.value) AS focal FROM g a JOIN g b ON b.row BETWEEN a.row - 2 AND a.row + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 GROUP BY ALL")(
+    lambda s, d: ra.focal(dem(s, d), ra.square(5), how="max"))
+query("g8_disk_share", f"WITH {G} SELECT a.row, a.col, round(avg(b.value), 4) AS mean FROM g a JOIN g b ON sqrt((a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col)) * 38.0 <= 250.0 GROUP BY ALL")(
+    lambda s, d: ra.focal(dem(s, d), ra.disk(250.0, 38.0)).select("row", "col", F.round("focal", 4).alias("mean")))
 from .situations import _ring  # noqa: E402
 
 query("g8_ring_contrast", f"WITH {EV}, {_ring}, c AS (SELECT h3_cell, avg(severity) AS v FROM ev GROUP BY h3_cell) SELECT a.h3_cell, round(any_value(a.v) - avg(b.v), 6) AS contrast FROM c a JOIN rg ON k = 2 AND off <> 0 JOIN c b ON b.h3_cell = a.h3_cell + off GROUP BY a.h3_cell")(
     lambda s, d: ra.ring_contrast(events(s, d).groupBy("h3_cell").agg(F.avg("severity").alias("v")), "v").select("h3_cell", r6("contrast").alias("contrast")))
+_terrain = f"""WITH RECURSIVE {FLOW}, {_ring}, up(row, col, src) AS (SELECT row, col, row * 1000 + col FROM g UNION ALL SELECT drow, dcol, src FROM up JOIN fd USING (row, col)), acc AS (SELECT row, col, count(*) AS upstream FROM up GROUP BY row, col),
+ fm AS (SELECT a.row, a.col, max(b.upstream) AS flow FROM acc a JOIN acc b ON b.row BETWEEN a.row - 2 AND a.row + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 GROUP BY ALL), pc AS (SELECT row, col, 100.0 * (rank() OVER (ORDER BY flow) - 1) / count(*) OVER () AS pct FROM fm),
+ cl AS (SELECT row, col, value, (row // 5 + 1048576) * 2097152 + col // 10 + 1048576 AS h3_cell FROM g), fp AS (SELECT h3_cell, max(pct) AS flow_pct FROM cl JOIN pc USING (row, col) GROUP BY h3_cell), mz AS (SELECT h3_cell, avg(value) AS z FROM cl GROUP BY h3_cell),
+ rc AS (SELECT a.h3_cell, any_value(a.z) - avg(b.z) AS rel FROM mz a JOIN rg ON k = 2 AND off <> 0 JOIN mz b ON b.h3_cell = a.h3_cell + off GROUP BY a.h3_cell) SELECT h3_cell, round(rel, 4) AS rel_m, round(flow_pct, 4) AS flow_pct FROM rc JOIN fp USING (h3_cell)"""
+query("j20_terrain_facts", _terrain)(lambda s, d: ra.terrain_facts(
+    dem(s, d).withColumn("h3_cell", (F.floor(C("row") / 5) + 1048576) * 2097152 + F.floor(C("col") / 10) + 1048576), "h3_cell").select(
+    "h3_cell", F.round("rel_m", 4).alias("rel_m"), F.round("flow_pct", 4).alias("flow_pct")))
 # named places: pixels on one row; pool: all pixels in (row, col) order
-_hash = lambda a, b, n: f"(('0x' || substr(md5('42:' || {a} || ':' || {b}), 1, 8))::bigint % {n})"
+_hash = lambda a, b, n: f"(('0x' || substr(md5('42:' || {a} || ':' || {b}), 1, 15))::bigint % {n})"
 query("a39_resampled_p_value", f"""WITH {G}, pl AS (SELECT row_number() OVER (ORDER BY row, col) - 1 AS pos, value, row FROM g), hot AS (SELECT avg(value) AS hot_mean, count(*) AS k FROM pl WHERE row = 7), n AS (SELECT count(*) AS n FROM pl),
  pi AS MATERIALIZED (SELECT i, {_hash('i', '-1', 'n')} AS pos FROM range(500) r(i), n), pool AS MATERIALIZED (SELECT i, value FROM pi JOIN pl USING (pos)),
  dj AS MATERIALIZED (SELECT draw, {_hash('draw', 'j', '500')} AS i FROM range(20000) r(draw), hot, range(60) q(j) WHERE j < k), dr AS (SELECT draw, avg(value) AS m FROM dj JOIN pool USING (i) GROUP BY draw)

@@ -309,7 +309,7 @@ def c3(s, d):
 
 
 query("a15_documents", FACTS + " SELECT sit AS situation_id, len(list_distinct(list(event_id))) AS members, max(sx.pulse) AS pulse_score FROM sm JOIN sx USING (sit) GROUP BY sit")(
-    lambda s, d: (lambda l: st.nest(l.situations, l.members, l.chain))(linked(s, d)).select("situation_id", F.size("member_event_ids").cast("bigint").alias("members"), "pulse_score"))
+    lambda s, d: (lambda l: st.nest(l.situations, l.members, l.chain, 5))(linked(s, d)).groupBy("situation_id").agg(F.sum(F.size("member_event_ids")).alias("members"), F.first("pulse_score").alias("pulse_score")))
 
 # ------------------------------------------------------------------ as of -------------------
 query("t9_revealed_and_active_events", f"WITH {EV}, {CUT} SELECT event_id, t_end IS NULL OR t_end >= {MID} - 1800 AS active FROM ev WHERE t <= {MID}")(

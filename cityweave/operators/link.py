@@ -198,7 +198,7 @@ def best_link_per_pair(links: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ components -------------
-def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(episode_id, component): the smallest id reachable over undirected links.
 
     Each round every node points to the smallest of itself and its neighbours, pointers are
@@ -208,9 +208,7 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 6
     g = links.select(F.col("i").alias("u"), F.col("j").alias("w"))
     g = stage(g.unionByName(g.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct(), "cc-graph")
     rounds = []
-    for _ in range(max_rounds):
-        if g.limit(1).count() == 0:
-            break
+    while g.limit(1).count():  # each round leaves fewer nodes
         ptr = g.groupBy("u").agg(F.min("w").alias("p")).select("u", F.least("u", "p").alias("p"))
         for _ in range(2):
             ptr = _follow(ptr, ptr)
@@ -220,8 +218,6 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 6
         g = (left.join(ptr, left["w"] == ptr["u"]).select(F.col("a").alias("u"), F.col("p").alias("w"))
              .filter("u <> w").distinct())
         g = stage(g, "cc-graph")
-    else:
-        raise RuntimeError("components did not settle")
     if not rounds:
         return nodes.select("episode_id", F.col("episode_id").alias("component"))
     found = rounds[-1]

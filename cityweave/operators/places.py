@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from .. import vocabulary as v
 from ..functions import text as tx
 from ..functions.hexgrid import HexGrid
-from .scale import broadcast_if_small
+from .scale import broadcast_if_small, stage
 
-INLINE_LANDMARKS = 200
 _WORDS = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 
 
@@ -67,19 +66,19 @@ def _match(s: Column, landmarks) -> Column:
 
 
 def landmark_position(text, landmarks=v.LANDMARKS) -> Column:
-    """Index of the landmark a text names, or null. For gazetteers up to a checked size;
-    larger ones go through ``resolve_by_join``."""
-    if len(landmarks) > INLINE_LANDMARKS:
-        raise ValueError("gazetteer too large to inline: use resolve_by_join")
+    """Index of the landmark a text names, or null, for a gazetteer given as a list: its names are
+    part of the plan. A gazetteer table is matched by ``resolve_by_join``, with the same result."""
     return F.when(plausible(text), _match(strip_prefix(text), landmarks))
 
 
-def resolve_by_join(texts: DataFrame, text: str, gazetteer: DataFrame, max_words: int = 6) -> DataFrame:
+def resolve_by_join(texts: DataFrame, text: str, gazetteer: DataFrame) -> DataFrame:
     """The same match against a gazetteer table of any size: distinct texts are exploded to
-    word spans and equi-joined with names (and names' own pieces with the whole text)."""
+    word spans, as long as the longest name, and equi-joined with names (and names' own pieces
+    with the whole text)."""
     d = (texts.select(F.col(text).alias("_text")).distinct()
          .filter(plausible(F.col("_text"))).withColumn("_s", strip_prefix(F.col("_text"))))
     g = gazetteer.select("pos", F.lower("name").alias("_n"))
+    max_words = g.agg(F.max(F.regexp_count("_n", F.lit(r"(?U)[\p{L}\p{N}_]+")))).first()[0] or 1
     whole = d.select("_text", F.explode(word_spans(F.col("_s"), max_words)).alias("_key"))
     names = g.select("pos", "_n", F.col("_n").alias("_key"))
     parts = g.select("pos", "_n", F.explode(word_spans(F.col("_n"), max_words)).alias("_key"))
@@ -106,23 +105,62 @@ def locate(landmark, locality, landmarks=v.LANDMARKS) -> Column:
 def nearest_landmark(lat: str, lon: str, landmarks=v.LANDMARKS) -> Column:
     """Position of the closest landmark to two columns by great-circle distance, earliest on a
     tie: the least of constant many (distance, position) pairs, written as one expression."""
-    if len(landmarks) > INLINE_LANDMARKS:
-        raise ValueError("gazetteer too large to inline")
     far = 2 * v.EARTH_RADIUS_KM
     pairs = [f"named_struct('km', {far}D * asin(sqrt(power(sin(radians({la}D - {lat}) / 2), 2) + cos(radians({lat})) * cos(radians({la}D))"
              f" * power(sin(radians({lo}D - {lon}) / 2), 2))), 'pos', {i})" for i, (_, _, la, lo) in enumerate(landmarks)]
     return F.expr(f"array_min(array({', '.join(pairs)})).pos")
 
 
+def nearest_by_join(points: DataFrame, gazetteer: DataFrame, lat: str = "lat", lon: str = "lon", step: float = 0.01) -> DataFrame:
+    """``points`` with the position ``pos`` of the closest landmark of a gazetteer table (pos, lat, lon)
+    of any size, earliest on a tie; null without landmarks or coordinates.
+
+    Distinct points look into the squares around theirs, of ``step`` degrees at first. A landmark is
+    the closest for certain when it is nearer than the looked-at squares reach; points without one
+    look again with squares four times as wide, until the squares cover the globe."""
+    far = 2 * v.EARTH_RADIUS_KM
+    km = lambda a, b, c, d: far * F.asin(F.least(F.lit(1.0), F.sqrt(F.pow(F.sin(F.radians(c - a) / 2), 2) + F.cos(F.radians(a)) * F.cos(F.radians(c)) * F.pow(F.sin(F.radians(d - b) / 2), 2))))
+    left = stage(points.select(F.col(lat).cast("double").alias("_la"), F.col(lon).cast("double").alias("_lo")).filter("_la is not null and _lo is not null").distinct(), "nearest")
+    marks = stage(gazetteer.select("pos", F.col("lat").cast("double").alias("_ma"), F.col("lon").cast("double").alias("_mo")).filter("_ma is not null and _mo is not null"), "nearest-marks")
+    found, around = [], F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    while left.limit(1).count():
+        last = step >= 180.0
+        m = marks.select("*", F.floor(F.col("_ma") / step).alias("_x"), F.floor(F.col("_mo") / step).alias("_y"))
+        look = left.select("_la", "_lo", F.explode(around).alias("_i"), (F.floor(F.col("_la") / step)).alias("_x0"), F.floor(F.col("_lo") / step).alias("_y0")) \
+                   .select("_la", "_lo", (F.col("_x0") + F.col("_i")).alias("_x"), "_y0", F.explode(around).alias("_j")).select("_la", "_lo", "_x", (F.col("_y0") + F.col("_j")).alias("_y"))
+        best = (look.join(m, ["_x", "_y"]).groupBy("_la", "_lo")
+                .agg(F.min(F.struct(km(F.col("_la"), F.col("_lo"), F.col("_ma"), F.col("_mo")).alias("km"), "pos")).alias("_b")))
+        # a square's side in km: along a parallel it shrinks towards the poles, and the date line is not looked across
+        reach = F.radians(F.lit(step)) * v.EARTH_RADIUS_KM * F.cos(F.radians(F.least(F.abs("_la") + 2 * step, F.lit(90.0))))
+        sure = F.lit(True) if last else (F.col("_b.km") < reach) & (F.abs("_lo") + 2 * step < 180)
+        best = stage(best.withColumn("_sure", sure), "nearest-found")
+        found.append(best.filter("_sure").select("_la", "_lo", F.col("_b.pos").alias("pos")))
+        if last:
+            break
+        left = stage(left.join(best.filter("_sure").select("_la", "_lo"), ["_la", "_lo"], "left_anti"), "nearest")
+        step *= 4
+    if not found:
+        return points.withColumn("pos", F.lit(None).cast("int"))
+    done = found[0]
+    for f in found[1:]:
+        done = done.unionByName(f)
+    return points.join(done, (points[lat].cast("double") == done["_la"]) & (points[lon].cast("double") == done["_lo"]), "left").drop("_la", "_lo")
+
+
 def zone_labels(cells: DataFrame, cell: str, grid: HexGrid, landmarks=v.LANDMARKS) -> DataFrame:
     """Add (zone_en, zone_hi) for a column of cells, resolved once per distinct cell: the
-    landmark's own cell takes its name, others are near it. Steps are separate columns so each
-    expression is evaluated once."""
+    landmark's own cell takes its name, others are near it. ``landmarks`` is a list or a table (pos,
+    name, name_hi, lat, lon). Steps are separate columns so each expression is evaluated once."""
     d = cells.select(F.col(cell).alias("_cell")).distinct()
     lat, lon = grid.centroid(F.col("_cell"))
     d = d.withColumn("_lat", lat).withColumn("_lon", lon)
-    d = d.withColumn("_pos", nearest_landmark("_lat", "_lon", landmarks))
-    f = landmark_fields(F.col("_pos"), grid, landmarks)
+    if isinstance(landmarks, DataFrame):
+        marks = landmarks.select("pos", "name", "name_hi", grid.cell(F.col("lat"), F.col("lon")).alias("h3_cell"))
+        d = nearest_by_join(d, landmarks, "_lat", "_lon").join(marks, "pos", "left")
+        f = {c: F.col(c) for c in ("name", "name_hi", "h3_cell")}
+    else:
+        d = d.withColumn("_pos", nearest_landmark("_lat", "_lon", landmarks))
+        f = landmark_fields(F.col("_pos"), grid, landmarks)
     own = f["h3_cell"] == F.col("_cell")
     dim = d.select("_cell", F.when(own, f["name"]).otherwise(F.concat(F.lit("Near "), f["name"])).alias("zone_en"),
                    F.when(own, f["name_hi"]).otherwise(F.concat(f["name_hi"], F.lit(" के पास"))).alias("zone_hi"))

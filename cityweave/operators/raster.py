@@ -1,6 +1,8 @@
 """Grids as long tables (row, col, value), frames as (frame, row, col, value)."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -8,12 +10,17 @@ from ..params import DEFAULT, Params
 from .scale import running_before, running_last, stage, with_scalars
 
 D8 = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
-MAX_EXPLODED_OFFSETS = 128
 
 
 def block_mean(grid: DataFrame, k: int, value: str = "value", keys=()) -> DataFrame:
-    return grid.groupBy(*keys, F.floor(F.col("row") / k).alias("brow"), F.floor(F.col("col") / k).alias("bcol")).agg(
-        F.avg(value).alias("mean"))
+    """Mean of each whole k x k block, counted from the grid's first row and column; the blocks cut by
+    its last row or column are left out."""
+    edge = grid.agg(F.min("row").alias("_r0"), F.min("col").alias("_c0"), F.max("row").alias("_r1"), F.max("col").alias("_c1"))
+    d = with_scalars(grid, edge)
+    at = lambda x, low: F.floor((F.col(x) - F.col(low)) / k)
+    whole = lambda b, low, high: (F.col(b) + 1) * k <= F.col(high) - F.col(low) + 1
+    d = d.withColumn("brow", at("row", "_r0")).withColumn("bcol", at("col", "_c0"))
+    return d.filter(whole("brow", "_r0", "_r1") & whole("bcol", "_c0", "_c1")).groupBy(*keys, "brow", "bcol").agg(F.avg(value).alias("mean"))
 
 
 def depth_series(blocks: DataFrame, frames: int, from_m: float) -> DataFrame:
@@ -69,48 +76,68 @@ def gauge_as_of(readings: DataFrame, probes: DataFrame, chunk_sec: int = 86400)
     return d.filter("kind = 1").select("gauge", "t", F.coalesce("rate", F.lit(0.0)).alias("rate"))
 
 
-def interpolate(cells: DataFrame, gauges: DataFrame, cell_m: float, p: Params = DEFAULT, max_gauges: int = 5000) -> DataFrame:
-    """Inverse-distance weighted value at each (frame, row, col). Gauges of a frame travel as one
-    array joined on the frame; their number per frame is checked, as the array is held per row."""
-    per = gauges.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("grow", "gcol", "rate"))).alias("_g"))
-    most = gauges.groupBy("frame").count().agg(F.max("count")).first()[0] or 0
-    if most > max_gauges:
-        raise ValueError("too many gauges per frame: tile the frame and interpolate per tile")
-    d = cells.join(per, "frame")
-
-    def weight(g):
-        dist = F.sqrt(F.pow(F.col("row") - g["grow"], 2) + F.pow(F.col("col") - g["gcol"], 2)) * cell_m
-        return 1.0 / F.pow(F.greatest(dist, F.lit(float(cell_m))), p.idw_power)
-
-    top = F.aggregate("_g", F.lit(0.0), lambda a, g: a + weight(g) * g["rate"])
-    bot = F.aggregate("_g", F.lit(0.0), lambda a, g: a + weight(g))
-    return d.withColumn("value", top / bot).drop("_g")
+def _idw(cell_m: float, power: float):
+    def run(cells: pa.Table, gauges: pa.Table) -> pa.Table:
+        names, kinds = ["frame", "row", "col", "top", "bot"], [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        if not cells.num_rows or not gauges.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        frame, row, col = (cells.column(c).to_numpy() for c in ("frame", "row", "col"))
+        spots, spot = np.unique(np.stack([row, col]), axis=1, return_inverse=True)
+        gframe, grow, gcol, rate = (gauges.column(c).to_numpy() for c in ("frame", "grow", "gcol", "rate"))
+        places, place = np.unique(np.stack([grow, gcol]), axis=1, return_inverse=True)
+        dist = np.hypot(spots[0][:, None] - places[0], spots[1][:, None] - places[1]) * cell_m
+        weight = 1.0 / np.maximum(dist, cell_m) ** power  # once for a place, whatever the frames
+        frames = np.unique(frame)
+        at = np.searchsorted(frames, gframe)
+        known = (at < len(frames)) & (frames[np.minimum(at, len(frames) - 1)] == gframe)
+        rates, there = np.zeros((places.shape[1], len(frames))), np.zeros((places.shape[1], len(frames)))
+        np.add.at(rates, (place.ravel()[known], at[known]), rate[known])
+        np.add.at(there, (place.ravel()[known], at[known]), 1.0)
+        top, bot, f = weight @ rates, weight @ there, np.searchsorted(frames, frame)
+        spot = spot.ravel()
+        return pa.table([pa.array(x, k) for x, k in zip((frame, row, col, top[spot, f], bot[spot, f]), kinds)], names=names)
+
+    return run
+
+
+def interpolate(cells: DataFrame, gauges: DataFrame, cell_m: float, p: Params = DEFAULT, tile: int = 64, block: int = 1024) -> DataFrame:
+    """Inverse-distance weighted value at each (frame, row, col) from the gauges (grow, gcol, rate) of
+    its frame. Every gauge weighs on every cell: tiles of cells meet blocks of gauge places, a weight
+    is worked out once for a cell and a place, and the blocks' sums are added up."""
+    box = cells.agg(F.min("row"), F.min("col"), F.max("row"), F.max("col")).first()
+    places = gauges.select("grow", "gcol").distinct().count()
+    if box[0] is None or not places:
+        return cells.limit(0).withColumn("value", F.lit(0.0))
+    wide, blocks = int(box[3] - box[1]) // tile + 1, -(-places // block)
+    tiles = (int(box[2] - box[0]) // tile + 1) * wide
+    many = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    t = (F.floor((F.col("row") - box[0]) / tile) * wide + F.floor((F.col("col") - box[1]) / tile)).cast("int")
+    c = cells.select(*[F.col(x).cast("bigint").alias(x) for x in ("frame", "row", "col")], t.alias("t"), many(blocks, "b"))
+    g = (gauges.select(F.col("frame").cast("bigint").alias("frame"), *[F.col(x).cast("double").alias(x) for x in ("grow", "gcol", "rate")])
+         .withColumn("b", F.pmod(F.xxhash64("grow", "gcol"), F.lit(blocks)).cast("int")).select("*", many(tiles, "t")))
+    part = c.groupBy("t", "b").cogroup(g.groupBy("t", "b")).applyInArrow(_idw(float(cell_m), p.idw_power), "frame bigint, row bigint, col bigint, top double, bot double")
+    return part.groupBy("frame", "row", "col").agg((F.sum("top") / F.sum("bot")).alias("value")).filter(F.col("value").isNotNull())
 
 
 # ------------------------------------------------------------------ ranks and quantiles -----
-def _splits(df: DataFrame, value: str, parts: int) -> list:
-    return sorted(set(df.approxQuantile(value, [i / parts for i in range(1, parts)], 0.01)))
-
-
-def cumulative_counts(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
-    """(value, n, before): rows strictly below each distinct value, without a global sort. Value
-    ranges from approximate quantiles are the chunks of a running count."""
+def cumulative_counts(df: DataFrame, value: str) -> DataFrame:
+    """(value, n, before): rows strictly below each distinct value, without a global sort: ranges of
+    values, as many as their number asks for, are the chunks of a running count."""
     counts = df.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    cuts = F.array(*[F.lit(float(s)) for s in _splits(df, value, parts)]).cast("array<double>")
-    chunk = F.size(F.filter(cuts, lambda c: c <= F.col("value")))
-    return running_before(counts.withColumn("_all", F.lit(0)), ["_all"], ["value"], chunk, F.col("n"), "before").drop("_all")
+    ranged = stage(counts.repartitionByRange("value").withColumn("_range", F.spark_partition_id()), "value-counts")
+    return running_before(ranged.withColumn("_all", F.lit(0)), ["_all"], ["value"], F.col("_range"), F.col("n"), "before").drop("_all", "_range")
 
 
-def share_below(df: DataFrame, value: str, out: str, parts: int = 64) -> DataFrame:
+def share_below(df: DataFrame, value: str, out: str) -> DataFrame:
     """Percent of rows strictly below each row's value."""
-    c = cumulative_counts(df, value, parts)
+    c = cumulative_counts(df, value)
     c = with_scalars(c, df.agg(F.count("*").alias("_total"))).select(F.col("value").alias(value), (F.col("before") * 100.0 / F.col("_total")).alias(out))
     return df.join(c, value)
 
 
-def quantiles(df: DataFrame, value: str, probs=(0.1, 0.5, 0.9), parts: int = 64) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probs=(0.1, 0.5, 0.9)) -> DataFrame:
     """Exact linear-interpolated quantiles from the cumulative counts."""
-    c = cumulative_counts(df, value, parts)
+    c = cumulative_counts(df, value)
     pr = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q")
     d = with_scalars(c, df.agg(F.count("*").alias("_total"))).select("*", pr)
     pos = F.col("q") * (F.col("_total") - 1)
@@ -123,76 +150,74 @@ def quantiles(df: DataFrame, value: str, probs=(0.1, 0.5, 0.9), parts: int = 64)
 
 
 # ------------------------------------------------------------------ focal operators ---------
-def shares_in_disk(grid: DataFrame, radius: int, value: str = "value") -> DataFrame:
-    """Mean of existing pixels within ``radius`` cells of each pixel. A disk is a stack of row
-    runs, so each pixel contributes its row prefix sums: work per pixel is the number of rows of
-    the disk, not its area. Prefix sums run by chunks of a row."""
-    wide = 4096
-    d = running_before(grid.withColumn("_one", F.lit(1)), ["row"], ["col"], F.floor(F.col("col") / wide), F.col("_one"), "n_before")
-    d = d.select("row", "col", F.col(value).cast("double").alias("v"), "n_before")
-    scaled = running_before(d.withColumn("_q", F.round(F.col("v") * 1e6, 0).cast("bigint")), ["row"], ["col"],
-                            F.floor(F.col("col") / wide), F.col("_q"), "s_before")
-    half = [(dr, int((radius * radius - dr * dr) ** 0.5)) for dr in range(-radius, radius + 1)]
-    runs = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(h).alias("h")) for dr, h in half]))
-    want = grid.select("row", "col", runs.alias("k")).select(
-        "row", "col", (F.col("row") + F.col("k.dr")).alias("r"), (F.col("col") - F.col("k.h")).alias("lo"), (F.col("col") + F.col("k.h")).alias("hi"))
-    # prefix value at a column = that of the next existing pixel on the row: an as-of lookup
-    ends = want.select("row", "col", "r", F.explode(F.array(
-        F.struct(F.col("lo").alias("c"), F.lit(-1).alias("sign")), F.struct((F.col("hi") + 1).alias("c"), F.lit(1).alias("sign")))).alias("e"))
-    pts = scaled.select(F.col("row").alias("r"), F.col("col").alias("c"), F.struct((F.col("n_before") + 1).alias("n"), (F.col("s_before") + F.col("_q")).alias("s")).alias("pt"))
-    probe = ends.select("r", (F.col("e.c") - 1).alias("c"), "row", "col", F.col("e.sign").alias("sign"))
-    u = pts.select("r", "c", F.lit(0).alias("kind"), "pt", F.lit(None).cast("struct<row:bigint,col:bigint,sign:int>").alias("q")).unionByName(
-        probe.select("r", "c", F.lit(1).alias("kind"), F.lit(None).cast(pts.schema["pt"].dataType).alias("pt"),
-                     F.struct(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("sign").alias("sign")).alias("q")))
-    got = running_last(u, ["r"], ["c", "kind"], F.floor(F.col("c") / wide), F.col("pt"), "hit").filter("kind = 1")
-    z = lambda f: F.coalesce(F.col(f"hit.{f}"), F.lit(0)) * F.col("q.sign")
-    return got.groupBy(F.col("q.row").alias("row"), F.col("q.col").alias("col")).agg(
-        (F.sum(z("s")) / 1e6 / F.sum(z("n"))).alias("mean"))
-
-
-def focal(grid: DataFrame, weights: dict, value: str = "value", normalise: bool = True) -> DataFrame:
-    """Weighted sum (mean when ``normalise``) over {(drow, dcol): weight} of existing pixels, by
-    sending each pixel to the pixels it touches."""
-    if len(weights) > MAX_EXPLODED_OFFSETS:
-        raise ValueError("kernel too large to explode: use focal_tiles or shares_in_disk")
-    k = F.explode(F.array(*[F.struct(F.lit(-dr).alias("dr"), F.lit(-dc).alias("dc"), F.lit(float(w)).alias("w")) for (dr, dc), w in weights.items()]))
-    s = grid.select("row", "col", F.col(value).cast("double").alias("v"), k.alias("k")).select(
-        (F.col("row") + F.col("k.dr")).alias("row"), (F.col("col") + F.col("k.dc")).alias("col"),
-        (F.col("v") * F.col("k.w")).alias("x"), F.col("k.w").alias("w"))
-    a = s.groupBy("row", "col").agg(F.sum("x").alias("x"), F.sum("w").alias("w"))
-    out = F.col("x") / F.col("w") if normalise else F.col("x")
-    return grid.select("row", "col").join(a, ["row", "col"]).select("row", "col", out.alias("focal"))
-
-
-def focal_tiles(grid: DataFrame, kernel, tile: int = 256, value: str = "value") -> DataFrame:
-    """The same weighted mean for large kernels: tiles with a halo of the kernel radius, each a
-    bounded array in its task."""
-    import numpy as np
-    import pandas as pd
-    kernel = np.asarray(kernel, dtype=float)
-    ry, rx = kernel.shape[0] // 2, kernel.shape[1] // 2
+def disk(radius_m: float, cell_m: float) -> dict:
+    """Offsets of the pixels whose centres are within ``radius_m``, with weight 1."""
+    n = int(radius_m // cell_m)
+    return {(a, b): 1.0 for a in range(-n, n + 1) for b in range(-n, n + 1) if (a * a + b * b) ** 0.5 * cell_m <= radius_m}
+
+
+def square(n: int) -> dict:
+    """Offsets of an n x n window, n odd."""
+    return {(a, b): 1.0 for a in range(-(n // 2), n // 2 + 1) for b in range(-(n // 2), n // 2 + 1)}
+
+
+def _focal(kernel: dict, tile: int, box: tuple, how: str, nearest: bool):
+    ry, rx = (max(abs(o[k]) for o in kernel) for k in (0, 1))
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        r0, c0 = key[0].as_py() * tile - ry, key[1].as_py() * tile - rx
+        row, col = rows.column("row").to_numpy(), rows.column("col").to_numpy()
+        i, j = row - r0, col - c0
+        v, m = (np.zeros((tile + 2 * ry, tile + 2 * rx)) for _ in range(2))
+        v[i, j], m[i, j] = rows.column("v").to_numpy(), 1.0
+        if nearest:  # beyond the grid's edge the nearest pixel is repeated
+            at = np.ix_(*(np.clip(np.arange(n), low - first, high - first) for n, first, low, high in
+                          ((v.shape[0], r0, box[0], box[2]), (v.shape[1], c0, box[1], box[3]))))
+            v, m = v[at], m[at]
+        top = np.full((tile, tile), -np.inf if how == "max" else 0.0)
+        bot = np.zeros((tile, tile))
+        for (a, b), w in kernel.items():
+            x, y = v[ry + a:ry + a + tile, rx + b:rx + b + tile], m[ry + a:ry + a + tile, rx + b:rx + b + tile]
+            if how == "max":
+                np.maximum(top, np.where(y > 0, x, -np.inf), out=top)
+            else:
+                top += w * x
+                bot += w * y
+        own = (i >= ry) & (i < ry + tile) & (j >= rx) & (j < rx + tile)
+        out = top[i[own] - ry, j[own] - rx]
+        if how == "mean":
+            out = out / bot[i[own] - ry, j[own] - rx]
+        return pa.table([pa.array(row[own]), pa.array(col[own]), pa.array(out)], names=["row", "col", "focal"])
+
+    return run
+
+
+def focal(grid: DataFrame, kernel: dict, value: str = "value", how: str = "mean", mode: str = "existing", tile: int = 256) -> DataFrame:
+    """Weighted ``mean`` or ``sum``, or the ``max``, over {(drow, dcol): weight} around each pixel, for
+    kernels of any size: tiles with a halo of the kernel's reach, each a bounded array in its task.
+    ``existing`` takes the pixels there are; ``nearest`` repeats the edge pixels beyond the edges."""
+    ry, rx = (max(abs(o[k]) for o in kernel) for k in (0, 1))
+    box = tuple(grid.agg(F.min("row"), F.min("col"), F.max("row"), F.max("col")).first())
 
     def around(c, r):
         return F.sequence(F.floor((c - r) / tile), F.floor((c + r) / tile))
 
-    halo = (grid.select("row", "col", F.col(value).cast("double").alias("v"))
+    halo = (grid.select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col(value).cast("double").alias("v"))
             .withColumn("tr", F.explode(around(F.col("row"), ry))).withColumn("tc", F.explode(around(F.col("col"), rx))))
+    return halo.groupBy("tr", "tc").applyInArrow(_focal(kernel, tile, box, how, mode == "nearest"), "row bigint, col bigint, focal double")
 
-    def smooth(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = int(key[0]) * tile - ry, int(key[1]) * tile - rx
-        shape = (tile + 2 * ry, tile + 2 * rx)
-        v, m = np.zeros(shape), np.zeros(shape)
-        i, j = pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0
-        v[i, j], m[i, j] = pdf["v"].to_numpy(), 1.0
-        top, bot = np.zeros((tile, tile)), np.zeros((tile, tile))
-        for a, b in zip(*np.nonzero(kernel)):
-            top += kernel[a, b] * v[a:a + tile, b:b + tile]
-            bot += kernel[a, b] * m[a:a + tile, b:b + tile]
-        own = (i >= ry) & (i < ry + tile) & (j >= rx) & (j < rx + tile)
-        oi, oj = i[own] - ry, j[own] - rx
-        return pd.DataFrame({"row": pdf["row"].to_numpy()[own], "col": pdf["col"].to_numpy()[own], "focal": top[oi, oj] / bot[oi, oj]})
 
-    return halo.groupBy("tr", "tc").applyInPandas(smooth, "row bigint, col bigint, focal double")
+def terrain_facts(dem: DataFrame, cell: str, upstream: DataFrame = None) -> DataFrame:
+    """(cell, rel_m, flow_pct) of the cells a DEM's pixels (row, col, value, ``cell``) lie in: the cell's
+    mean height against its two rings, and the percent of pixels whose flow, taken as the largest
+    upstream count in a 5 x 5 window, is below that of the cell's largest."""
+    up = flow_accumulation(dem) if upstream is None else upstream
+    near = focal(up, square(5), "upstream", "max").withColumnRenamed("focal", "flow")
+    ranked = share_below(near, "flow", "pct")
+    flow = dem.select("row", "col", cell).join(ranked, ["row", "col"]).groupBy(cell).agg(F.max("pct").alias("flow_pct"))
+    mean = dem.groupBy(F.col(cell).alias("h3_cell")).agg(F.avg("value").alias("_z"))
+    rel = ring_contrast(mean, "_z").select(F.col("h3_cell").alias(cell), F.col("contrast").alias("rel_m"))
+    return rel.join(flow, cell)
 
 
 def ring_contrast(cells: DataFrame, value: str, k: int = 2) -> DataFrame:
@@ -218,7 +243,7 @@ def flow_direction(dem: DataFrame) -> DataFrame:
         "row", "col", F.col("d.nr").alias("drow"), F.col("d.nc").alias("dcol"))
 
 
-def flow_accumulation(dem: DataFrame, max_rounds: int = 64, salts: int = 16) -> DataFrame:
+def flow_accumulation(dem: DataFrame, salts: int = 16) -> DataFrame:
     """Upstream pixel count including self, by pointer doubling: after k rounds a pixel counts
     everything within 2^k steps, so rounds grow with the logarithm of the longest path. A pixel's
     pointer target may be shared by many, so the pointer lookup is salted."""
@@ -227,7 +252,7 @@ def flow_accumulation(dem: DataFrame, max_rounds: int = 64, salts: int = 16) ->
     s = (dem.select("row", "col").join(flow, ["row", "col"], "left")
          .select(node("row", "col").alias("x"), F.when(F.col("drow").isNotNull(), node("drow", "dcol")).alias("to"), F.lit(1).cast("bigint").alias("acc")))
     s = stage(s, "flow")
-    for _ in range(max_rounds):
+    while True:  # flow runs downhill, so every path ends
         live = s.filter("to is not null")
         if live.limit(1).count() == 0:
             return s.select(F.col("x.r").alias("row"), F.col("x.c").alias("col"), F.col("acc").alias("upstream"))
@@ -237,13 +262,12 @@ def flow_accumulation(dem: DataFrame, max_rounds: int = 64, salts: int = 16) ->
         salted = s.withColumn("_salt", F.pmod(F.xxhash64("x"), F.lit(salts)).cast("int"))
         s = stage(salted.join(hop, ["to", "_salt"], "left").join(add, "x", "left")
                   .select("x", F.col("_next").alias("to"), (F.col("acc") + F.coalesce("_add", F.lit(0))).alias("acc")), "flow")
-    raise RuntimeError("flow did not settle")
 
 
 # ------------------------------------------------------------------ resampling test ---------
 def hash_index(draw, j, n, seed: int) -> Column:
     """Reproducible index in [0, n) from a seed, a draw number and a position."""
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), j.cast("string")).cast("binary")), 1, 8), 16, 10)
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), j.cast("string")).cast("binary")), 1, 15), 16, 10)
     return F.pmod(h.cast("bigint"), n)
 
 

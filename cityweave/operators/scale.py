@@ -5,26 +5,20 @@ collects a full key in one task: running operators work per (key, chunk) and car
 totals; as-of lookups work per (key, time bucket)."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+PAGE = 10_000
 
 
 def stage_root(spark) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``. Only a local session without
-    that setting may fall back to a temporary folder of this machine."""
+    """The folder named by ``spark.checkpoint.dir``, which all executors must share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if not root:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="cityweave-")
-    spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
@@ -36,10 +30,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side is within ``max_rows``; a larger
-    side goes unhinted to a shuffle join (split by AQE where a key is hot)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring that the side is within ``max_rows`` and, as text,
+    ``max_bytes``; a larger side goes unhinted to a shuffle join (split by AQE where a key is hot)."""
+    size = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows, most = df.limit(max_rows + 1).agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if rows <= max_rows and (most or 0) <= max_bytes else df
 
 
 def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
@@ -122,11 +118,17 @@ def latest_within(probes: DataFrame, points: DataFrame, keys: list, t: str, carr
     return hit.select(*keys, "_row.*", F.col("_hit").alias("hit"))
 
 
-def id_pages(bridge: DataFrame, key: str, member: str, page_size: int = 10_000) -> DataFrame:
-    """Member arrays in rows of bounded size: (key, page, pages, ids). A key with at most
-    ``page_size`` members has one sorted row; a larger one spreads over hashed pages."""
-    sizes = bridge.groupBy(key).agg(F.count("*").alias("_n"))
-    return (bridge.join(sizes, key)
-            .withColumn("pages", F.ceil(F.col("_n") / page_size))
-            .withColumn("page", F.pmod(F.xxhash64(member), F.col("pages")))
-            .groupBy(key, "page", "pages").agg(F.sort_array(F.collect_list(member)).alias("ids")))
+def rank_by_range(df: DataFrame, keys: list, order: list, out: str) -> DataFrame:
+    """0-based position per key in ``order``, for orders without a natural chunk: ranges of (keys,
+    order) are the chunks, so a hot key spreads over as many as it fills."""
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    return running_before(stage(ranged, "ranges"), keys, order, F.col("_range"), F.lit(1), out).drop("_range")
+
+
+def id_pages(bridge: DataFrame, key: str, member: str, page_size: int = PAGE) -> DataFrame:
+    """Member arrays in rows of at most ``page_size`` ids: (key, page, pages, ids). Pages are numbered
+    from 0 in the order of the ids, the ids of a page are sorted; every id is on one page."""
+    ranked = rank_by_range(bridge.select(key, member), [key], [member], "_rank")
+    pages = ranked.groupBy(key, F.floor(F.col("_rank") / page_size).alias("page")).agg(F.sort_array(F.collect_list(member)).alias("ids"))
+    sizes = ranked.groupBy(key).agg((F.floor(F.max("_rank") / page_size) + 1).alias("pages"))
+    return pages.join(sizes, key).select(key, "page", "pages", "ids")

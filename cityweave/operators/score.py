@@ -1,15 +1,18 @@
 """Detected against planted: matching, scorecard, recall, coverage, decoy leaks."""
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
 from ..params import DEFAULT, Params
-from .link import upper_median
+from .link import connected_components, upper_median
 from .scale import one_row, stage
 from ..functions.numbers import round_exact
 
+GROUP_PAIRS = 1_000_000
+
 
 def overlaps(truth_members: DataFrame, sit_members: DataFrame) -> DataFrame:
     """Share of each truth's events in each situation: an equi-join on the event and a count."""
@@ -19,28 +22,56 @@ def overlaps(truth_members: DataFrame, sit_members: DataFrame) -> DataFrame:
     return both.join(size, "truth_id").withColumn("overlap", F.col("shared") / F.col("size"))
 
 
-def match(truths: DataFrame, truth_members: DataFrame, situations: DataFrame, sit_members: DataFrame,
-          min_overlap: float = 0.5, max_rounds: int = 1000) -> DataFrame:
-    """(truth_id, pos, situation_id, overlap): truths in order ``pos`` each take their best free
-    situation, earliest created first on a tie.
+def _greedy(min_overlap: float):
+    """Truths of one table of pairs in their order, each with its best free situation."""
+    def run(pairs: pa.Table) -> pa.Table:
+        pairs = pairs.sort_by([("pos", "ascending"), ("overlap", "descending"), ("created_utc", "ascending"), ("situation_id", "ascending")])
+        taken, picks, decided = set(), [], set()
+        for truth, sit, overlap in zip(*(pairs.column(c).to_pylist() for c in ("truth_id", "situation_id", "overlap"))):
+            if truth not in decided and sit not in taken and overlap >= min_overlap:
+                taken.add(sit)
+                decided.add(truth)
+                picks.append((truth, sit))
+        return pa.table([pa.array([p[0] for p in picks], pa.string()), pa.array([p[1] for p in picks], pa.string())], names=["truth_id", "situation_id"])
 
-    Solved by proposals: every undecided truth asks for its best situation not yet lost; the
-    earliest asker holds it and the others lose it. That ends in the same assignment as going
-    through the truths one by one, in as many rounds as the longest chain of refusals."""
-    o = overlaps(truth_members, sit_members).join(truths.select("truth_id", "pos"), "truth_id")
-    o = o.join(situations.select("situation_id", "created_utc"), "situation_id")
-    all_pairs = stage(o, "match-pairs")
-    open_ = all_pairs.filter(F.col("overlap") >= min_overlap)
-    for _ in range(max_rounds):
+    return run
+
+
+def _proposals(open_: DataFrame) -> DataFrame:
+    """The same by proposals: every undecided truth asks for its best situation not yet lost, the
+    earliest asker holds it and the others lose it, until nothing is lost. Every round removes a pair."""
+    while True:
         want = open_.groupBy("truth_id", "pos").agg(F.min_by("situation_id", F.struct(
             (-F.col("overlap")).alias("o"), "created_utc", "situation_id")).alias("situation_id"))
         held = want.groupBy("situation_id").agg(F.min_by("truth_id", "pos").alias("_winner"))
         lost = want.join(held, "situation_id").filter(F.col("truth_id") != F.col("_winner")).select("truth_id", "situation_id")
         lost = stage(lost, "match-lost")
         if lost.limit(1).count() == 0:
-            break
+            return want.select("truth_id", "situation_id")
         open_ = stage(open_.join(lost, ["truth_id", "situation_id"], "left_anti"), "match-open")
-    won = want.select("truth_id", "situation_id")
+
+
+def match(truths: DataFrame, truth_members: DataFrame, situations: DataFrame, sit_members: DataFrame,
+          min_overlap: float = 0.5, group_pairs: int = GROUP_PAIRS) -> DataFrame:
+    """(truth_id, pos, situation_id, overlap): truths in order ``pos`` each take their best free
+    situation, earliest created first on a tie.
+
+    Truths that contend, directly or through others, are a group of their own and are gone through
+    in one task, one after the other; a group of more than ``group_pairs`` pairs is solved by rounds
+    of proposals instead, which end in the same assignment."""
+    o = overlaps(truth_members, sit_members).join(truths.select("truth_id", "pos"), "truth_id")
+    o = o.join(situations.select("situation_id", "created_utc"), "situation_id")
+    all_pairs = stage(o, "match-pairs")
+    open_ = all_pairs.filter(F.col("overlap") >= min_overlap)
+    t, u = F.concat(F.lit("t"), "truth_id"), F.concat(F.lit("s"), "situation_id")
+    group = connected_components(open_.select(t.alias("episode_id")).distinct(), open_.select(t.alias("i"), u.alias("j")))
+    open_ = stage(open_.join(group, t == F.col("episode_id")).select("truth_id", "pos", "situation_id", "overlap", "created_utc", "component"), "match-open")
+    large = open_.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > group_pairs)
+    small = open_.join(large, "component", "left_anti").groupBy("component").applyInArrow(_greedy(min_overlap), "truth_id string, situation_id string")
+    rest = open_.join(large, "component", "left_semi")
+    won = stage(small.unionByName(_proposals(rest)) if rest.limit(1).count() else small, "match-won")
+    want = won.join(truths.select("truth_id", "pos"), "truth_id")
+    assert want.groupBy("situation_id").count().filter("count > 1").limit(1).count() == 0, "a situation was given twice"
     taken = want.select("situation_id", F.col("pos").alias("_by"))
     # an unmatched truth reports its best situation among those no earlier truth had taken
     free = (all_pairs.join(taken, "situation_id", "left").filter(F.col("_by").isNull() | (F.col("_by") >= F.col("pos")))

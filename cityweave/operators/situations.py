@@ -8,7 +8,7 @@ from ..functions import ids, severity as sv, times
 from ..functions.hexgrid import HexGrid, distance, spread, spread_aggs
 from ..params import DEFAULT, Params
 from . import places
-from .scale import rank_in
+from .scale import PAGE, id_pages, rank_in
 from ..functions.numbers import round_exact
 
 DAY = 86400
@@ -45,7 +45,7 @@ def chain(resolved: DataFrame, keyed: DataFrame, phrases: DataFrame) -> DataFram
     area_en = F.when(dist == 0, "at the same spot").when(dist == 1, "one area away").otherwise("a couple of areas away")
     area_hi = F.when(dist == 0, "उसी जगह").when(dist == 1, "एक क्षेत्र दूर").otherwise("कुछ क्षेत्र दूर")
     n, many = _s(F.col("n_events")), F.col("n_events") > 1
-    then_en = F.concat(F.lower(F.substring("start_en", 1, 1)), F.substring("start_en", 2, 1000))
+    then_en = F.concat(F.lower(F.substring("start_en", 1, 1)), F.expr("substring(start_en, 2)"))
     en = F.when(F.col("_pt").isNull(), F.concat("start_en", F.when(many, _txt(" (", n, " reports)")).otherwise(""))).otherwise(
         F.concat(_txt(mins, " minutes later, ", then_en, " ", area_en), F.when(many, _txt(", ", n, " reports")).otherwise("")))
     hi = F.when(F.col("_pt").isNull(), F.concat("start_hi", F.when(many, _txt(" (", n, " रिपोर्ट)")).otherwise(""))).otherwise(
@@ -216,15 +216,14 @@ def assemble(sit_ids: DataFrame, members: DataFrame, chain_: DataFrame, keyed: D
             .withColumn("note_en", n_en).withColumn("note_hi", n_hi))
 
 
-def nest(situations: DataFrame, members: DataFrame, chain_: DataFrame) -> DataFrame:
-    """The nested document per situation. Chain and gaps are one entry per episode; member ids of
-    a situation beyond one page are read from the members table (``scale.id_pages``)."""
-    from .scale import id_pages
+def nest(situations: DataFrame, members: DataFrame, chain_: DataFrame, page_size: int = PAGE) -> DataFrame:
+    """The nested document per situation, one row per page of its member ids (``scale.id_pages``);
+    ``member_page`` of ``member_pages`` tells which. Chain and gaps are one entry per episode."""
     c = chain_.groupBy("situation_id").agg(F.array_sort(F.collect_list(F.struct(
         "step", "event_id", times.iso(F.timestamp_seconds("t")).alias("t_utc"), "category", "h3_cell", "text_en", "text_hi"))).alias("chain"),
         F.array_sort(F.collect_list(F.when(F.col("from_event_id").isNotNull(), F.struct(
             "step", "from_event_id", F.col("event_id").alias("to_event_id"), "gap_sec")))).alias("_gaps"))
-    ids_ = id_pages(members, "situation_id", "event_id").filter("page = 0")
+    ids_ = id_pages(members, "situation_id", "event_id", page_size)
     d = situations.join(c, "situation_id").join(ids_, "situation_id", "left")
     nxt = F.when(F.col("next_category").isNotNull(), F.struct(
         F.col("next_category").alias("category"), F.array("lag_from_sec", "lag_to_sec").alias("typical_lag_range_sec"), "based_on"))
@@ -232,7 +231,7 @@ def nest(situations: DataFrame, members: DataFrame, chain_: DataFrame) -> DataFr
         "situation_id", times.iso(F.col("created_utc")).alias("created_utc"), times.iso(F.col("updated_utc")).alias("updated_utc"),
         "status", "pulse_score", "alert_level", "headline_en", "headline_hi",
         F.struct("label_en", "label_hi", "h3_cells", F.struct("lat", "lon").alias("centroid")).alias("zone"),
-        F.col("ids").alias("member_event_ids"), F.col("pages").alias("member_pages"), "n_members", "chain",
+        F.col("ids").alias("member_event_ids"), F.col("page").alias("member_page"), F.col("pages").alias("member_pages"), "n_members", "chain",
         F.struct(F.struct("h3_cells", F.size("h3_cells").alias("cells_involved"), "max_grid_distance", "note_en", "note_hi").alias("spatial"),
                  F.transform("_gaps", lambda g: F.struct(g["from_event_id"].alias("from_event_id"), g["to_event_id"].alias("to_event_id"), g["gap_sec"].alias("gap_sec"))).alias("temporal_gaps"),
                  F.struct(F.col("lift_value").alias("value"), "pair", "window_sec", "baseline_rate_per_hour", "observed_rate_per_hour",

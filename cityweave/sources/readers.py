@@ -1,7 +1,7 @@
 """Feed, registry and table scans with explicit schemas, and the sinks."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas, vocabulary as v
@@ -11,7 +11,10 @@ from ..operators.scale import id_pages
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Session settings the operators rely on."""
+    """Session settings the operators rely on. A local session that names no ``spark.checkpoint.dir``
+    stages its tables below its warehouse; on a cluster the setting is required."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.conf.get("spark.master", "").startswith("local"):
+        spark.conf.set("spark.checkpoint.dir", spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staged")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -19,9 +22,15 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def with_arrival(df: DataFrame) -> DataFrame:
-    """Arrival order as one sortable bigint: the scan's task order and the row within it. Files
-    are read as whole lines in name order; callers with a real sequence pass it as ``seq``."""
-    return df.withColumn("seq", F.monotonically_increasing_id())
+    """Arrival order of a file scan as one gapless bigint ``seq``: files by path, blocks of a file by
+    place, rows of a block as they stand. Spark packs files into tasks by size, so the task order is
+    not that order; the rows before each block come from one count a block."""
+    d = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
+                  F.monotonically_increasing_id().alias("_at"))
+    blocks = d.groupBy("_path", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_path", "_start")) - F.col("_n")  # one row a block of a file
+    d = d.join(blocks.select("_path", "_start", "_first", before.alias("_before")), ["_path", "_start"])
+    return d.withColumn("seq", F.col("_before") + F.col("_at") - F.col("_first")).select(*df.columns, "seq")
 
 
 def read_jsonl(spark: SparkSession, path: str, feed: str) -> DataFrame:
@@ -30,18 +39,21 @@ def read_jsonl(spark: SparkSession, path: str, feed: str) -> DataFrame:
     return parse_json_lines(with_arrival(spark.read.text(path)), feed)
 
 
-def mark_parsed(d: DataFrame) -> DataFrame:
-    bad = F.col("_corrupt").isNotNull()
-    return (d.withColumn("parsed_ok", ~bad).withColumn("reason", F.when(bad, "Invalid JSON"))
-            .withColumnRenamed("_corrupt", "raw"))
-
-
 def parse_json_lines(lines: DataFrame, feed: str, line: str = "value") -> DataFrame:
-    """The same over a column of lines (a stream or a text table)."""
+    """The same over a column of lines (a stream or a text table). Only a line that isn't a JSON
+    object is bad; in a good one a value of another type is cast, or null where it can't be."""
     kept = lines.filter(F.trim(line) != "")
     ddl = schemas.FEEDS[feed] + ", _corrupt string"
     d = kept.withColumn("_r", F.from_json(line, ddl, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}))
-    return mark_parsed(d.select(*[c for c in lines.columns if c != line], "_r.*"))
+    d = d.withColumn("_v", F.when(F.col("_r._corrupt").isNotNull(), F.try_parse_json(line)))
+    off_type = F.schema_of_variant("_v").startswith("OBJECT")
+    d = d.withColumn("_off", F.coalesce(off_type, F.lit(False)))
+    fields = d.schema["_r"].dataType.fields
+    cast = [F.when(F.col("_off"), F.try_variant_get("_v", F.lit(f"$.{f.name}"), f.dataType.simpleString())).otherwise(F.col(f"_r.{f.name}")).alias(f.name)
+            for f in fields if f.name != "_corrupt"]
+    bad = F.col("_r._corrupt").isNotNull() & ~F.col("_off")
+    return d.select(*[c for c in lines.columns if c != line], *cast, F.when(bad, F.col("_r._corrupt")).alias("raw"), (~bad).alias("parsed_ok"),
+                    F.when(bad, "Invalid JSON").alias("reason"))
 
 
 def parse_complaint_lines(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -120,7 +132,7 @@ def write_json_lines(df: DataFrame, path: str, order: list) -> None:
 
 
 def anomaly_documents(anomalies: DataFrame, members: DataFrame, page_size: int = 10_000) -> DataFrame:
-    """Anomalies with their event ids, one row per page of ids."""
+    """Anomalies with their event ids, one row per page of ids in their order."""
     pages = id_pages(members, "anomaly_id", "event_id", page_size)
     return anomalies.join(pages, "anomaly_id").withColumnRenamed("ids", "contributing_event_ids")
 
