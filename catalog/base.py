@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityweave import vocabulary as v
-from cityweave.functions import severity as sv, times
+from cityweave.functions import ids, severity as sv, times
 from cityweave.functions.hexgrid import HexGrid
 from cityweave.params import Params
 from cityweave.sources.readers import ready
@@ -29,8 +29,8 @@ ISO = "'%Y-%m-%dT%H:%M:%SZ'"
 
 def query(name: str, sql: str | None = None):
     def add(fn):
-        assert name not in QUERIES, name
-        QUERIES[name] = fn
+        assert name not in QUERIES, name  # results are shown with their short ids
+        QUERIES[name] = lambda s, d: ids.with_public(fn(s, d))
         if sql is not None:
             ORACLES[name] = duck(sql)
         return fn

@@ -172,6 +172,15 @@ column("p27_alert_level", {"level": lambda: sv.alert_level(C("whole")), "capped"
     "capped": "CASE WHEN event_type = 'error' AND whole >= 50 THEN 'yellow' WHEN whole >= 75 THEN 'red' WHEN whole >= 50 THEN 'orange' WHEN whole >= 25 THEN 'yellow' ELSE 'green' END"})
 
 
+query("p9_complaint_identity", R + "SELECT event_id, 'civic_complaints:C-' || event_id AS raw_ref, '' AS entity_ref, NULL::varchar AS t_utc FROM r")(lambda s, d: complaint_identity(s, d))
+
+
+def complaint_identity(s, d):
+    from cityweave.sources.readers import raw_identity
+    x = rows(s, d).withColumn("complaint_id", F.concat(F.lit("C-"), C("event_id").cast("string")))
+    return raw_identity(x, "civic_complaints").select("event_id", "raw_ref", "entity_ref", "t_utc")
+
+
 @query("p28_event_message", f"WITH {EV} SELECT event_id, 'event' AS type, '2024-01-15T00:00:00Z' AS sent_utc, category, {ts('t')} AS start_utc, severity, t_recv - t AS freshness_sec, true AS has_end_key FROM ev")
 def p28(s, d):
     from cityweave.operators import serve
@@ -218,6 +227,12 @@ query("x6_hex_cells", f"WITH g AS ({GEO}), {cells('g', 'gc')} SELECT event_id, h
         "event_id", "h3_cell", r6(GRID.centroid(C("h3_cell"))[0]).alias("clat"), r6(GRID.centroid(C("h3_cell"))[1]).alias("clon"),
         (hexgrid.haversine_km(C("lat"), C("lon"), *GRID.centroid(C("h3_cell"))) * 1000 <= 532).alias("within_edge"),
         F.size(GRID.boundary(C("h3_cell"))).cast("bigint").alias("ring_points")))
+# the box of each event type's whole degrees of value, as far as its events reach
+BOXES = "SELECT event_type, cast(floor(value / 10) as bigint) AS band, min(lat) - 5e-3 AS lat0, min(lon) - 5e-3 AS lon0, max(lat) + 5e-3 AS lat1, max(lon) + 5e-3 AS lon1 FROM (" + ROWS + ") z GROUP BY event_type, floor(value / 10)"
+query("x6_bbox_cells", f"""WITH bx AS ({BOXES}), qr AS (SELECT bx.*, q, r, (q + 1048576) * 2097152 + r + 1048576 AS c FROM bx, range(-80, 81) a(q), range(-80, 81) b(r)),
+ k AS (SELECT *, {_clat.replace('h3_cell', 'c')} AS clat, {_clon.replace('h3_cell', 'c')} AS clon FROM qr)
+ SELECT event_type, band, c AS h3_cell FROM k WHERE clat BETWEEN lat0 AND lat1 AND clon BETWEEN lon0 AND lon1""")(
+    lambda s, d: hexgrid.cells_in_boxes(portable(s, d, BOXES), GRID, ["event_type", "band"]))
 _o = lambda k: [(dq, dr) for dq in range(-k, k + 1) for dr in range(-k, k + 1) if max(abs(dq), abs(dr), abs(dq + dr)) <= k]
 _offs = values("offs", "k, dq, dr", [(k, a, b) for k in (1, 2) for a, b in _o(k)])
 query("x7_ring_and_distance", f"""WITH g AS ({GEO}), {cells('g', 'gc')}, {_offs}, one AS (SELECT DISTINCT h3_cell FROM gc)

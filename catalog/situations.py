@@ -2,12 +2,12 @@
 from pyspark.sql import functions as F
 
 from cityweave import dims, vocabulary as v
-from cityweave.functions import severity as sv, times
+from cityweave.functions import ids, severity as sv, times
 from cityweave.operators import baseline as bl, detect as dt, ingest as ig, link as lk, serve, situations as st
 from cityweave.operators.scale import one_row
 from cityweave.plans import city
 
-from .base import EV, MARKS, P, PAIRS, canon, cells, dist, hav, iso, joined, lit, memo, portable, query, r6, rnd, ts, values
+from .base import EV, FEEDS, MARKS, P, PAIRS, canon, cells, dist, hav, iso, joined, lit, memo, portable, query, r6, rnd, ts, values
 from .columns import OFF, _clat, _clon
 
 C = F.col
@@ -161,7 +161,7 @@ ep AS (SELECT * FROM e1 JOIN e2 USING (eid))"""
 query("w6_episode_collapse", DET + EPI + " SELECT anomaly_id, eid AS episode_id FROM n3")(lambda s, d: lk.number_episodes(detected(s, d).anomalies).select("anomaly_id", "episode_id"))
 query("a15_episodes", DET + EPI + f" SELECT eid AS episode_id, h3_cell, category, trig AS trigger, {ts('ws')} AS window_start_utc, {ts('we')} AS window_end_utc, n AS observed_count, sev AS severity_weighted, rep AS rep_event_id, array_to_string(aids, ',') AS anomaly_ids, array_to_string(src, ',') AS source_feeds FROM ep")(
     lambda s, d: linked(s, d).episodes.select("episode_id", "h3_cell", "category", "trigger", iso("window_start_utc").alias("window_start_utc"), iso("window_end_utc").alias("window_end_utc"), "observed_count",
-                                              F.round("severity_weighted", 4).alias("severity_weighted"), "rep_event_id", joined("anomaly_ids").alias("anomaly_ids"), joined("source_feeds").alias("source_feeds")))
+                                              F.round("severity_weighted", 4).alias("severity_weighted"), "rep_event_id", joined(F.transform("anomaly_ids", ids.public)).alias("anomaly_ids"), joined("source_feeds").alias("source_feeds")))
 _ring = values("rg", "k, off", [(k, dq * 2097152 + dr) for k in (1, 2) for dq in range(-k, k + 1) for dr in range(-k, k + 1) if max(abs(dq), abs(dr), abs(dq + dr)) <= k])
 LIFT = f""", {PAIRS}, {_ring}, lg AS (SELECT a.event_id, p.cause, p.effect, p.lo, p.hi, a.t, a.h3_cell FROM h a JOIN pairs p ON a.category = p.cause),
 hits AS (SELECT l.event_id, l.cause, l.effect, min(b.t - l.t) AS lag FROM lg l JOIN rg ON k = 1 JOIN h b ON b.h3_cell = l.h3_cell + off AND b.category = l.effect AND b.t - l.t BETWEEN l.lo AND l.hi GROUP BY ALL),
@@ -220,6 +220,16 @@ query("g4_standalone_gate", ANCHS + ELIG + " SELECT comp AS component, size, siz
 query("g5_edge_table", f"WITH {EV}, {PAIRS}, c AS (SELECT DISTINCT category FROM ev) SELECT category, (SELECT string_agg(effect, ',' ORDER BY effect) FROM pairs WHERE cause = category) AS successors, (SELECT string_agg(cause, ',' ORDER BY cause) FROM pairs WHERE effect = category) AS predecessors FROM c")(
     lambda s, d: events(s, d).select("category").distinct().join(lk.successors(edges(s)), "category", "left").join(lk.predecessors(edges(s)), "category", "left").select("category", joined("successors").alias("successors"), joined("predecessors").alias("predecessors")))
 
+query("g5_related", f"""WITH {EV}, {PAIRS}, c AS (SELECT DISTINCT category FROM ev) SELECT x.category AS a, y.category AS b, p.cause IS NOT NULL OR z.cause IS NOT NULL AS related, p.lo AS min_gap_sec, p.hi AS max_gap_sec, p.why_en
+ FROM c x, c y LEFT JOIN pairs p ON p.cause = x.category AND p.effect = y.category LEFT JOIN pairs z ON z.cause = y.category AND z.effect = x.category""")(lambda s, d: related(s, d))
+
+
+def related(s, d):
+    c = events(s, d).groupBy(F.lit(0).alias("_")).agg(F.collect_set("category").alias("c"))  # the known categories
+    pairs = c.select(F.explode("c").alias("a"), "c").select("a", F.explode("c").alias("b"))
+    return lk.pair_facts(pairs, edges(s)).select("a", "b", "related", C("min_gap_sec").cast("bigint").alias("min_gap_sec"), C("max_gap_sec").cast("bigint").alias("max_gap_sec"), "why_en")
+
+
 # ------------------------------------------------------------------ rejected ----------------
 REJ = f""", np AS (SELECT a.eid AS i, b.eid AS j, a.category AS ci, b.category AS cj, a.h3_cell AS hi_c, b.h3_cell AS hj_c, {D_IJ} AS dist, list_sort(list_concat(a.aids, b.aids)) AS aids
   FROM ep a JOIN cmp ca ON ca.eid = a.eid JOIN ep b ON a.eid < b.eid AND {D_IJ} <= 2 JOIN cmp cb ON cb.eid = b.eid WHERE ca.comp <> cb.comp),
@@ -384,6 +394,39 @@ def t18(s, d):
     return (x["city"].select(F.lit("city").alias("part"), C("pulse_score").cast("string").alias("value")).unionByName(n("events")).unionByName(n("situations")).unionByName(n("anomalies")))
 
 
+_j = lambda k: F.get_json_object("data", f"$.{k}")
+query("p28_situation_message", MILS + f""", dl AS (SELECT sit, 'created' AS action FROM rv, tt WHERE rev > now - 21600 AND rev <= now UNION ALL SELECT DISTINCT sit, 'updated' FROM ms JOIN rv USING (sit), tt WHERE rev <= now - 21600 AND m > now - 21600 AND m <= now)
+ SELECT 'situation' AS type, {ts('now')} AS sent_utc, action, sit AS situation_id, pulse AS pulse_score, alert AS alert_level, level AS confidence_level, part AS partial, known AS members_known, total AS partial_of FROM pq JOIN dl USING (sit), tt""")(
+    lambda s, d: serve.situation_message(partials(s, d), serve.situation_deltas(asof(s, d).reveals, asof(s, d).milestones, mid(s, d) - 21600, mid(s, d)), mid(s, d)).select(
+        "type", "sent_utc", "action", _j("situation_id").alias("situation_id"), _j("pulse_score").cast("bigint").alias("pulse_score"), _j("alert_level").alias("alert_level"), _j("confidence_level").alias("confidence_level"),
+        _j("partial").cast("boolean").alias("partial"), _j("members_known").cast("bigint").alias("members_known"), _j("partial_of").cast("bigint").alias("partial_of")))
+query("p28_feedhealth_message", MILS + f""", {FEEDS}, la AS (SELECT source, max(t_recv) AS last, count(*) AS n FROM ev, tt WHERE t <= now GROUP BY source)
+ SELECT 'feedhealth' AS type, {ts('now')} AS sent_utc, feed, CASE WHEN last IS NULL OR now - last > 3 * interval_sec THEN 'stale' ELSE 'live' END AS state, now - last AS age_sec, coalesce(n, 0) AS records_total, {ts('last')} AS last_record_utc FROM feeds LEFT JOIN la ON source = feed, tt""")(
+    lambda s, d: serve.feedhealth_message(asof(s, d).snapshot(mid(s, d))["feed_health"], mid(s, d)).select(
+        "type", "sent_utc", _j("feed").alias("feed"), _j("state").alias("state"), _j("age_sec").cast("bigint").alias("age_sec"), _j("records_total").cast("bigint").alias("records_total"), _j("last_record_utc").alias("last_record_utc")))
+query("p28_tick_message", MILS + f""" SELECT 'tick' AS type, {ts('now')} AS sent_utc, {ts('now')} AS sim_time_utc, 7 AS tick, 2.0::double AS speed, (SELECT count(*) FROM ev, tt WHERE t <= now AND (t_end IS NULL OR t_end >= now - 1800)) AS events_active,
+ (SELECT count(*) FROM pq WHERE status = 'active') AS situations_active, (SELECT coalesce(max(pulse), 0) FROM pq WHERE status = 'active') AS city_pulse_score FROM tt""")(lambda s, d: tick(s, d))
+
+
+def tick(s, d):
+    x = asof(s, d).snapshot(mid(s, d))
+    m = serve.tick_message(x["counts"], x["city"], mid(s, d), 7, 2.0)
+    return m.select("type", "sent_utc", _j("sim_time_utc").alias("sim_time_utc"), _j("tick").cast("int").alias("tick"), _j("speed").cast("double").alias("speed"), _j("events_active").cast("bigint").alias("events_active"),
+                    _j("situations_active").cast("bigint").alias("situations_active"), _j("city_pulse_score").cast("bigint").alias("city_pulse_score"))
+
+
+# stopped feeds: health reads killed, and members known by then lower their situations
+_stk = MILS + f", stk AS (SELECT DISTINCT ms.sit FROM ms JOIN sm USING (sit, event_id), tt WHERE sm.source = 'power_discom' AND m <= now)"
+query("t18_snapshot_stopped", _stk + f""" SELECT 'situation' AS part, pq.sit AS name, CASE WHEN stk.sit IS NULL THEN pulse ELSE greatest(0, pulse - 5) END::varchar AS value, CASE WHEN stk.sit IS NULL THEN level WHEN level = 'high' THEN 'med' ELSE 'low' END AS state FROM pq LEFT JOIN stk ON stk.sit = pq.sit
+ UNION ALL SELECT 'feed', f.feed, (SELECT count(*) FROM ev, tt WHERE t <= now AND source = f.feed)::varchar, 'killed' FROM (SELECT 'power_discom' AS feed) f""")(lambda s, d: snapshot_stopped(s, d))
+
+
+def snapshot_stopped(s, d):
+    x = asof(s, d).snapshot(mid(s, d), stopped(s))
+    f = x["feed_health"].filter("state = 'killed'").select(F.lit("feed").alias("part"), C("feed").alias("name"), C("records_total").cast("string").alias("value"), "state")
+    return x["situations"].select(F.lit("situation").alias("part"), C("situation_id").alias("name"), C("pulse_score").cast("string").alias("value"), C("confidence_level").alias("state")).unionByName(f)
+
+
 query("c4_as_of", MILS + " SELECT sit AS situation_id, pulse AS pulse_score, alert AS alert_level, level AS confidence_level, known AS members_known FROM pq")(
     lambda s, d: asof(s, d).snapshot(mid(s, d))["situations"].select("situation_id", "pulse_score", "alert_level", "confidence_level", "members_known"))
 

@@ -74,6 +74,23 @@ class HexGrid:
         return F.array(*pts)
 
 
+def _span(low, high) -> Column:
+    return F.explode(F.sequence(F.floor(low).cast("bigint") - 1, F.ceil(high).cast("bigint") + 1))
+
+
+def cells_in_boxes(boxes, grid: HexGrid, keys: list):
+    """(keys, h3_cell): the cells whose centre lies in a box (lat0, lon0, lat1, lon1), edges included.
+    Rows of cells come from the latitudes, cells of a row from the longitudes."""
+    _, r0 = grid.fractional(F.col("lat0"), F.col("lon0"))
+    _, r1 = grid.fractional(F.col("lat1"), F.col("lon0"))
+    rows = boxes.select(*keys, "lat0", "lon0", "lat1", "lon1", _span(r0, r1).alias("_r"))
+    lat = F.lit(grid.lat0) + F.col("_r") * F.lit(1.5 * grid.edge_m / grid._ky)
+    q0, q1 = (grid.fractional(lat, F.col(x))[0] for x in ("lon0", "lon1"))
+    cells = rows.select(*keys, "lat0", "lon0", "lat1", "lon1", "_r", _span(q0, q1).alias("_q")).withColumn("h3_cell", pack(F.col("_q"), F.col("_r")))
+    clat, clon = grid.centroid(F.col("h3_cell"))
+    return cells.filter(clat.between(F.col("lat0"), F.col("lat1")) & clon.between(F.col("lon0"), F.col("lon1"))).select(*keys, "h3_cell")
+
+
 def pack(q, r) -> Column:
     return ((q + F.lit(BIAS)) * F.lit(SHIFT) + (r + F.lit(BIAS))).cast("bigint")
 

@@ -29,6 +29,23 @@ def set_id(prefix: str, n: int, ids) -> Column:
     return short_id(prefix, n, F.array_join(F.sort_array(ids), "|"))
 
 
+# Tables are joined on the whole SHA-1; what is shown is its first digits.
+KEY = 40
+ID_COLUMNS = ("anomaly_id", "situation_id", "rejected_id")
+
+
+def public(c) -> Column:
+    """The shown text of a key: 6 digits for situations, 8 for anomalies and rejected links."""
+    return F.regexp_replace(c, "^(SIT-[0-9a-f]{6}|(?:ANOM|REJ)-[0-9a-f]{8})[0-9a-f]+$", "$1")
+
+
+def with_public(df):
+    """A table as it is shown: keys in id columns, and in arrays of them, in their shown text."""
+    out = {c: public(F.col(c)) for c in df.columns if c in ID_COLUMNS}
+    out |= {c + "s": F.transform(c + "s", public) for c in ID_COLUMNS if dict(df.dtypes).get(c + "s") == "array<string>"}
+    return df.withColumns(out) if out else df
+
+
 # one grammar per feed: feed:entity@instant, or feed:record
 def ref_at_epoch(feed: str, entity, ts) -> Column:
     return F.concat(F.lit(f"{feed}:"), entity, F.lit("@"), times.epoch(ts).cast("string"))
@@ -43,7 +60,10 @@ def ref_record(feed: str, record_id) -> Column:
 
 
 def record_identity(feed: str) -> tuple:
-    """(raw_ref, entity_ref, t_utc) Columns over a raw feed row; null pieces stay null/empty."""
+    """(raw_ref, entity_ref, t_utc) Columns over a raw feed row; null pieces stay null/empty. The
+    register's rows are named by their own id and have no entity or time of reading."""
+    if feed == "civic_complaints":
+        return F.coalesce(ref_record(feed, F.col("complaint_id")), F.lit("")), F.lit(""), F.lit(None).cast("string")
     spec = {
         "weather_imd": ("station_id", times.from_epoch(F.col("ts")) if feed == "weather_imd" else None),
         "air_sensors": ("sensor", times.from_iso_z("captured") if feed == "air_sensors" else None),

@@ -67,7 +67,7 @@ def flag(tested: DataFrame, p_rare: float, degraded_feeds=(), p: Params = DEFAUL
     d = tested.filter(F.col("volume") | (F.col("rare_ok") & (F.col("p_rare") < p_rare)))
     start = F.timestamp_seconds("w")
     return d.select(
-        ids.short_id("ANOM-", 8, F.col("h3_cell").cast("string"), F.col("category"), times.iso(start)).alias("anomaly_id"),
+        ids.short_id("ANOM-", ids.KEY, F.col("h3_cell").cast("string"), F.col("category"), times.iso(start)).alias("anomaly_id"),
         "h3_cell", "category", start.alias("window_start_utc"),
         F.timestamp_seconds(F.col("w") + p.window_sec).alias("window_end_utc"),
         F.col("observed").alias("observed_count"), round_exact("expected", 4).alias("expected_count"),

@@ -338,7 +338,7 @@ def rejected(episodes: DataFrame, components: DataFrame, seconds: DataFrame, edg
          .join(an.select(F.col("episode_id").alias("j"), F.col("anomaly_ids").alias("_aj")), "j")
          .withColumn("anomaly_ids", F.sort_array(F.concat("_ai", "_aj"))))
     return d.select(
-        ids.set_id("REJ-", 8, F.col("anomaly_ids")).alias("rejected_id"), "anomaly_ids",
+        ids.set_id("REJ-", ids.KEY, F.transform("anomaly_ids", ids.public)).alias("rejected_id"), "anomaly_ids",
         F.array_sort(F.array_distinct(F.array("category_i", "category_j"))).alias("categories"),
         F.array_sort(F.array_distinct(F.array("cell_i", "cell_j"))).alias("h3_cells"),
         F.abs("gap").alias("gap_sec"), F.col("distance").alias("grid_distance"), "reason_en", "reason_hi", "i", "j")
@@ -351,3 +351,11 @@ def successors(edges: DataFrame) -> DataFrame:
 
 def predecessors(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("effect").alias("category")).agg(F.array_sort(F.collect_set("cause")).alias("predecessors"))
+
+
+def pair_facts(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b) with ``related`` (an edge either way), and the window and reasons of the edge a to b."""
+    e = edges.select(F.col("cause").alias("a"), F.col("effect").alias("b"), "min_gap_sec", "max_gap_sec", "why_en", "why_hi")
+    back = edges.select(F.col("cause").alias("b"), F.col("effect").alias("a"), F.lit(True).alias("_back"))
+    d = pairs.select("a", "b").distinct().join(e, ["a", "b"], "left").join(back, ["a", "b"], "left")
+    return d.withColumn("related", F.col("min_gap_sec").isNotNull() | F.col("_back").isNotNull()).drop("_back")

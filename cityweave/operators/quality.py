@@ -10,6 +10,11 @@ from ..functions.hexgrid import HexGrid, in_bbox
 from ..params import DEFAULT, Params
 from .scale import with_scalars
 
+# fixed values: the sentence about data of another version
+DATA_WARNING = "Data is out of date for this code: "
+DATA_PROBLEMS = {"missing feed": "missing raw feed file(s): {}", "unknown category": "categories this code no longer knows: {}",
+                 "older than feed": "situations.jsonl is older than the raw feeds (pipeline not finished)"}
+
 
 def resolver_rates(complaints: DataFrame) -> DataFrame:
     """Hits, misses and hit rate of landmark resolution among rows that reached it."""
@@ -21,6 +26,7 @@ def resolver_rates(complaints: DataFrame) -> DataFrame:
 
 
 def registry_rates(records: DataFrame, flag: str = "resolved") -> DataFrame:
+    """Registry lookups that hit and that missed."""
     return records.agg(F.count(F.when(F.col(flag), 1)).alias("hit"), F.count(F.when(~F.col(flag), 1)).alias("miss"))
 
 
@@ -59,13 +65,20 @@ def stationarity(events: DataFrame) -> DataFrame:
     return a.select("days", "mean", cv.alias("cv"), pk.alias("peak_over_median"), ((cv < 0.35) & (pk < 2.0)).alias("stationary"))
 
 
-def data_problems(events: DataFrame, cats: DataFrame) -> DataFrame:
-    """Categories in the data that the vocabulary does not know."""
-    return (events.select("category").distinct().join(cats.select("category"), "category", "left_anti"))
+def data_problems(events: DataFrame, cats: DataFrame, chain: DataFrame = None) -> DataFrame:
+    """Categories of events, and of the steps of situations, that the vocabulary does not know."""
+    seen = events.select("category") if chain is None else events.select("category").unionByName(chain.select("category"))
+    return seen.distinct().join(cats.select("category"), "category", "left_anti")
 
 
-def emitted_rules(events: DataFrame) -> DataFrame:
-    """Newest start per source, used to compare derived tables with the feeds behind them."""
-    return events.groupBy("source").agg(F.max(times.iso(F.col("start_utc"))).alias("newest"), F.count("*").alias("n"))
+def data_warning(problems: DataFrame) -> DataFrame:
+    """One sentence over the rows (problem, what) of a data check, null without any; each kind of
+    problem names at most every feed or category once."""
+    said = problems.groupBy("problem").agg(F.array_join(F.sort_array(F.collect_set("what")), ", ").alias("whats"))
+    row = F.create_map(*[F.lit(x) for kv in DATA_PROBLEMS.items() for x in kv])
+    parts = said.select(F.array_position(F.array(*map(F.lit, DATA_PROBLEMS)), F.col("problem")).alias("k"),
+                        F.replace(row[F.col("problem")], F.lit("{}"), F.col("whats")).alias("s"))
+    all_ = parts.agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("x"))
+    return all_.select(F.when(F.size("x") > 0, F.concat(F.lit(DATA_WARNING), F.array_join(F.transform("x", lambda p: p["s"]), "; "), F.lit("."))).alias("data_warning"))
 
 

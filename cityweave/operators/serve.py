@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions import severity as sv, text as tx, times
+from ..functions import ids, severity as sv, text as tx, times
 from ..params import DEFAULT, Params
 from .scale import one_row, rank_in, with_scalars
 
@@ -21,7 +21,9 @@ def at(t) -> Column:
 
 # ------------------------------------------------------------------ events -----------------
 def revealed_events(events: DataFrame, t) -> DataFrame:
-    return events.filter(F.col("start_utc") <= at(t))
+    """Events started by t; a store partitioned by ``date`` is read up to that day."""
+    d = events.filter(F.col("start_utc") <= at(t))
+    return d.filter(F.col("date") <= F.to_date(at(t))) if "date" in events.columns else d
 
 
 def active_events(events: DataFrame, t, p: Params = DEFAULT) -> DataFrame:
@@ -73,14 +75,15 @@ def partial_situations(situations: DataFrame, ms: DataFrame, reveals: DataFrame,
     keep their final scores. ``ms`` carries severity, confidence, source and category."""
     cut = at(t)
     seen = F.col("milestone") <= cut
-    a = ms.groupBy("situation_id").agg(
+    shown = reveals.filter(F.col("reveal_utc") <= cut)
+    a = ms.join(shown, "situation_id", "left_semi").groupBy("situation_id").agg(
         F.count("*").alias("partial_of"), F.count(F.when(seen, 1)).alias("members_known"),
         F.max(F.when(seen, F.col("severity"))).alias("_sev"),
         (F.sum(F.when(seen, F.col("confidence").cast("decimal(9,4)"))).cast("double") / F.count(F.when(seen, 1))).alias("_conf"),
         F.array_compact(F.collect_set(F.when(seen, F.col("source")))).alias("_src"),
         F.array_sort(F.array_compact(F.collect_set(F.when(seen, F.col("category"))))).alias("known_categories"),
         F.size(F.collect_set("category")).alias("_ncat"))
-    d = situations.join(reveals, "situation_id").filter(F.col("reveal_utc") <= cut).join(a, "situation_id")
+    d = situations.join(shown, "situation_id").join(a, "situation_id")
     partial = F.col("members_known") < F.col("partial_of")
     pulse = F.when(F.col("members_known") == 0, 0).otherwise(sv.pulse(F.col("_sev"), F.col("_conf"), F.size("_src")))
     share = F.size("known_categories") / F.col("_ncat")
@@ -126,10 +129,6 @@ def apply_stopped(situations: DataFrame, sit_members: DataFrame, stopped: DataFr
             .withColumn("alert_level", F.when(hit, sv.alert_level(F.col("pulse_score"))).otherwise(F.col("alert_level"))))
 
 
-def active_situations(partials: DataFrame) -> DataFrame:
-    return partials.filter("status = 'active'")
-
-
 def rejected_as_of(rejected: DataFrame, anomalies: DataFrame, t=None) -> DataFrame:
     """A rejected link shows once every window it considered has closed."""
     e = (rejected.select("rejected_id", F.explode("anomaly_ids").alias("anomaly_id"))
@@ -201,6 +200,37 @@ def event_message(events: DataFrame, t) -> DataFrame:
                          F.to_json(data, {"ignoreNullFields": "false"}).alias("data"), "event_id")
 
 
+SITUATION_FIELDS = ("situation_id", "status", "pulse_score", "alert_level", "headline_en", "headline_hi", "h3_cells", "confidence_level",
+                    "confidence_reason_en", "confidence_reason_hi", "is_decoy", "partial", "members_known", "partial_of")
+
+
+def _message(rows: DataFrame, kind: str, t, fields, *more) -> DataFrame:
+    """type, sent_utc, ``more`` and the payload of ``fields`` as JSON, times as text."""
+    times_ = {f.name for f in rows.schema.fields if f.dataType.typeName() == "timestamp"}
+    data = F.struct(*[(times.iso(F.col(c)) if c in times_ else F.col(c)).alias(c) for c in fields])
+    return rows.select(F.lit(kind).alias("type"), times.iso(at(t)).alias("sent_utc"), *more, F.to_json(data, {"ignoreNullFields": "false"}).alias("data"))
+
+
+def situation_message(shown: DataFrame, deltas: DataFrame, t) -> DataFrame:
+    """A message for each situation created or updated: the situation as far as it is known at t.
+    ``shown`` are partial situations (with any stopped feeds applied), ``deltas`` their actions."""
+    d = ids.with_public(shown).join(ids.with_public(deltas), "situation_id")
+    return _message(d, "situation", t, [c for c in SITUATION_FIELDS if c in d.columns], "action")
+
+
+def feedhealth_message(changes: DataFrame, t) -> DataFrame:
+    """A message for each feed whose state changed: its health row."""
+    return _message(changes, "feedhealth", t, ("feed", "state", "last_record_utc", "age_sec", "interval_sec", "records_total", "records_dropped", "message"))
+
+
+def tick_message(counts_: DataFrame, city: DataFrame, t, tick: int, speed: float, state: str = "playing") -> DataFrame:
+    """The clock's message: counts and the city's level at t."""
+    c = city.select(F.col("pulse_score").alias("city_pulse_score"), F.col("alert_level").alias("city_alert_level"))
+    d = one_row(counts_.select("events_active", "situations_active"), c)
+    d = d.select(at(t).alias("sim_time_utc"), F.lit(tick).alias("tick"), F.lit(float(speed)).alias("speed"), F.lit(state).alias("state"), "*")
+    return _message(d, "tick", t, d.columns)
+
+
 # ------------------------------------------------------------------ raw viewer --------------
 def latest_records(raw: DataFrame, feed: str, t, n: int = 50, tie: str = "seq") -> DataFrame:
     """Newest n records per feed as of t. The rank filter becomes a per-task group limit before

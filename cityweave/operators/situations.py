@@ -29,7 +29,7 @@ def situation_ids(eligible: DataFrame, components: DataFrame, episodes: DataFram
     a = d.groupBy("component", "standalone").agg(
         F.array_sort(F.flatten(F.collect_list("anomaly_ids"))).alias("anomaly_ids"),
         F.max("window_end_utc").alias("created_utc"))
-    return a.withColumn("situation_id", ids.set_id("SIT-", 6, F.col("anomaly_ids")))
+    return a.withColumn("situation_id", ids.set_id("SIT-", ids.KEY, F.transform("anomaly_ids", ids.public)))
 
 
 def chain(resolved: DataFrame, keyed: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def nest(situations: DataFrame, members: DataFrame, chain_: DataFrame, page_size
     nxt = F.when(F.col("next_category").isNotNull(), F.struct(
         F.col("next_category").alias("category"), F.array("lag_from_sec", "lag_to_sec").alias("typical_lag_range_sec"), "based_on"))
     return d.select(
-        "situation_id", times.iso(F.col("created_utc")).alias("created_utc"), times.iso(F.col("updated_utc")).alias("updated_utc"),
+        ids.public(F.col("situation_id")).alias("situation_id"), times.iso(F.col("created_utc")).alias("created_utc"), times.iso(F.col("updated_utc")).alias("updated_utc"),
         "status", "pulse_score", "alert_level", "headline_en", "headline_hi",
         F.struct("label_en", "label_hi", "h3_cells", F.struct("lat", "lon").alias("centroid")).alias("zone"),
         F.col("ids").alias("member_event_ids"), F.col("page").alias("member_page"), F.col("pages").alias("member_pages"), "n_members", "chain",

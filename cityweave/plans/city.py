@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions import times
+from ..functions import ids, times
 from ..functions.hexgrid import HexGrid, in_bbox
 from ..operators import baseline as bl
 from ..operators import detect as dt
 from ..operators import ingest as ig
 from ..operators import link as lk
+from ..operators import quality
 from ..operators import score as sc
 from ..operators import serve as srv
 from ..operators import situations as st
@@ -157,32 +158,38 @@ class AsOf:
     reveals: DataFrame
     edges: DataFrame
     p: Params = field(default_factory=Params)
+    problems: DataFrame = None
 
     def snapshot(self, t, stopped: DataFrame = None) -> dict:
-        """City, counts, events, situations, predictions and rejected links as of t."""
+        """City, counts, events, situations, predictions, feed health and rejected links as of t.
+        ``stopped`` feeds read as killed and lower the situations with a member of theirs known by t."""
         part = srv.partial_situations(self.situations, self.milestones, self.reveals, t)
+        part_shown, killed = part, ()
         if stopped is not None:
-            part_shown = srv.apply_stopped(part, self.milestones, stopped, self.p)
-        else:
-            part_shown = part
+            part_shown = srv.apply_stopped(part, self.milestones.filter(F.col("milestone") <= srv.at(t)), stopped, self.p)
+            killed = [r["feed"] for r in stopped.select("feed").distinct().collect()]  # some of the known feeds
         spark = self.events.sparkSession
-        return {
+        tables = {
             "city": srv.city_rollup(part_shown), "cells": srv.cell_rollup(part_shown),
             "counts": srv.counts(self.events, part, t, self.p), "events": srv.active_events(self.events, t, self.p),
             "situations": part_shown, "predictions": srv.partial_predictions(part, self.edges),
-            "feed_health": ig.feed_health(ig.event_arrivals(srv.revealed_events(self.events, t)), dims.feeds(spark), srv.at(t), p=self.p),
+            "feed_health": ig.feed_health(ig.event_arrivals(srv.revealed_events(self.events, t)), dims.feeds(spark), srv.at(t), killed=killed, p=self.p),
             "rejected_candidates": srv.rejected_as_of(self.rejected, self.anomalies, t),
             "anomalies": srv.anomalies_as_of(self.anomalies, t),
         }
+        if self.problems is not None:
+            tables["data_warning"] = quality.data_warning(self.problems)
+        return {name: ids.with_public(table) for name, table in tables.items()}
 
 
-def as_of(events: DataFrame, d: Detected, l: Linked, p: Params = DEFAULT) -> AsOf:
+def as_of(events: DataFrame, d: Detected, l: Linked, p: Params = DEFAULT, problems: DataFrame = None) -> AsOf:
+    """``problems``: what ``readers.data_version`` found, shown with every snapshot."""
     spark = events.sparkSession
     facts = events.select("event_id", "start_utc")
     m = l.members.select("situation_id", "event_id", "category", "severity", "confidence", "source").join(facts, "event_id")
     ms = stage(srv.milestones(m, srv.event_window_end(d.members, d.anomalies)), "milestones")
     reveals = stage(srv.reveal_times(ms, l.situations), "reveals")
-    return AsOf(events, d.anomalies, l.situations, l.rejected, ms, reveals, dims.plausible_pairs(spark), p)
+    return AsOf(events, d.anomalies, l.situations, l.rejected, ms, reveals, dims.plausible_pairs(spark), p, problems)
 
 
 def score(situations: DataFrame, members: DataFrame, truths: DataFrame, truth_members: DataFrame,
@@ -192,4 +199,5 @@ def score(situations: DataFrame, members: DataFrame, truths: DataFrame, truth_me
     per = stage(sc.per_truth(m, truths, situations, p), "per-truth")
     fps = sc.false_positives(per, situations, members, decoy_members)
     dec = sc.decoy_status(decoy_members, members)
-    return {"scorecard": sc.scorecard(per, fps, dec), "per_truth": per, "false_positives": fps, "decoys": dec}
+    tables = {"scorecard": sc.scorecard(per, fps, dec), "per_truth": per, "false_positives": fps, "decoys": dec}
+    return {name: ids.with_public(table) for name, table in tables.items()}

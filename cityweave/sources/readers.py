@@ -134,7 +134,7 @@ def write_json_lines(df: DataFrame, path: str, order: list) -> None:
 def anomaly_documents(anomalies: DataFrame, members: DataFrame, page_size: int = 10_000) -> DataFrame:
     """Anomalies with their event ids, one row per page of ids in their order."""
     pages = id_pages(members, "anomaly_id", "event_id", page_size)
-    return anomalies.join(pages, "anomaly_id").withColumnRenamed("ids", "contributing_event_ids")
+    return ids.with_public(anomalies.join(pages, "anomaly_id").withColumnRenamed("ids", "contributing_event_ids"))
 
 
 def feed_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,12 +150,13 @@ def feed_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "feed string, present boolean, modified bigint")
 
 
-def data_version(spark: SparkSession, folder: str, events: DataFrame, cats: DataFrame, derived_modified: int = None) -> DataFrame:
-    """One row per problem: missing feeds, unknown categories, derived tables older than feeds."""
+def data_version(spark: SparkSession, folder: str, events: DataFrame, cats: DataFrame, derived_modified: int = None, chain: DataFrame = None) -> DataFrame:
+    """One row per problem: missing feeds, unknown categories of events and of situations' steps,
+    derived tables older than feeds."""
     from ..operators.quality import data_problems
     files = feed_files(spark, folder)
     a = files.filter("not present").select(F.lit("missing feed").alias("problem"), F.col("feed").alias("what"))
-    b = data_problems(events, cats).select(F.lit("unknown category").alias("problem"), F.col("category").alias("what"))
+    b = data_problems(events, cats, chain).select(F.lit("unknown category").alias("problem"), F.col("category").alias("what"))
     c = (files.filter(F.col("modified") > F.lit(derived_modified)).select(F.lit("older than feed").alias("problem"), F.col("feed").alias("what"))
          if derived_modified is not None else a.limit(0))
     return a.unionByName(b).unionByName(c)
