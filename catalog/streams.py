@@ -1,5 +1,4 @@
 """Streaming operators drained over the tables read as streams."""
-import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,21 +8,30 @@ from cityweave.operators import ingest as ig
 from cityweave.operators.scale import stage_root
 from cityweave.streaming import live
 
-from .base import CANON, EV, GRID, P, ROWS, iso, portable, query, r6, ready, table, ts
-from .columns import POWER_SQL, R, REG_SQL, WEATHER
-from .feeds import OUT, _CSEL, _PC, _WS, cand_out, island_sql
+from .base import CANON, EV, GRID, P, ROWS, duck, iso, memo, portable, query, r6, ts
+from .columns import R, REG_SQL, WEATHER, power_feed
+from .feeds import CR, DREG_SQL, OUT, PD, PS, _AS, _CSEL, _DS, _PC, _WS, air, cand_out, complaint_feed, drains, island_sql
 from .situations import MILS, asof
 
 C = F.col
 
 
-def stream(s, d, sql):
-    """A portable derivation over one table read as a stream; other tables stay static."""
-    names = re.findall(r"\{(\w+)\}", sql)
-    lead = names[0]
-    text = re.sub(r"@EPOCH\(([^()]*)\)", r"unix_timestamp(cast(\1 as timestamp))", sql)
-    src = ready(s).readStream.schema(table(s, d, lead).schema).option("pathGlobFilter", f"{lead}.parquet").parquet(d)
-    return s.sql(text, **{lead: src}, **{n: table(s, d, n) for n in names if n != lead})
+SLICES = 4
+
+
+def sliced(s, d, name, rows, order):
+    """The rows as a stream of several micro-batches: slices of equal span of ``order``, written one after
+    the other, are read at most a slice's files at a time."""
+    def build():
+        path = f"{stage_root(s)}/slices-{name}-{uuid.uuid4().hex}"
+        x = rows()
+        lo, hi = x.agg(F.min(order), F.max(order)).first()
+        for k in range(SLICES):
+            x.filter(F.floor((C(order) - lo) * SLICES / (hi - lo + 1)) == k).write.mode("append").parquet(path)
+        return path, x.schema, len(s.read.schema(x.schema).parquet(path).inputFiles())
+
+    path, schema, files = memo(s, d, f"slices-{name}", build)
+    return s.readStream.schema(schema).option("maxFilesPerTrigger", max(1, files // SLICES)).parquet(path)
 
 
 def drain(s, x, mode="append"):
@@ -32,7 +40,7 @@ def drain(s, x, mode="append"):
 
 
 def weather_stream(s, d):
-    x = stream(s, d, ROWS)
+    x = sliced(s, d, "rows", lambda: portable(s, d, ROWS), "event_id")
     f = x.select(C("event_id").alias("seq"), C("entity").alias("station_id"), C("t").alias("ts"),
                  F.when((C("value") >= 30) & (C("value") < 32), C("lat") + 1).otherwise(C("lat")).alias("lat"), "lon",
                  F.when(C("value") >= 2, C("value") * 0.2).alias("rain_mm_15min"), (C("value") * 0.2 + 22).alias("temp_c"), F.lit(60).alias("rh_pct"))
@@ -40,7 +48,7 @@ def weather_stream(s, d):
 
 
 def canon_stream(s, d):
-    x = stream(s, d, CANON)
+    x = sliced(s, d, "canon", lambda: portable(s, d, CANON), "t")
     return (x.filter(sv.crosses_floor(C("category"), C("measure"))).withColumn("severity", sv.severity(C("category"), C("measure")))
             .withColumn("h3_cell", GRID.cell(C("lat"), C("lon"))).withColumn("start_utc", F.timestamp_seconds("t"))
             .withColumn("received_at", F.timestamp_seconds(C("t") + sv.interval_of(C("source")))))
@@ -48,12 +56,19 @@ def canon_stream(s, d):
 
 query("r1_feed_ingest", R + f"SELECT seq, category, round(measure, 6) AS measure FROM ({WEATHER})")(
     lambda s, d: drain(s, weather_stream(s, d).select("seq", "category", "measure")).select("seq", "category", r6("measure").alias("measure")))
+query("r1_air_episodes", _AS + island_sql("am") + " " + _CSEL)(lambda s, d: cand_out(drain(s, live.stream_episodes(
+    ig.air_readings(sliced(s, d, "air", lambda: air(s, d), "seq"), PS, GRID)))))
+query("r1_drain_episodes", _DS + island_sql("dm") + " " + _CSEL)(lambda s, d: cand_out(drain(s, live.stream_episodes(
+    ig.drain_readings(sliced(s, d, "drains", lambda: drains(s, d), "seq"), portable(s, d, DREG_SQL), PD, GRID).filter("located")))))
+query("r1_power_events", f"WITH {OUT}{_PC}, c AS (SELECT seq, category, measure, t, NULL::bigint AS e FROM pc UNION ALL SELECT seq, category, measure, t, t_end FROM pc WHERE t_end IS NOT NULL) SELECT seq, category, round(measure, 3) AS measure, {ts('t')} AS start_utc, {ts('e')} AS end_utc FROM c")(
+    lambda s, d: drain(s, live.outage_events(power_stream(s, d))).select("seq", "category", "measure", iso("start_utc").alias("start_utc"), iso("end_utc").alias("end_utc")))
+query("r1_complaint_events", f"WITH {CR} SELECT seq, category, 'civic_complaints:' || complaint_id AS raw_ref FROM cr WHERE drop_reason IS NULL")(
+    lambda s, d: drain(s, live.complaint_events(ig.complaint_records(sliced(s, d, "complaints", lambda: complaint_feed(s, d), "seq"), PS, GRID))).select("seq", "category", "raw_ref"))
 query("r2_stateful_episodes", _WS + island_sql("wm") + " " + _CSEL)(lambda s, d: cand_out(drain(s, live.stream_episodes(weather_stream(s, d).filter("located")))))
 
 
 def power_stream(s, d):
-    x = stream(s, d, POWER_SQL).withColumn("reported_time", F.date_format(F.timestamp_seconds("t_local"), "yyyy-MM-dd'T'HH:mm:ss")).drop("t_local")
-    return ig.power_records(x, portable(s, d, REG_SQL))
+    return ig.power_records(sliced(s, d, "power", lambda: power_feed(s, d), "seq"), portable(s, d, REG_SQL))
 
 
 query("r3_stateful_outages", f"WITH {OUT}{_PC} SELECT seq, category, measure, {ts('t')} AS start_utc, NULL::varchar AS end_utc FROM pc UNION ALL SELECT seq, category, measure, {ts('t')}, {ts('t_end')} FROM pc WHERE t_end IS NOT NULL")(
@@ -65,24 +80,29 @@ query("r5_drop_resent", f"WITH {EV} SELECT event_id, {ts('t')} AS start_utc FROM
     .select("event_id", iso("start_utc").alias("start_utc")))
 
 
-@query("r6_situation_deltas", MILS + """, b AS (SELECT min(t) - 1 AS prev, max(t) AS cur FROM ev) SELECT sit AS situation_id, 'created' AS action FROM rv, b WHERE rev > prev AND rev <= cur
- UNION ALL SELECT DISTINCT sit, 'updated' FROM ms JOIN rv USING (sit), b WHERE rev <= prev AND m > prev AND m <= cur""")
+_step = f"LEAST({SLICES - 1}, (t - lo) * {SLICES} // (hi - lo + 1))"
+
+
+@query("r6_situation_deltas", MILS + f""", spn AS (SELECT min(t) AS lo, max(t) AS hi FROM ({duck(CANON)}) z), tk AS (SELECT {_step} AS k, min(t) AS first, max(t) AS cur FROM ev, spn GROUP BY ALL), b AS (SELECT cur, coalesce(lag(cur) OVER (ORDER BY k), first - 1) AS prev FROM tk)
+ SELECT sit AS situation_id, cur AS clock, 'created' AS action FROM rv, b WHERE rev > prev AND rev <= cur UNION ALL SELECT DISTINCT sit, cur, 'updated' FROM ms JOIN rv USING (sit), b WHERE rev <= prev AND m > prev AND m <= cur""")
 def r6_deltas(s, d):
     a = asof(s, d)
     root = f"{stage_root(s)}/deltas-{uuid.uuid4().hex}"
     ticks = canon_stream(s, d).select(C("start_utc").alias("t"))
-    q = (ticks.writeStream.foreachBatch(live.delta_writer(a.reveals, a.milestones, root)).option("checkpointLocation", f"{root}/checkpoint")
+    q = (ticks.writeStream.foreachBatch(live.delta_writer(a.reveals, a.milestones, root, a.situations)).option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return s.read.parquet(f"{root}/deltas").select("situation_id", "action")
+    return s.read.parquet(f"{root}/deltas").filter(F.get_json_object("data", "$.members_known") > 0).select("situation_id", "clock", "action")
 
 
 @query("r7_health_changes", f"""WITH {EV}, m AS (SELECT source AS feed, t_recv // 60 AS minute, max(t_recv) AS t FROM ev GROUP BY ALL), k AS (SELECT feed, t, lag(t) OVER (PARTITION BY feed ORDER BY t) AS p, 3 * CASE feed WHEN 'weather_imd' THEN 300 WHEN 'civic_complaints' THEN 60 ELSE 120 END AS lim FROM m)
  SELECT feed, 'live' AS state, {ts('t')} AS t FROM k WHERE p IS NULL OR t - p > lim UNION ALL SELECT feed, 'stale', {ts('p + lim + 1')} FROM k WHERE t - p > lim
- UNION ALL SELECT feed, 'stale', {ts('max(t) + max(lim) + 1')} FROM k GROUP BY feed HAVING max(t) + max(lim) < (SELECT max(t_recv) FROM ev) - 90""")
+ UNION ALL SELECT feed, 'stale', {ts('max(t) + max(lim) + 1')} FROM k GROUP BY feed HAVING max(t) + max(lim) < (SELECT greatest(max(t_recv), (SELECT max(t) FROM ({duck(CANON)}) c)) FROM ev) - 90""")
 def r7(s, d):
     root = f"{stage_root(s)}/health-{uuid.uuid4().hex}"
     x = canon_stream(s, d).select(C("source").alias("feed"), C("received_at").alias("t"))
+    clock = sliced(s, d, "clock", lambda: portable(s, d, CANON).select("t"), "t").select(F.timestamp_seconds("t").alias("t"))
+    x = live.with_clock(x, clock)  # the clock says the same times once more
     x.writeStream.foreachBatch(live.health_writer(root)).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(f"{root}/changes").select("feed", "state", iso("t").alias("t"))
 
@@ -92,4 +112,5 @@ query("r9_late_and_drifting_clocks", f"WITH {EV}, k AS (SELECT t_recv // 3600 *
     lambda s, d: drain(s, live.tolerate(canon_stream(s, d), "received_at", 90, 600).groupBy(F.window("received_at", "1 hour"), "source").agg(F.count("*").alias("n"))
                        .select(F.unix_timestamp("window.start").alias("t"), "source", "n")))
 query("r10_running_rates", _rate + "90")(lambda s, d: drain(s, live.live_rates(canon_stream(s, d), 3600)))
-
+query("r10_tick_totals", f"WITH {EV}, k AS (SELECT t_recv // 3600 * 3600 AS t, count(*) AS events, count(DISTINCT source) AS feeds FROM ev GROUP BY ALL) SELECT t, events, feeds FROM k WHERE t + 3600 <= (SELECT max(t_recv) FROM ev) - 90")(
+    lambda s, d: drain(s, live.tick_totals(canon_stream(s, d), 3600)))

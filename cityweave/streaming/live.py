@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import vocabulary as v
-from ..functions import severity as sv, times
+from ..functions import ids, severity as sv, times
 from ..operators import ingest as ig
 from ..operators import serve as srv
 from ..params import DEFAULT, Params
@@ -51,40 +51,44 @@ CANDIDATE = ("source string, entity string, category string, seq bigint, raw_ref
              "end_utc timestamp, lat double, lon double, h3_cell bigint, measure double, confidence double, resolution string")
 
 
-def _sorted(chunks, order: str) -> pd.DataFrame:
+def _ordered(chunks) -> pd.DataFrame | None:
     frames = [c for c in chunks if len(c)]
-    return pd.concat(frames).sort_values(order, kind="stable") if frames else pd.DataFrame()
+    return pd.concat(frames, ignore_index=True).sort_values("seq", kind="stable", ignore_index=True) if frames else None
+
+
+def _when(t):
+    return None if t is None or pd.isna(t) else pd.Timestamp(t).to_pydatetime()
 
 
 def stream_episodes(readings: DataFrame) -> DataFrame:
     """Candidates of threshold episodes. State per (source, entity, category): the open episode's
-    reference, start and peak."""
+    reference, start and peak, one row. A micro-batch of a key is worked on in columns: readings up to
+    and with the one that breaks off are an island, and the open episode leads the first."""
     floors = {c: lo for c, _, lo, _ in v.CATEGORIES}
+    names = [f.split()[0] for f in CANDIDATE.split(", ")]
 
     def step(key, chunks, state):
-        source, entity, category = key
-        ref, start, peak = state.get if state.exists else (None, None, None)
-        rows = []
-        for r in _sorted(chunks, "seq").itertuples(index=False):
-            fault = bool(r.fault)
-            above = not fault and r.measure >= floors[category]
-            if above:
-                if ref is None:
-                    ref, start, peak = r.raw_ref, r.t, r.measure
-                peak = max(peak, r.measure)
-            if ref is not None and bool(r.located):
-                rows.append((source, entity, category, r.seq, ref, start, None if above else r.t, r.lat, r.lon, r.h3_cell,
-                             float(r.measure if above else peak), r.confidence, r.resolution))
-            if not above:
-                ref, start, peak = None, None, None
-        if ref is None:
+        d = _ordered(chunks)
+        if d is None:
+            return
+        ref0, start0, peak0 = state.get if state.exists else (None, None, None)
+        above = ~d["fault"].fillna(False).astype(bool) & (d["measure"] >= floors[key[2]])
+        island = (~above).cumsum() - (~above)  # a breaking reading is in the island it ends
+        lead = (island == 0) & (ref0 is not None)
+        first = lambda c: d[c].where(above).groupby(island).transform("first")
+        ref = first("raw_ref").mask(lead, ref0)
+        start = first("t").mask(lead, pd.Timestamp(start0)) if ref0 is not None else first("t")
+        peak = d["measure"].where(above).groupby(island).cummax().groupby(island).ffill()
+        peak = peak.mask(lead, peak.fillna(peak0).clip(lower=peak0)) if ref0 is not None else peak
+        # readings before the first above are in no episode: an island is such readings, or the one that breaks off
+        out = pd.DataFrame({"source": key[0], "entity": key[1], "category": key[2], "seq": d["seq"], "raw_ref": ref, "start_utc": start,
+                            "end_utc": d["t"].where(~above), "lat": d["lat"], "lon": d["lon"], "h3_cell": d["h3_cell"],
+                            "measure": d["measure"].where(above, peak).astype(float), "confidence": d["confidence"], "resolution": d["resolution"]})
+        if bool(above.iloc[-1]):
+            state.update((ref.iloc[-1], _when(start.iloc[-1]), float(peak.iloc[-1])))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((ref, start.to_pydatetime() if hasattr(start, "to_pydatetime") else start, float(peak)))
-        out = pd.DataFrame(rows, columns=["source", "entity", "category", "seq", "raw_ref", "start_utc", "end_utc", "lat", "lon",
-                                          "h3_cell", "measure", "confidence", "resolution"])
-        out["start_utc"], out["end_utc"] = pd.to_datetime(out["start_utc"]), pd.to_datetime(out["end_utc"])
-        yield out
+        yield out[ref.notna() & d["located"].astype(bool)][names]
 
     return readings.groupBy("source", "entity", "category").applyInPandasWithState(
         step, CANDIDATE, "ref string, start timestamp, peak double", "append", GroupStateTimeout.NoTimeout)
@@ -95,40 +99,41 @@ OUTAGE = ("source string, entity string, category string, seq bigint, raw_ref st
 
 
 def stream_outages(records: DataFrame) -> DataFrame:
-    """Trips and their closing restores. State per feeder: the open trip and what it emitted."""
+    """Trips and their closing restores. State per feeder: the open trip, one row. A restore closes the
+    trip that is the record before it among trips and restores; so a micro-batch needs one shift."""
     flat = records.filter("resolved").select(
         "source", "entity", "seq", "t", "lat", "lon", "h3_cell", "is_restore", "opens", "cap", "raw_ref", "confidence", "resolution",
         F.array_max(F.transform(F.filter("emits", lambda e: e["category"] == "power.outage"), lambda e: e["measure"])).alias("m_out"),
         F.array_max(F.transform(F.filter("emits", lambda e: e["category"] == "traffic.signal_down"), lambda e: e["measure"])).alias("m_sig"))
+    names = [f.split()[0] for f in OUTAGE.split(", ")]
+    trip = ["seq", "raw_ref", "t", "m_out", "m_sig", "cap"]
 
     def step(key, chunks, state):
-        open_ = state.get if state.exists else None
-        rows = []
-
-        def emit(seq, ref, start, end, place, measures, conf, res, cap):
-            for cat, m in zip(("power.outage", "traffic.signal_down"), measures):
-                if m is not None and m == m:
-                    rows.append(("power_discom", key[0], cat, seq, ref, start, end, *place, float(m), conf, res, cap))
-
-        for r in _sorted(chunks, "seq").itertuples(index=False):
-            cap = None if r.cap is None or r.cap != r.cap else float(r.cap)
-            place = (r.lat, r.lon, int(r.h3_cell))
-            if r.is_restore:
-                if open_ is not None:
-                    emit(open_[0], open_[1], open_[2], r.t, place, open_[3:5], r.confidence, r.resolution, open_[5])
-                    open_ = None
-            elif r.opens:
-                ms = [None if m is None or m != m else float(m) for m in (r.m_out, r.m_sig)]
-                emit(int(r.seq), r.raw_ref, r.t, None, place, ms, r.confidence, r.resolution, cap)
-                open_ = (int(r.seq), r.raw_ref, r.t.to_pydatetime(), ms[0], ms[1], cap)
-        if open_ is None:
-            state.remove()
-        else:
-            state.update(tuple(open_))
-        out = pd.DataFrame(rows, columns=["source", "entity", "category", "seq", "raw_ref", "start_utc", "end_utc", "lat", "lon",
-                                          "h3_cell", "measure", "confidence", "resolution", "cap"])
+        d = _ordered(chunks)
+        if d is None:
+            return
+        d = d[d["is_restore"].astype(bool) | d["opens"].astype(bool)].reset_index(drop=True)
+        if not len(d):
+            return
+        restore = d["is_restore"].astype(bool)
+        before = d[trip].shift(1).astype(object)
+        closes = restore & (~restore).shift(1, fill_value=state.exists)
+        if state.exists:
+            before.loc[0] = pd.Series(list(state.get), index=trip, dtype=object)
+        opened = d[trip].astype(object).where(~restore, before)
+        rows = opened.rename(columns={"t": "start_utc"}).assign(
+            source="power_discom", entity=key[0], end_utc=d["t"].where(restore),
+            **{c: d[c] for c in ("lat", "lon", "h3_cell", "confidence", "resolution")})[~restore | closes]
+        parts = [rows.assign(category=c, measure=pd.to_numeric(rows[m])).dropna(subset=["measure"]) for c, m in (("power.outage", "m_out"), ("traffic.signal_down", "m_sig"))]
+        out = pd.concat(parts)[names]
+        out["seq"], out["cap"] = out["seq"].astype("int64"), pd.to_numeric(out["cap"]).astype("float64")
         out["start_utc"], out["end_utc"] = pd.to_datetime(out["start_utc"]), pd.to_datetime(out["end_utc"])
-        out["cap"] = out["cap"].astype("float64")
+        if not bool(restore.iloc[-1]):
+            x = d.iloc[-1]
+            num = lambda m: None if pd.isna(m) else float(m)
+            state.update((int(x["seq"]), x["raw_ref"], _when(x["t"]), num(x["m_out"]), num(x["m_sig"]), num(x["cap"])))
+        elif state.exists:
+            state.remove()
         yield out
 
     return flat.groupBy("entity").applyInPandasWithState(
@@ -137,10 +142,13 @@ def stream_outages(records: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ windows and rates -------
 def live_windows(events: DataFrame, p: Params = DEFAULT, late_sec: int = 600) -> DataFrame:
-    """Sliding counts with late data up to ``late_sec``; a window is emitted once it is final."""
-    return (events.withWatermark("start_utc", f"{late_sec} seconds")
-            .groupBy(F.window("start_utc", f"{p.window_sec} seconds", f"{p.step_sec} seconds"), "h3_cell", "category")
-            .agg(F.count("*").alias("observed"), F.sum(F.col("severity").cast("decimal(9,4)")).cast("double").alias("severity_weighted"))
+    """Sliding counts with late data up to ``late_sec``; a window is emitted once it is final. Events are
+    first reduced to a row a step, as in the batch form, and steps feed the windows over them."""
+    steps = (events.withWatermark("start_utc", f"{late_sec} seconds")
+             .groupBy(F.window("start_utc", f"{p.step_sec} seconds").alias("step"), "h3_cell", "category")
+             .agg(F.count("*").alias("n"), F.sum(F.col("severity").cast("decimal(9,4)")).alias("sev")))
+    return (steps.groupBy(F.window(F.window_time("step"), f"{p.window_sec} seconds", f"{p.step_sec} seconds"), "h3_cell", "category")
+            .agg(F.sum("n").alias("observed"), F.sum("sev").cast("double").alias("severity_weighted"))
             .select("h3_cell", "category", F.unix_timestamp("window.start").alias("w"), "observed", "severity_weighted"))
 
 
@@ -151,11 +159,19 @@ def live_rates(events: DataFrame, tick_sec: int = 1, late_sec: int = 90) -> Data
             .select(F.unix_timestamp("window.start").alias("t"), "source", "n"))
 
 
+def tick_totals(events: DataFrame, tick_sec: int = 1, late_sec: int = 90) -> DataFrame:
+    """Events per tick over all feeds, with how many feeds spoke."""
+    return (events.withWatermark("received_at", f"{late_sec} seconds")
+            .groupBy(F.window("received_at", f"{tick_sec} seconds")).agg(F.count("*").alias("events"), F.size(F.collect_set("source")).cast("bigint").alias("feeds"))
+            .select(F.unix_timestamp("window.start").alias("t"), "events", "feeds"))
+
+
 # ------------------------------------------------------------------ deltas ------------------
-def delta_writer(reveals: DataFrame, ms: DataFrame, path: str):
+def delta_writer(reveals: DataFrame, ms: DataFrame, path: str, situations: DataFrame = None):
     """``foreachBatch`` function over a stream of clock ticks ``t``: emits situations created and
-    updated since the previous batch. A batch rewrites only its own folder, so a retried batch
-    gives the same output; the previous clock is read back from the folder before it."""
+    updated since the previous batch, with their message as far as they are known by then where
+    ``situations`` are given. A batch rewrites only its own folder, so a retried batch gives the same
+    output; the previous clock is read back from the folder before it."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         cur = batch.agg(F.max(times.epoch(F.col("t")))).first()[0]
@@ -166,7 +182,12 @@ def delta_writer(reveals: DataFrame, ms: DataFrame, path: str):
             seen = spark.read.schema("clock bigint, batch bigint").parquet(f"{path}/clock").filter(F.col("batch") < batch_id)
             prev = seen.agg(F.max("clock")).first()[0]
         prev = batch.agg(F.min(times.epoch(F.col("t")))).first()[0] - 1 if prev is None else prev
-        d = srv.situation_deltas(reveals, ms, int(prev), int(cur)).withColumn("clock", F.lit(int(cur)))
+        d = srv.situation_deltas(reveals, ms, int(prev), int(cur))
+        if situations is not None:
+            known = srv.partial_situations(situations, ms, reveals, int(cur))
+            said = srv.situation_message(known, d, int(cur))
+            d = d.join(said.select(F.get_json_object("data", "$.situation_id").alias("_shown"), "data"), ids.public(F.col("situation_id")) == F.col("_shown")).drop("_shown")
+        d = d.withColumn("clock", F.lit(int(cur)))
         d.write.mode("overwrite").parquet(f"{path}/deltas/batch={batch_id}")
         spark.range(1).select(F.lit(int(cur)).alias("clock")).write.mode("overwrite").parquet(f"{path}/clock/batch={batch_id}")
     return write
@@ -175,7 +196,8 @@ def delta_writer(reveals: DataFrame, ms: DataFrame, path: str):
 # ------------------------------------------------------------------ health ------------------
 def health_writer(path: str, p: Params = DEFAULT, late_sec: int = 90):
     """``foreachBatch`` function over arrivals (feed, t): writes (feed, state, t) whenever a feed's
-    state changes. A batch is first reduced to the last arrival per feed and minute, so a busy
+    state changes. Rows with a null feed are ticks of a clock (see ``with_clock``): they move the time
+    on, so a feed falls silent even when nothing at all arrives. A batch is first reduced to the last arrival per feed and minute, so a busy
     feed costs its minutes; the state kept between batches is one row per feed. Like
     ``delta_writer``, a batch rewrites only its own folders."""
     state_ddl = "feed string, last bigint, state string"
@@ -187,7 +209,7 @@ def health_writer(path: str, p: Params = DEFAULT, late_sec: int = 90):
         now = batch.agg(F.max(t)).first()[0]
         if now is None:
             return
-        m = batch.groupBy("feed", F.floor(t / 60).alias("minute")).agg(F.max(t).alias("last"))
+        m = batch.filter("feed is not null").groupBy("feed", F.floor(t / 60).alias("minute")).agg(F.max(t).alias("last"))
         prev = spark.createDataFrame([], state_ddl)
         if batch_id > 0:
             seen = spark.read.schema(state_ddl + ", batch bigint").parquet(f"{path}/state").filter(F.col("batch") < batch_id)
@@ -214,8 +236,21 @@ def stale_feeds(arrivals: DataFrame, feeds: DataFrame, now, p: Params = DEFAULT)
     return ig.feed_health(arrivals, feeds, now, p=p).filter("state = 'stale'").select("feed", "age_sec")
 
 
-def canonical_stream(readings_candidates: DataFrame) -> DataFrame:
-    """Candidates of a stream as canonical rows."""
-    return ig.build_events(readings_candidates).drop("seq")
+def with_clock(arrivals: DataFrame, clock: DataFrame) -> DataFrame:
+    """Arrivals (feed, t) and the ticks ``t`` of a clock stream, such as the rate source's, as one stream."""
+    return arrivals.select("feed", "t").unionByName(clock.select(F.lit(None).cast("string").alias("feed"), "t"))
+
+
+def sensor_events(readings: DataFrame) -> DataFrame:
+    """Canonical events of a stream of weather, air or drain readings."""
+    return ig.build_events(stream_episodes(readings.filter("located")))
+
+
+def outage_events(records: DataFrame) -> DataFrame:
+    """Canonical events of a stream of power records."""
+    return ig.build_events(stream_outages(records))
 
 
+def complaint_events(register: DataFrame) -> DataFrame:
+    """Canonical events of a stream of register records."""
+    return ig.build_events(ig.complaint_candidates(register))
