@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cityweave import vocabulary as v
 from cityweave.functions import ids, severity as sv, times
 from cityweave.functions.hexgrid import HexGrid
+from cityweave.operators.scale import drop_staged
 from cityweave.params import Params
 from cityweave.sources.readers import ready
 
@@ -196,5 +197,8 @@ def memo(spark, sf, key: str, build):
     return _MEMO[k]
 
 
-def forget():
+def forget(spark=None):
+    """Start from nothing staged; with a session, the staged tables are deleted too."""
     _MEMO.clear()
+    if spark is not None:
+        drop_staged(spark)

@@ -352,5 +352,5 @@ from .base import CATS  # noqa: E402
 @query("c1_ingest", INGEST.replace("WITH ", "WITH " + CATS + ", ", 1))
 def c1(s, d):
     from cityweave.plans import city
-    r = city.ingest(s, weather(s, d), complaint_feed(s, d), power_feed(s, d), drains(s, d), air(s, d), portable(s, d, REG_SQL), portable(s, d, DREG_SQL), p=PD.but(chunk_rows=1 << 45))
+    r = city.ingest(s, weather(s, d), complaint_feed(s, d), power_feed(s, d), drains(s, d), air(s, d), portable(s, d, REG_SQL), portable(s, d, DREG_SQL), p=PS, widths={"drain_scada": PD.chunk_rows})
     return r.events.select("event_id", "source", "category", "h3_cell", iso("start_utc").alias("start_utc"), iso("end_utc").alias("end_utc"), "severity", "confidence", "raw_ref")

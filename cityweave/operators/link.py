@@ -317,6 +317,7 @@ def rejection_reason(d: DataFrame, edges: DataFrame, p: Params = DEFAULT) -> Dat
     none, far, early = e.isNull(), F.col("distance") > p.link_max_distance, gap < e["min_gap_sec"]
     ci, cj = F.col("category_i"), F.col("category_j")
     t = lambda *x: F.concat(*[F.lit(z) if isinstance(z, str) else z for z in x])
+    # fixed values: the published sentences
     en = (F.when(none, t(ci, " and ", cj, " overlapped in time and space but this category pair is not in the plausibility table"))
           .when(far, t(cause, " and ", effect, " fit the expected time gap but the areas are ", dist, " apart, not adjacent"))
           .when(early, t(effect, " showed up before ", cause, " would plausibly cause it"))

@@ -6,6 +6,7 @@ totals; as-of lookups work per (key, time bucket)."""
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,14 +23,37 @@ def stage_root(spark) -> str:
     return root
 
 
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here and the data
-    survives the loss of any executor."""
+    survives the loss of any executor. Who no longer needs what was staged drops it, with
+    ``staging`` or ``drop_staged``."""
     path = f"{stage_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark, since: int = 0) -> None:
+    """Delete the tables staged by this process, or those after the first ``since``."""
+    path_t, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    while len(_staged) > since:
+        p = path_t(_staged.pop())
+        p.getFileSystem(conf).delete(p, True)
+
+
+@contextmanager
+def staging(spark):
+    """What is staged inside is deleted at the end; results must have been written by then."""
+    mark = len(_staged)
+    try:
+        yield
+    finally:
+        drop_staged(spark, mark)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only after measuring that the side is within ``max_rows`` and, as text,
     ``max_bytes``; a larger side goes unhinted to a shuffle join (split by AQE where a key is hot)."""

@@ -9,7 +9,7 @@ from ..functions import ids, severity as sv, text as tx, times
 from ..params import DEFAULT, Params
 from .scale import one_row, rank_in, with_scalars
 
-DAY = 86400
+CHUNK = DEFAULT.step_sec  # seconds of one situation that a task sorts
 
 
 def at(t) -> Column:
@@ -56,7 +56,7 @@ def milestones(sit_members: DataFrame, window_ends: DataFrame) -> DataFrame:
 
 
 def number_milestones(ms: DataFrame) -> DataFrame:
-    return rank_in(ms, ["situation_id"], ["milestone", "event_id"], F.floor(times.epoch(F.col("milestone")) / DAY), "n")
+    return rank_in(ms, ["situation_id"], ["milestone", "event_id"], F.floor(times.epoch(F.col("milestone")) / CHUNK), "n")
 
 
 def reveal_times(ms: DataFrame, situations: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def situation_deltas(reveals: DataFrame, ms: DataFrame, prev, cur) -> DataFrame:
 # ------------------------------------------------------------------ expansion and text ------
 def member_events(sit_members: DataFrame) -> DataFrame:
     """Members in start order, numbered."""
-    return rank_in(sit_members, ["situation_id"], ["start_utc", "event_id"], F.floor(times.epoch(F.col("start_utc")) / DAY), "n")
+    return rank_in(sit_members, ["situation_id"], ["start_utc", "event_id"], F.floor(times.epoch(F.col("start_utc")) / CHUNK), "n")
 
 
 def detail(situations: DataFrame) -> DataFrame:
@@ -325,7 +325,7 @@ def alert_transitions(updates: DataFrame, keep: int = 3, area: str = None) -> Da
     """``new`` for a first appearance, ``worse`` when the level rises; the newest ``keep`` stay.
     ``updates``: situation_id, t, seq, action, alert_level, label_en, status, is_decoy. Updates are
     numbered by chunks and each is joined to the one before it."""
-    n = rank_in(updates, ["situation_id"], ["t", "seq"], F.floor(times.epoch(F.col("t")) / DAY), "_n")
+    n = rank_in(updates, ["situation_id"], ["t", "seq"], F.floor(times.epoch(F.col("t")) / CHUNK), "_n")
     prev = n.select("situation_id", (F.col("_n") + 1).alias("_n"), F.col("alert_level").alias("_prev"))
     d = n.join(prev, ["situation_id", "_n"], "left").drop("_n")
     kind = F.when(F.col("action") == "created", "new").when(_rank(F.col("alert_level")) > _rank(F.col("_prev")), "worse")

@@ -11,7 +11,7 @@ from . import places
 from .scale import PAGE, id_pages, rank_in
 from ..functions.numbers import round_exact
 
-DAY = 86400
+CHUNK = DEFAULT.step_sec  # seconds of one situation that a task sorts
 
 
 def _txt(*parts):
@@ -35,7 +35,7 @@ def situation_ids(eligible: DataFrame, components: DataFrame, episodes: DataFram
 def chain(resolved: DataFrame, keyed: DataFrame, phrases: DataFrame) -> DataFrame:
     """One step per episode by anchor time, then cell; texts compare a step with the one before."""
     d = keyed.select("situation_id", "episode_id").join(resolved, "episode_id")
-    d = rank_in(d, ["situation_id"], ["anchor_t", "h3_cell", "episode_id"], F.floor(F.col("anchor_t") / DAY), "step")
+    d = rank_in(d, ["situation_id"], ["anchor_t", "h3_cell", "episode_id"], F.floor(F.col("anchor_t") / CHUNK), "step")
     prev = d.select("situation_id", (F.col("step") + 1).alias("step"), F.col("anchor_t").alias("_pt"),
                     F.col("h3_cell").alias("_pc"), F.col("anchor_event_id").alias("from_event_id"))
     d = d.join(prev, ["situation_id", "step"], "left").join(phrases, "category", "left")
@@ -69,6 +69,7 @@ def zone(members: DataFrame, grid: HexGrid) -> DataFrame:
     return a.select("situation_id", "h3_cells", en.alias("label_en"), hi.alias("label_hi"), "lat", "lon", "max_grid_distance")
 
 
+# fixed values: the sentences of this module are the published ones
 def spatial_note(n_cells, max_d):
     n = _s(n_cells)
     en = (F.when(n_cells <= 1, "All reports came from the same area")

@@ -30,15 +30,20 @@ class Ingested:
 
 
 def ingest(spark: SparkSession, weather: DataFrame, complaints: DataFrame, power: DataFrame, drains: DataFrame,
-           air: DataFrame, feeders: DataFrame, channels: DataFrame, now=None, p: Params = DEFAULT) -> Ingested:
+           air: DataFrame, feeders: DataFrame, channels: DataFrame, now=None, p: Params = DEFAULT, widths: dict = None) -> Ingested:
     """Five raw feeds (each with ``seq``) and two registries to canonical events, a drop ledger
-    and feed health as of ``now`` (default: the newest arrival)."""
+    and feed health as of ``now`` (default: the newest arrival).
+
+    Each feed is read and normalised once; what follows reads the staged rows. ``widths`` gives the
+    span of ``seq`` that one task sorts for feeds whose ``seq`` isn't a row number."""
     grid = HexGrid(p.hex_edge_m, *p.centre)
-    w, a, d = ig.weather_measures(weather, p, grid), ig.air_readings(air, p, grid), ig.drain_readings(drains, channels, p, grid)
-    marked = [ig.mark_islands(w, p, True), ig.mark_islands(a, p), ig.mark_islands(d, p, True)]
-    records = ig.power_records(power, feeders, grid)
-    outages = ig.pair_outages(records, p)
-    register = ig.complaint_records(complaints, p, grid)
+    of = lambda feed: p.but(chunk_rows=(widths or {}).get(feed, p.chunk_rows))
+    w = stage(ig.weather_measures(weather, p, grid), "weather")
+    a, d = stage(ig.air_readings(air, p, grid), "air"), stage(ig.drain_readings(drains, channels, p, grid), "drains")
+    marked = [ig.mark_islands(w, of("weather_imd"), True), ig.mark_islands(a, of("air_sensors")), ig.mark_islands(d, of("drain_scada"), True)]
+    records = stage(ig.power_records(power, feeders, grid), "power")
+    outages = ig.pair_outages(records, of("power_discom"))
+    register = stage(ig.complaint_records(complaints, p, grid), "register")
 
     built = [ig.build_events(ig.island_episodes(m), p.namespace) for m in marked]
     built += [ig.build_events(ig.outage_candidates(outages), p.namespace), ig.build_events(ig.complaint_candidates(register), p.namespace)]
@@ -46,7 +51,7 @@ def ingest(spark: SparkSession, weather: DataFrame, complaints: DataFrame, power
     for b in built[1:]:
         union = union.unionByName(b)
     folded = stage(ig.fold(union), "events")
-    events = ig.cluster_complaints(folded, p).drop("seq", "n_candidates")
+    events = ig.cluster_complaints(folded, of("civic_complaints")).drop("seq", "n_candidates")
 
     # one pass per feed gives newest arrival, totals and drops
     located, fault = F.col("located"), F.coalesce("fault", F.lit(False))

@@ -237,5 +237,5 @@ FRAMING_HI = ("यह स्थिति उन घटनाओं को जो
 # ---- fixed values: calibration sweep, loosest first --------------------------------------
 RARE_THRESHOLDS = (5e-3, 2e-3, 1e-3, 5e-4, 2e-4, 1e-4, 5e-5, 1e-5, 1e-6, 0.0)
 
-# ---- fixed values: sample population surface ----------------------------------------------
+# ---- fixed value: radius of the earth ------------------------------------------------------
 EARTH_RADIUS_KM = 6371.0088

@@ -136,3 +136,85 @@ def test_broadcast_only_when_counted_small(spark):
     large = scale.broadcast_if_small(spark.range(50), 10)
     hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
     assert hinted(small) and not hinted(large)
+
+
+def test_staged_tables_are_dropped_by_their_owner(spark):
+    import os
+    with scale.staging(spark):
+        kept = scale.stage(spark.range(5), "owned")
+        path = scale._staged[-1]
+        assert kept.count() == 5 and os.path.isdir(path.removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_a_group_of_1500_contending_truths_settles(spark):
+    """All truths want the same situations; both ways of solving it agree with one after the other."""
+    n = 1500
+    o = spark.range(n).selectExpr("concat('T', lpad(id, 5, '0')) as truth_id", "id as pos")
+    tm = spark.range(n).selectExpr("concat('T', lpad(id, 5, '0')) as truth_id", "id % 3 as event_id")
+    sm = spark.range(4 * 3).selectExpr("concat('S', cast(id % 4 as string)) as situation_id", "floor(id / 4) as event_id")
+    sits = spark.range(4).selectExpr("concat('S', cast(id as string)) as situation_id", "timestamp_seconds(0) as created_utc")
+    want = {"T00000": "S0", "T00001": "S1", "T00002": "S2", "T00003": "S3"}
+    for group_pairs in (10 ** 6, 10):
+        got = score.match(o, tm, sits, sm, group_pairs=group_pairs).filter("situation_id is not null").collect()
+        assert {r["truth_id"]: r["situation_id"] for r in got} == want
+
+
+def test_arrival_order_over_files_of_unequal_size(spark, tmp_path):
+    from cityweave.sources import readers
+    lines = []
+    for k, n in enumerate((3, 400, 1, 50, 7)):
+        rows = [f"{k}-{i}" for i in range(n)]
+        (tmp_path / f"2026-01-{k + 1:02d}.txt").write_text("\n".join(rows) + "\n")
+        lines += rows
+    got = readers.with_arrival(spark.read.text(str(tmp_path))).collect()
+    assert [r["value"] for r in sorted(got, key=lambda r: r["seq"])] == lines and sorted(r["seq"] for r in got) == list(range(len(lines)))
+
+
+def test_off_type_values_stay_parsed(spark):
+    from cityweave.sources import readers
+    ok = '{"station_id": "A", "ts": 5, "lat": 26.9, "lon": 75.8, "rain_mm_15min": 1.5, "temp_c": 20.0, "rh_pct": 50, "wind_kph": 1}'
+    cases = [ok, ok.replace('"rh_pct": 50', '"rh_pct": 88.5'), ok.replace('"rh_pct": 50', '"rh_pct": "wet"'), ok[:-1], "[1]", "5"]
+    d = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, value string")
+    got = {r["i"]: r for r in readers.parse_json_lines(d, "weather_imd").collect()}
+    assert [got[i]["parsed_ok"] for i in range(6)] == [True, True, True, False, False, False]
+    assert [got[i]["rh_pct"] for i in range(3)] == [50, 88, None] and all(got[i]["station_id"] == "A" and got[i]["rain_mm_15min"] == 1.5 for i in range(3))
+    assert got[3]["reason"] == "Invalid JSON" and got[3]["raw"] == ok[:-1] and got[1]["raw"] is None
+
+
+def test_gazetteers_of_any_size_and_length(spark):
+    import math
+
+    from cityweave.functions.hexgrid import HexGrid
+    from cityweave.operators import places
+    rnd = random.Random(4)
+    marks = [(i, f"Place {i} Gate", f"P{i}", 26.8 + rnd.random() / 5, 75.7 + rnd.random() / 5) for i in range(300)]
+    marks.append((300, "Seth Govind Das Memorial Public Library Ground", "L", -33.0, 151.0))
+    table = spark.createDataFrame(marks, "pos int, name string, name_hi string, lat double, lon double")
+    texts = spark.createDataFrame([("Near Seth Govind Das Memorial Public Library Ground depot",), ("opp place 7 gate",), ("nowhere at all",)], "t string")
+    by_join = {r["t"]: r["pos"] for r in places.resolve_by_join(texts, "t", table).collect()}
+    assert [by_join[t] for t in ("Near Seth Govind Das Memorial Public Library Ground depot", "opp place 7 gate", "nowhere at all")] == [300, 7, None]
+    inline = [(n, h, a, o) for _, n, h, a, o in marks]
+    assert {r["t"]: r["p"] for r in texts.select("t", places.landmark_position(F.col("t"), inline).alias("p")).collect()} == by_join
+
+    def km(a, b, c, d):
+        x = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return math.asin(math.sqrt(x))
+
+    points = [(26.8 + rnd.random() / 5, 75.7 + rnd.random() / 5) for _ in range(40)] + [(0.0, 0.0), (-35.0, 149.0), (89.0, -179.9), (27.9, 179.9)]
+    got = places.nearest_by_join(spark.createDataFrame(points + [(None, 1.0)], "lat double, lon double"), table).collect()
+    assert {(r["lat"], r["lon"]): r["pos"] for r in got} == {(a, b): min(marks, key=lambda m: (km(a, b, m[3], m[4]), m[0]))[0] for a, b in points} | {(None, 1.0): None}
+    grid = HexGrid()
+    cells = spark.createDataFrame(points[:40], "lat double, lon double").select(grid.cell(F.col("lat"), F.col("lon")).alias("c"))
+    a = sorted(map(str, places.zone_labels(cells, "c", grid, table).collect()))
+    assert a == sorted(map(str, places.zone_labels(cells, "c", grid, inline).collect()))
+
+
+def test_keys_that_share_their_shown_text_stay_apart(spark):
+    from cityweave.functions import ids
+    from cityweave.operators import situations as st
+    a, b = "SIT-abcdef" + "0" * 34, "SIT-abcdef" + "1" * 34
+    m = spark.createDataFrame([(a, "e1"), (a, "e2"), (b, "e3")], "situation_id string, event_id string")
+    pages = scale.id_pages(m, "situation_id", "event_id")
+    assert sorted(len(r["ids"]) for r in pages.collect()) == [1, 2]
+    assert {r["situation_id"] for r in ids.with_public(pages).collect()} == {"SIT-abcdef"} and st.ids is ids
