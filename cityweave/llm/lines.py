@@ -134,10 +134,10 @@ def _star_pairs(lines: DataFrame, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, sent, k: int) -> DataFrame:
     """(set_id, class, first, tokens) of the ``wanted`` classes (set_id, class, first), from the texts
-    of their first lines."""
+    of their first lines. Repeated rows give their sets again; only then are they made distinct."""
     by_doc = wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct("first.line", "set_id", "class")).alias("lines"))  # a document's lines
     near = broadcast_if_small(by_doc.withColumnRenamed("id", "_id"))
-    texts = docs.select("id", "text").join(near, F.col("id").eqNullSafe(F.col("_id"))).dropDuplicates(["id", "text"]).select("id", "text", "lines")
+    texts = docs.select("id", "text").join(near, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = sent.value
@@ -160,7 +160,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, sent, k: int) -> DataFrame:
                         [pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.struct([("id", pa.int64()), ("line", pa.int32())]), pa.binary()))],
                         ["set_id", "class", "first", "tokens"])
 
-    return texts.mapInArrow(run, "set_id binary, class long, first struct<id:long,line:int>, tokens binary")
+    sets = stage(texts.mapInArrow(run, "set_id binary, class long, first struct<id:long,line:int>, tokens binary"), "line-sets")
+    again = sets.groupBy("set_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    return sets.dropDuplicates(["set_id"]) if again else sets
 
 
 def _before(a: dict, b: dict) -> bool:
@@ -211,7 +213,7 @@ def _similar(docs: DataFrame, lines: DataFrame, classes: DataFrame, sent, percen
     """(set_id) of classes to which an earlier class is similar."""
     pairs = stage(_star_pairs(lines, percent), "line-pairs")
     wanted = pairs.select("class").unionByName(pairs.select(F.col("centre").alias("class"))).distinct()
-    sets = stage(_sets(docs, classes.join(wanted, "class").select("set_id", "class", "first"), sent, k), "line-sets")
+    sets = _sets(docs, classes.join(wanted, "class").select("set_id", "class", "first"), sent, k)
     tried = stage(_tried(pairs, sets, percent), "line-tried")
     gone = stage(tried.select(F.col("removed").alias("set_id")).filter("set_id is not null").distinct(), "line-gone")
     # clusters in which a class that still stands may be similar to another than the centre

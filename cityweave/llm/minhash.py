@@ -269,3 +269,11 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, i
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+ORACLE_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT y, c FROM reach JOIN links ON x = doc_id)
+SELECT doc_id, any_value(len(s)) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM s JOIN reach USING (doc_id) GROUP BY doc_id"""

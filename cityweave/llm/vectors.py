@@ -135,3 +135,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BL
 
 def op9_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, cast(embedding AS double[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT y, c FROM reach JOIN links ON x = vec_id),
+named AS (SELECT vec_id, min(c) AS component_id FROM reach GROUP BY vec_id), counted AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM named LEFT JOIN counted USING (vec_id)"""
