@@ -6,6 +6,7 @@ from cityweave.functions import severity as sv, text as tx, times
 from cityweave.operators import ingest as ig, places, quality
 from cityweave.sources import readers
 
+from . import masking
 from .base import (EV, FEEDS, GRID, MARKS, P, ROWS, canon, cells, duck, iso, portable, query, r6, rnd, rows, table, ts)
 from .columns import OFF, POWER, R, _heat, power_feed, power_records, weather_feed, _types, TYPE_TEXT  # noqa: F401
 
@@ -177,10 +178,10 @@ query("x3_scrub_register_text", R + f"SELECT event_id, {_mask} AS masked, {_PII}
     lambda s, d: complaint_feed(s, d).withColumn("x", tx.scrub(C("text"))).select(C("seq").alias("event_id"), "x.masked", "x.items"))
 query("x4_mask_records", R + f"SELECT event_id, {_mask} AS text, {_PII} AS items_masked FROM r")(
     lambda s, d: tx.mask_record(complaint_feed(s, d), "civic_complaints").select(C("seq").alias("event_id"), "text", "items_masked"))
-# whole documents and conversations; look-around patterns have no SQL equal, see tests
-query("x1_mask_phones_documents")(lambda s, d: (lambda m: table(s, d, "documents").select("doc_id", m[0].alias("masked"), m[1].cast("bigint").alias("items")))(tx.mask_phones(C("text"))))
-query("x2_mask_names_documents")(lambda s, d: (lambda m: table(s, d, "documents").select("doc_id", m[0].alias("masked"), m[1].cast("bigint").alias("items")))(tx.mask_names(C("text"))))
-query("x3_scrub_conversations")(lambda s, d: table(s, d, "conversations").withColumn("x", tx.scrub(C("text"))).select("conv_id", "turn", "x.masked", "x.items"))
+# whole documents and conversations
+query("x1_mask_phones_documents", masking.check("documents", "doc_id", masking.phones))(lambda s, d: (lambda m: table(s, d, "documents").select("doc_id", m[0].alias("masked"), m[1].cast("bigint").alias("items")))(tx.mask_phones(C("text"))))
+query("x2_mask_names_documents", masking.check("documents", "doc_id", masking.names))(lambda s, d: (lambda m: table(s, d, "documents").select("doc_id", m[0].alias("masked"), m[1].cast("bigint").alias("items")))(tx.mask_names(C("text"))))
+query("x3_scrub_conversations", masking.check("conversations", "conv_id, turn", masking.phones, masking.names))(lambda s, d: table(s, d, "conversations").withColumn("x", tx.scrub(C("text"))).select("conv_id", "turn", "x.masked", "x.items"))
 
 # ------------------------------------------------------------------ registries --------------
 query("j1_feeder_lookup", f"WITH {POWER} SELECT seq, resolved, h3_cell FROM pw")(lambda s, d: power_records(s, d).select("seq", "resolved", "h3_cell"))
