@@ -24,7 +24,7 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 GRID = HexGrid()
 # thresholds suited to the density of the events table
-P = Params(lookback_hours=48, p_rare=0.12)
+P = Params(lookback_hours=120, p_rare=0.12)
 ISO = "'%Y-%m-%dT%H:%M:%SZ'"
 
 
@@ -134,7 +134,7 @@ ROWS = f"""SELECT event_id, user_id, event_type, value, @EPOCH(ts) AS t,
  {_pad('day')} || '/' || {_pad('month')} || '/' || {_pad('year', 4)} || ' ' || {_pad('hour')} || ':' || {_pad('minute')} AS scada_time,
  floor(value * 10) / 10 AS tenth, cast(floor(value) as bigint) AS whole,
  cast('U-' as string) || cast(user_id as string) AS entity,
- 268e-1 + (user_id % 6) * 4e-3 + 3e-2 AS lat, 757e-1 + (user_id % 5) * 5e-3 + 3e-2 AS lon
+ 268e-1 + (user_id % 30) * 4e-3 + 3e-2 AS lat, 757e-1 + (user_id % 29) * 5e-3 + 3e-2 AS lon
  FROM {{events}}"""
 
 # canonical events read from the events table: five event types play five kinds of reports
@@ -147,7 +147,7 @@ CANON = """SELECT 'ev-' || lpad(cast(event_id as string), 12, '0') AS event_id,
    WHEN 'signup' THEN value * 5e-2 ELSE value * 1e-1 END AS measure,
  CASE event_type WHEN 'view' THEN 9e-1 WHEN 'error' THEN 72e-2 WHEN 'signup' THEN 72e-2 ELSE CASE WHEN value < 2e0 THEN 45e-2 ELSE 6e-1 END END AS confidence,
  CASE WHEN value < 6e1 THEN @EPOCH(ts) + cast(floor(value) as bigint) * 60 END AS t_end,
- 268e-1 + (user_id % 6) * 4e-3 + 3e-2 AS lat, 757e-1 + (user_id % 5) * 5e-3 + 3e-2 AS lon
+ 268e-1 + (user_id % 30) * 4e-3 + 3e-2 AS lat, 757e-1 + (user_id % 29) * 5e-3 + 3e-2 AS lon
  FROM {events}"""
 INTERVAL = when("source", {f[0]: f[1] for f in v.FEEDS})
 

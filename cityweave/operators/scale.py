@@ -36,14 +36,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark, since: int = 0) -> None:
-    """Delete the tables staged by this process, or those after the first ``since``."""
+def staged_count() -> int:
+    return len(_staged)
+
+
+def take_staged(since: int) -> list[str]:
+    """Take over the tables staged after the first ``since``: who takes them deletes them."""
+    taken = _staged[since:]
+    del _staged[since:]
+    return taken
+
+
+def delete_staged(spark, paths: list[str]) -> None:
     path_t, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
-    while len(_staged) > since:
-        p = path_t(_staged.pop())
+    for path in paths:
+        p = path_t(path)
         p.getFileSystem(conf).delete(p, True)
 
 
+def drop_staged(spark, since: int = 0) -> None:
+    """Delete the tables staged by this process, or those after the first ``since``."""
+    delete_staged(spark, take_staged(since))
+
+
 @contextmanager
 def staging(spark):
     """What is staged inside is deleted at the end; results must have been written by then."""
