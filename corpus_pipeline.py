@@ -1,11 +1,15 @@
 """The corpus pipeline: documents to packed sequences, in five stages."""
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityweave.llm import decontaminate, langid, lines, minhash, packing
-from cityweave.llm.common import ready, stage, table
+from cityweave.llm.common import ready, table
+from cityweave.operators import scale
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,18 +36,38 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every document, or of each piece of a long one, in the sequences."""
     ready(spark)
     return packing.pack_texts(docs)
 
 
-STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", pack)]
+_held: list[str] = []
+
+
+def _owner(f):
+    """A stage that first deletes what the stage before it had staged: by then that one's result has
+    been written and read again, which is how stages are chained."""
+    @functools.wraps(f)
+    def stage_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scale.delete_staged(spark, _held)
+        mark = scale.staged_count()
+        out = f(spark, docs, sf_dir)
+        _held[:] = scale.take_staged(mark)
+        return out
+
+    return stage_
+
+
+STAGES = [(f.__name__, _owner(f)) for f in (language_id, line_dedup, near_dedup, decontamination, packed)]
 ORACLE_SQL = None  # a learned language filter and best fit are beyond SQL; tests/llm compares with a brute-force pipeline
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is a table in the shared folder, which the next one reads."""
     docs = table(spark, sf_dir, "documents")
+    root = f"{scale.stage_root(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, f in STAGES:
-        docs = stage(f(spark, docs, sf_dir), f"pipeline-{name}")
+        f(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
     return docs

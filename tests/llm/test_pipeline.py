@@ -47,4 +47,4 @@ def test_stages_return_documents(spark, tables):
         out = f(spark, docs, sf_dir)
         assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
         assert f(spark, docs.limit(0), sf_dir).count() == 0
-    assert corpus_pipeline.pack(spark, docs, sf_dir).count() == len(rows)
+    assert corpus_pipeline.packed(spark, docs, sf_dir).count() == len(rows)
