@@ -203,12 +203,15 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFram
     found = tried.filter("linked").select(F.col("node").alias("i"), F.col("centre").alias("j"))
     component = connected_components(nodes, found).select(F.col("episode_id").alias("set_id"), "component")
 
-    placed = tried.filter("delta is not null").join(component.select(F.col("set_id").alias("node"), "component"), "node")
-    size = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum(F.octet_length("delta")) / TILE_BYTES))
-    open_ = (placed.groupBy("centre").agg(F.min("component").alias("a"), F.max("component").alias("b"), size.alias("blocks"))
+    label = component.select(F.col("set_id").alias("node"), "component")
+    placed = tried.filter("delta is not null")
+    size = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("bytes") / TILE_BYTES))
+    open_ = (placed.select("node", "centre", F.octet_length("delta").alias("bytes")).join(label, "node")
+             .groupBy("centre").agg(F.min("component").alias("a"), F.max("component").alias("b"), size.alias("blocks"))
              .filter("a <> b").select("centre", "blocks"))
+    open_ = broadcast_if_small(stage(open_, "minhash-open"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o")
-    tiles = (placed.join(open_, "centre").withColumn("b", F.pmod(F.xxhash64("node"), "blocks"))
+    tiles = (placed.join(open_, "centre").join(label, "node").withColumn("b", F.pmod(F.xxhash64("node"), "blocks"))
              .select("centre", "node", "n", "component", "delta", "b", other)
              .withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("o"))
     more = stage(tiles.groupBy("centre", "bi", "bj").applyInArrow(_tile(percent), "i binary, j binary").distinct(), "minhash-more")
