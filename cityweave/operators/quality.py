@@ -13,7 +13,7 @@ from .scale import with_scalars
 # fixed values: the sentence about data of another version
 DATA_WARNING = "Data is out of date for this code: "
 DATA_PROBLEMS = {"missing feed": "missing raw feed file(s): {}", "unknown category": "categories this code no longer knows: {}",
-                 "older than feed": "situations.jsonl is older than the raw feeds (pipeline not finished)"}
+                 "older than feed": "derived tables are older than the raw feeds (pipeline not finished)"}
 
 
 def resolver_rates(complaints: DataFrame) -> DataFrame:

@@ -253,10 +253,13 @@ def raw_view(raw: DataFrame, feed: str, t, n: int = 50) -> DataFrame:
 EXACT, PREFIX, COVER = 0, 1, 2
 
 
-def _prefixes(ref):
-    """All prefixes of a reference that still hold its entity part."""
-    start = F.greatest(F.instr(ref, "@"), F.instr(ref, ":")) + 1
-    return F.transform(F.sequence(start, F.greatest(start, F.length(ref))), lambda n: F.substring(ref, F.lit(1), n))
+def _prefixes(rows: DataFrame, ref: str, others: DataFrame, other: str) -> DataFrame:
+    """``rows`` with each proper prefix ``k`` of a reference that still holds its entity part and is as
+    long as some reference of the other side; those lengths are few."""
+    lengths = others.agg(F.sort_array(F.collect_set(F.length(other))).alias("_lengths"))
+    start = F.greatest(F.instr(F.col(ref), "@"), F.instr(F.col(ref), ":")) + 1
+    fit = F.filter("_lengths", lambda n: (n >= start) & (n < F.length(ref)))
+    return with_scalars(rows, lengths).withColumn("k", F.explode(F.transform(fit, lambda n: F.substring(F.col(ref), F.lit(1), n)))).drop("_lengths")
 
 
 def lineage(records: DataFrame, events: DataFrame, open_sec: int = 3600) -> DataFrame:
@@ -267,8 +270,8 @@ def lineage(records: DataFrame, events: DataFrame, open_sec: int = 3600) -> Data
                        F.coalesce(times.epoch(F.col("end_utc")), times.epoch(F.col("start_utc")) + open_sec).alias("e"))
     rec = records.filter(F.col("raw_ref") != "")
     exact = rec.join(ev, rec["raw_ref"] == ev["ev_ref"]).select("record_id", "event_id", F.lit(EXACT).alias("kind"))
-    longer = ev.withColumn("k", F.explode(_prefixes(F.col("ev_ref")))).filter(F.col("k") != F.col("ev_ref"))
-    shorter = rec.withColumn("k", F.explode(_prefixes(F.col("raw_ref")))).filter(F.col("k") != F.col("raw_ref"))
+    longer = _prefixes(ev, "ev_ref", rec, "raw_ref")
+    shorter = _prefixes(rec, "raw_ref", ev, "ev_ref")
     prefix = (rec.join(longer, rec["raw_ref"] == longer["k"]).select("record_id", "event_id")
               .unionByName(shorter.join(ev, shorter["k"] == ev["ev_ref"]).select("record_id", "event_id"))
               .distinct().withColumn("kind", F.lit(PREFIX)))
