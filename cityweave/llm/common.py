@@ -1,9 +1,10 @@
 """Text to numbers, in batches: words, shingles and their sets as flat numpy arrays.
 
 A batch of texts is one byte buffer with document offsets. Everything below works on the whole
-buffer at once, in slices of about a megabyte, so a task's memory is bounded by its longest text."""
+buffer at once, in slices of about half a megabyte, so a task's memory is bounded by its longest text."""
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 from ..operators.scale import broadcast_if_small, stage
 from ..sources.readers import ready as _ready
 
-__all__ = ["ready", "table", "stage", "broadcast_if_small", "text_slices", "word_hashes", "shingle_sets", "mix64", "lut",
+__all__ = ["ready", "table", "stage", "broadcast_if_small", "release", "text_slices", "word_hashes", "shingle_sets", "mix64", "lut",
            "copies_per_node", "FOLD", "SPACES"]
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C55)  # odd base of the polynomial word hash
 _SHIFTS = np.array([0xBF58476D1CE4E5B9 + 2 * i * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF | 1 for i in range(64)], dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
@@ -26,6 +27,7 @@ _powers: dict[str, np.ndarray] = {}
 #: ASCII capitals to small letters; every other byte stays
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
+_FOLDED = FOLD.astype(np.uint64) + np.uint64(1)
 
 
 def lut(separators: bytes) -> np.ndarray:
@@ -50,6 +52,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs: Spark deletes them when the driver's garbage is
+    collected, which on a quiet driver may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of texts with about ``limit`` bytes, one text
     at least. Null texts are empty."""
@@ -109,14 +118,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
 def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word, first word of each document and the total)."""
     starts, ends, first = word_spans(data, offsets, is_word)
-    return span_hashes(FOLD[data], starts, ends), first
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _power(len(data) + 1)
     run = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=run[1:])
-    return mix64((run[ends] - run[starts]) * down[starts])
+    np.take(_FOLDED, data, out=run[1:])
+    run[1:] *= up[:len(data)]
+    np.cumsum(run, out=run)
+    return mix64((run[ends] - run[starts]) * down[starts]), first
 
 
 def _levelled(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:

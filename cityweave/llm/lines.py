@@ -12,17 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, broadcast_if_small, shingle_sets, stage, table, text_slices, word_hashes
+from .common import SPACES, broadcast_if_small, release, shingle_sets, stage, table, text_slices, word_hashes
 from .minhash import TILE_BYTES, TILE_ROWS, delta_links, digest
 
 SHINGLE = 5
 PERCENT = 80
 SLOTS = 1 << 20  # counters of word hashes; a slot's count bounds that of each of its words
 BLOCK = 1 << 14
-HOT = 10_000  # tokens whose words are all as frequent are gathered by aggregation, others by a window
+FIELD = 16  # bits of a position in a posting
+UNKNOWN = (1 << FIELD) - 1  # stands for every position from there on
+HOT = 10_000  # tokens whose words are all as frequent are gathered by aggregation, the others meet in a task
 
 
 def line_offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,11 +41,17 @@ def word_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Occurrences of words over all texts, by slot of their hash. Each task adds up its own, the sums
     of a block of slots meet in one task, one array at a time."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, dtype=np.int64)
+        total, held, n = np.zeros(SLOTS, dtype=np.int64), [], 0
         for batch in batches:
             for _, _, data, offs in text_slices(batch, text):
                 h, _ = word_hashes(data, offs, SPACES)
-                total += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                held.append((h & np.uint64(SLOTS - 1)).astype(np.int32))
+                n += len(h)
+                if n >= SLOTS:
+                    total += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=SLOTS)
         if total.any():
             small = np.minimum(total, 2 ** 31 - 1).astype("<i4")
             yield pa.RecordBatch.from_pydict({"block": list(range(SLOTS // BLOCK)), "counts": [small[i:i + BLOCK].tobytes() for i in range(0, SLOTS, BLOCK)]})
@@ -79,8 +87,8 @@ def _line_sets(batch: pa.RecordBatch, text: str, level: np.ndarray, k: int) -> I
 
 
 def _lines(docs: DataFrame, sent, percent: int, k: int) -> DataFrame:
-    """(id, line, n, set_id, prefix) of lines with words. ``prefix``: its rarest tokens; only once a
-    task for lines of one set."""
+    """(id, line, n, set_id, class, prefix) of lines with words. ``prefix``: its rarest tokens; only once
+    a task for lines of one set."""
     schema = "id long, line int, n int, set_id binary, prefix array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +105,7 @@ def _lines(docs: DataFrame, sent, percent: int, k: int) -> DataFrame:
                     sets.append(d)
                     if d in known:
                         p = 0
-                    elif len(known) < 1_000_000:
+                    elif len(known) < 300_000:
                         known.add(d)
                     pieces.append(signed[a:a + p])
                     cut.append(cut[-1] + p)
@@ -107,36 +115,68 @@ def _lines(docs: DataFrame, sent, percent: int, k: int) -> DataFrame:
                      pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat))],
                     ["id", "line", "n", "set_id", "prefix"])
 
-    return docs.select("id", "text").mapInArrow(run, schema)
+    return docs.select("id", "text").mapInArrow(run, schema).withColumn("class", short_class())
+
+
+def short_class() -> Column:
+    return F.shiftright(F.xxhash64("set_id"), FIELD)
 
 
 def _star_pairs(lines: DataFrame, percent: int) -> DataFrame:
     """(class, centre, more) of classes that share a prefix token, with one of them as the centre.
-    Classes go by a hash of their digest here; ``more``: the centre has other classes too. A pair whose sizes
-    and positions can't reach the threshold is left out where it stands alone."""
-    posting = lines.filter("size(prefix) > 0").select(F.xxhash64("set_id").alias("class"), "n", F.posexplode("prefix").alias("at", "token"))
-    posting = posting.select("token", "class", (F.col("n").cast("long") * (1 << 32) + F.col("at")).alias("place"))
+    Classes go by 48 bits of a hash here (``short_class``), which leaves room for the position: classes
+    that collide are tried alike, and only two similar ones that collide with each other, one pair in
+    3e14, would be missed. ``more``: the centre has other classes too. A pair whose sizes and positions
+    can't reach the threshold is left out where it stands alone."""
+    posting = lines.filter("size(prefix) > 0").select("class", "n", F.posexplode("prefix").alias("at", "token"))
+    posting = posting.select("token", F.shiftleft("class", FIELD).bitwiseOR(F.least("at", F.lit(UNKNOWN)).cast("long")).alias("one"), F.col("n").cast("long").alias("n"))
     hot = F.shiftrightunsigned("token", 56) >= int(levels(np.array([HOT]))[0])
-    one = F.struct("class", "place")
-    w = Window.partitionBy("token")
-    cold = posting.filter(~hot).select("*", F.min(one).over(w).alias("c"), F.max("class").over(w).alias("last")).filter(F.col("c.class") != F.col("last"))
+    of = lambda c: F.shiftright(c, FIELD)
+    stars = posting.filter(~hot).repartition("token").mapInArrow(_stars(percent), "class long, centre long, possible boolean")
     many = posting.filter(hot)
-    tops = many.groupBy("token").agg(F.min(one).alias("c"), F.max("class").alias("last")).filter(F.col("c.class") != F.col("last"))
-    found = cold.drop("last").unionByName(many.join(tops, "token").drop("last")).filter(F.col("class") != F.col("c.class"))
-    n, m = (F.floor(F.col(p) / (1 << 32)) for p in ("place", "c.place"))
-    i, j = (F.col(p) % (1 << 32) for p in ("place", "c.place"))
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    possible = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * most >= percent * (n + m - most))
-    pairs = found.groupBy("class", F.col("c.class").alias("centre")).agg(F.max(possible).alias("possible"))
+    tops = many.groupBy("token").agg(F.min("one").alias("c"), F.min_by("n", "one").alias("m"), F.max("one").alias("last")).filter(of("c") != of("last"))
+    found = many.join(tops, "token").filter(of("one") != of("c"))
+    possible = _possible(F.col("n"), F.col("m"), F.col("one").bitwiseAND(UNKNOWN), F.col("c").bitwiseAND(UNKNOWN), percent, F.least, F.greatest)
+    stars = stars.unionByName(found.select(of("one").alias("class"), of("c").alias("centre"), possible.alias("possible")))
+    pairs = stars.groupBy("class", "centre").agg(F.max("possible").alias("possible"))
     return pairs.withColumn("others", F.count("*").over(Window.partitionBy("centre"))).filter("possible or others > 1") \
                 .select("class", "centre", (F.col("others") > 1).alias("more"))
 
 
+def _possible(n, m, i, j, percent: int, least, greatest):
+    """Whether sets of sizes n and m that share the tokens at positions i and j can be similar enough."""
+    most = least(i, j) + 1 + least(n - i - 1, m - j - 1)
+    return (greatest(i, j) == UNKNOWN) | ((100 * least(n, m) >= percent * greatest(n, m)) & (100 * most >= percent * (n + m - most)))
+
+
+def _stars(percent: int):
+    """Pairs with the least class of each token, from a partition that has all postings of its tokens;
+    a token here has fewer than ``HOT`` of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[b.column(c).to_numpy() for c in ("token", "one", "n")] for b in batches]
+        if not held:
+            return
+        token, one, n = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(token)
+        token, one, n = token[order], one[order], n[order]
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        low, high = np.minimum.reduceat(one, starts), np.maximum.reduceat(one, starts)
+        count = np.diff(np.append(starts, len(token)))
+        centre, last = np.repeat(low, count), np.repeat(high, count)
+        size = np.repeat(np.maximum.reduceat(np.where(one == centre, n, 0), starts), count)
+        keep = (centre >> FIELD != last >> FIELD) & (one >> FIELD != centre >> FIELD)
+        one, n, centre, size = one[keep], n[keep], centre[keep], size[keep]
+        ok = _possible(n, size, one & UNKNOWN, centre & UNKNOWN, percent, np.minimum, np.maximum)
+        yield pa.RecordBatch.from_arrays([pa.array(one >> FIELD), pa.array(centre >> FIELD), pa.array(ok)], ["class", "centre", "possible"])
+
+    return run
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, sent, k: int) -> DataFrame:
     """(set_id, class, first, tokens) of the ``wanted`` classes (set_id, class, first), from the texts
     of their first lines. Repeated rows give their sets again; only then are they made distinct."""
     by_doc = wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct("first.line", "set_id", "class")).alias("lines"))  # a document's lines
-    near = broadcast_if_small(by_doc.withColumnRenamed("id", "_id"))
+    near = broadcast_if_small(stage(by_doc.withColumnRenamed("id", "_id"), "line-wanted"))
     texts = docs.select("id", "text").join(near, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +228,11 @@ def _tried(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(removed, pa.binary()), batch.column("node"), batch.column("first"), pa.array(size, pa.int64()),
                                               batch.column("centre"), pa.array(delta, pa.binary())], ["removed", "node", "first", "n", "centre", "delta"])
 
+    pairs = pairs.withColumnRenamed("centre", "centre_class")
+    centres = broadcast_if_small(pairs.select(F.col("centre_class").alias("class")).distinct())
     x = sets.select(F.col("class"), F.col("set_id").alias("node"), "first", F.col("tokens").alias("x"))
-    y = sets.select(F.col("class").alias("centre_class"), F.col("set_id").alias("centre"), F.col("first").alias("centre_first"), F.col("tokens").alias("y"))
-    both = pairs.withColumnRenamed("centre", "centre_class").join(x, "class").join(y, "centre_class")
+    y = sets.join(centres, "class", "left_semi").select(F.col("class").alias("centre_class"), F.col("set_id").alias("centre"), F.col("first").alias("centre_first"), F.col("tokens").alias("y"))
+    both = pairs.join(x, "class").join(y, "centre_class")
     return both.select("node", "centre", "first", "centre_first", "more", "x", "y").mapInArrow(
         run, "removed binary, node binary, first struct<id:long,line:int>, n long, centre binary, delta binary")
 
@@ -212,16 +254,21 @@ def _tile(percent: int):
 def _similar(docs: DataFrame, lines: DataFrame, classes: DataFrame, sent, percent: int, k: int) -> DataFrame:
     """(set_id) of classes to which an earlier class is similar."""
     pairs = stage(_star_pairs(lines, percent), "line-pairs")
+    release(docs.sparkSession)
     wanted = pairs.select("class").unionByName(pairs.select(F.col("centre").alias("class"))).distinct()
     sets = _sets(docs, classes.join(wanted, "class").select("set_id", "class", "first"), sent, k)
     tried = stage(_tried(pairs, sets, percent), "line-tried")
+    release(docs.sparkSession)
     gone = stage(tried.select(F.col("removed").alias("set_id")).filter("set_id is not null").distinct(), "line-gone")
     # clusters in which a class that still stands may be similar to another than the centre
-    placed = tried.filter("delta is not null").join(gone.select(F.col("set_id").alias("node"), F.lit(True).alias("gone")), "node", "left")
-    size = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum(F.octet_length("delta")) / TILE_BYTES))
-    open_ = placed.groupBy("centre").agg(F.count("*").alias("rows"), F.count("gone").alias("gone_rows"), size.alias("blocks")).filter("rows > 1 and gone_rows < rows")
+    placed = tried.filter("delta is not null")
+    standing = (placed.select("node", "centre", F.octet_length("delta").alias("bytes"))
+                .join(gone.select(F.col("set_id").alias("node"), F.lit(True).alias("gone")), "node", "left"))
+    size = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("bytes") / TILE_BYTES))
+    open_ = standing.groupBy("centre").agg(F.count("*").alias("rows"), F.count("gone").alias("gone_rows"), size.alias("blocks")).filter("rows > 1 and gone_rows < rows")
+    open_ = broadcast_if_small(stage(open_.select("centre", "blocks"), "line-open"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o")
-    tiles = (placed.join(open_.select("centre", "blocks"), "centre").withColumn("b", F.pmod(F.xxhash64("node"), "blocks"))
+    tiles = (placed.join(open_, "centre").withColumn("b", F.pmod(F.xxhash64("node"), "blocks"))
              .select("centre", "node", "first", "n", "delta", "b", other).withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("o"))
     more = tiles.groupBy("centre", "bi", "bj").applyInArrow(_tile(percent), "removed binary").select(F.col("removed").alias("set_id"))
     return gone.unionByName(more).distinct()
@@ -232,7 +279,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) ->
     sent = docs.sparkSession.sparkContext.broadcast(levels(word_counts(docs)))  # SLOTS bytes
     lines = stage(_lines(docs, sent, percent, k), "lines")
     classes = lines.groupBy("set_id").agg(F.min(F.struct("id", "line")).alias("first"))
-    classes = stage(classes.withColumn("class", F.xxhash64("set_id")), "line-classes")
+    classes = stage(classes.withColumn("class", short_class()), "line-classes")
     similar = stage(_similar(docs, lines, classes, sent, percent, k), "line-similar")
     fate = classes.join(similar.withColumn("gone", F.lit(True)), "set_id", "left").select("set_id", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     dead = lines.select("id", "line", "set_id").join(fate, "set_id").filter(F.col("gone") | ~F.struct("id", "line").eqNullSafe(F.col("first")))

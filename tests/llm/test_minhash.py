@@ -19,8 +19,8 @@ def check(spark, rows, percent, **kw):
     assert run(spark, rows, percent, **kw) == want
 
 
-@pytest.mark.parametrize("tile_rows", [512, 20])
-def test_groups_of_near_copies(spark, prose, monkeypatch, tile_rows):
+@pytest.mark.parametrize("tile_rows,percent", [(512, 85), (20, 80)])
+def test_groups_of_near_copies(spark, prose, monkeypatch, tile_rows, percent):
     """Copies with one to three words changed lie on both sides of the threshold, and no original is there."""
     monkeypatch.setattr(minhash, "TILE_ROWS", tile_rows)
     rng, rows = random.Random(3), []
@@ -32,8 +32,7 @@ def test_groups_of_near_copies(spark, prose, monkeypatch, tile_rows):
                 w[rng.randrange(len(w))] = f"x{rng.randrange(10 ** 6)}"
             rows.append((len(rows) * 7 % 1000, " ".join(w)))
     rows += [(2000 + i, " ".join(prose(40, 100 + i))) for i in range(30)]
-    check(spark, rows, 85)
-    check(spark, rows, 80)
+    check(spark, rows, percent)
 
 
 def test_edges(spark, prose):
