@@ -9,6 +9,7 @@ from ..functions import ids, severity as sv, text as tx, times
 from ..params import DEFAULT, Params
 from .scale import one_row, rank_in, with_scalars
 
+# fixed values: the sentences of this module, and its thresholds 60, -2, 2 and 0.5 for terrain and water, are the published ones
 CHUNK = DEFAULT.step_sec  # seconds of one situation that a task sorts
 
 
