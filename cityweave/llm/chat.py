@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scale import rank_in, running_before
-from .common import stage, table
+from .common import broadcast_if_small, stage, table
 
 ROLES = ("assistant", "system", "user")
 CHUNK = 2048
@@ -37,9 +37,23 @@ def marker(line: Column) -> Column:
     return kind
 
 
-def unmarked(line: Column) -> Column:
-    names = "|".join(NAMES[r] for r in ROLES)
-    return F.regexp_replace(F.regexp_replace(line, MARKER.replace("NAMES", names), ""), OTHER, "")
+def _once(pattern: str) -> str:
+    """The pattern of a marker to take off: the colon of a URL ends none."""
+    return pattern.replace(r":(?:\*\*)?", r":(?!//)(?:\*\*)?")
+
+
+def unmarked(line: Column, named: Column | None = None) -> Column:
+    """The line without its speaker marker: that of a role, or, where ``named``, that of another name.
+    One marker at most is taken off."""
+    role = _once(MARKER.replace("NAMES", "|".join(NAMES[r] for r in ROLES)))
+    other = F.when(F.lit(True) if named is None else named, F.regexp_replace(line, _once(OTHER), "")).otherwise(line)
+    return F.when(line.rlike(role), F.regexp_replace(line, role, "")).otherwise(other)
+
+
+def other_name(line: Column) -> Column:
+    """The name in a line's marker that is no role's, in small letters; null without one."""
+    name = F.lower(F.trim(F.regexp_extract(line, _once(OTHER).replace(r"[\p{L}][\p{L} .]{0,20}", r"([\p{L}][\p{L} .]{0,20})"), 1)))
+    return F.when((marker(line) == 4) & (name != ""), name)
 
 
 def symbol(line: Column, first: Column) -> Column:
@@ -214,10 +228,18 @@ def recover_roles(lines: DataFrame, model: Model) -> DataFrame:
 
 
 def render(decoded: DataFrame) -> DataFrame:
-    """(conv, turn_no, role, n_lines, rendered): one row a recovered turn, markers taken off."""
+    """(conv, turn_no, role, n_lines, rendered): one row a recovered turn, its marker taken off. A name
+    that is no role's is a marker if it is a speaker's: it opens two turns of the transcript or more,
+    all of one role. Any other beginning of a line is part of what is said."""
     d = stage(decoded, "chat-states").withColumn("begins", (F.col("state") % 2 == 0).cast("long"))
+    d = d.withColumn("_name", F.when(F.col("begins") == 1, other_name(F.col("text"))))
+    speakers = (d.filter("_name is not null").groupBy("conv", "_name").agg(F.count("*").alias("n"), F.min("state").alias("a"), F.max("state").alias("b"))
+                .filter("n > 1 and a = b").select("conv", "_name", F.lit(True).alias("_speaker")))
+    speakers = broadcast_if_small(stage(speakers, "chat-speakers"))
     d = running_before(d, ["conv"], ["line"], F.col("chunk"), F.col("begins"), "_turns").withColumn("turn_no", F.col("_turns") + F.col("begins") - 1)
-    said = F.when(F.col("begins") == 1, unmarked(F.col("text"))).otherwise(F.col("text"))
+    d = d.withColumn("_name", F.coalesce("_name", F.concat(F.lit("\n"), F.col("line").cast("string"))))  # lines without a name stay spread
+    d = d.join(speakers, ["conv", "_name"], "left")
+    said = F.when(F.col("begins") == 1, unmarked(F.col("text"), F.coalesce("_speaker", F.lit(False)))).otherwise(F.col("text"))
     turns = d.groupBy("conv", "turn_no").agg(F.min_by("state", "line").alias("state"), F.count("*").alias("n_lines"),
                                              F.sort_array(F.collect_list(F.struct("line", said.alias("said")))).alias("lines"))
     role = F.element_at(F.array(*map(F.lit, ROLES)), (F.floor(F.col("state") / 2) + 1).cast("int"))
@@ -229,7 +251,7 @@ def format_chats(texts: DataFrame, model: Model) -> DataFrame:
     """(conv, turn_no, role, n_lines, rendered) of transcripts (conv, turn, text), whose texts hold
     speaker markers or not, and any number of turns each.
 
-    Null texts add nothing; an empty text is one empty line; rows of a null conv are one transcript.
+    A turn loses one speaker marker at most (see ``render``) and nothing else. Null texts add nothing; an empty text is one empty line; rows of a null conv are one transcript.
     Repeated rows are said twice. Extra columns are ignored; an empty table gives no rows."""
     out = render(recover_roles(transcript_lines(texts.select("conv", "turn", "text")), model))
     return out.withColumn("conv", F.when(F.col("conv") != "n", F.expr("substring(conv, 2)")).cast(texts.schema["conv"].dataType))

@@ -73,6 +73,17 @@ def test_markers_are_read_and_taken_off(spark):
     assert [g[0] for g in got] == [3, 1, 3, 2, 1, 4, 0, 1, 4] and [g[1] for g in got[:6]] == ["hi there?", "fine", "q", "be kind", "yes", "x"]
 
 
+def test_a_turn_loses_one_marker_alone(spark):
+    """What is said may begin with 'word:' or a URL; a name is a speaker's if it opens several turns of one role."""
+    said = {"a": [("User: In short: yes", "In short: yes"), ("Steps: 1", "Steps: 1"), ("http://a.b", "http://a.b"), ("Question: Q: why?", "Q: why?"), ("plain", "plain")],
+            "b": [("Bob: Note: x", "Note: x"), ("Ann: y", "y"), ("BOB: http://c", "http://c"), ("Ann: Steps: 2", "Steps: 2"), ("Once: z", "Once: z"), ("http://d", "http://d"), ("User: w", "w"), ("http://e", "http://e")],
+            "c": [("Note: u", "Note: u"), ("Note: v", "Note: v"), ("Ann: y", "Ann: y")]}
+    data = [(conv, 0, k, line, 4 if k % 2 == 0 else 0) for conv, lines in said.items() for k, (line, _) in enumerate(lines)]
+    got = chat.render(spark.createDataFrame(data, "conv string, chunk long, line long, text string, state long")).collect()
+    bodies = {(r.conv, r.turn_no): r.rendered.split("\n", 1)[1].removesuffix("\n<|end|>\n") for r in got}
+    assert bodies == {(conv, k): left for conv, lines in said.items() for k, (_, left) in enumerate(lines)}
+
+
 def test_edges(spark):
     model = model_of(spark, rows())
     data = [(1, 0, None), (2, None, "x"), (2, 0, ""), (None, 0, "User: a word?"), (None, 1, "Assistant: " + "longer words " * 20 + "."), (3, 0, "same"), (3, 0, "same"), (4, 0, "w " * 50_000)]
