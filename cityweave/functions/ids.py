@@ -29,11 +29,17 @@ def set_id(prefix: str, n: int, ids) -> Column:
     return short_id(prefix, n, F.array_join(F.sort_array(ids), "|"))
 
 
-# Tables are joined on the whole SHA-1; what is shown is its first digits.
+# Tables are joined on whole keys of 40 digits; what is shown is their first digits.
 KEY = 40
 ID_COLUMNS = ("anomaly_id", "situation_id", "rejected_id")
 
 
+def set_key(prefix: str, n: int, keys) -> Column:
+    """The whole key of a set of whole keys: the ``n`` digits to be shown, made of the keys' shown texts,
+    then digits of the whole keys. Sets of different keys whose texts clash stay apart."""
+    return F.concat(set_id(prefix, n, F.transform(keys, public)), set_id("", KEY - n, keys))
+
+
 def public(c) -> Column:
     """The shown text of a key: 6 digits for situations, 8 for anomalies and rejected links."""
     return F.regexp_replace(c, "^(SIT-[0-9a-f]{6}|(?:ANOM|REJ)-[0-9a-f]{8})[0-9a-f]+$", "$1")

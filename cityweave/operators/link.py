@@ -339,7 +339,7 @@ def rejected(episodes: DataFrame, components: DataFrame, seconds: DataFrame, edg
          .join(an.select(F.col("episode_id").alias("j"), F.col("anomaly_ids").alias("_aj")), "j")
          .withColumn("anomaly_ids", F.sort_array(F.concat("_ai", "_aj"))))
     return d.select(
-        ids.set_id("REJ-", ids.KEY, F.transform("anomaly_ids", ids.public)).alias("rejected_id"), "anomaly_ids",
+        ids.set_key("REJ-", 8, F.col("anomaly_ids")).alias("rejected_id"), "anomaly_ids",
         F.array_sort(F.array_distinct(F.array("category_i", "category_j"))).alias("categories"),
         F.array_sort(F.array_distinct(F.array("cell_i", "cell_j"))).alias("h3_cells"),
         F.abs("gap").alias("gap_sec"), F.col("distance").alias("grid_distance"), "reason_en", "reason_hi", "i", "j")

@@ -214,9 +214,11 @@ def _message(rows: DataFrame, kind: str, t, fields, *more) -> DataFrame:
 
 def situation_message(shown: DataFrame, deltas: DataFrame, t) -> DataFrame:
     """A message for each situation created or updated: the situation as far as it is known at t.
-    ``shown`` are partial situations (with any stopped feeds applied), ``deltas`` their actions."""
-    d = ids.with_public(shown).join(ids.with_public(deltas), "situation_id")
-    return _message(d, "situation", t, [c for c in SITUATION_FIELDS if c in d.columns], "action")
+    ``shown`` are partial situations (with any stopped feeds applied), ``deltas`` their actions, both by
+    whole key, which ``situation_id`` holds beside the payload; the payload has the shown id."""
+    d = shown.join(deltas, "situation_id").withColumn("_key", F.col("situation_id"))
+    d = ids.with_public(d)
+    return _message(d, "situation", t, [c for c in SITUATION_FIELDS if c in d.columns], "action", F.col("_key").alias("situation_id"))
 
 
 def feedhealth_message(changes: DataFrame, t) -> DataFrame:

@@ -24,12 +24,12 @@ def _s(c):
 
 def situation_ids(eligible: DataFrame, components: DataFrame, episodes: DataFrame) -> DataFrame:
     """(component, situation_id, anomaly_ids, created_utc, ...). The id hashes the sorted anomaly
-    ids; their number is bounded by cells x categories x steps of the detection window."""
+    ids, its shown part their shown texts; their number is bounded by cells x categories x steps of the detection window."""
     d = eligible.join(components, "component").join(episodes, "episode_id")
     a = d.groupBy("component", "standalone").agg(
         F.array_sort(F.flatten(F.collect_list("anomaly_ids"))).alias("anomaly_ids"),
         F.max("window_end_utc").alias("created_utc"))
-    return a.withColumn("situation_id", ids.set_id("SIT-", ids.KEY, F.transform("anomaly_ids", ids.public)))
+    return a.withColumn("situation_id", ids.set_key("SIT-", 6, F.col("anomaly_ids")))
 
 
 def chain(resolved: DataFrame, keyed: DataFrame, phrases: DataFrame) -> DataFrame:

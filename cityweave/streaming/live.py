@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import vocabulary as v
-from ..functions import ids, severity as sv, times
+from ..functions import severity as sv, times
 from ..operators import ingest as ig
 from ..operators import serve as srv
 from ..params import DEFAULT, Params
@@ -186,7 +186,7 @@ def delta_writer(reveals: DataFrame, ms: DataFrame, path: str, situations: DataF
         if situations is not None:
             known = srv.partial_situations(situations, ms, reveals, int(cur))
             said = srv.situation_message(known, d, int(cur))
-            d = d.join(said.select(F.get_json_object("data", "$.situation_id").alias("_shown"), "data"), ids.public(F.col("situation_id")) == F.col("_shown")).drop("_shown")
+            d = d.join(said.select("situation_id", "data"), "situation_id")
         d = d.withColumn("clock", F.lit(int(cur)))
         d.write.mode("overwrite").parquet(f"{path}/deltas/batch={batch_id}")
         spark.range(1).select(F.lit(int(cur)).alias("clock")).write.mode("overwrite").parquet(f"{path}/clock/batch={batch_id}")

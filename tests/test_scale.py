@@ -218,3 +218,16 @@ def test_keys_that_share_their_shown_text_stay_apart(spark):
     pages = scale.id_pages(m, "situation_id", "event_id")
     assert sorted(len(r["ids"]) for r in pages.collect()) == [1, 2]
     assert {r["situation_id"] for r in ids.with_public(pages).collect()} == {"SIT-abcdef"} and st.ids is ids
+
+
+def test_keys_of_sets_whose_members_share_their_shown_text_stay_apart(spark):
+    from cityweave.functions import ids
+    from cityweave.operators import situations as st
+    anomalies = [["ANOM-01234567" + "a" * 32], ["ANOM-01234567" + "b" * 32]]
+    rows = spark.createDataFrame([(k, k, a) for k, a in enumerate(anomalies)], "component int, episode_id int, anomaly_ids array<string>")
+    d = st.situation_ids(spark.createDataFrame([(0, True), (1, True)], "component int, standalone boolean"), rows.select("component", "episode_id"),
+                         rows.select("episode_id", "anomaly_ids", F.timestamp_seconds(F.lit(0)).alias("window_end_utc")))
+    got = [r["situation_id"] for r in d.collect()]
+    old = d.select(ids.set_id("SIT-", 6, F.transform("anomaly_ids", ids.public)).alias("s")).first()["s"]
+    assert len(set(got)) == 2 and {len(x) for x in got} == {44}
+    assert {r["situation_id"] for r in ids.with_public(d).collect()} == {old}

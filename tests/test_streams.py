@@ -50,3 +50,24 @@ def test_deltas_across_batches(spark, tmp_path):
         write(spark.range(1).select(t(s).alias("t")), n)
     got = sorted((r["clock"], r["situation_id"], r["action"]) for r in spark.read.parquet(str(tmp_path / "d" / "deltas")).collect())
     assert got == [(120, "S1", "created"), (300, "S1", "updated"), (300, "S2", "created")]
+
+
+def test_messages_of_situations_that_share_their_shown_text(spark, tmp_path):
+    """Each situation gets its own action and payload, in the batch form and in the stream's."""
+    from cityweave.operators import serve
+    keys = ["SIT-abcdef" + str(k) * 34 for k in range(3)]
+    when = lambda rows, c: spark.createDataFrame(rows, "situation_id string, s bigint").select("situation_id", F.timestamp_seconds("s").alias(c))
+    reveals = when([(k, 100 + 100 * n) for n, k in enumerate(keys)], "reveal_utc")
+    ms = when([(keys[0], 250)], "milestone").unionByName(when([(k, 90) for k in keys], "milestone"))
+    ms = ms.selectExpr("*", "0.5D as severity", "0.5D as confidence", "'a' as source", "'b' as category")
+    situations = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "situation_id string, pulse_score bigint").selectExpr("*", "'low' as confidence_level", "'green' as alert_level", "'active' as status")
+    shown = serve.partial_situations(situations, ms, reveals, 300)
+    said = serve.situation_message(shown, serve.situation_deltas(reveals, ms, 150, 300), 300).collect()
+    want = sorted([(keys[0], "updated", 0), (keys[1], "created", 1), (keys[2], "created", 2)])
+    assert sorted((r.situation_id, r.action, json.loads(r.data)["pulse_score"]) for r in said) == want
+    assert {json.loads(r.data)["situation_id"] for r in said} == {"SIT-abcdef"}
+    write = live.delta_writer(reveals, ms, str(tmp_path / "d"), situations)
+    for n, s in enumerate((150, 300)):
+        write(spark.range(1).select(F.timestamp_seconds(F.lit(s)).alias("t")), n)
+    got = spark.read.parquet(str(tmp_path / "d" / "deltas")).filter("clock = 300").collect()
+    assert sorted((r.situation_id, r.action, json.loads(r.data)["pulse_score"]) for r in got) == want
