@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.link import connected_components
-from .common import SPACES, broadcast_if_small, mix64, shingle_sets, stage, table, text_slices, word_hashes
+from .common import SPACES, broadcast_if_small, copies_per_node, mix64, shingle_sets, stage, table, text_slices, word_hashes
 
 BANDS, ROWS = 32, 4  # at similarity 0.8 a pair escapes all bands with probability 5e-8, at 0.85 with 6e-11
 SHINGLE = 5
@@ -221,27 +221,26 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFram
 
 
 def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """Full sets of the classes in ``pairs``, each from one of its documents."""
+    """Full sets of the classes in ``pairs``, each from its first document (id, hash of the text)."""
     wanted = pairs.select(F.col("node").alias("set_id")).unionByName(pairs.select(F.col("centre").alias("set_id"))).distinct()
-    wanted = stage(classes.select("set_id", "any_row").join(wanted, "set_id"), "minhash-wanted")
-    texts = docs.join(broadcast_if_small(wanted.withColumnRenamed("any_row", "row")), "row")
+    wanted = stage(classes.select("set_id", F.col("first.id").alias("_id"), F.col("first.th").alias("_th")).join(wanted, "set_id"), "minhash-wanted")
+    texts = docs.join(broadcast_if_small(wanted), F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")))
     return stage(_full_sets(texts, k), "minhash-sets")
 
 
 def _groups(base: DataFrame, percent: int, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, th, component_id) of rows (id, text), one for each."""
+    """(id, n_shingles, th, first) of rows (id, text), one for each. ``first`` is the first document of
+    the group: (none, id, th), ``none`` for a null id, which comes last; null without shingles."""
     sk = stage(sketch(base, k, bands, rows), "minhash-sketch")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     classes = (sk.filter("set_id is not null")
-               .groupBy("set_id").agg(F.min("id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
-                                      F.max("id").alias("any_row")))
+               .groupBy("set_id").agg(F.min(place).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
     classes = stage(classes, "minhash-classes")
-    texts = base.filter("id is not null").withColumnRenamed("id", "row")
-    component = links(texts, classes.filter("any_row is not null"), percent, k)
-    named = classes.select("set_id", "first_id").join(component, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(smallest, "component").select("set_id", "component_id")
-    out = sk.select("id", "n_shingles", "th", "set_id").join(named, "set_id", "left")
-    return out.select("id", "n_shingles", "th", F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = links(base, classes, percent, k)
+    named = classes.select("set_id", "first").join(component, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("first"))
+    named = named.select("set_id", "component").join(smallest, "component").select("set_id", "first")
+    return sk.select("id", "n_shingles", "th", "set_id").join(named, "set_id", "left").select("id", "n_shingles", "th", "first")
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -255,19 +254,29 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, bands:
 
     One row per input row. Null and empty texts have no shingles, are linked with nothing and stay.
     Rows of one id and one text are alike: they get the same answer. A null id never names a
-    component while another member has one, and texts of null ids alone take part through equal sets
-    only; ``kept`` compares null-safely. Other columns are ignored, whatever they are called; an
+    component while another member has one; ``kept`` compares null-safely. Other columns are ignored, whatever they are called; an
     empty table gives no rows."""
     out = _groups(_base(docs, id_col, text_col), percent, k, bands, rows)
+    out = out.withColumn("component_id", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of the smallest id alone of each group of ``near_duplicates``."""
-    out = _groups(_base(docs, id_col, text_col), percent, k, BANDS, ROWS)
-    dead = stage(out.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct(), "minhash-dead")
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_th"))
-    return docs.join(broadcast_if_small(dead), same, "left_anti")
+    """``docs`` with one row of each group of ``near_duplicates``: that of the smallest id (a null id
+    last), then of the smallest hash of the text, then the first of equal rows. Rows whose text has no
+    shingles stay."""
+    out = _groups(_base(docs, id_col, text_col), percent, k, BANDS, ROWS).filter("first is not null")
+    is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    out = stage(out.select(F.col("id").alias("_id"), F.col("th").alias("_th"), is_first.alias("_first")), "minhash-fate")
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_th"))
+    left = docs.join(broadcast_if_small(out.filter("not _first").select("_id", "_th").distinct()), same, "left_anti")
+    again = stage(copies_per_node(out.filter("_first"), ["_id", "_th"]).filter("copies > 1").select("_id", "_th"), "minhash-again")
+    if not again.limit(1).count():
+        return left
+    again = broadcast_if_small(again)
+    rows = left.join(again, same).withColumn("_row", F.monotonically_increasing_id())
+    one = rows.groupBy("_id", "_th").agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), "_row").alias("_one"))
+    return left.join(again, same, "left_anti").unionByName(one.select("_one.*"))
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

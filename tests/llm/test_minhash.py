@@ -67,3 +67,32 @@ def test_delta_links_against_sets(prose):
         for j in range(40):
             both = len(np.intersect1d(sets[i], sets[j]))
             assert got[i, j] == (100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both))
+
+
+def near(prose, seed):
+    """A text and two others: each like the one before, the first and last unlike."""
+    w = prose(100, seed)
+    one, two = [*w[:92], *prose(8, seed + 1)], [*prose(8, seed + 2), *w[8:92], *prose(8, seed + 1)]
+    return [" ".join(x) for x in (w, one, two)]
+
+
+def test_texts_of_null_ids_alone_take_part(spark, prose):
+    """A null-id near copy is linked, and two documents are linked through one."""
+    a, b, c = near(prose, 400)
+    x, y, z = near(prose, 500)
+    rows = [(5, a), (None, b), (6, c), (None, x), (None, y), (None, z), (None, a + " q"), (7, " ".join(prose(50, 9)))]
+    assert {d: g for (d, _), (_, g) in zip(rows, brute.groups(rows, 80)) if d is not None} == {5: 5, 6: 5, 7: 7}
+    check(spark, rows, 80)
+
+
+def test_one_row_of_a_group_stays(spark, prose):
+    """Copies under null ids, rows of one id and rows repeated whole give one row; texts without words stay."""
+    a, b, c = near(prose, 400)
+    x, y, z = near(prose, 500)
+    rows = [(None, a), (None, a), (None, b), (None, c), (3, x), (3, x), (3, y), (4, z), (8, None), (8, None), (9, " "), (None, None), (7, " ".join(prose(50, 9)))]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, _id long").withColumnRenamed("_id", "n").repartition(3)
+    got = minhash.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    th = {r.text: r.th for r in df.selectExpr("text", "xxhash64(text) AS th").collect()}
+    want = [(None, min((a, b, c), key=th.get)), (3, min((x, y), key=th.get)), *rows[8:]]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
