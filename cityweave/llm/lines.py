@@ -87,9 +87,9 @@ def _line_sets(batch: pa.RecordBatch, text: str, level: np.ndarray, k: int) -> I
 
 
 def _lines(docs: DataFrame, sent, percent: int, k: int) -> DataFrame:
-    """(id, line, n, set_id, class, prefix) of lines with words. ``prefix``: its rarest tokens; only once
+    """(id, th, line, n, set_id, class, prefix) of lines with words of documents (id, th, text). ``prefix``: its rarest tokens; only once
     a task for lines of one set."""
-    schema = "id long, line int, n int, set_id binary, prefix array<long>"
+    schema = "id long, th long, line int, n int, set_id binary, prefix array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, known = sent.value, set()
@@ -111,11 +111,11 @@ def _lines(docs: DataFrame, sent, percent: int, k: int) -> DataFrame:
                     cut.append(cut[-1] + p)
                 flat = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(i + owner[some])), pa.array(number[some].astype(np.int32)), pa.array(n[some].astype(np.int32)),
+                    [*(batch.column(c).take(pa.array(i + owner[some])) for c in ("id", "th")), pa.array(number[some].astype(np.int32)), pa.array(n[some].astype(np.int32)),
                      pa.array(sets, pa.binary()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat))],
-                    ["id", "line", "n", "set_id", "prefix"])
+                    ["id", "th", "line", "n", "set_id", "prefix"])
 
-    return docs.select("id", "text").mapInArrow(run, schema).withColumn("class", short_class())
+    return docs.select("id", "th", "text").mapInArrow(run, schema).withColumn("class", short_class())
 
 
 def short_class() -> Column:
@@ -175,15 +175,15 @@ def _stars(percent: int):
 def _sets(docs: DataFrame, wanted: DataFrame, sent, k: int) -> DataFrame:
     """(set_id, class, first, tokens) of the ``wanted`` classes (set_id, class, first), from the texts
     of their first lines. Repeated rows give their sets again; only then are they made distinct."""
-    by_doc = wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct("first.line", "set_id", "class")).alias("lines"))  # a document's lines
-    near = broadcast_if_small(stage(by_doc.withColumnRenamed("id", "_id"), "line-wanted"))
-    texts = docs.select("id", "text").join(near, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "lines")
+    by_doc = wanted.groupBy(F.col("first.id").alias("_id"), F.col("first.th").alias("_th")).agg(F.collect_list(F.struct("first.line", "set_id", "class")).alias("lines"))  # a document's lines
+    near = broadcast_if_small(stage(by_doc, "line-wanted"))
+    texts = docs.select("id", "th", "text").join(near, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "th", "text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = sent.value
         for batch in batches:
             asked = batch.column("lines").to_pylist()
-            ids = batch.column("id").to_pylist()
+            ids, hashes = batch.column("id").to_pylist(), batch.column("th").to_pylist()
             for i, owner, number, tokens, offs in _line_sets(batch, "text", level, k):
                 row = np.searchsorted(owner, np.arange(int(owner[-1]) + 1 if len(owner) else 0))
                 out = []
@@ -193,22 +193,25 @@ def _sets(docs: DataFrame, wanted: DataFrame, sent, k: int) -> DataFrame:
                         if x["line"] < lines:
                             a, b = offs[base + x["line"]], offs[base + x["line"] + 1]
                             raw = tokens[a:b].tobytes()
-                            if digest(raw) == x["set_id"]:  # an id may stand for several texts
-                                out.append((x["set_id"], x["class"], {"id": ids[i + d], "line": x["line"]}, raw))
+                            if digest(raw) == x["set_id"]:
+                                out.append((x["set_id"], x["class"], {"id": ids[i + d], "th": hashes[i + d], "line": x["line"]}, raw))
                 if out:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.struct([("id", pa.int64()), ("line", pa.int32())]), pa.binary()))],
+                        [pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.struct([("id", pa.int64()), ("th", pa.int64()), ("line", pa.int32())]), pa.binary()))],
                         ["set_id", "class", "first", "tokens"])
 
-    sets = stage(texts.mapInArrow(run, "set_id binary, class long, first struct<id:long,line:int>, tokens binary"), "line-sets")
+    sets = stage(texts.mapInArrow(run, "set_id binary, class long, first struct<id:long,th:long,line:int>, tokens binary"), "line-sets")
     again = sets.groupBy("set_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     return sets.dropDuplicates(["set_id"]) if again else sets
 
 
+def _place(f: dict) -> tuple:
+    """Order of lines: by document (a null id first, then by hash of the text), then by number."""
+    return f["id"] is not None, f["id"] or 0, f["th"], f["line"]
+
+
 def _before(a: dict, b: dict) -> bool:
-    """Order of lines: by document (a null id first), then by number."""
-    x, y = ((f["id"] is not None, f["id"] or 0, f["line"]) for f in (a, b))
-    return x < y
+    return _place(a) < _place(b)
 
 
 def _tried(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -234,14 +237,14 @@ def _tried(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     y = sets.join(centres, "class", "left_semi").select(F.col("class").alias("centre_class"), F.col("set_id").alias("centre"), F.col("first").alias("centre_first"), F.col("tokens").alias("y"))
     both = pairs.join(x, "class").join(y, "centre_class")
     return both.select("node", "centre", "first", "centre_first", "more", "x", "y").mapInArrow(
-        run, "removed binary, node binary, first struct<id:long,line:int>, n long, centre binary, delta binary")
+        run, "removed binary, node binary, first struct<id:long,th:long,line:int>, n long, centre binary, delta binary")
 
 
 def _tile(percent: int):
     def run(rows: pa.Table) -> pa.Table:
         node, first = rows.column("node").to_pylist(), rows.column("first").to_pylist()
         own, low, high = (rows.column(c).to_numpy() for c in ("b", "bi", "bj"))
-        order = np.argsort(np.array(sorted(range(len(node)), key=lambda r: (first[r]["id"] is not None, first[r]["id"] or 0, first[r]["line"]))))
+        order = np.argsort(np.array(sorted(range(len(node)), key=lambda r: _place(first[r]))))
         ok = delta_links(rows.column("n").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("delta")], percent)
         ok &= order[:, None] > order[None, :]
         if low[0] != high[0]:
@@ -275,15 +278,17 @@ def _similar(docs: DataFrame, lines: DataFrame, classes: DataFrame, sent, percen
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """(id, lines): the numbers of the lines to remove from documents (id, text), where there are any."""
+    """(id, th, lines): the numbers of the lines to remove from documents (id, text), where there are any.
+    ``th``, the hash of the text, tells documents of one id apart."""
+    docs = docs.select("id", F.xxhash64("text").alias("th"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(levels(word_counts(docs)))  # SLOTS bytes
     lines = stage(_lines(docs, sent, percent, k), "lines")
-    classes = lines.groupBy("set_id").agg(F.min(F.struct("id", "line")).alias("first"))
+    classes = lines.groupBy("set_id").agg(F.min(F.struct("id", "th", "line")).alias("first"))
     classes = stage(classes.withColumn("class", short_class()), "line-classes")
     similar = stage(_similar(docs, lines, classes, sent, percent, k), "line-similar")
     fate = classes.join(similar.withColumn("gone", F.lit(True)), "set_id", "left").select("set_id", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    dead = lines.select("id", "line", "set_id").join(fate, "set_id").filter(F.col("gone") | ~F.struct("id", "line").eqNullSafe(F.col("first")))
-    return dead.groupBy("id").agg(F.collect_set("line").alias("lines"))
+    dead = lines.select("id", "th", "line", "set_id").join(fate, "set_id").filter(F.col("gone") | ~F.struct("id", "th", "line").eqNullSafe(F.col("first")))
+    return dead.groupBy("id", "th").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,14 +298,14 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, id_co
     distinct ``k``-word shingles, of fewer words its whole sequence. A line goes if a line of an earlier
     document in order of id (null first), or an earlier one of its own, has 100 * intersection >=
     ``percent`` * union with it, whether or not that one stays. Lines without words stay. A null text
-    stays null with no lines. Rows of one id and one text are one document, and rows that share an id
-    with different texts are taken line by line as if they were one: what is removed at a line number
-    of one is removed of the other. Columns n_lines and n_removed are replaced; others pass through."""
+    stays null with no lines. Rows of one id and one text are one document; rows of one id, or of a null
+    id, and different texts are documents of their own, in order of the text's hash. Columns n_lines and n_removed are replaced; others pass through."""
     docs = docs.drop("n_lines", "n_removed")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     dead = stage(removed_lines(base, percent, k), "line-removed")
-    near = broadcast_if_small(dead.select(F.col("id").alias("_dead_id"), F.col("lines").alias("_dead")))
-    d = docs.join(near, docs[id_col].eqNullSafe(F.col("_dead_id")), "left")
+    near = broadcast_if_small(dead.select(F.col("id").alias("_dead_id"), F.col("th").alias("_dead_th"), F.col("lines").alias("_dead")))
+    same = docs[id_col].eqNullSafe(F.col("_dead_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_dead_th"))
+    d = docs.join(near, same, "left")
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_dead", i)), "\n")
     n = F.coalesce(F.size(parts), F.lit(0))

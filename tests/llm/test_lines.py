@@ -53,3 +53,17 @@ def test_edges(spark, prose):
     check(spark, [])
     repeated = spark.createDataFrame([(1, line), (1, line), (2, line)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in lines.dedup_lines(repeated).collect()) == [(1, line), (1, line), (2, "")]
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark, prose):
+    """Null ids and one repeated id: what goes from one text stays in the others."""
+    base = [" ".join(prose(20, 70 + k)) for k in range(6)]
+    own = lambda k: " ".join(prose(20, 100 + k))
+    rows = [(i, "\n".join([own(10 * n + k), base[n % 6], own(10 * n + 5 + k), base[(n + k) % 6] + " z"])) for n, i in enumerate([None] * 6 + [7] * 6 + [8]) for k in (0, 1)]
+    rows += [(None, rows[0][1]), (7, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    docs = sorted({(r.doc_id is not None, r.doc_id or 0, r.th, r.text) for r in df.selectExpr("*", "xxhash64(text) AS th").collect() if r.text is not None})
+    want = brute.without_lines([(n, d[3]) for n, d in enumerate(docs)], 80)
+    left = {(d[1] if d[0] else None, d[3]): want[n] for n, d in enumerate(docs)}
+    assert sorted(((r.doc_id, r.text, r.n_removed) for r in lines.dedup_lines(df).collect()), key=str) == sorted(
+        ((i, t and left[i, t], 0 if t is None else t.count("\n") - left[i, t].count("\n")) for i, t in rows), key=str)
