@@ -1,7 +1,7 @@
 """Chat transcripts to canonical turns by a hidden Markov model over lines.
 
-States are (role, begins or goes on). A line shows a speaker marker, a length class, whether it asks and
-whether it opens the transcript; emission and transition tables are counted on labelled
+States are (role, begins or goes on). A line shows a speaker marker, a length class, whether it asks,
+whether it opens the transcript and whether it opens one of its texts; emission and transition tables are counted on labelled
 transcripts, as whole numbers of thousandths of a nat. Viterbi runs over chunks of lines: a chunk's
 best scores between any two states form a matrix, matrices of a transcript compose to the states at
 the chunks' edges, and each chunk is then decoded between its edges. So the best path is that of the
@@ -22,6 +22,9 @@ from .common import broadcast_if_small, stage, table
 ROLES = ("assistant", "system", "user")
 CHUNK = 2048
 NEVER = -10 ** 12
+#: names that are nobody's word for anything else; the others of NAMES are also words that one says
+SURE = {"assistant": "assistant|ai|bot|gpt", "system": "system", "user": "user|human|prompter"}
+PARTNERS = {"q": "a", "question": "answer", "a": "q", "answer": "question"}
 NAMES = {"assistant": "assistant|ai|bot|model|answer|a|gpt", "system": "system|instructions?|context", "user": "user|human|prompter|customer|question|q"}
 MARKER = r"^\s*(?:#{1,4}\s*|\*\*|\[|<\|)?(?i:NAMES)(?:\s*(?:\*\*)?\s*:(?:\*\*)?|\]|\|>)\s*"
 OTHER = r"^\s*(?:#{1,4}\s*|\*\*|\[|<\|)?[\p{L}][\p{L} .]{0,20}(?:\s*(?:\*\*)?\s*:(?:\*\*)?|\]|\|>)\s*"
@@ -42,29 +45,42 @@ def _once(pattern: str) -> str:
     return pattern.replace(r":(?:\*\*)?", r":(?!//)(?:\*\*)?")
 
 
-def unmarked(line: Column, named: Column | None = None) -> Column:
-    """The line without its speaker marker: that of a role, or, where ``named``, that of another name.
-    One marker at most is taken off."""
-    role = _once(MARKER.replace("NAMES", "|".join(NAMES[r] for r in ROLES)))
-    other = F.when(F.lit(True) if named is None else named, F.regexp_replace(line, _once(OTHER), "")).otherwise(line)
-    return F.when(line.rlike(role), F.regexp_replace(line, role, "")).otherwise(other)
+def unmarked(line: Column, state: Column, speaker: Column) -> Column:
+    """The line that opens a turn without its speaker marker: a sure name of the turn's role, or any name where
+    ``speaker``. One marker at most is taken off."""
+    out = F.when(speaker, F.regexp_replace(line, _once(OTHER), "")).otherwise(line)
+    for k, role in enumerate(ROLES):
+        sure = _once(MARKER.replace("NAMES", SURE[role]))
+        out = F.when((state == 2 * k) & line.rlike(sure), F.regexp_replace(line, sure, "")).otherwise(out)
+    return out
 
 
-def other_name(line: Column) -> Column:
-    """The name in a line's marker that is no role's, in small letters; null without one."""
+def name_of(line: Column) -> Column:
+    """The name in a line's marker that is no sure one, in small letters; null without one."""
     name = F.lower(F.trim(F.regexp_extract(line, _once(OTHER).replace(r"[\p{L}][\p{L} .]{0,20}", r"([\p{L}][\p{L} .]{0,20})"), 1)))
-    return F.when((marker(line) == 4) & (name != ""), name)
+    return F.when((name != "") & ~name.rlike("^(" + "|".join(SURE.values()) + ")$"), name)
+
+
+def own_role(name: Column) -> Column:
+    """The state that begins a turn of the role that a name stands for; null for a person's."""
+    out = F.lit(None).cast("int")
+    for k, role in enumerate(ROLES):
+        out = F.when(name.rlike(f"^({NAMES[role]})$"), 2 * k).otherwise(out)
+    return out
 
 
-def symbol(line: Column, first: Column) -> Column:
-    """What a line shows, as one number below ``SYMBOLS``."""
+def symbol(line: Column, first: Column, opens: Column) -> Column:
+    """What a line shows, as one number below ``SYMBOLS``: ``first`` of its transcript, ``opens`` a text."""
     size = F.lit(0)
     for n in LENGTHS:
         size = size + (F.length(line) >= n).cast("int")
-    return ((marker(line) * SIZES + size) * 2 + line.rlike(r"\?\s*$").cast("int")) * 2 + first.cast("int")
+    out = marker(line) * SIZES + size
+    for shown in (line.rlike(r"\?\s*$"), first, opens):
+        out = out * 2 + shown.cast("int")
+    return out
 
 
-SYMBOLS = KINDS * SIZES * 4
+SYMBOLS = KINDS * SIZES * 8
 
 
 @dataclass(frozen=True)
@@ -99,7 +115,7 @@ def transcript_lines(texts: DataFrame) -> DataFrame:
     keep = [F.col(c) for c in texts.columns if c not in ("conv", "text")]
     out = counted.select("conv", *keep, "_before", F.posexplode(F.split("text", "\n", -1)).alias("_at", "text"))
     out = out.withColumn("line", F.col("_before") + F.col("_at")).withColumn("inner", F.col("_at") > 0).drop("_before", "_at")
-    return out.withColumn("symbol", symbol(F.col("text"), F.col("line") == 0)).withColumn("chunk", F.floor(F.col("line") / CHUNK))
+    return out.withColumn("symbol", symbol(F.col("text"), F.col("line") == 0, ~F.col("inner"))).withColumn("chunk", F.floor(F.col("line") / CHUNK))
 
 
 def train(lines: DataFrame) -> Model:
@@ -228,33 +244,45 @@ def recover_roles(lines: DataFrame, model: Model) -> DataFrame:
 
 
 def render(decoded: DataFrame) -> DataFrame:
-    """(conv, turn_no, role, n_lines, rendered): one row a recovered turn, its marker taken off. A name
-    that is no role's is a marker if it is a speaker's: it opens two turns of the transcript or more,
-    all of one role. Any other beginning of a line is part of what is said."""
+    """(conv, turn_no, role, n_lines, first_line, rendered): one row a recovered turn, its marker taken off.
+
+    A sure name (user, assistant, ...) is a marker if it is the turn's role. Any other word before a colon is
+    one if it is a speaker's: it opens two turns of the transcript or more, all of one role, its own if it
+    stands for one, or one turn where its partner (question and answer) opens another. Any other
+    beginning of a line is part of what is said."""
     d = stage(decoded, "chat-states").withColumn("begins", (F.col("state") % 2 == 0).cast("long"))
-    d = d.withColumn("_name", F.when(F.col("begins") == 1, other_name(F.col("text"))))
-    speakers = (d.filter("_name is not null").groupBy("conv", "_name").agg(F.count("*").alias("n"), F.min("state").alias("a"), F.max("state").alias("b"))
-                .filter("n > 1 and a = b").select("conv", "_name", F.lit(True).alias("_speaker")))
+    d = d.withColumn("_name", F.when(F.col("begins") == 1, name_of(F.col("text"))))
+    named = (d.filter("_name is not null").groupBy("conv", "_name").agg(F.count("*").alias("n"), F.min("state").alias("a"), F.max("state").alias("b"))
+             .filter((F.col("a") == F.col("b")) & F.coalesce(own_role(F.col("_name")) == F.col("a"), F.lit(True))))
+    named = stage(named, "chat-names")
+    partner = F.create_map(*[F.lit(x) for pair in PARTNERS.items() for x in pair])
+    met = named.select("conv", F.element_at(partner, F.col("_name")).alias("_name"), F.lit(True).alias("_met")).filter("_name is not null")
+    speakers = named.join(met, ["conv", "_name"], "left").filter("n > 1 or _met").select("conv", "_name", F.lit(True).alias("_speaker"))
     speakers = broadcast_if_small(stage(speakers, "chat-speakers"))
     d = running_before(d, ["conv"], ["line"], F.col("chunk"), F.col("begins"), "_turns").withColumn("turn_no", F.col("_turns") + F.col("begins") - 1)
     d = d.withColumn("_name", F.coalesce("_name", F.concat(F.lit("\n"), F.col("line").cast("string"))))  # lines without a name stay spread
     d = d.join(speakers, ["conv", "_name"], "left")
-    said = F.when(F.col("begins") == 1, unmarked(F.col("text"), F.coalesce("_speaker", F.lit(False)))).otherwise(F.col("text"))
-    turns = d.groupBy("conv", "turn_no").agg(F.min_by("state", "line").alias("state"), F.count("*").alias("n_lines"),
+    said = F.when(F.col("begins") == 1, unmarked(F.col("text"), F.col("state"), F.coalesce("_speaker", F.lit(False)))).otherwise(F.col("text"))
+    turns = d.groupBy("conv", "turn_no").agg(F.min_by("state", "line").alias("state"), F.count("*").alias("n_lines"), F.min("line").alias("first_line"),
                                              F.sort_array(F.collect_list(F.struct("line", said.alias("said")))).alias("lines"))
     role = F.element_at(F.array(*map(F.lit, ROLES)), (F.floor(F.col("state") / 2) + 1).cast("int"))
     body = F.array_join(F.transform("lines", lambda x: x["said"]), "\n")
-    return turns.select("conv", "turn_no", role.alias("role"), "n_lines", F.concat(F.lit("<|"), role, F.lit("|>\n"), body, F.lit("\n<|end|>\n")).alias("rendered"))
+    return turns.select("conv", "turn_no", role.alias("role"), "n_lines", "first_line", F.concat(F.lit("<|"), role, F.lit("|>\n"), body, F.lit("\n<|end|>\n")).alias("rendered"))
+
+
+def conv_of(conv: Column, kind) -> Column:
+    """The id that ``conv_key`` made a string of."""
+    return F.when(conv != "n", F.substring(conv, 2, 1 << 30)).cast(kind)
 
 
 def format_chats(texts: DataFrame, model: Model) -> DataFrame:
-    """(conv, turn_no, role, n_lines, rendered) of transcripts (conv, turn, text), whose texts hold
+    """(conv, turn_no, role, n_lines, first_line, rendered) of transcripts (conv, turn, text), whose texts hold
     speaker markers or not, and any number of turns each.
 
     A turn loses one speaker marker at most (see ``render``) and nothing else. Null texts add nothing; an empty text is one empty line; rows of a null conv are one transcript.
     Repeated rows are said twice. Extra columns are ignored; an empty table gives no rows."""
     out = render(recover_roles(transcript_lines(texts.select("conv", "turn", "text")), model))
-    return out.withColumn("conv", F.when(F.col("conv") != "n", F.expr("substring(conv, 2)")).cast(texts.schema["conv"].dataType))
+    return out.withColumn("conv", conv_of(F.col("conv"), texts.schema["conv"].dataType))
 
 
 def raw_transcripts(conversations: DataFrame) -> DataFrame:
@@ -275,7 +303,11 @@ def held_out(conv: Column) -> Column:
 
 
 def op5_chat_formatting(spark, sf_dir: str) -> DataFrame:
+    """With the role that the table gives a turn's first line, and whether a turn of the table begins there."""
     raw = raw_transcripts(table(spark, sf_dir, "conversations"))
     model = train(transcript_lines(raw.filter(~held_out(F.col("conv")))))
-    out = format_chats(raw, model)
-    return out.select(F.col("conv").alias("conv_id"), held_out(F.col("conv")).alias("held_out"), "turn_no", "role", "n_lines", "rendered")
+    lines = stage(transcript_lines(raw), "chat-transcripts")
+    out = render(recover_roles(lines, model))
+    truth = lines.select("conv", F.col("line").alias("first_line"), F.col("role").alias("true_role"), (~F.col("inner")).alias("true_begin"))
+    out = out.join(truth, ["conv", "first_line"], "left").withColumn("conv_id", conv_of(F.col("conv"), "long"))
+    return out.select("conv_id", held_out(F.col("conv_id")).alias("held_out"), "turn_no", "role", "n_lines", "rendered", "true_role", "true_begin")

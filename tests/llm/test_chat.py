@@ -69,15 +69,21 @@ def test_viterbi_against_all_paths():
 def test_markers_are_read_and_taken_off(spark):
     said = ["User: hi there?", "### AI: fine", "**Human:** q", "[SYSTEM] be kind", "<|assistant|> yes", "Note: x", "plain", "A: b", "http://a.b"]
     df = spark.createDataFrame([(s,) for s in said], "t string")
-    got = [tuple(r) for r in df.select(chat.marker(F.col("t")), chat.unmarked(F.col("t"))).collect()]
-    assert [g[0] for g in got] == [3, 1, 3, 2, 1, 4, 0, 1, 4] and [g[1] for g in got[:6]] == ["hi there?", "fine", "q", "be kind", "yes", "x"]
+    state = F.greatest((chat.marker(F.col("t")) - 1) * 2, F.lit(0))
+    got = [tuple(r) for r in df.select(chat.marker(F.col("t")), chat.unmarked(F.col("t"), state, F.col("t").startswith("Note"))).collect()]
+    assert [g[0] for g in got] == [3, 1, 3, 2, 1, 4, 0, 1, 4] and [g[1] for g in got] == ["hi there?", "fine", "q", "be kind", "yes", "x", "plain", "A: b", "http://a.b"]
 
 
 def test_a_turn_loses_one_marker_alone(spark):
     """What is said may begin with 'word:' or a URL; a name is a speaker's if it opens several turns of one role."""
-    said = {"a": [("User: In short: yes", "In short: yes"), ("Steps: 1", "Steps: 1"), ("http://a.b", "http://a.b"), ("Question: Q: why?", "Q: why?"), ("plain", "plain")],
+    same = lambda *lines: [(x, x) for x in lines]
+    said = {"a": [("User: In short: yes", "In short: yes"), *same("Steps: 1", "http://a.b", "Question: Q: why?", "plain")],
             "b": [("Bob: Note: x", "Note: x"), ("Ann: y", "y"), ("BOB: http://c", "http://c"), ("Ann: Steps: 2", "Steps: 2"), ("Once: z", "Once: z"), ("http://d", "http://d"), ("User: w", "w"), ("http://e", "http://e")],
-            "c": [("Note: u", "Note: u"), ("Note: v", "Note: v"), ("Ann: y", "Ann: y")]}
+            "c": [("Note: u", "Note: u"), ("Note: v", "Note: v"), ("Ann: y", "Ann: y")],
+            "d": same("Question: what is it?", "what", "Context: the law of 1990", "Instructions: mix well"), "e": same("hm", "Answer: 42"), "f": same("so", "A: first option"),
+            "g": same("User", "Assistant", "assistant: wrong role", "User: wrong role"), "h": [("Q: why?", "why?"), ("A: so", "so")],
+            "i": [("Question: a", "a"), ("Answer: b", "b"), ("Question: c", "c"), ("Answer: d", "d")], "j": same("Answer: x", "Question: y", "Answer: z", "Question: w"),
+            "k": [("Q: x", "x"), ("so", "so"), ("q: y", "y")], "l": same("word: x", "word : y", "10:30 it was", "a/b: c")}
     data = [(conv, 0, k, line, 4 if k % 2 == 0 else 0) for conv, lines in said.items() for k, (line, _) in enumerate(lines)]
     got = chat.render(spark.createDataFrame(data, "conv string, chunk long, line long, text string, state long")).collect()
     bodies = {(r.conv, r.turn_no): r.rendered.split("\n", 1)[1].removesuffix("\n<|end|>\n") for r in got}
