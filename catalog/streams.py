@@ -6,32 +6,34 @@ from pyspark.sql import functions as F
 from cityweave.functions import severity as sv
 from cityweave.operators import ingest as ig
 from cityweave.operators.scale import stage_root
-from cityweave.streaming import live
+from cityweave.streaming import live, upserts
 
-from .base import CANON, EV, GRID, P, ROWS, duck, iso, memo, portable, query, r6, ts
+from .base import CANON, EV, GRID, INTERVAL, P, ROWS, duck, iso, memo, portable, query, r6, ts
 from .columns import R, REG_SQL, WEATHER, power_feed
-from .feeds import CR, DREG_SQL, OUT, PD, PS, _AS, _CSEL, _DS, _PC, _WS, air, cand_out, complaint_feed, drains, island_sql
-from .situations import MILS, asof
+from .feeds import CATS, DREG_SQL, INGEST, OUT, PD, PS, _CSEL, _PC, _WS, air, cand_out, complaint_feed, drains, island_sql
+from .feeds import rows as event_rows
+from .situations import ANOM, DET, MILS, _anom, anom_out, asof, detected
 
 C = F.col
 
 
-SLICES = 4
+SLICES, SLICE_ROWS = 4, 25_000  # at least so many micro-batches, of about so many rows at most
 
 
 def sliced(s, d, name, rows, order):
-    """The rows as a stream of several micro-batches: slices of equal span of ``order``, written one after
-    the other, are read at most a slice's files at a time."""
+    """The rows as a stream of several micro-batches: slices of equal span of ``order``, each in files of its
+    own, a slice a trigger. A slice doesn't grow with the table."""
     def build():
         path = f"{stage_root(s)}/slices-{name}-{uuid.uuid4().hex}"
         x = rows()
-        lo, hi = x.agg(F.min(order), F.max(order)).first()
-        for k in range(SLICES):
-            x.filter(F.floor((C(order) - lo) * SLICES / (hi - lo + 1)) == k).write.mode("append").parquet(path)
-        return path, x.schema, len(s.read.schema(x.schema).parquet(path).inputFiles())
+        lo, hi, n = x.agg(F.min(order), F.max(order), F.count("*")).first()
+        slices = max(SLICES, -(-n // SLICE_ROWS))
+        for k in range(slices):
+            x.filter(F.floor((C(order) - lo) * slices / (hi - lo + 1)) == k).coalesce(1).write.mode("append").parquet(path)
+        return path, x.schema
 
-    path, schema, files = memo(s, d, f"slices-{name}", build)
-    return s.readStream.schema(schema).option("maxFilesPerTrigger", max(1, files // SLICES)).parquet(path)
+    path, schema = memo(s, d, f"slices-{name}", build)
+    return s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def drain(s, x, mode="append"):
@@ -56,34 +58,83 @@ def canon_stream(s, d):
 
 query("r1_feed_ingest", R + f"SELECT seq, category, round(measure, 6) AS measure FROM ({WEATHER})")(
     lambda s, d: drain(s, weather_stream(s, d).select("seq", "category", "measure")).select("seq", "category", r6("measure").alias("measure")))
-query("r1_air_episodes", _AS + island_sql("am") + " " + _CSEL)(lambda s, d: cand_out(drain(s, live.stream_episodes(
-    ig.air_readings(sliced(s, d, "air", lambda: air(s, d), "seq"), PS, GRID)))))
-query("r1_drain_episodes", _DS + island_sql("dm") + " " + _CSEL)(lambda s, d: cand_out(drain(s, live.stream_episodes(
-    ig.drain_readings(sliced(s, d, "drains", lambda: drains(s, d), "seq"), portable(s, d, DREG_SQL), PD, GRID).filter("located")))))
-query("r1_power_events", f"WITH {OUT}{_PC}, c AS (SELECT seq, category, measure, t, NULL::bigint AS e FROM pc UNION ALL SELECT seq, category, measure, t, t_end FROM pc WHERE t_end IS NOT NULL) SELECT seq, category, round(measure, 3) AS measure, {ts('t')} AS start_utc, {ts('e')} AS end_utc FROM c")(
-    lambda s, d: drain(s, live.outage_events(power_stream(s, d))).select("seq", "category", "measure", iso("start_utc").alias("start_utc"), iso("end_utc").alias("end_utc")))
-query("r1_complaint_events", f"WITH {CR} SELECT seq, category, 'civic_complaints:' || complaint_id AS raw_ref FROM cr WHERE drop_reason IS NULL")(
-    lambda s, d: drain(s, live.complaint_events(ig.complaint_records(sliced(s, d, "complaints", lambda: complaint_feed(s, d), "seq"), PS, GRID))).select("seq", "category", "raw_ref"))
-query("r2_stateful_episodes", _WS + island_sql("wm") + " " + _CSEL)(lambda s, d: cand_out(drain(s, live.stream_episodes(weather_stream(s, d).filter("located")))))
+def written(s, x, name, writer):
+    """The folder that a ``foreachBatch`` function wrote, once the stream is drained."""
+    root = f"{stage_root(s)}/{name}-{uuid.uuid4().hex}"
+    x.writeStream.foreachBatch(writer(root)).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return root
+
+
+def candidates(s, root):
+    return s.read.parquet(f"{root}/candidates")
 
 
 def power_stream(s, d):
     return ig.power_records(sliced(s, d, "power", lambda: power_feed(s, d), "seq"), portable(s, d, REG_SQL))
 
 
+def late_register(s, d):
+    """The register as it comes in: records are up to 500 seconds late."""
+    known = event_rows(s, d).select(C("event_id").alias("seq"), C("t").alias("_t"))
+    return complaint_feed(s, d).join(known, "seq").withColumn("arrived", C("_t") + F.pmod(F.hash("seq"), F.lit(500))).drop("_t")
+
+
+STORES = {
+    "weather_imd": lambda s, d: written(s, weather_stream(s, d), "weather", lambda r: upserts.episode_writer(r, PS, True)),
+    "air_sensors": lambda s, d: written(s, ig.air_readings(sliced(s, d, "air", lambda: air(s, d), "seq"), PS, GRID), "air", lambda r: upserts.episode_writer(r, PS)),
+    "drain_scada": lambda s, d: written(s, ig.drain_readings(sliced(s, d, "drains", lambda: drains(s, d), "seq"), portable(s, d, DREG_SQL), PD, GRID), "drains",
+                                        lambda r: upserts.episode_writer(r, PD, True)),
+    "power_discom": lambda s, d: written(s, power_stream(s, d), "power", lambda r: upserts.outage_writer(r, PS)),
+    "civic_complaints": lambda s, d: written(s, ig.complaint_records(sliced(s, d, "complaints", lambda: late_register(s, d), "arrived"), PS, GRID), "complaints",
+                                             lambda r: upserts.complaint_writer(r, PS))}
+_live = INGEST.replace("WITH ", "WITH " + CATS + ", ", 1).replace("arg_min(h3_cell, seq) AS h3_cell,", "max(measure) AS measure, arg_min(h3_cell, seq) AS h3_cell,").replace(
+    "conf AS confidence, raw_ref FROM fo", f"conf AS confidence, raw_ref, round(coalesce(n, measure), 3) AS measure, {ts('t + ' + INTERVAL)} AS received_at FROM fo")
+
+
+def event_out(e):
+    return e.select("event_id", "source", "category", "h3_cell", iso("start_utc").alias("start_utc"), iso("end_utc").alias("end_utc"), "severity", "confidence", "raw_ref",
+                    F.round("measure", 3).alias("measure"), iso("received_at").alias("received_at"))
+
+
+for _name, _feed in (("r1_weather_episodes", "weather_imd"), ("r1_air_episodes", "air_sensors"), ("r1_drain_episodes", "drain_scada"), ("r1_power_events", "power_discom"),
+                     ("r1_complaint_events", "civic_complaints")):
+    query(_name, f"SELECT * FROM ({_live}) live WHERE source = '{_feed}'")(lambda s, d, feed=_feed: event_out(upserts.current_events(s, STORES[feed](s, d))))
+query("r1_live_events", _live)(lambda s, d: event_out(upserts.current_events(s, [store(s, d) for store in STORES.values()])))
+query("r2_stateful_episodes", _WS + island_sql("wm") + " " + _CSEL)(
+    lambda s, d: cand_out(candidates(s, written(s, weather_stream(s, d), "weather", lambda r: upserts.episode_writer(r, PS, True, candidates=True)))))
 query("r3_stateful_outages", f"WITH {OUT}{_PC} SELECT seq, category, measure, {ts('t')} AS start_utc, NULL::varchar AS end_utc FROM pc UNION ALL SELECT seq, category, measure, {ts('t')}, {ts('t_end')} FROM pc WHERE t_end IS NOT NULL")(
-    lambda s, d: drain(s, live.stream_outages(power_stream(s, d))).select("seq", "category", "measure", iso("start_utc").alias("start_utc"), iso("end_utc").alias("end_utc")))
+    lambda s, d: candidates(s, written(s, power_stream(s, d), "power", lambda r: upserts.outage_writer(r, PS, candidates=True)))
+    .select("seq", "category", "measure", iso("start_utc").alias("start_utc"), iso("end_utc").alias("end_utc")))
 query("r4_live_windows", f"WITH {EV}, k AS (SELECT h3_cell, category, t // 300 * 300 - 300 * i AS w, severity FROM ev, range(12) r(i)) SELECT h3_cell, category, w, count(*) AS observed, round(sum(severity), 4) AS severity_weighted FROM k WHERE w + 3600 <= (SELECT max(t) FROM ev) - 600 GROUP BY ALL")(
     lambda s, d: drain(s, live.live_windows(canon_stream(s, d), P, 600)).select("h3_cell", "category", "w", "observed", F.round("severity_weighted", 4).alias("severity_weighted")))
+
+
+def live_anomalies(s, d):
+    """The detection part of the events as a stream, tested against the stored baseline of the part before."""
+    x = detected(s, d)
+    root = f"{stage_root(s)}/baselines-{uuid.uuid4().hex}"
+    live.publish_baseline(x.baseline.filter("false"), 1.0, 0.0, root, 0)  # replaced before the stream begins
+    live.publish_baseline(x.baseline, x.n_days, x.p_rare, root, 1)
+    first = x.detection.agg(F.min("t")).first()[0] // P.step_sec * P.step_sec
+    events = canon_stream(s, d).filter(C("t") >= x.start)
+    span = lambda spark, t0, t1: x.detection.filter(C("t").between(t0, t1))
+    return written(s, live.live_windows(events, P, 600), "anomalies", lambda r: live.anomaly_writer(r, root, span, first, p=P))
+
+
+_final = "we <= (SELECT max(t) FROM ev) - 600"
+query("r4_live_anomalies", f"{DET} SELECT {_anom} FROM an WHERE {_final}")(lambda s, d: anom_out(s.read.parquet(f"{live_anomalies(s, d)}/anomalies")))
+query("r4_live_members", f"{DET} SELECT anomaly_id, event_id FROM an JOIN de ON an.h3_cell = de.h3_cell AND an.category = de.category AND t >= ws AND t < we WHERE {_final}")(
+    lambda s, d: s.read.parquet(f"{live_anomalies(s, d)}/members").drop("batch"))
 query("r5_drop_resent", f"WITH {EV} SELECT event_id, {ts('t')} AS start_utc FROM ev")(
     lambda s, d: drain(s, live.drop_resent(canon_stream(s, d).select("event_id", "start_utc", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_duplicate"))).drop("is_duplicate"))
     .select("event_id", iso("start_utc").alias("start_utc")))
 
 
-_step = f"LEAST({SLICES - 1}, (t - lo) * {SLICES} // (hi - lo + 1))"
+_n = f"greatest({SLICES}, (count(*) + {SLICE_ROWS - 1}) // {SLICE_ROWS})"
+_step = "LEAST(n - 1, (t - lo) * n // (hi - lo + 1))"
 
 
-@query("r6_situation_deltas", MILS + f""", spn AS (SELECT min(t) AS lo, max(t) AS hi FROM ({duck(CANON)}) z), tk AS (SELECT {_step} AS k, min(t) AS first, max(t) AS cur FROM ev, spn GROUP BY ALL), b AS (SELECT cur, coalesce(lag(cur) OVER (ORDER BY k), first - 1) AS prev FROM tk)
+@query("r6_situation_deltas", MILS + f""", spn AS (SELECT min(t) AS lo, max(t) AS hi, {_n} AS n FROM ({duck(CANON)}) z), tk AS (SELECT {_step} AS k, min(t) AS first, max(t) AS cur FROM ev, spn GROUP BY ALL), b AS (SELECT cur, coalesce(lag(cur) OVER (ORDER BY k), first - 1) AS prev FROM tk)
  SELECT sit AS situation_id, cur AS clock, 'created' AS action FROM rv, b WHERE rev > prev AND rev <= cur UNION ALL SELECT DISTINCT sit, cur, 'updated' FROM ms JOIN rv USING (sit), b WHERE rev <= prev AND m > prev AND m <= cur""")
 def r6_deltas(s, d):
     a = asof(s, d)

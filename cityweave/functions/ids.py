@@ -1,4 +1,6 @@
 """Derived identifiers: name-based UUIDs, short hashes and record references."""
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,9 +42,16 @@ def set_key(prefix: str, n: int, keys) -> Column:
     return F.concat(set_id(prefix, n, F.transform(keys, public)), set_id("", KEY - n, keys))
 
 
+SHOWN = "^(SIT-[0-9a-f]{6}|(?:ANOM|REJ)-[0-9a-f]{8})[0-9a-f]+$"
+
+
 def public(c) -> Column:
     """The shown text of a key: 6 digits for situations, 8 for anomalies and rejected links."""
-    return F.regexp_replace(c, "^(SIT-[0-9a-f]{6}|(?:ANOM|REJ)-[0-9a-f]{8})[0-9a-f]+$", "$1")
+    return F.regexp_replace(c, SHOWN, "$1")
+
+
+def public_text(key: str) -> str:
+    return re.sub(SHOWN, r"\1", key)
 
 
 def with_public(df):

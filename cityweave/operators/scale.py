@@ -5,11 +5,17 @@ collects a full key in one task: running operators work per (key, chunk) and car
 totals; as-of lookups work per (key, time bucket)."""
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..functions import ids
 
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 PAGE = 10_000
@@ -26,13 +32,13 @@ def stage_root(spark) -> str:
 _staged: list[str] = []
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, owner: list[str] | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here and the data
     survives the loss of any executor. Who no longer needs what was staged drops it, with
-    ``staging`` or ``drop_staged``."""
+    ``staging`` or ``drop_staged``; an ``owner`` is given the path and deletes it."""
     path = f"{stage_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.append(path)
+    (_staged if owner is None else owner).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -164,6 +170,39 @@ def rank_by_range(df: DataFrame, keys: list, order: list, out: str) -> DataFrame
     return running_before(stage(ranged, "ranges"), keys, order, F.col("_range"), F.lit(1), out).drop("_range")
 
 
+def set_keys(members: DataFrame, by: list[str], member: str, prefix: str, shown: int, out: str) -> DataFrame:
+    """(by, out): the key of each group's set of ``member`` keys, as ``ids.set_key`` makes it of an array. Members
+    are sorted, and a digest takes them a batch at a time, so no group is ever a row or held in memory."""
+    fields = {f.name: f.dataType.simpleString() for f in members.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts, keys = None, None, None
+        done: list[tuple] = []
+
+        def close() -> None:
+            done.append((*now, prefix + texts.hexdigest()[:shown] + keys.hexdigest()[:ids.KEY - shown]))
+
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in by]
+            for *group, key in zip(*columns, b.column(member).to_pylist()):
+                if group != now:
+                    if now is not None:
+                        close()
+                    now, texts, keys, first = group, hashlib.sha1(), hashlib.sha1(), True
+                for digest, text in ((texts, ids.public_text(key)), (keys, key)):
+                    digest.update((text if first else "|" + text).encode())
+                first = False
+            yield pa.RecordBatch.from_pylist([dict(zip([*by, out], row)) for row in done], schema=made)
+            done.clear()
+        if now is not None:
+            close()
+            yield pa.RecordBatch.from_pylist([dict(zip([*by, out], row)) for row in done], schema=made)
+
+    made = to_arrow_schema(members.select(*by, F.lit("").alias(out)).schema)
+    ddl = ", ".join([*[f"{c} {fields[c]}" for c in by], f"{out} string"])
+    return members.select(*by, member).repartition(*by).sortWithinPartitions(*by, member).mapInArrow(run, ddl)
+
+
 def id_pages(bridge: DataFrame, key: str, member: str, page_size: int = PAGE) -> DataFrame:
     """Member arrays in rows of at most ``page_size`` ids: (key, page, pages, ids). Pages are numbered
     from 0 in the order of the ids, the ids of a page are sorted; every id is on one page."""

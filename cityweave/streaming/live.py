@@ -1,21 +1,20 @@
-"""The same operators over streams: ingest, stateful episodes and outages, live windows,
-duplicates, deltas, health changes and rates.
-
-State is keyed by entity; a micro-batch of one entity is what its trigger admits
-(``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``), which bounds the rows one task sorts."""
+"""The same operators over streams: feeds, live windows and anomalies, duplicates, deltas, health
+changes and rates. Episodes, outages and complaints as they become known are in ``upserts``."""
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from .. import vocabulary as v
+from .. import dims
 from ..functions import severity as sv, times
+from ..operators import detect as dt
 from ..operators import ingest as ig
 from ..operators import serve as srv
 from ..params import DEFAULT, Params
 from ..sources import readers
+from .upserts import Carried, own
 
 
 # ------------------------------------------------------------------ sources and clocks -----
@@ -46,110 +45,55 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-# ------------------------------------------------------------------ stateful episodes -------
-CANDIDATE = ("source string, entity string, category string, seq bigint, raw_ref string, start_utc timestamp, "
-             "end_utc timestamp, lat double, lon double, h3_cell bigint, measure double, confidence double, resolution string")
-
+# ------------------------------------------------------------------ windows and rates -------
+def live_windows(events: DataFrame, p: Params = DEFAULT, late_sec: int = 600) -> DataFrame:
+    """Sliding counts with late data up to ``late_sec``; a window is emitted once it is final. Events are
+    first reduced to a row a step, as in the batch form, and steps feed the windows over them."""
+    steps = (events.withWatermark("start_utc", f"{late_sec} seconds")
+             .groupBy(F.window("start_utc", f"{p.step_sec} seconds").alias("step"), "h3_cell", "category")
+             .agg(F.count("*").alias("n"), F.sum(F.col("severity").cast(dt.SEV)).alias("sev"), F.collect_set("source").alias("src")))
+    return (steps.groupBy(F.window(F.window_time("step"), f"{p.window_sec} seconds", f"{p.step_sec} seconds"), "h3_cell", "category")
+            .agg(F.sum("n").alias("observed"), F.sum("sev").cast("double").alias("severity_weighted"), F.collect_set("src").alias("src"))
+            .select("h3_cell", "category", F.unix_timestamp("window.start").alias("w"), "observed", "severity_weighted",
+                    F.array_sort(F.array_distinct(F.flatten("src"))).alias("source_feeds")))
 
-def _ordered(chunks) -> pd.DataFrame | None:
-    frames = [c for c in chunks if len(c)]
-    return pd.concat(frames, ignore_index=True).sort_values("seq", kind="stable", ignore_index=True) if frames else None
 
+LEARNT = "grain string, h3_cell bigint, category string, hour bigint, support bigint, rate double, active_cells bigint, n_days double, p_rare double"
 
-def _when(t):
-    return None if t is None or pd.isna(t) else pd.Timestamp(t).to_pydatetime()
 
+def publish_baseline(baseline: DataFrame, n_days: float, p_rare: float, path: str, version: int) -> None:
+    """Store what windows are tested against (``baseline.learn``, its days and the rare threshold) as a version;
+    a running stream takes it up with its next batch."""
+    rows = baseline.withColumn("n_days", F.lit(float(n_days))).withColumn("p_rare", F.lit(float(p_rare)))
+    rows.write.mode("overwrite").parquet(f"{path}/version={version}")
 
-def stream_episodes(readings: DataFrame) -> DataFrame:
-    """Candidates of threshold episodes. State per (source, entity, category): the open episode's
-    reference, start and peak, one row. A micro-batch of a key is worked on in columns: readings up to
-    and with the one that breaks off are an island, and the open episode leads the first."""
-    floors = {c: lo for c, _, lo, _ in v.CATEGORIES}
-    names = [f.split()[0] for f in CANDIDATE.split(", ")]
 
-    def step(key, chunks, state):
-        d = _ordered(chunks)
-        if d is None:
-            return
-        ref0, start0, peak0 = state.get if state.exists else (None, None, None)
-        above = ~d["fault"].fillna(False).astype(bool) & (d["measure"] >= floors[key[2]])
-        island = (~above).cumsum() - (~above)  # a breaking reading is in the island it ends
-        lead = (island == 0) & (ref0 is not None)
-        first = lambda c: d[c].where(above).groupby(island).transform("first")
-        ref = first("raw_ref").mask(lead, ref0)
-        start = first("t").mask(lead, pd.Timestamp(start0)) if ref0 is not None else first("t")
-        peak = d["measure"].where(above).groupby(island).cummax().groupby(island).ffill()
-        peak = peak.mask(lead, peak.fillna(peak0).clip(lower=peak0)) if ref0 is not None else peak
-        # readings before the first above are in no episode: an island is such readings, or the one that breaks off
-        out = pd.DataFrame({"source": key[0], "entity": key[1], "category": key[2], "seq": d["seq"], "raw_ref": ref, "start_utc": start,
-                            "end_utc": d["t"].where(~above), "lat": d["lat"], "lon": d["lon"], "h3_cell": d["h3_cell"],
-                            "measure": d["measure"].where(above, peak).astype(float), "confidence": d["confidence"], "resolution": d["resolution"]})
-        if bool(above.iloc[-1]):
-            state.update((ref.iloc[-1], _when(start.iloc[-1]), float(peak.iloc[-1])))
-        elif state.exists:
-            state.remove()
-        yield out[ref.notna() & d["located"].astype(bool)][names]
-
-    return readings.groupBy("source", "entity", "category").applyInPandasWithState(
-        step, CANDIDATE, "ref string, start timestamp, peak double", "append", GroupStateTimeout.NoTimeout)
-
-
-OUTAGE = ("source string, entity string, category string, seq bigint, raw_ref string, start_utc timestamp, end_utc timestamp, "
-          "lat double, lon double, h3_cell bigint, measure double, confidence double, resolution string, cap double")
-
-
-def stream_outages(records: DataFrame) -> DataFrame:
-    """Trips and their closing restores. State per feeder: the open trip, one row. A restore closes the
-    trip that is the record before it among trips and restores; so a micro-batch needs one shift."""
-    flat = records.filter("resolved").select(
-        "source", "entity", "seq", "t", "lat", "lon", "h3_cell", "is_restore", "opens", "cap", "raw_ref", "confidence", "resolution",
-        F.array_max(F.transform(F.filter("emits", lambda e: e["category"] == "power.outage"), lambda e: e["measure"])).alias("m_out"),
-        F.array_max(F.transform(F.filter("emits", lambda e: e["category"] == "traffic.signal_down"), lambda e: e["measure"])).alias("m_sig"))
-    names = [f.split()[0] for f in OUTAGE.split(", ")]
-    trip = ["seq", "raw_ref", "t", "m_out", "m_sig", "cap"]
-
-    def step(key, chunks, state):
-        d = _ordered(chunks)
-        if d is None:
-            return
-        d = d[d["is_restore"].astype(bool) | d["opens"].astype(bool)].reset_index(drop=True)
-        if not len(d):
-            return
-        restore = d["is_restore"].astype(bool)
-        before = d[trip].shift(1).astype(object)
-        closes = restore & (~restore).shift(1, fill_value=state.exists)
-        if state.exists:
-            before.loc[0] = pd.Series(list(state.get), index=trip, dtype=object)
-        opened = d[trip].astype(object).where(~restore, before)
-        rows = opened.rename(columns={"t": "start_utc"}).assign(
-            source="power_discom", entity=key[0], end_utc=d["t"].where(restore),
-            **{c: d[c] for c in ("lat", "lon", "h3_cell", "confidence", "resolution")})[~restore | closes]
-        parts = [rows.assign(category=c, measure=pd.to_numeric(rows[m])).dropna(subset=["measure"]) for c, m in (("power.outage", "m_out"), ("traffic.signal_down", "m_sig"))]
-        out = pd.concat(parts)[names]
-        out["seq"], out["cap"] = out["seq"].astype("int64"), pd.to_numeric(out["cap"]).astype("float64")
-        out["start_utc"], out["end_utc"] = pd.to_datetime(out["start_utc"]), pd.to_datetime(out["end_utc"])
-        if not bool(restore.iloc[-1]):
-            x = d.iloc[-1]
-            num = lambda m: None if pd.isna(m) else float(m)
-            state.update((int(x["seq"]), x["raw_ref"], _when(x["t"]), num(x["m_out"]), num(x["m_sig"]), num(x["cap"])))
-        elif state.exists:
-            state.remove()
-        yield out
-
-    return flat.groupBy("entity").applyInPandasWithState(
-        step, OUTAGE, "seq bigint, ref string, start timestamp, m_out double, m_sig double, cap double", "append", GroupStateTimeout.NoTimeout)
+def anomaly_writer(path: str, baselines: str, events: Callable[[SparkSession, int, int], DataFrame], since: int | None = None,
+                   degraded_feeds=(), p: Params = DEFAULT):
+    """``foreachBatch`` function over final windows (``live_windows``): tests them against the newest stored
+    baseline, and writes the anomalies and the bridge to their events. ``events(spark, t0, t1)`` gives the
+    events that start from t0 to t1, of which the flagged windows' are read; windows from before
+    ``since``, when the stream began, are not whole and left out. A batch that is run again keeps to the
+    version it began with."""
+    state = Carried(path)
 
+    @own
+    def write(batch: DataFrame, n: int, keep) -> None:
+        spark = batch.sparkSession
+        known = spark.read.schema(LEARNT + ", version bigint").parquet(baselines)
+        state.settle(known.agg(F.max("version").alias("version")), "used", n)
+        version = state.settled(spark, "used", "version bigint", n).first()[0]
+        base = known.filter(F.col("version") == version)
+        learnt = base.select("n_days", "p_rare").first()
+        windows = batch if since is None else batch.filter(F.col("w") >= since)
+        tested = dt.test_windows(keep(windows, "live-windows"), base.drop("n_days", "p_rare", "version"), learnt["n_days"], dims.categories(spark), p)
+        found = keep(dt.flag(tested, learnt["p_rare"], degraded_feeds, p), "live-anomalies")
+        state.put(found, "anomalies", n)
+        t0, t1 = found.agg(F.min(times.epoch(F.col("window_start_utc"))), F.max(times.epoch(F.col("window_end_utc")))).first()
+        if t0 is not None:
+            state.put(dt.anomaly_members(found, events(spark, t0, t1), p), "members", n)
 
-# ------------------------------------------------------------------ windows and rates -------
-def live_windows(events: DataFrame, p: Params = DEFAULT, late_sec: int = 600) -> DataFrame:
-    """Sliding counts with late data up to ``late_sec``; a window is emitted once it is final. Events are
-    first reduced to a row a step, as in the batch form, and steps feed the windows over them."""
-    steps = (events.withWatermark("start_utc", f"{late_sec} seconds")
-             .groupBy(F.window("start_utc", f"{p.step_sec} seconds").alias("step"), "h3_cell", "category")
-             .agg(F.count("*").alias("n"), F.sum(F.col("severity").cast("decimal(9,4)")).alias("sev")))
-    return (steps.groupBy(F.window(F.window_time("step"), f"{p.window_sec} seconds", f"{p.step_sec} seconds"), "h3_cell", "category")
-            .agg(F.sum("n").alias("observed"), F.sum("sev").cast("double").alias("severity_weighted"))
-            .select("h3_cell", "category", F.unix_timestamp("window.start").alias("w"), "observed", "severity_weighted"))
+    return write
 
 
 def live_rates(events: DataFrame, tick_sec: int = 1, late_sec: int = 90) -> DataFrame:
@@ -170,26 +114,25 @@ def tick_totals(events: DataFrame, tick_sec: int = 1, late_sec: int = 90) -> Dat
 def delta_writer(reveals: DataFrame, ms: DataFrame, path: str, situations: DataFrame = None):
     """``foreachBatch`` function over a stream of clock ticks ``t``: emits situations created and
     updated since the previous batch, with their message as far as they are known by then where
-    ``situations`` are given. A batch rewrites only its own folder, so a retried batch gives the same
-    output; the previous clock is read back from the folder before it."""
+    ``situations`` are given. A batch reads the clock that the one before it left and rewrites only its own
+    folders, so a retried batch gives the same output."""
+    state = Carried(path)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cur = batch.agg(F.max(times.epoch(F.col("t")))).first()[0]
-        if cur is None:
+        first, cur = batch.agg(F.min(times.epoch(F.col("t"))), F.max(times.epoch(F.col("t")))).first()
+        prev = state.before(spark, "clock", "clock bigint", batch_id).agg(F.max("clock")).first()[0]
+        if cur is None or prev is not None and cur <= prev:
+            state.leave(spark.range(1).select(F.lit(prev).cast("bigint").alias("clock")), "clock", batch_id)
             return
-        prev = None
-        if batch_id > 0:
-            seen = spark.read.schema("clock bigint, batch bigint").parquet(f"{path}/clock").filter(F.col("batch") < batch_id)
-            prev = seen.agg(F.max("clock")).first()[0]
-        prev = batch.agg(F.min(times.epoch(F.col("t")))).first()[0] - 1 if prev is None else prev
+        prev = first - 1 if prev is None else prev
         d = srv.situation_deltas(reveals, ms, int(prev), int(cur))
         if situations is not None:
             known = srv.partial_situations(situations, ms, reveals, int(cur))
             said = srv.situation_message(known, d, int(cur))
             d = d.join(said.select("situation_id", "data"), "situation_id")
-        d = d.withColumn("clock", F.lit(int(cur)))
-        d.write.mode("overwrite").parquet(f"{path}/deltas/batch={batch_id}")
-        spark.range(1).select(F.lit(int(cur)).alias("clock")).write.mode("overwrite").parquet(f"{path}/clock/batch={batch_id}")
+        state.put(d.withColumn("clock", F.lit(int(cur))), "deltas", batch_id)
+        state.leave(spark.range(1).select(F.lit(int(cur)).cast("bigint").alias("clock")), "clock", batch_id)
     return write
 
 
@@ -198,22 +141,20 @@ def health_writer(path: str, p: Params = DEFAULT, late_sec: int = 90):
     """``foreachBatch`` function over arrivals (feed, t): writes (feed, state, t) whenever a feed's
     state changes. Rows with a null feed are ticks of a clock (see ``with_clock``): they move the time
     on, so a feed falls silent even when nothing at all arrives. A batch is first reduced to the last arrival per feed and minute, so a busy
-    feed costs its minutes; the state kept between batches is one row per feed. Like
-    ``delta_writer``, a batch rewrites only its own folders."""
-    state_ddl = "feed string, last bigint, state string"
+    feed costs its minutes; the state kept between batches is one row per feed, and the batch before
+    left it. Like ``delta_writer``, a batch rewrites only its own folders."""
+    carried, state_ddl = Carried(path), "feed string, last bigint, state string"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         limit = F.coalesce(sv.interval_of(F.col("feed")) * p.stale_intervals, F.lit(0))
         t = times.epoch(F.col("t"))
+        prev = carried.before(spark, "state", state_ddl, batch_id)
         now = batch.agg(F.max(t)).first()[0]
         if now is None:
+            carried.leave(prev, "state", batch_id)
             return
         m = batch.filter("feed is not null").groupBy("feed", F.floor(t / 60).alias("minute")).agg(F.max(t).alias("last"))
-        prev = spark.createDataFrame([], state_ddl)
-        if batch_id > 0:
-            seen = spark.read.schema(state_ddl + ", batch bigint").parquet(f"{path}/state").filter(F.col("batch") < batch_id)
-            prev = seen.groupBy("feed").agg(F.max_by(F.struct("last", "state"), "batch").alias("s")).select("feed", "s.last", "s.state")
         rows = m.select("feed", "last", F.lit(None).cast("string").alias("state")).unionByName(prev)
         w = Window.partitionBy("feed").orderBy("last", F.col("state").isNull())
         d = rows.withColumn("_p", F.lag("last").over(w)).withColumn("_s", F.lag("state").over(w))
@@ -225,9 +166,9 @@ def health_writer(path: str, p: Params = DEFAULT, late_sec: int = 90):
         silent = F.col("last") + limit < now - late_sec
         ends = tail.filter(silent & ~F.coalesce(F.col("state") == "stale", F.lit(False))).select("feed", F.lit("stale").alias("state"), (F.col("last") + limit + 1).alias("t"))
         out = live.unionByName(late).unionByName(ends)
-        out.select("feed", "state", F.timestamp_seconds("t").alias("t")).write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+        carried.put(out.select("feed", "state", F.timestamp_seconds("t").alias("t")), "changes", batch_id)
         state = tail.select("feed", "last", F.when(silent | (F.col("state") == "stale"), "stale").otherwise("live").alias("state"))
-        state.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        carried.leave(state, "state", batch_id)
     return write
 
 
@@ -239,18 +180,3 @@ def stale_feeds(arrivals: DataFrame, feeds: DataFrame, now, p: Params = DEFAULT)
 def with_clock(arrivals: DataFrame, clock: DataFrame) -> DataFrame:
     """Arrivals (feed, t) and the ticks ``t`` of a clock stream, such as the rate source's, as one stream."""
     return arrivals.select("feed", "t").unionByName(clock.select(F.lit(None).cast("string").alias("feed"), "t"))
-
-
-def sensor_events(readings: DataFrame) -> DataFrame:
-    """Canonical events of a stream of weather, air or drain readings."""
-    return ig.build_events(stream_episodes(readings.filter("located")))
-
-
-def outage_events(records: DataFrame) -> DataFrame:
-    """Canonical events of a stream of power records."""
-    return ig.build_events(stream_outages(records))
-
-
-def complaint_events(register: DataFrame) -> DataFrame:
-    """Canonical events of a stream of register records."""
-    return ig.build_events(ig.complaint_candidates(register))

@@ -228,6 +228,48 @@ def test_keys_of_sets_whose_members_share_their_shown_text_stay_apart(spark):
     d = st.situation_ids(spark.createDataFrame([(0, True), (1, True)], "component int, standalone boolean"), rows.select("component", "episode_id"),
                          rows.select("episode_id", "anomaly_ids", F.timestamp_seconds(F.lit(0)).alias("window_end_utc")))
     got = [r["situation_id"] for r in d.collect()]
-    old = d.select(ids.set_id("SIT-", 6, F.transform("anomaly_ids", ids.public)).alias("s")).first()["s"]
+    old = rows.select(ids.set_id("SIT-", 6, F.transform("anomaly_ids", ids.public)).alias("s")).first()["s"]
+    assert sorted(got) == sorted(r[0] for r in rows.select(ids.set_key("SIT-", 6, F.col("anomaly_ids"))).collect())
     assert len(set(got)) == 2 and {len(x) for x in got} == {44}
     assert {r["situation_id"] for r in ids.with_public(d).collect()} == {old}
+
+
+def test_keys_of_large_sets_stream_through_the_hash(spark):
+    """50,000 ids in batches of 100: the key is that of the sorted array."""
+    from cityweave.functions import ids
+    m = spark.range(50_000).select(F.concat(F.lit("ANOM-"), F.sha1(F.col("id").cast("string"))).alias("member"), F.when(F.col("id") % 50 < 48, 1).otherwise(F.col("id") % 50).cast("int").alias("k"),
+                                   F.lit("x").alias("j"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = scale.set_keys(m, ["k", "j"], "member", "SIT-", 6, "key").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = m.groupBy("k", "j").agg(F.collect_list("member").alias("a")).select("k", "j", ids.set_key("SIT-", 6, F.col("a")).alias("key"))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect())) and len(got) == 3
+    assert scale.set_keys(m.limit(0), ["k", "j"], "member", "SIT-", 6, "key").count() == 0
+
+
+def test_a_long_name_multiplies_no_text(spark):
+    """Texts meet names by one rare word: a name of 40 words costs its occurrences, and containment holds both ways."""
+    from cityweave.operators import places
+    rnd = random.Random(3)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(300)]
+    long_name = " ".join(words[:40])
+    names = [long_name, "nagar", "wolf nagar", r"odd\Ename here", *(" ".join(rnd.sample(words[40:], 2)) for _ in range(60))]
+    texts = [" ".join(rnd.sample(words, 12)) + rnd.choice([" nagar", " nagarx", ", " + names[5], " (" + names[9] + ")", ""]) for _ in range(300)]
+    texts += ["at " + long_name + " road", " ".join(words[10:20]), " ".join(words[10:20]) + " q", r"odd\Ename here", "nagar wolf"]
+    around, inside = (spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in ((sorted(set(texts)), "around"), (names, "inside")))
+    import re
+    holds = lambda a, b: re.search(r"\b" + re.escape(b) + r"\b", a) is not None
+    want = {(b, a) for a in texts for b in names if holds(a, b)}
+    assert {(r.inside, r.around) for r in places.contained(inside, around).collect()} == want
+    back = {(a, b) for a in texts for b in names if holds(b, a)}
+    got = places.contained(around.select(F.col("around").alias("inside")), inside.select(F.col("inside").alias("around"))).collect()
+    assert {(r.inside, r.around) for r in got} == back and (" ".join(words[10:20]), long_name) in back
+    seen = {}
+    for t in set(texts):
+        for w in set(re.findall(r"\w+", t)):
+            seen[w] = seen.get(w, 0) + 1
+    bound = sum(min((seen.get(w, 0) for w in re.findall(r"\w+", n)), default=0) for n in names)
+    assert len(want) <= places.word_candidates(inside, around).count() <= bound

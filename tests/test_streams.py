@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cityweave.operators import ingest as ig
 from cityweave.sources import readers
-from cityweave.streaming import live
+from cityweave.streaming import live, upserts
 
 
 def test_episodes_across_micro_batches(spark, tmp_path):
@@ -23,9 +23,10 @@ def test_episodes_across_micro_batches(spark, tmp_path):
     marked = ig.mark_islands(ig.weather_measures(batch), drop_unlocated=True)
     want = sorted(str(tuple(r)) for r in ig.island_candidates(marked).select("entity", "category", "seq", "raw_ref", "start_utc", "end_utc", "measure").collect())
     stream = live.feed_stream(spark, str(src), "weather_imd", files_per_trigger=1).withColumn("seq", F.col("ts"))
-    c = live.stream_episodes(ig.weather_measures(stream).filter("located"))
-    out = live.run_once(c, str(tmp_path / "out"), str(tmp_path / "cp"))
-    got = sorted(str(tuple(r)) for r in out.select("entity", "category", "seq", "raw_ref", "start_utc", "end_utc", "measure").collect())
+    q = (ig.weather_measures(stream).writeStream.foreachBatch(upserts.episode_writer(str(tmp_path / "out"), drop_unlocated=True, candidates=True))
+         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted(str(tuple(r)) for r in spark.read.parquet(str(tmp_path / "out" / "candidates")).select("entity", "category", "seq", "raw_ref", "start_utc", "end_utc", "measure").collect())
     assert got == want and len(got) > 10
 
 
