@@ -24,7 +24,7 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 GRID = HexGrid()
 # thresholds suited to the density of the events table
-P = Params(lookback_hours=120, p_rare=0.12)
+P = Params(lookback_hours=120, p_rare=0.12, rare_thresholds=(0.2, 0.16, 0.12, 0.1, 0.08, 0.05, 0.02, 0.005, 1e-3, 0.0))
 ISO = "'%Y-%m-%dT%H:%M:%SZ'"
 
 

@@ -270,7 +270,7 @@ query("q2_floor_filter", f"WITH {CATS}, c AS ({CANON}) SELECT event_id, category
     lambda s, d: portable(s, d, CANON).filter(sv.crosses_floor(C("category"), C("measure"))).select("event_id", "category"))
 KL = "SELECT event_id, cast(1 + floor(value / 10) as bigint) AS k, 1e-2 + (event_id % 500) * 6e-2 AS lam FROM {events}"
 query("a10_poisson_tail", f"""WITH x AS ({KL}) SELECT event_id, round(list_sum(list_transform(range(0, 300), lambda i: exp(-lam + (k + i) * ln(lam) - lgamma(k + i + 1)))), 9) AS p FROM x""")(
-    lambda s, d: portable(s, d, KL).select("event_id", F.round(poisson.poisson_tail(C("k"), C("lam")), 9).alias("p")))
+    lambda s, d: poisson.with_poisson_tail(portable(s, d, KL), C("k"), C("lam"), "p").select("event_id", F.round("p", 9).alias("p")))
 _nearest = f"(SELECT arg_min(pos, ({hav('c.clat', 'c.clon', 'm.lat', 'm.lon')}, pos)) FROM marks m)"
 NEAR = f"""g AS ({GEO}), {cells('g', 'gc')}, mk AS (SELECT * FROM marks), {cells('mk', 'mkc')}, c AS (SELECT DISTINCT h3_cell, {_clat} AS clat, {_clon} AS clon FROM gc),
  nn AS (SELECT h3_cell, arg_min(pos, km) AS pos FROM (SELECT c.h3_cell, m.pos, {hav('c.clat', 'c.clon', 'm.lat', 'm.lon')} AS km FROM c, marks m) GROUP BY h3_cell)"""

@@ -27,17 +27,25 @@ def split(events: DataFrame, start_epoch: int):
     return events.filter(F.col("start_utc") < cut), events.filter(F.col("start_utc") >= cut)
 
 
+def days_between(first: int | None, end: int) -> float:
+    return 0.0 if first is None else max(1e-6, (end - first) / 86400)
+
+
 def history_days(history: DataFrame, start_epoch: int) -> float:
-    first = history.agg(F.min(times.epoch(F.col("start_utc")))).first()[0]
-    return 0.0 if first is None else max(1e-6, (start_epoch - first) / 86400)
+    return days_between(history.agg(F.min(times.epoch(F.col("start_utc")))).first()[0], start_epoch)
 
 
 def learn(history: DataFrame, n_days: float, p: Params = DEFAULT) -> DataFrame:
-    """Counts and rates at four grains in one GROUPING SETS pass over hourly counts:
-    cell+category+hour, cell+category, category+hour, category."""
+    """Counts and rates at four grains, of events."""
     hourly = (history.withColumn("hour", times.local_hour(F.col("start_utc"), p.tz).cast("bigint"))
               .groupBy("h3_cell", "category", "hour").agg(F.count("*").alias("n")))
-    cells = history.agg(F.greatest(F.lit(1), F.count_distinct("h3_cell")).alias("active_cells"))
+    return learn_hours(hourly, n_days)
+
+
+def learn_hours(hourly: DataFrame, n_days: float) -> DataFrame:
+    """Counts and rates at four grains in one GROUPING SETS pass over hourly counts (h3_cell, category,
+    hour, n): cell+category+hour, cell+category, category+hour, category."""
+    cells = hourly.agg(F.greatest(F.lit(1), F.count_distinct("h3_cell")).alias("active_cells"))
     g = hourly.groupingSets(
         [["h3_cell", "category", "hour"], ["h3_cell", "category"], ["category", "hour"], ["category"]],
         "h3_cell", "category", "hour").agg(
@@ -88,6 +96,11 @@ def held_out_day(history: DataFrame, back: int = 2):
     return days[back - 1] if len(days) >= 3 else None
 
 
+def held_out_pane(history: DataFrame, back: int = 2):
+    """``held_out_day`` of a history's cube."""
+    return held_out_day(history.select(F.timestamp_seconds("pane").alias("start_utc")), back)
+
+
 def day_slice(history: DataFrame, day_epoch: int):
     """(training rows before the day, rows of the day)."""
     a, b = F.timestamp_seconds(F.lit(day_epoch)), F.timestamp_seconds(F.lit(day_epoch + 86400))

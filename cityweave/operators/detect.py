@@ -6,38 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, times
-from ..functions.poisson import poisson_tail
+from ..functions.poisson import with_poisson_tail
 from ..params import DEFAULT, Params
 from . import baseline as bl
-from .scale import one_row, with_scalars
+from . import cube as cb
+from .scale import one_row, stage, with_scalars
 from ..functions.numbers import round_exact
 
-SEV = "decimal(9,4)"  # severities have 4 decimals, so decimal sums do not depend on row order
+SEV = cb.SEV
 
 
 def window_counts(detection: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Count, severity and sources of every non-empty window of the step grid.
-
-    Events are first reduced to one row per (cell, category, step); each of those feeds the
-    window_sec/step_sec windows over it. So a hot cell costs its steps, not its events."""
-    step, n = p.step_sec, p.window_sec // p.step_sec
-    if p.window_sec % step:
-        raise ValueError("window_sec must be a multiple of step_sec")
-    t = times.epoch(F.col("start_utc"))
-    panes = detection.groupBy("h3_cell", "category", (F.floor(t / step) * step).alias("pane")).agg(
-        F.count("*").alias("n"), F.sum(F.col("severity").cast(SEV)).alias("sev"),
-        F.collect_set("source").alias("src"))
-    span = detection.agg(F.min(t).alias("t0"), F.max(t).alias("t1"))
-    lo = F.floor(F.col("t0") / step) * step
-    hi = F.when(F.col("t1") > F.col("t0") + p.window_sec,
-                F.ceil((F.col("t1") - p.window_sec) / step) * step).otherwise(lo)
-    span = span.select(lo.alias("lo"), hi.alias("hi"))
-    w = panes.withColumn("w", F.explode(F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("pane") - i * step)))
-    w = with_scalars(w, span).filter("w between lo and hi")
-    return w.groupBy("h3_cell", "category", "w").agg(
-        F.sum("n").alias("observed"), F.sum("sev").cast("double").alias("severity_weighted"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("src")))).alias("source_feeds"))
+    """Count, severity and sources of every non-empty window of the step grid: events become the rows of a
+    cube, windows are differences of its running sums (``cube.windows``)."""
+    return cb.windows(stage(cb.steps(detection, p), "steps"), p)
 
 
 def test_windows(windows: DataFrame, base: DataFrame, n_days: float, cats: DataFrame,
@@ -48,10 +30,10 @@ def test_windows(windows: DataFrame, base: DataFrame, n_days: float, cats: DataF
     d = bl.expected_rate(d, base, n_days, p)
     hours = p.window_sec / 3600.0
     d = d.withColumn("expected", F.col("lam") * hours)
-    d = d.withColumn("p", poisson_tail(F.col("observed"), F.col("expected")))
+    d = with_poisson_tail(d, F.col("observed"), F.col("expected"), "p")
     if p.rare_rate == "all_hours":
         d = bl.all_hours_rate(d, base, n_days, p)
-        d = d.withColumn("p_rare", poisson_tail(F.col("observed"), F.col("lam_all") * hours)).drop("lam_all")
+        d = with_poisson_tail(d, F.col("observed"), F.col("lam_all") * hours, "p_rare").drop("lam_all")
     else:
         d = d.withColumn("p_rare", F.col("p"))
     d = d.join(cats.select("category", "rare_eligible", "feeds"), "category", "left")
@@ -93,9 +75,10 @@ def blocks(tested: DataFrame) -> DataFrame:
         F.max("volume").alias("volume"), F.min(F.when(F.col("rare_ok"), F.col("p_rare"))).alias("p_min"))
 
 
-def calibration_sweep(tested: DataFrame, day: DataFrame, thresholds=bl.RARE_THRESHOLDS,
-                      p: Params = DEFAULT) -> DataFrame:
-    """Flagged blocks per threshold in one aggregate, with the false-alarm budget."""
+def calibration_sweep(tested: DataFrame, day: DataFrame, thresholds=None, p: Params = DEFAULT) -> DataFrame:
+    """Flagged blocks per threshold in one aggregate, with the false-alarm budget of the (cell, category)
+    pairs of ``day`` (events or cube rows)."""
+    thresholds = p.rare_thresholds if thresholds is None else thresholds
     hit = lambda th: F.count(F.when(F.col("volume") | (F.col("p_min") < th), 1))
     counts = blocks(tested).agg(*[hit(th).alias(f"t{i}") for i, th in enumerate(thresholds)])
     pairs = day.agg(F.count_distinct("h3_cell", "category").alias("pairs"))
@@ -116,31 +99,32 @@ def choose_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.agg(F.min_by(F.struct("threshold", "rate", "budget", "blocks"), key).alias("c")).select("c.*")
 
 
-def calibrate(history: DataFrame, cats: DataFrame, p: Params = DEFAULT):
-    """Fit the rare threshold on the second-last history day; None with too few days."""
-    day = bl.held_out_day(history, 2)
+def day_tested(history: cb.Slices, day: int, cats: DataFrame, p: Params = DEFAULT, end: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cube rows of a day, its windows tested against the days before it): slices of the history's cube,
+    which ends at ``end``."""
+    train, held = history.span(None, day), history.span(day, day + 86400 if end is None else min(day + 86400, end))
+    n = bl.days_between(cb.bounds(train)[0], day)
+    base = stage(bl.learn_hours(cb.hourly(train, p), n), "day-baseline")
+    return held, test_windows(cb.windows(held, p, history.sources), base, n, cats, p)
+
+
+def calibrate(history: cb.Slices, cats: DataFrame, p: Params = DEFAULT, end: int | None = None):
+    """Fit the rare threshold on the second-last day of a history; None with too few days."""
+    day = bl.held_out_pane(history.span(None, end), 2)
     if day is None:
         return None
-    train, held = bl.day_slice(history, day)
-    n = bl.history_days(train, day)
-    tested = test_windows(window_counts(held, p), bl.learn(train, n, p), n, cats, p)
+    held, tested = day_tested(history, day, cats, p, end)
     return choose_threshold(calibration_sweep(tested, held, p=p)).first()["threshold"]
 
 
-def false_alarm(history: DataFrame, cats: DataFrame, p_rare: float, p: Params = DEFAULT) -> DataFrame:
+def false_alarm(history: cb.Slices, cats: DataFrame, p_rare: float, p: Params = DEFAULT, end: int | None = None) -> DataFrame:
     """Held-out last day: flagged blocks against trials x p, as a z score."""
-    day = bl.held_out_day(history, 1)
-    train, held = bl.day_slice(history, day)
-    n = bl.history_days(train, day)
-    tested = test_windows(window_counts(held, p), bl.learn(train, n, p), n, cats, p)
+    held, tested = day_tested(history, bl.held_out_pane(history.span(None, end), 1), cats, p, end)
     b = blocks(tested).agg(F.count(F.when(F.col("volume") | (F.col("p_min") < p_rare), 1)).alias("blocks"))
-    pairs = held.agg(F.count_distinct("h3_cell", "category").alias("pairs"), F.count("*").alias("events"))
     q = p.p_volume
-    d = one_row(b, pairs).withColumn("trials", F.greatest(F.lit(1), F.col("pairs") * 24))
+    d = one_row(b, cb.pairs(held)).withColumn("trials", F.greatest(F.lit(1), F.col("pairs") * 24))
     mu = F.col("trials") * q
     sigma = F.sqrt(F.greatest(F.lit(1e-9), mu * (1 - q)))
     return d.select("events", "pairs", "trials", "blocks", (F.col("blocks") / F.col("trials")).alias("rate"),
                     mu.alias("expected"), sigma.alias("sigma"), ((F.col("blocks") - mu) / sigma).alias("z"),
                     ((F.col("blocks") - mu) / sigma <= 3).alias("within_3_sigma"))
-
-

@@ -27,6 +27,7 @@ class Params:
     p_volume: float = 0.01
     min_count: int = 3
     p_rare: float = 0.005
+    rare_thresholds: tuple = v.RARE_THRESHOLDS  # that calibration tries, the loosest first
     rare_min_count: int = 1
     rare_min_severity: float = 0.40
     rare_rate: str = "hourly"  # or "all_hours"
