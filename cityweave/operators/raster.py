@@ -161,8 +161,77 @@ def square(n: int) -> dict:
     return {(a, b): 1.0 for a in range(-(n // 2), n // 2 + 1) for b in range(-(n // 2), n // 2 + 1)}
 
 
+def _line_runs(weights: dict) -> list[tuple[int, int, float]]:
+    """(first, last, weight) of the runs of equal weights along a line of {offset: weight}."""
+    out: list[list] = []
+    for b, w in sorted(weights.items()):
+        if out and out[-1][1] == b - 1 and out[-1][2] == w:
+            out[-1][1] = b
+        else:
+            out.append([b, b, w])
+    return [tuple(x) for x in out]
+
+
+def kernel_plan(kernel: dict, flat: bool = False) -> tuple[list, list]:
+    """How to slide a kernel: (row steps, column runs). A kernel that is a column times a row is two passes along
+    a line, whose runs of equal weight are differences of running sums: ([(a0, a1, weight)], [runs of
+    the row]). Any other one is a run or more for each of its rows: ([], [(a, b0, b1, weight)]). The work
+    follows the kernel's outline, not its area. ``flat``: weights don't count."""
+    kernel = {k: 1.0 for k in kernel} if flat else {k: float(w) for k, w in kernel.items()}
+    rows: dict[int, dict] = {}
+    for (a, b), w in kernel.items():
+        rows.setdefault(a, {})[b] = w
+    full = max(rows.values(), key=len)
+    b0 = max(full, key=lambda b: abs(full[b]))
+    if full[b0] and all(set(r) == set(full) for r in rows.values()):
+        column = {a: r[b0] / full[b0] for a, r in rows.items()}
+        if all(abs(r[b] - column[a] * full[b]) <= 1e-12 * abs(full[b0]) for a, r in rows.items() for b in full):
+            return _line_runs(column), _line_runs(full)
+    return [], [(a, *run) for a, r in sorted(rows.items()) for run in _line_runs(r)]
+
+
+def _sums(x: np.ndarray, plan: tuple[list, list], tile: int, ry: int, rx: int) -> np.ndarray:
+    """The kernel's weighted sums over an array with a halo of its reach."""
+    along = lambda y: np.concatenate([np.zeros((len(y), 1)), np.cumsum(y, axis=1)], axis=1)
+    part = lambda s, a, b, r: s[:, r + b + 1:r + b + 1 + tile] - s[:, r + a:r + a + tile] if b > a else None
+
+    def line(y: np.ndarray, runs: list, r: int) -> np.ndarray:
+        s = along(y) if any(b > a for a, b, _ in runs) else None
+        return sum(w * (part(s, a, b, r) if b > a else y[:, r + a:r + a + tile]) for a, b, w in runs)
+
+    if plan[0]:
+        return line(line(x, plan[1], rx).T, plan[0], ry).T
+    s = along(x)
+    return sum(w * (s[ry + a:ry + a + tile, rx + d + 1:rx + d + 1 + tile] - s[ry + a:ry + a + tile, rx + c:rx + c + tile]) for a, c, d, w in plan[1])
+
+
+def _highest(x: np.ndarray, plan: tuple[list, list], tile: int, ry: int, rx: int) -> np.ndarray:
+    """The kernel's maximum: that of a run is that of the two blocks of 2^k that cover it."""
+    def blocks(y: np.ndarray, longest: int) -> list[np.ndarray]:
+        out = [y]
+        while 2 << len(out) - 1 <= longest:
+            step = 1 << len(out) - 1
+            y = out[-1]
+            out.append(np.maximum(y, np.concatenate([y[:, step:], np.full((len(y), min(step, y.shape[1])), -np.inf)], axis=1)))
+        return out
+
+    def run(levels: list, a: int, b: int, r: int, rows: slice = slice(None)) -> np.ndarray:
+        k = (b - a + 1).bit_length() - 1
+        return np.maximum(levels[k][rows, r + a:r + a + tile], levels[k][rows, r + b + 1 - (1 << k):r + b + 1 - (1 << k) + tile])
+
+    def line(y: np.ndarray, runs: list, r: int) -> np.ndarray:
+        levels = blocks(y, max(b - a + 1 for a, b, _ in runs))
+        return np.maximum.reduce([run(levels, a, b, r) for a, b, _ in runs])
+
+    if plan[0]:
+        return line(line(x, plan[1], rx).T, plan[0], ry).T
+    levels = blocks(x, max(d - c + 1 for _, c, d, _ in plan[1]))
+    return np.maximum.reduce([run(levels, c, d, rx, slice(ry + a, ry + a + tile)) for a, c, d, _ in plan[1]])
+
+
 def _focal(kernel: dict, tile: int, box: tuple, how: str, nearest: bool):
     ry, rx = (max(abs(o[k]) for o in kernel) for k in (0, 1))
+    plan = kernel_plan(kernel, how == "max")
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         r0, c0 = key[0].as_py() * tile - ry, key[1].as_py() * tile - rx
@@ -174,29 +243,26 @@ def _focal(kernel: dict, tile: int, box: tuple, how: str, nearest: bool):
             at = np.ix_(*(np.clip(np.arange(n), low - first, high - first) for n, first, low, high in
                           ((v.shape[0], r0, box[0], box[2]), (v.shape[1], c0, box[1], box[3]))))
             v, m = v[at], m[at]
-        top = np.full((tile, tile), -np.inf if how == "max" else 0.0)
-        bot = np.zeros((tile, tile))
-        for (a, b), w in kernel.items():
-            x, y = v[ry + a:ry + a + tile, rx + b:rx + b + tile], m[ry + a:ry + a + tile, rx + b:rx + b + tile]
-            if how == "max":
-                np.maximum(top, np.where(y > 0, x, -np.inf), out=top)
-            else:
-                top += w * x
-                bot += w * y
+        if how == "max":
+            made = _highest(np.where(m > 0, v, -np.inf), plan, tile, ry, rx)
+        else:
+            made = _sums(v, plan, tile, ry, rx)
         own = (i >= ry) & (i < ry + tile) & (j >= rx) & (j < rx + tile)
-        out = top[i[own] - ry, j[own] - rx]
+        out = made[i[own] - ry, j[own] - rx]
         if how == "mean":
-            out = out / bot[i[own] - ry, j[own] - rx]
+            out = out / _sums(m, plan, tile, ry, rx)[i[own] - ry, j[own] - rx]
         return pa.table([pa.array(row[own]), pa.array(col[own]), pa.array(out)], names=["row", "col", "focal"])
 
     return run
 
 
-def focal(grid: DataFrame, kernel: dict, value: str = "value", how: str = "mean", mode: str = "existing", tile: int = 256) -> DataFrame:
+def focal(grid: DataFrame, kernel: dict, value: str = "value", how: str = "mean", mode: str = "existing", tile: int = None) -> DataFrame:
     """Weighted ``mean`` or ``sum``, or the ``max``, over {(drow, dcol): weight} around each pixel, for
-    kernels of any size: tiles with a halo of the kernel's reach, each a bounded array in its task.
-    ``existing`` takes the pixels there are; ``nearest`` repeats the edge pixels beyond the edges."""
+    kernels of any size (see ``kernel_plan``): tiles with a halo of the kernel's reach, each a bounded
+    array in its task. ``existing`` takes the pixels there are; ``nearest`` repeats the edge pixels beyond
+    the edges. Tiles are 256 pixels wide, for wide kernels up to 1,024."""
     ry, rx = (max(abs(o[k]) for o in kernel) for k in (0, 1))
+    tile = max(256, min(1024, 4 * max(ry, rx))) if tile is None else tile
     box = tuple(grid.agg(F.min("row"), F.min("col"), F.max("row"), F.max("col")).first())
 
     def around(c, r):
