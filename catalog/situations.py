@@ -20,7 +20,7 @@ def events(s, d):
 
 
 def detected(s, d):
-    return memo(s, d, "detected", lambda: city.detect(events(s, d), p=P, calibrate=False))
+    return memo(s, d, "detected", lambda: city.detect(events(s, d), p=P))
 
 
 def linked(s, d):
@@ -60,9 +60,24 @@ def test_sql(win, out, c3="c3", ch="ch", cc="cc", ac="ac", nd="nd"):
 {out} AS (SELECT x.*, p < 0.01 AND observed >= 3 AS volume, rare AND sev >= 0.4 AS rare_ok FROM (SELECT l.*, list_sum(list_transform(range(0, 200), lambda i: exp(-lam + (observed + i) * ln(lam) - lgamma(observed + i + 1)))) AS p FROM {out}_l l) x JOIN cats USING (category))"""
 
 
+DAYS = """dl AS (SELECT max(t // 86400) * 86400 AS last FROM h), dp AS (SELECT max(t // 86400) * 86400 AS prev FROM h, dl WHERE t < last)"""
+
+
+def day_sql(day):
+    return f"""tr AS (SELECT h.* FROM h, {day[0]} WHERE t < {day[1]}), hd AS (SELECT h.* EXCLUDE (hour) FROM h, {day[0]} WHERE t >= {day[1]} AND t < {day[1]} + 86400),
+nd2 AS (SELECT (max({day[1]}) - min(t)) / 86400.0::double AS n_days FROM tr, {day[0]}), k3 AS (SELECT h3_cell, category, hour, count(*) AS n FROM tr GROUP BY ALL), kh AS (SELECT category, hour, count(*) AS n FROM tr GROUP BY ALL),
+kc AS (SELECT category, count(*) AS n FROM tr GROUP BY ALL), ka AS (SELECT greatest(1, count(DISTINCT h3_cell)) AS active FROM tr), """ + win_sql("hd", "hwin") + ", " + test_sql("hwin", "htst", "k3", "kh", "kc", "ka", "nd2") + """,
+blk AS (SELECT h3_cell, category, w // 3600 AS b, bool_or(volume) AS volume, min(CASE WHEN rare_ok THEN p END) AS p_min FROM htst GROUP BY ALL)"""
+
+
+_th = values("th", "rank, threshold", list(enumerate(P.rare_thresholds)))
+# the calibrated rare threshold, from the second-last day of the history
+SWEEP = f"""{DAYS}, {day_sql(('dp', 'prev'))}, {_th}, pr AS (SELECT count(DISTINCT (h3_cell, category)) AS pairs FROM hd),
+sw AS (SELECT rank, threshold, (SELECT count(*) FROM blk WHERE volume OR p_min < threshold) AS blocks, pairs * 24 AS trials, pairs * 24 * 0.01::double + 2 * sqrt(pairs * 24 * 0.01::double * 0.99) AS budget FROM th, pr),
+chosen AS (SELECT threshold, blocks FROM sw ORDER BY blocks > budget, CASE WHEN blocks <= budget THEN rank ELSE -rank END LIMIT 1)"""
 ANOM = f"""an AS (SELECT 'ANOM-' || substr(sha1(h3_cell || '|' || category || '|' || {ts('w')}), 1, 8) AS anomaly_id, h3_cell, category, w AS ws, w + 3600 AS we, observed, lam, p, CASE WHEN volume THEN 'volume' ELSE 'rare' END AS trig, sev, src
-  FROM tst WHERE volume OR (rare_ok AND p < {P.p_rare}))"""
-DET = "WITH RECURSIVE " + EV + ", " + CUT + ", " + BASE + ", " + win_sql("de", "win") + ", " + test_sql("win", "tst") + ", " + ANOM
+  FROM tst WHERE volume OR (rare_ok AND p < (SELECT threshold FROM chosen)))"""
+DET = "WITH RECURSIVE " + EV + ", " + CUT + ", " + BASE + ", " + SWEEP + ", " + win_sql("de", "win") + ", " + test_sql("win", "tst") + ", " + ANOM
 
 # ------------------------------------------------------------------ A4..A14, T13, T14 --------
 query("a4_history_split", f"WITH {EV}, {CUT} SELECT (SELECT count(*) FROM h) AS history, (SELECT count(*) FROM de) AS detection, {ts('cut')} AS boundary, round(n_days, 6) AS n_days FROM cutt, nd")(
@@ -92,39 +107,22 @@ def anom_out(a):
 
 @query("c2_detect", f"{DET} SELECT {_anom} FROM an")
 def c2(s, d):
-    return anom_out(city.detect(city.stage(canon(s, d), "canon"), p=P, calibrate=False).anomalies)
+    return anom_out(city.detect(city.stage(canon(s, d), "canon"), p=P).anomalies)
 
 
 query("a12_degraded_feeds", f"{DET} SELECT anomaly_id, CASE category WHEN 'traffic.signal_down' THEN 'civic_complaints' WHEN 'complaint.waterlogging' THEN 'civic_complaints' WHEN 'complaint.road_damage' THEN 'civic_complaints' ELSE '' END AS degraded FROM an")(
-    lambda s, d: dt.flag(detected(s, d).tested, P.p_rare, {"drain_scada", "civic_complaints"}, P).select("anomaly_id", joined("degraded_by_stale_feeds").alias("degraded")))
-DAYS = """dl AS (SELECT max(t // 86400) * 86400 AS last FROM h), dp AS (SELECT max(t // 86400) * 86400 AS prev FROM h, dl WHERE t < last)"""
-
-
-def day_sql(day):
-    return f"""tr AS (SELECT h.* FROM h, {day[0]} WHERE t < {day[1]}), hd AS (SELECT h.* EXCLUDE (hour) FROM h, {day[0]} WHERE t >= {day[1]} AND t < {day[1]} + 86400),
-nd2 AS (SELECT (max({day[1]}) - min(t)) / 86400.0::double AS n_days FROM tr, {day[0]}), k3 AS (SELECT h3_cell, category, hour, count(*) AS n FROM tr GROUP BY ALL), kh AS (SELECT category, hour, count(*) AS n FROM tr GROUP BY ALL),
-kc AS (SELECT category, count(*) AS n FROM tr GROUP BY ALL), ka AS (SELECT greatest(1, count(DISTINCT h3_cell)) AS active FROM tr), """ + win_sql("hd", "hwin") + ", " + test_sql("hwin", "htst", "k3", "kh", "kc", "ka", "nd2") + """,
-blk AS (SELECT h3_cell, category, w // 3600 AS b, bool_or(volume) AS volume, min(CASE WHEN rare_ok THEN p END) AS p_min FROM htst GROUP BY ALL)"""
-
-
-_th = values("th", "rank, threshold", list(enumerate(v.RARE_THRESHOLDS)))
-query("a13_threshold_sweep", f"""WITH {EV}, {CUT}, {DAYS}, {day_sql(('dp', 'prev'))}, {_th}, pr AS (SELECT count(DISTINCT (h3_cell, category)) AS pairs FROM hd)
- SELECT rank, threshold, (SELECT count(*) FROM blk WHERE volume OR p_min < threshold) AS blocks, pairs * 24 AS trials, round(pairs * 24 * 0.01::double + 2 * sqrt(pairs * 24 * 0.01::double * 0.99), 6) AS budget FROM th, pr""")(
+    lambda s, d: (lambda x: dt.flag(x.tested, x.p_rare, {"drain_scada", "civic_complaints"}, P))(detected(s, d)).select("anomaly_id", joined("degraded_by_stale_feeds").alias("degraded")))
+query("a13_threshold_sweep", f"WITH {EV}, {CUT}, {SWEEP} SELECT rank, threshold, blocks, trials, round(budget, 6) AS budget FROM sw")(
     lambda s, d: sweep(s, d).select(C("rank").cast("bigint").alias("rank"), "threshold", "blocks", "trials", r6("budget").alias("budget")))
 
 
 def sweep(s, d):
-    h = detected(s, d).history
-    day = bl.held_out_day(h, 2)
-    train, held = bl.day_slice(h, day)
-    n = bl.history_days(train, day)
-    tested = dt.test_windows(dt.window_counts(held, P), bl.learn(train, n, P), n, dims.categories(s), P)
+    x = detected(s, d)
+    held, tested = dt.day_tested(x.cube, bl.held_out_day(x.history, 2), dims.categories(s), P, x.start)
     return dt.calibration_sweep(tested, held, p=P)
 
 
-query("a13_chosen_threshold", f"""WITH {EV}, {CUT}, {DAYS}, {day_sql(('dp', 'prev'))}, {_th}, pr AS (SELECT count(DISTINCT (h3_cell, category)) AS pairs FROM hd),
- sw AS (SELECT rank, threshold, (SELECT count(*) FROM blk WHERE volume OR p_min < threshold) AS blocks, pairs * 24 * 0.01::double + 2 * sqrt(pairs * 24 * 0.01::double * 0.99) AS budget FROM th, pr)
- SELECT threshold, blocks FROM sw ORDER BY blocks > budget, CASE WHEN blocks <= budget THEN rank ELSE -rank END LIMIT 1""")(lambda s, d: dt.choose_threshold(sweep(s, d)).select("threshold", "blocks"))
+query("a13_chosen_threshold", f"WITH {EV}, {CUT}, {SWEEP} SELECT threshold, blocks FROM chosen")(lambda s, d: dt.choose_threshold(sweep(s, d)).select("threshold", "blocks"))
 query("a14_held_out_day", f"WITH {EV}, {CUT}, {DAYS}, {day_sql(('dp', 'prev'))} SELECT {ts('prev')} AS day, (SELECT count(*) FROM tr) AS train, (SELECT count(*) FROM hd) AS held, round(n_days, 6) AS n_days FROM dp, nd2")(lambda s, d: held_out(s, d))
 
 
@@ -138,7 +136,7 @@ def held_out(s, d):
 
 query("a31_false_alarm_z", f"""WITH {EV}, {CUT}, {DAYS}, {day_sql(('dl', 'last'))}, x AS (SELECT (SELECT count(DISTINCT (h3_cell, category)) FROM hd) AS pairs, (SELECT count(*) FROM blk WHERE volume OR p_min < {P.p_rare}) AS blocks, (SELECT count(*) FROM hd) AS events)
  SELECT events, pairs, pairs * 24 AS trials, blocks, round((blocks - pairs * 24 * 0.01::double) / sqrt(pairs * 24 * 0.01::double * 0.99), 6) AS z FROM x""")(
-    lambda s, d: dt.false_alarm(detected(s, d).history, dims.categories(s), P.p_rare, P).select("events", "pairs", "trials", "blocks", r6("z").alias("z")))
+    lambda s, d: (lambda x: dt.false_alarm(x.cube, dims.categories(s), P.p_rare, P, x.start))(detected(s, d)).select("events", "pairs", "trials", "blocks", r6("z").alias("z")))
 MID = "(SELECT (cut + max(t)) // 2 FROM ev, cutt GROUP BY cut)"
 
 
@@ -250,7 +248,7 @@ query("j13_rejected_links", REJS + f" SELECT {_rid} AS rejected_id, abs(gap) AS
     lambda s, d: linked(s, d).rejected.select("rejected_id", "gap_sec", "grid_distance", joined("categories").alias("categories")))
 query("t6_rejection_reason", REJS + f" SELECT {_rid} AS rejected_id, {_ren} AS reason_en, {_rhi} AS reason_hi FROM nr")(lambda s, d: linked(s, d).rejected.select("rejected_id", "reason_en", "reason_hi"))
 query("t13_rejected_as_of", REJS + f", rv AS (SELECT {_rid} AS rejected_id, max(we) AS rev FROM (SELECT *, unnest(aids) AS aid FROM nr) z JOIN an ON anomaly_id = aid GROUP BY ALL) SELECT rejected_id, {ts('rev')} AS reveal_utc FROM rv WHERE rev <= {MID}")(
-    lambda s, d: serve.rejected_as_of(linked(s, d).rejected, detected(s, d).anomalies, mid(s, d)).select("rejected_id", iso("reveal_utc").alias("reveal_utc")))
+    lambda s, d: serve.rejected_as_of(linked(s, d).rejected, mid(s, d)).select("rejected_id", iso("reveal_utc").alias("reveal_utc")))
 
 # ------------------------------------------------------------------ situations --------------
 _ph = values("ph", "category, noun_en, noun_hi, start_en, start_hi, then_hi", v.CATEGORY_PHRASES)
@@ -314,7 +312,7 @@ query("c3_link", FACTS + " SELECT sit AS situation_id, status, pulse AS pulse_sc
 
 def c3(s, d):
     e = city.stage(canon(s, d), "canon")
-    x = city.detect(e, p=P, calibrate=False)
+    x = city.detect(e, p=P)
     return city.link(x.anomalies, x.history, x.detection, degraded=bad_feeds(s), p=P).situations.select("situation_id", "status", "pulse_score", "alert_level", "confidence_level", "n_members")
 
 
@@ -427,6 +425,32 @@ def snapshot_stopped(s, d):
     return x["situations"].select(F.lit("situation").alias("part"), C("situation_id").alias("name"), C("pulse_score").cast("string").alias("value"), C("confidence_level").alias("state")).unionByName(f)
 
 
+# a delayed feed: its events, the members they confirm and the situations they reveal are seen a day later
+_late = MILS.replace("coalesce(wend, t) AS m FROM sm", "coalesce(wend, t) + CASE sm.source WHEN 'power_discom' THEN 86400 ELSE 0 END AS m FROM sm")
+query("t18_snapshot_delayed", _late + """ SELECT 'situation' AS part, sit AS name, pulse::varchar AS value, known AS n FROM pq UNION ALL SELECT 'events', NULL, NULL, count(*) FROM ev, tt
+ WHERE t + CASE source WHEN 'power_discom' THEN 86400 ELSE 0 END <= now AND (t_end IS NULL OR t_end >= now - 1800) UNION ALL SELECT 'feed', source, NULL, count(*) FROM ev, tt WHERE t + CASE source WHEN 'power_discom' THEN 86400 ELSE 0 END <= now GROUP BY source""")(
+    lambda s, d: snapshot_delayed(s, d))
+
+
+def snapshot_delayed(s, d):
+    x = asof(s, d).snapshot(mid(s, d), delays=s.createDataFrame([("power_discom", 86400)], "feed string, delay_sec bigint"))
+    none = F.lit(None).cast("string")
+    sits = x["situations"].select(F.lit("situation").alias("part"), C("situation_id").alias("name"), C("pulse_score").cast("string").alias("value"), C("members_known").alias("n"))
+    ev = x["events"].agg(F.count("*").alias("n")).select(F.lit("events").alias("part"), none.alias("name"), none.alias("value"), "n")
+    return sits.unionByName(ev).unionByName(x["feed_health"].filter("records_total > 0").select(F.lit("feed").alias("part"), C("feed").alias("name"), none.alias("value"), C("records_total").alias("n")))
+
+
+TICK = 300
+_tk = f""", tk AS (SELECT i AS tick, cut + {TICK} * i AS now, cut + {TICK} * (i - 1) AS prev FROM cutt, range({LOOK // TICK + 60}) r(i)),
+te AS (SELECT tick, count(*) FILTER (t_end IS NULL OR t_end >= now - 1800) AS active, count(*) FILTER (t > prev) AS fresh FROM tk JOIN ev ON t <= now GROUP BY tick),
+tp AS (SELECT tick, now, ms.sit, count(*) AS total, count(*) FILTER (m <= now) AS known, max(severity) FILTER (m <= now) AS sev, avg(confidence) FILTER (m <= now) AS conf, count(DISTINCT source) FILTER (m <= now) AS ns,
+  max(rev) AS rev, bool_or(rev <= prev AND m > prev AND m <= now) AS upd, max(prev) AS prev FROM tk JOIN rv ON rev <= now JOIN ms ON ms.sit = rv.sit GROUP BY tick, now, ms.sit),
+tq AS (SELECT tp.*, status, cl, CASE WHEN known < total THEN CASE WHEN known = 0 THEN 0 ELSE round_even((tp.sev * 0.6::double + tp.conf * 0.2::double + least(ns, 3) / 3.0::double * 0.2::double) * 100, 0)::bigint END ELSE pulse END AS p FROM tp JOIN sx USING (sit)),
+tr9 AS (SELECT tick, count(*) FILTER (status = 'active') AS sits, max(p) FILTER (status = 'active') AS p, count(*) FILTER (tq.rev > tq.prev) AS created, count(*) FILTER (upd) AS updated FROM tq GROUP BY tick),
+tc AS (SELECT tick, count(DISTINCT c) AS cells FROM tq, unnest(cl) u(c) WHERE status = 'active' GROUP BY tick)"""
+query("a21_tick_timeline", MILS + _tk + f""" SELECT tick, {ts('now')} AS sim_time_utc, coalesce(active, 0) AS events_active, coalesce(fresh, 0) AS events_new, coalesce(sits, 0) AS situations_active, coalesce(cells, 0) AS cells_touched,
+ coalesce(created, 0) AS created, coalesce(updated, 0) AS updated, coalesce(p, 0) AS city_pulse_score, {_al('coalesce(p, 0)')} AS city_alert_level FROM tk LEFT JOIN te USING (tick) LEFT JOIN tr9 USING (tick) LEFT JOIN tc USING (tick)""")(
+    lambda s, d: asof(s, d).timeline(detected(s, d).start, LOOK // TICK + 60, TICK).withColumn("sim_time_utc", iso("sim_time_utc")))
 query("c4_as_of", MILS + " SELECT sit AS situation_id, pulse AS pulse_score, alert AS alert_level, level AS confidence_level, known AS members_known FROM pq")(
     lambda s, d: asof(s, d).snapshot(mid(s, d))["situations"].select("situation_id", "pulse_score", "alert_level", "confidence_level", "members_known"))
 

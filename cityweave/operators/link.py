@@ -12,7 +12,7 @@ from ..functions import ids, times
 from ..functions.hexgrid import distance, ring
 from ..params import DEFAULT, Params
 from .detect import SEV
-from .scale import latest_within, stage, with_scalars
+from .scale import PAGE, id_pages, latest_within, set_keys, stage, with_scalars
 from ..functions.numbers import round_exact
 
 
@@ -331,18 +331,33 @@ def rejection_reason(d: DataFrame, edges: DataFrame, p: Params = DEFAULT) -> Dat
 
 def rejected(episodes: DataFrame, components: DataFrame, seconds: DataFrame, edges: DataFrame,
              p: Params = DEFAULT) -> DataFrame:
+    """Close pairs that did not link, one row each, with when the later of their windows has closed. The id
+    hashes both episodes' sorted anomaly ids, which stream through the hash; a row has none of them
+    (``rejected_documents`` has them in pages)."""
     pairs = near_miss_pairs(episodes, components, p)
     d = pairs.join(closest_gaps(pairs, seconds, p), ["i", "j"])
-    d = rejection_reason(d, edges, p)
-    an = episodes.select("episode_id", "anomaly_ids")
-    d = (d.join(an.select(F.col("episode_id").alias("i"), F.col("anomaly_ids").alias("_ai")), "i")
-         .join(an.select(F.col("episode_id").alias("j"), F.col("anomaly_ids").alias("_aj")), "j")
-         .withColumn("anomaly_ids", F.sort_array(F.concat("_ai", "_aj"))))
+    d = stage(rejection_reason(d, edges, p), "near-misses")
+    ends = lambda k: episodes.select(F.col("episode_id").alias(k), F.col("window_end_utc").alias(f"_{k}"))
+    keys = set_keys(_pair_members(d, episodes), ["i", "j"], "anomaly_id", "REJ-", 8, "rejected_id")
+    d = d.join(keys, ["i", "j"]).join(ends("i"), "i").join(ends("j"), "j")
     return d.select(
-        ids.set_key("REJ-", 8, F.col("anomaly_ids")).alias("rejected_id"), "anomaly_ids",
-        F.array_sort(F.array_distinct(F.array("category_i", "category_j"))).alias("categories"),
+        "rejected_id", F.array_sort(F.array_distinct(F.array("category_i", "category_j"))).alias("categories"),
         F.array_sort(F.array_distinct(F.array("cell_i", "cell_j"))).alias("h3_cells"),
-        F.abs("gap").alias("gap_sec"), F.col("distance").alias("grid_distance"), "reason_en", "reason_hi", "i", "j")
+        F.abs("gap").alias("gap_sec"), F.col("distance").alias("grid_distance"), "reason_en", "reason_hi", "i", "j", F.greatest("_i", "_j").alias("reveal_utc"))
+
+
+def _pair_members(pairs: DataFrame, episodes: DataFrame) -> DataFrame:
+    """(i, j, anomaly_id) of pairs of episodes."""
+    of = lambda k: episodes.select(F.col("episode_id").alias(k), "anomaly_ids")
+    sides = [pairs.select("i", "j").join(of(k), k).select("i", "j", F.explode("anomaly_ids").alias("anomaly_id")) for k in ("i", "j")]
+    return sides[0].unionByName(sides[1])
+
+
+def rejected_documents(rejected_: DataFrame, episodes: DataFrame, page_size: int = PAGE) -> DataFrame:
+    """Rejected links as they are sunk, one row a page of their anomaly ids (``scale.id_pages``)."""
+    members = _pair_members(rejected_, episodes).join(rejected_.select("i", "j", "rejected_id"), ["i", "j"]).select("rejected_id", "anomaly_id")
+    d = rejected_.drop("i", "j", "reveal_utc").join(id_pages(members, "rejected_id", "anomaly_id", page_size), "rejected_id")
+    return ids.with_public(d.withColumnRenamed("ids", "anomaly_ids"))
 
 
 # ------------------------------------------------------------------ edge-table helpers -----

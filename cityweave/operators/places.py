@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions.hexgrid import HexGrid
 from .scale import broadcast_if_small, stage
 
-_WORDS = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+_WORD = r"(?U)[\p{L}\p{N}_]+"
 
 
 _PREFIX = "^(" + "|".join(p.replace(".", "\\.") for p in v.ADDRESS_PREFIXES) + ") "
@@ -26,16 +26,25 @@ def plausible(c) -> Column:
     return (tx.letter_count(c) >= v.MIN_ADDRESS_LETTERS) & (ascii_letters >= v.MIN_ADDRESS_LETTERS)
 
 
-def word_spans(s, max_words: int) -> Column:
-    """Every run of up to ``max_words`` whole words of ``s`` with its inner separators, so
-    word-boundary containment of a name becomes equality with a span."""
-    parts = F.regexp_extract_all(s, F.lit(_WORDS), F.lit(0))
+def _words(c) -> Column:
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(_WORD), F.lit(0)))
 
-    def runs(_, i):
-        return F.transform(F.sequence(F.lit(0), F.lit(max_words - 1)),
-                           lambda n: F.array_join(F.slice(parts, i + 1, n * 2 + 1), ""))
 
-    return F.array_distinct(F.flatten(F.transform(parts, runs)))
+def word_candidates(inside: DataFrame, around: DataFrame) -> DataFrame:
+    """(inside, around): the pairs of texts that can be contained in one another, which share the word of
+    ``inside`` that is rarest in ``around``. A text with a word that is nowhere in ``around`` has none. Rows
+    are bounded by the occurrences of rarest words, whatever the lengths."""
+    words = stage(around.select("around", F.explode(_words(F.col("around"))).alias("_w")), "around-words")
+    often = words.groupBy("_w").agg(F.count("*").alias("_n"))
+    d = inside.select("inside", F.explode(_words(F.col("inside"))).alias("_w")).join(often, "_w", "left")
+    rarest = d.groupBy("inside").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_w").alias("w"))).alias("_r")).filter("_r.n > 0")
+    return words.join(rarest.select("inside", F.col("_r.w").alias("_w")), "_w").select("inside", "around")
+
+
+def contained(inside: DataFrame, around: DataFrame) -> DataFrame:
+    """(inside, around): which texts lie whole, from word edge to word edge, in which others."""
+    quoted = F.concat(F.lit(r"(?U)\b\Q"), F.regexp_replace("inside", r"\\E", r"\\E\\\\E\\Q"), F.lit(r"\E\b"))
+    return word_candidates(inside, around).filter(F.regexp_like("around", quoted))
 
 
 def _pieces(name: str) -> list:
@@ -72,20 +81,18 @@ def landmark_position(text, landmarks=v.LANDMARKS) -> Column:
 
 
 def resolve_by_join(texts: DataFrame, text: str, gazetteer: DataFrame) -> DataFrame:
-    """The same match against a gazetteer table of any size: distinct texts are exploded to
-    word spans, as long as the longest name, and equi-joined with names (and names' own pieces
-    with the whole text)."""
-    d = (texts.select(F.col(text).alias("_text")).distinct()
-         .filter(plausible(F.col("_text"))).withColumn("_s", strip_prefix(F.col("_text"))))
-    g = gazetteer.select("pos", F.lower("name").alias("_n"))
-    max_words = g.agg(F.max(F.regexp_count("_n", F.lit(r"(?U)[\p{L}\p{N}_]+")))).first()[0] or 1
-    whole = d.select("_text", F.explode(word_spans(F.col("_s"), max_words)).alias("_key"))
-    names = g.select("pos", "_n", F.col("_n").alias("_key"))
-    parts = g.select("pos", "_n", F.explode(word_spans(F.col("_n"), max_words)).alias("_key"))
-    found = whole.join(names, "_key").unionByName(
-        d.select("_text", F.col("_s").alias("_key")).join(parts, "_key"))
-    best = found.groupBy("_text").agg(F.max_by("pos", F.struct(F.length("_n"), -F.col("pos"))).alias("pos"))
-    return texts.join(best, texts[text] == best["_text"], "left").drop("_text")
+    """The same match against a gazetteer table of any size: distinct texts meet the names that they may
+    hold, or that may hold them, by one word, the rarest (``word_candidates``), and the whole is compared;
+    the longest name decides."""
+    d = stage(texts.select(F.col(text).alias("_text")).distinct()
+              .filter(plausible(F.col("_text"))).withColumn("_s", strip_prefix(F.col("_text"))), "place-texts")
+    g = stage(gazetteer.select(F.lower("name").alias("_n"), "pos").groupBy("_n").agg(F.min("pos").alias("pos")), "place-names")
+    held, names = d.select("_s").distinct(), g.select("_n")
+    pairs = contained(names.select(F.col("_n").alias("inside")), held.select(F.col("_s").alias("around"))).select(F.col("around").alias("_s"), F.col("inside").alias("_n"))
+    pairs = pairs.unionByName(contained(held.select(F.col("_s").alias("inside")), names.select(F.col("_n").alias("around"))).select(F.col("inside").alias("_s"), F.col("around").alias("_n")))
+    best = pairs.join(g, "_n").groupBy("_s").agg(F.max_by("pos", F.struct(F.length("_n"), -F.col("pos"))).alias("pos"))
+    found = d.join(best, "_s").select("_text", "pos")
+    return texts.join(found, texts[text] == found["_text"], "left").drop("_text")
 
 
 def landmark_fields(pos: Column, grid: HexGrid, landmarks=v.LANDMARKS) -> dict:

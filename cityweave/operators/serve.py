@@ -38,6 +38,13 @@ def delayed_events(events: DataFrame, t, delays: DataFrame) -> DataFrame:
     return d.filter(times.epoch(F.col("start_utc")) + F.coalesce("delay_sec", F.lit(0)) <= times.epoch(at(t))).drop("delay_sec")
 
 
+def delayed_milestones(ms: DataFrame, delays: DataFrame) -> DataFrame:
+    """Members of a delayed feed are confirmed ``delay_sec`` later."""
+    d = ms.join(delays.select(F.col("feed").alias("source"), "delay_sec"), "source", "left")
+    later = F.timestamp_seconds(times.epoch(F.col("milestone")) + F.coalesce("delay_sec", F.lit(0)))
+    return d.withColumn("milestone", later).select(*ms.columns)
+
+
 def duplicate_message(events: DataFrame, t) -> DataFrame:
     """A re-served event: same id, seen now, tagged."""
     return events.withColumn("received_at", at(t)).withColumn("is_duplicate", F.lit(True))
@@ -130,13 +137,9 @@ def apply_stopped(situations: DataFrame, sit_members: DataFrame, stopped: DataFr
             .withColumn("alert_level", F.when(hit, sv.alert_level(F.col("pulse_score"))).otherwise(F.col("alert_level"))))
 
 
-def rejected_as_of(rejected: DataFrame, anomalies: DataFrame, t=None) -> DataFrame:
+def rejected_as_of(rejected: DataFrame, t=None) -> DataFrame:
     """A rejected link shows once every window it considered has closed."""
-    e = (rejected.select("rejected_id", F.explode("anomaly_ids").alias("anomaly_id"))
-         .join(anomalies.select("anomaly_id", "window_end_utc"), "anomaly_id")
-         .groupBy("rejected_id").agg(F.max("window_end_utc").alias("reveal_utc")))
-    d = rejected.join(e, "rejected_id")
-    return d if t is None else d.filter(F.col("reveal_utc") <= at(t))
+    return rejected if t is None else rejected.filter(F.col("reveal_utc") <= at(t))
 
 
 def anomalies_as_of(anomalies: DataFrame, t) -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions import ids, severity as sv, times
 from ..functions.hexgrid import HexGrid, distance, spread, spread_aggs
 from ..params import DEFAULT, Params
 from . import places
-from .scale import PAGE, id_pages, rank_in
+from .scale import PAGE, id_pages, rank_in, set_keys
 from ..functions.numbers import round_exact
 
 CHUNK = DEFAULT.step_sec  # seconds of one situation that a task sorts
@@ -23,13 +23,12 @@ def _s(c):
 
 
 def situation_ids(eligible: DataFrame, components: DataFrame, episodes: DataFrame) -> DataFrame:
-    """(component, situation_id, anomaly_ids, created_utc, ...). The id hashes the sorted anomaly
-    ids, its shown part their shown texts; their number is bounded by cells x categories x steps of the detection window."""
+    """(component, standalone, situation_id, created_utc). The id hashes the sorted anomaly ids, its shown
+    part their shown texts; they stream through the hash and never make one row (``scale.set_keys``)."""
     d = eligible.join(components, "component").join(episodes, "episode_id")
-    a = d.groupBy("component", "standalone").agg(
-        F.array_sort(F.flatten(F.collect_list("anomaly_ids"))).alias("anomaly_ids"),
-        F.max("window_end_utc").alias("created_utc"))
-    return a.withColumn("situation_id", ids.set_key("SIT-", 6, F.col("anomaly_ids")))
+    facts = d.groupBy("component", "standalone").agg(F.max("window_end_utc").alias("created_utc"))
+    members = d.select("component", F.explode("anomaly_ids").alias("anomaly_id"))
+    return facts.join(set_keys(members, ["component"], "anomaly_id", "SIT-", 6, "situation_id"), "component")
 
 
 def chain(resolved: DataFrame, keyed: DataFrame, phrases: DataFrame) -> DataFrame:

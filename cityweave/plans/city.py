@@ -10,6 +10,7 @@ from .. import dims
 from ..functions import ids, times
 from ..functions.hexgrid import HexGrid, in_bbox
 from ..operators import baseline as bl
+from ..operators import cube as cb
 from ..operators import detect as dt
 from ..operators import ingest as ig
 from ..operators import link as lk
@@ -17,6 +18,7 @@ from ..operators import quality
 from ..operators import score as sc
 from ..operators import serve as srv
 from ..operators import situations as st
+from ..operators import timeline as tl
 from ..operators.scale import stage
 from ..params import DEFAULT, Params
 
@@ -85,21 +87,28 @@ class Detected:
     start: int
     n_days: float
     p_rare: float
+    cube: cb.Slices = None
 
 
-def detect(events: DataFrame, degraded_feeds=(), p: Params = DEFAULT, calibrate: bool = True) -> Detected:
-    """Canonical events to anomalies and their member bridge."""
+def detect(events: DataFrame, degraded_feeds=(), p: Params = DEFAULT, calibrate: bool = True, cube: DataFrame = None) -> Detected:
+    """Canonical events to anomalies and their member bridge. Events are read once into a cube of steps
+    (``cube``: one that is stored); history, baseline, calibration and windows are slices of it."""
     spark = events.sparkSession
     cats = dims.categories(spark)
-    start = bl.detection_start(events, p)
+    cube = stage(cb.steps(events, p), "cube") if cube is None else cube
+    first, last = cb.bounds(cube)
+    if last is None:
+        raise ValueError("no events")
+    start = int(last - p.lookback_hours * 3600)
     history, detection = bl.split(events, start)
-    n_days = bl.history_days(history, start)
-    base = stage(bl.learn(history, n_days, p), "baseline")
-    p_rare = (dt.calibrate(history, cats, p) if calibrate else None)
+    whole = cb.Slices(cube, events, p)
+    n_days = bl.days_between(first if first < start else None, start)
+    base = stage(bl.learn_hours(cb.hourly(whole.span(None, start), p), n_days), "baseline")
+    p_rare = (dt.calibrate(whole, cats, p, start) if calibrate else None)
     p_rare = p.p_rare if p_rare is None else p_rare
-    tested = stage(dt.test_windows(dt.window_counts(detection, p), base, n_days, cats, p), "tested")
+    tested = stage(dt.test_windows(cb.windows(whole.span(start, None), p, whole.sources), base, n_days, cats, p), "tested")
     anomalies = stage(dt.flag(tested, p_rare, degraded_feeds, p), "anomalies")
-    return Detected(anomalies, dt.anomaly_members(anomalies, detection, p), history, detection, base, tested, start, n_days, p_rare)
+    return Detected(anomalies, dt.anomaly_members(anomalies, detection, p), history, detection, base, tested, start, n_days, p_rare, whole)
 
 
 @dataclass
@@ -165,21 +174,27 @@ class AsOf:
     p: Params = field(default_factory=Params)
     problems: DataFrame = None
 
-    def snapshot(self, t, stopped: DataFrame = None) -> dict:
+    def snapshot(self, t, stopped: DataFrame = None, delays: DataFrame = None) -> dict:
         """City, counts, events, situations, predictions, feed health and rejected links as of t.
-        ``stopped`` feeds read as killed and lower the situations with a member of theirs known by t."""
-        part = srv.partial_situations(self.situations, self.milestones, self.reveals, t)
+        ``stopped`` feeds read as killed and lower the situations with a member of theirs known by t. The
+        events of a feed in ``delays`` (feed, delay_sec) are seen that much later, and so are the
+        members they confirm and the situations they reveal."""
+        events, ms, reveals = self.events, self.milestones, self.reveals
+        if delays is not None:
+            events, ms = srv.delayed_events(events, t, delays), srv.delayed_milestones(ms, delays)
+            reveals = srv.reveal_times(ms, self.situations)
+        part = srv.partial_situations(self.situations, ms, reveals, t)
         part_shown, killed = part, ()
         if stopped is not None:
-            part_shown = srv.apply_stopped(part, self.milestones.filter(F.col("milestone") <= srv.at(t)), stopped, self.p)
+            part_shown = srv.apply_stopped(part, ms.filter(F.col("milestone") <= srv.at(t)), stopped, self.p)
             killed = [r["feed"] for r in stopped.select("feed").distinct().collect()]  # some of the known feeds
         spark = self.events.sparkSession
         tables = {
             "city": srv.city_rollup(part_shown), "cells": srv.cell_rollup(part_shown),
-            "counts": srv.counts(self.events, part, t, self.p), "events": srv.active_events(self.events, t, self.p),
+            "counts": srv.counts(events, part, t, self.p), "events": srv.active_events(events, t, self.p),
             "situations": part_shown, "predictions": srv.partial_predictions(part, self.edges),
-            "feed_health": ig.feed_health(ig.event_arrivals(srv.revealed_events(self.events, t)), dims.feeds(spark), srv.at(t), killed=killed, p=self.p),
-            "rejected_candidates": srv.rejected_as_of(self.rejected, self.anomalies, t),
+            "feed_health": ig.feed_health(ig.event_arrivals(srv.revealed_events(events, t)), dims.feeds(spark), srv.at(t), killed=killed, p=self.p),
+            "rejected_candidates": srv.rejected_as_of(self.rejected, t),
             "anomalies": srv.anomalies_as_of(self.anomalies, t),
         }
         if self.problems is not None:
@@ -187,6 +202,11 @@ class AsOf:
         return {name: ids.with_public(table) for name, table in tables.items()}
 
 
+    def timeline(self, t0: int, n: int, tick_sec: int = 1) -> DataFrame:
+        """What the clock says at each of n ticks from t0 on (``timeline.tick_timeline``)."""
+        return tl.tick_timeline(self.events, self.situations, self.milestones, self.reveals, t0, n, tick_sec, self.p)
+
+
 def as_of(events: DataFrame, d: Detected, l: Linked, p: Params = DEFAULT, problems: DataFrame = None) -> AsOf:
     """``problems``: what ``readers.data_version`` found, shown with every snapshot."""
     spark = events.sparkSession

@@ -1,5 +1,6 @@
 """Detection to serving on a planted cascade and a hot cell: hand-checked facts and determinism."""
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cityweave import dims
 from cityweave.functions import severity as sv
+from cityweave.functions.ids import public
 from cityweave.functions.hexgrid import HexGrid
 from cityweave.operators import baseline as bl, detect, ingest as ig, link as lk, serve
 from cityweave.params import Params
@@ -71,9 +73,10 @@ def test_cascade_becomes_one_chain(run):
     assert {x[1] for x in steps} == {"rain", "flood", "cut", "dark"}
     ids = sorted(a for r in l.episodes.join(l.components, "episode_id").filter(F.col("component").isin(
         [r["component"] for r in l.sit_ids.filter(F.col("situation_id") == s["situation_id"]).collect()])).collect() for a in r["anomaly_ids"])
-    ids = sorted(a[:13] for a in ids)
-    import hashlib
-    assert s["situation_id"] == "SIT-" + hashlib.sha1("|".join(ids).encode()).hexdigest()
+    sha1 = lambda keys: hashlib.sha1("|".join(keys).encode()).hexdigest()
+    # what is shown is made of the shown texts, the rest of the key of the whole keys
+    assert s["situation_id"] == "SIT-" + sha1(sorted(a[:13] for a in ids))[:6] + sha1(ids)[:34]
+    assert l.situations.filter(F.col("situation_id") == s["situation_id"]).select(public("situation_id")).first()[0] == "SIT-" + sha1(sorted(a[:13] for a in ids))[:6]
 
 
 def test_reveal_is_progressive_and_ends_at_the_final_state(run):
