@@ -13,16 +13,22 @@ from cityweave.operators import scale
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that have no language: null texts and texts without a letter."""
+    """Without the documents that have no language: null texts, texts without a letter, and texts of which no
+    learned language knows an n-gram. With no labelled text to learn from, any letter will do."""
     ready(spark)
-    found = langid.predict(docs, langid.fit_on(docs), pred="_lang", score="_score")
-    return found.filter(~F.col("_lang").eqNullSafe(langid.UND)).select(*docs.columns)
+    model = langid.fit_on(docs)
+    found = langid.predict(docs, model, pred="_lang", score="_score")
+    known = (F.col("_score") > 0) if model.languages else F.lit(True)
+    return found.filter(~F.col("_lang").eqNullSafe(langid.UND) & known).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines like an earlier one; ``n_chars`` follows the text."""
+    """Without lines like an earlier one, and without documents of which no word is left; ``n_chars`` follows the
+    text. A document that had no word before stays as it is."""
     ready(spark)
-    return lines.dedup_lines(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
+    left = lines.dedup_lines(docs)
+    emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return left.filter(~emptied).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
