@@ -393,8 +393,8 @@ def t18(s, d):
 
 
 _j = lambda k: F.get_json_object("data", f"$.{k}")
-query("p28_situation_message", MILS + f""", dl AS (SELECT sit, 'created' AS action FROM rv, tt WHERE rev > now - 21600 AND rev <= now UNION ALL SELECT DISTINCT sit, 'updated' FROM ms JOIN rv USING (sit), tt WHERE rev <= now - 21600 AND m > now - 21600 AND m <= now)
- SELECT 'situation' AS type, {ts('now')} AS sent_utc, action, sit AS situation_id, pulse AS pulse_score, alert AS alert_level, level AS confidence_level, part AS partial, known AS members_known, total AS partial_of FROM pq JOIN dl USING (sit), tt""")(
+query("p28_situation_message", MILS + f""", dlt AS (SELECT sit, 'created' AS action FROM rv, tt WHERE rev > now - 21600 AND rev <= now UNION ALL SELECT DISTINCT sit, 'updated' FROM ms JOIN rv USING (sit), tt WHERE rev <= now - 21600 AND m > now - 21600 AND m <= now)
+ SELECT 'situation' AS type, {ts('now')} AS sent_utc, action, sit AS situation_id, pulse AS pulse_score, alert AS alert_level, level AS confidence_level, part AS partial, known AS members_known, total AS partial_of FROM pq JOIN dlt USING (sit), tt""")(
     lambda s, d: serve.situation_message(partials(s, d), serve.situation_deltas(asof(s, d).reveals, asof(s, d).milestones, mid(s, d) - 21600, mid(s, d)), mid(s, d)).select(
         "type", "sent_utc", "action", _j("situation_id").alias("situation_id"), _j("pulse_score").cast("bigint").alias("pulse_score"), _j("alert_level").alias("alert_level"), _j("confidence_level").alias("confidence_level"),
         _j("partial").cast("boolean").alias("partial"), _j("members_known").cast("bigint").alias("members_known"), _j("partial_of").cast("bigint").alias("partial_of")))

@@ -80,13 +80,20 @@ def late_register(s, d):
 
 
 STORES = {
-    "weather_imd": lambda s, d: written(s, weather_stream(s, d), "weather", lambda r: upserts.episode_writer(r, PS, True)),
+    "weather_imd": lambda s, d: written(s, weather_stream(s, d), "weather", lambda r: upserts.episode_writer(r, PS, True, candidates=True)),
     "air_sensors": lambda s, d: written(s, ig.air_readings(sliced(s, d, "air", lambda: air(s, d), "seq"), PS, GRID), "air", lambda r: upserts.episode_writer(r, PS)),
     "drain_scada": lambda s, d: written(s, ig.drain_readings(sliced(s, d, "drains", lambda: drains(s, d), "seq"), portable(s, d, DREG_SQL), PD, GRID), "drains",
                                         lambda r: upserts.episode_writer(r, PD, True)),
-    "power_discom": lambda s, d: written(s, power_stream(s, d), "power", lambda r: upserts.outage_writer(r, PS)),
+    "power_discom": lambda s, d: written(s, power_stream(s, d), "power", lambda r: upserts.outage_writer(r, PS, candidates=True)),
     "civic_complaints": lambda s, d: written(s, ig.complaint_records(sliced(s, d, "complaints", lambda: late_register(s, d), "arrived"), PS, GRID), "complaints",
                                              lambda r: upserts.complaint_writer(r, PS))}
+
+
+def store(s, d, feed):
+    """A feed's store of versions, drained once for all queries that read it."""
+    return memo(s, d, f"store-{feed}", lambda: STORES[feed](s, d))
+
+
 _live = INGEST.replace("WITH ", "WITH " + CATS + ", ", 1).replace("arg_min(h3_cell, seq) AS h3_cell,", "max(measure) AS measure, arg_min(h3_cell, seq) AS h3_cell,").replace(
     "conf AS confidence, raw_ref FROM fo", f"conf AS confidence, raw_ref, round(coalesce(n, measure), 3) AS measure, {ts('t + ' + INTERVAL)} AS received_at FROM fo")
 
@@ -98,12 +105,12 @@ def event_out(e):
 
 for _name, _feed in (("r1_weather_episodes", "weather_imd"), ("r1_air_episodes", "air_sensors"), ("r1_drain_episodes", "drain_scada"), ("r1_power_events", "power_discom"),
                      ("r1_complaint_events", "civic_complaints")):
-    query(_name, f"SELECT * FROM ({_live}) live WHERE source = '{_feed}'")(lambda s, d, feed=_feed: event_out(upserts.current_events(s, STORES[feed](s, d))))
-query("r1_live_events", _live)(lambda s, d: event_out(upserts.current_events(s, [store(s, d) for store in STORES.values()])))
+    query(_name, f"SELECT * FROM ({_live}) live WHERE source = '{_feed}'")(lambda s, d, feed=_feed: event_out(upserts.current_events(s, store(s, d, feed))))
+query("r1_live_events", _live)(lambda s, d: event_out(upserts.current_events(s, [store(s, d, feed) for feed in STORES])))
 query("r2_stateful_episodes", _WS + island_sql("wm") + " " + _CSEL)(
-    lambda s, d: cand_out(candidates(s, written(s, weather_stream(s, d), "weather", lambda r: upserts.episode_writer(r, PS, True, candidates=True)))))
+    lambda s, d: cand_out(candidates(s, store(s, d, "weather_imd"))))
 query("r3_stateful_outages", f"WITH {OUT}{_PC} SELECT seq, category, measure, {ts('t')} AS start_utc, NULL::varchar AS end_utc FROM pc UNION ALL SELECT seq, category, measure, {ts('t')}, {ts('t_end')} FROM pc WHERE t_end IS NOT NULL")(
-    lambda s, d: candidates(s, written(s, power_stream(s, d), "power", lambda r: upserts.outage_writer(r, PS, candidates=True)))
+    lambda s, d: candidates(s, store(s, d, "power_discom"))
     .select("seq", "category", "measure", iso("start_utc").alias("start_utc"), iso("end_utc").alias("end_utc")))
 query("r4_live_windows", f"WITH {EV}, k AS (SELECT h3_cell, category, t // 300 * 300 - 300 * i AS w, severity FROM ev, range(12) r(i)) SELECT h3_cell, category, w, count(*) AS observed, round(sum(severity), 4) AS severity_weighted FROM k WHERE w + 3600 <= (SELECT max(t) FROM ev) - 600 GROUP BY ALL")(
     lambda s, d: drain(s, live.live_windows(canon_stream(s, d), P, 600)).select("h3_cell", "category", "w", "observed", F.round("severity_weighted", 4).alias("severity_weighted")))

@@ -54,9 +54,9 @@ class Carried:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
-    def put(self, table: DataFrame, name: str, n: int, *by: str) -> None:
+    def put(self, table: DataFrame, name: str, n: int) -> None:
         """Add a batch's part of a result, which stays."""
-        table.write.mode("overwrite").partitionBy(*by).parquet(self.folder(name, n))
+        table.write.mode("overwrite").parquet(self.folder(name, n))
 
 
 def own(write):
@@ -72,8 +72,10 @@ def own(write):
 
 
 def _dated(versions: DataFrame) -> DataFrame:
+    """With the date of the start, in its order, so that a reader of some days skips the rest of a file. A folder a
+    day would be as many files a batch as it touches days."""
     names = [f.split()[0] for f in VERSION.split(", ")]
-    return versions.select(*names, F.to_date("start_utc").alias("date"))
+    return versions.select(*names, F.to_date("start_utc").alias("date")).sortWithinPartitions("date")
 
 
 # ------------------------------------------------------------------ episodes -----------------
@@ -116,7 +118,7 @@ def episode_writer(path: str, p: Params = DEFAULT, drop_unlocated: bool = False,
         state.put(_dated(seen.select(
             *EPISODE, F.col("open.seq").alias("opener"), F.col("first.seq").alias("seq"), F.col("open.raw_ref").alias("raw_ref"), F.col("open.t").alias("start_utc"), "end_utc",
             "first.lat", "first.lon", "first.h3_cell", F.when(closed, F.col("peak")).otherwise(F.col("peak_emitted")).alias("measure"), "confidence", "first.resolution",
-            F.lit(None).cast("double").alias("cap"), F.col("n_emitted").alias("n_candidates"))), "versions", n, "date")
+            F.lit(None).cast("double").alias("cap"), F.col("n_emitted").alias("n_candidates"))), "versions", n)
         if candidates:
             head = whole.filter("n_above > 0").select(*EPISODE, "island", "open", "peak")
             d = marked.filter("located").join(head, [*EPISODE, "island"])
@@ -154,7 +156,7 @@ def outage_writer(path: str, p: Params = DEFAULT, candidates: bool = False):
         row = ["source", "entity", F.col("e.category").alias("category"), "seq", "raw_ref", F.col("t").alias("start_utc")]
         place = ["lat", "lon", "h3_cell", F.col("e.measure").alias("measure"), "confidence", "resolution"]
         state.put(_dated(d.select(*row, F.col("seq").alias("opener"), F.col("r.t").alias("end_utc"), *place, "cap",
-                                  (F.lit(1) + F.col("r").isNotNull().cast("bigint")).alias("n_candidates"))), "versions", n, "date")
+                                  (F.lit(1) + F.col("r").isNotNull().cast("bigint")).alias("n_candidates"))), "versions", n)
         if candidates:
             opened = d.filter("fresh_trip > 0").select(*row, F.lit(None).cast("timestamp").alias("end_utc"), *place, "cap")
             state.put(opened.unionByName(d.filter("r is not null").select(*row, F.col("r.t").alias("end_utc"), *place, "cap")), "candidates", n)
@@ -200,7 +202,7 @@ def complaint_writer(path: str, p: Params = DEFAULT, late_sec: int = 600):
         d = keep(d.withColumn("_fresh", F.col("_old").isNull() | ~F.col("_old").eqNullSafe(F.struct(*changing))), "live-clustered")
         fresh, d = d.filter("_fresh").drop("_old", "_fresh"), d.drop("_old", "_fresh")
         made = lambda x: x.withColumn("opener", F.lit(0).cast("bigint")).withColumn("cap", F.lit(None).cast("double"))
-        state.put(_dated(made(fresh)), "versions", n, "date")
+        state.put(_dated(made(fresh)), "versions", n)
         top = d.agg(F.max(times.epoch(F.col("start_utc")))).first()[0]
         latest = max((t for t in (clock, top) if t is not None), default=None)
         kept = made(d).withColumn("start_sec", times.epoch(F.col("start_utc")))
@@ -215,7 +217,7 @@ def complaint_writer(path: str, p: Params = DEFAULT, late_sec: int = 600):
 def latest_versions(spark: SparkSession, path: str, days: Column | None = None) -> DataFrame:
     """The last version of every episode, trip or complaint in a store; ``days`` restricts the dates of starts
     that are read (a condition on ``date``)."""
-    d = spark.read.schema(VERSION + ", batch bigint, date date").parquet(f"{path}/versions")
+    d = spark.read.schema(VERSION + ", date date, batch bigint").parquet(f"{path}/versions")
     d = d if days is None else d.filter(days)
     rest = [c for c in d.columns if c not in (*KEYS, "opener", "batch", "date")]
     return d.groupBy(*KEYS, "opener").agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*KEYS, "opener", "x.*")
@@ -236,5 +238,6 @@ def compact(spark: SparkSession, path: str, n: int) -> None:
     begun. The new folder is whole before the old ones go."""
     last = latest_versions(spark, path).select(*[f.split()[0] for f in VERSION.split(", ")])
     held: list[str] = []
-    stage(_dated(last), "live-compacted", held).write.mode("overwrite").partitionBy("date").parquet(f"{path}/versions/batch={n}")
+    ranged = stage(_dated(last), "live-compacted", held).repartitionByRange("date").sortWithinPartitions("date", *KEYS)
+    ranged.write.mode("overwrite").parquet(f"{path}/versions/batch={n}")
     delete_staged(spark, held + [f"{path}/versions/batch={k}" for k in range(n)])
