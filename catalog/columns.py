@@ -253,7 +253,7 @@ query("x9_elevation_pixels", f"WITH x AS ({LI}) SELECT l_orderkey, l_linenumber,
 import math  # noqa: E402
 _d2 = f"(pow((lat - 26.9239::double) * 111, 2) + pow((lon - 75.8230::double) * {111.0 * math.cos(math.radians(26.9239))!r}::double, 2))"
 query("x10_density_surface", f"WITH g AS ({GEO}), h AS (SELECT *, event_id // 100 AS row, event_id % 100 AS col FROM g) SELECT event_id, round((2500 + 13000 * exp(-{_d2} / 56.25) + 42000 * exp(-{_d2} / {1.8 ** 2!r}::double)) * 1444 / 1e6 * (0.6 + 0.8 * ((row * 7919 + col * 104729) % 1000) / 1000.0::double), 6) AS people FROM h")(
-    lambda s, d: geo_rows(s, d).select("event_id", r6(geo.people(C("lat"), C("lon"), F.floor(C("event_id") / 100), C("event_id") % 100, 1444.0)).alias("people")))
+    lambda s, d: geo_rows(s, d).select("event_id", r6(geo.sample_people(C("lat"), C("lon"), F.floor(C("event_id") / 100), C("event_id") % 100, 1444.0)).alias("people")))
 query("x11_array_sets", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: cast(floor(x * 10) as bigint)) AS a, list_transform(list_reverse(embedding), lambda x: cast(floor(x * 20) as bigint)) AS b FROM {embeddings})
  SELECT vec_id, array_to_string(list_sort(list_intersect(a, b)), ',') AS both, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS either, len(list_distinct(a)) AS n FROM e""")(
     lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 10)).alias("a"),
