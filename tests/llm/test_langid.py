@@ -53,3 +53,47 @@ def test_filter_answers_for_all_languages_at_once(spark):
     many = langid.Model(tuple(f"l{i:03d}" for i in range(70)), np.zeros((1024, 2), np.uint64), np.zeros(70))
     many.slots[:, 1] |= np.uint64(1 << 5)
     assert langid.scores(many, known, np.array([0, len(known)])).argmax() == 69
+
+
+def plain_grams(text):
+    low = bytearray(text.encode())
+    for i, c in enumerate(low):
+        low[i] = c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32
+    for i in range(len(low) - 1):
+        if low[i] == 0xC3 and 0x80 <= low[i + 1] <= 0x9E and low[i + 1] != 0x97:
+            low[i + 1] += 32
+    buf = bytes([32, *low, 32])
+    return [(n, buf[i:i + n]) for n in langid.ORDERS for i in range(len(buf) - n + 1) if 32 not in buf[i + 1:i + n - 1] and buf[i:i + n] != b"  "]
+
+
+def test_counts_are_those_of_plain_sets(spark):
+    """Against sets of n-grams without a filter: counts differ by chance hits alone, and the winner is the same."""
+    from collections import Counter
+    docs = made(spark, 40)
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    rows += [(9000, "ÉÑ Çon über-ing 12 the", "xa"), (9001, "", "xb"), (9002, "ciÓn", "xc")]
+    docs = spark.createDataFrame(rows, docs.schema)
+    model = langid.fit_on(docs)
+    kept = {r.doc_id for r in docs.filter(~langid.held_out(F.col("doc_id"))).select("doc_id").collect()}
+    counts = {lang: Counter(g for d, t, x in rows if x == lang and d in kept for g in plain_grams(t)) for lang in model.languages}
+    total = {(lang, n): sum(c for (m, _), c in counts[lang].items() if m == n) for lang in counts for n in langid.ORDERS}
+    rate = {lang: {g: c / total[lang, g[0]] for g, c in counts[lang].items()} for lang in counts}
+    most = Counter()
+    for lang in rate:
+        for g, r in rate[lang].items():
+            most[g] = max(most[g], r)
+    sets = {lang: {g for g, r in rate[lang].items() if r >= langid.MIN_RATE and r >= langid.SHARE * most[g]} for lang in rate}
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs.select("doc_id", "text"), model).collect()}
+    close = 0
+    for d, text, _ in rows:
+        grams = plain_grams(text)
+        plain = [sum(g in sets[lang] for g in grams) for lang in model.languages]
+        raw = text.encode()
+        got = langid.scores(model, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        slack = 2 + 6 * np.sqrt(len(grams) * model.false_positive + 1) + len(grams) * 0.02
+        assert (np.abs(got - plain) <= slack).all(), (text, got, plain)
+        best = sorted(plain)[-1]
+        if text and best - sorted(plain)[-2] > 2 * slack.max():
+            close += 1
+            assert found[d][0] == model.languages[plain.index(best)]
+    assert close > 60

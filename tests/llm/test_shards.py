@@ -72,3 +72,54 @@ def test_quotas_hold():
         granted = shards.allowed(wishes, sizes, limits, down)
         after = [sizes[k] - sum(x for (a, _), x in granted.items() if a == k) + sum(x for (_, b), x in granted.items() if b == k) for k in range(n)]
         assert all(a <= m for a, m in zip(after, limits)) and all(granted[k] <= wishes[k] for k in wishes)
+
+
+def brute_propagate(nodes, edges, n_shards, limits, h, rounds=shards.ROUNDS):
+    order = sorted(nodes, key=lambda x: (h[x], x))
+    label = {x: k % n_shards for k, x in enumerate(order)}
+    near = defaultdict(list)
+    for u, w in edges:
+        near[u].append(w)
+        near[w].append(u)
+    idle = 0
+    for r in range(rounds):
+        down, wish = r % 2 == 0, {}
+        for x in nodes:
+            votes = Counter(label[y] for y in near[x])
+            best, to = max((k, -s) for s, k in votes.items())
+            to, own = -to, votes.get(label[x], 0)
+            if best > own and (to < label[x] if down else to > label[x]):
+                wish[x] = (to, best - own)
+        idle = idle + 1 if not wish else 0
+        if idle == 2:
+            break
+        matrix = Counter((label[x], to) for x, (to, _) in wish.items())
+        sizes = Counter(label.values())
+        granted = shards.allowed(dict(matrix), [sizes.get(j, 0) for j in range(n_shards)], limits, down)
+        moved = dict(label)
+        for pair, most in granted.items():
+            asking = [x for x in wish if (label[x], wish[x][0]) == pair]
+            asking.sort(key=lambda x: (30 - min(wish[x][1].bit_length() - 1, 30), h[x], x))
+            for x in asking[:most]:
+                moved[x] = pair[1]
+        label = moved
+    return label
+
+
+def test_propagation_against_plain_python(spark):
+    """Labels of a few hundred nodes are those of the rounds written out, and few links are cut."""
+    from pyspark.sql import functions as F
+    rng = random.Random(7)
+    groups = [list(range(k * 20, k * 20 + rng.randint(3, 20))) for k in range(20)]
+    edges = {(min(a, b), max(a, b)) for g in groups for _ in range(3 * len(g)) for a, b in [rng.sample(g, 2)]}
+    edges |= {(rng.choice(groups[k]), rng.choice(groups[k + 1])) for k in range(19)}
+    nodes = sorted({x for e in edges for x in e})
+    limits = shards.quotas(2 * len(nodes), 8)  # as many documents again have no link
+    n = spark.createDataFrame([(x,) for x in nodes], "node long")
+    h = {r.node: r.h for r in n.select("node", F.xxhash64("node").alias("h")).collect()}
+    got = {r.node: r.label for r in shards.propagate(n, spark.createDataFrame(sorted(edges), "u long, w long"), 8, limits).collect()}
+    assert got == brute_propagate(nodes, sorted(edges), 8, limits, h)
+    start = {x: k % 8 for k, x in enumerate(sorted(nodes, key=lambda x: (h[x], x)))}
+    cut = lambda label: sum(label[u] != label[w] for u, w in edges)
+    assert cut(got) < 0.6 * cut(start)
+    assert max(Counter(got.values()).values()) <= max(limits)
