@@ -91,7 +91,11 @@ def partial_situations(situations: DataFrame, ms: DataFrame, reveals: DataFrame,
         F.array_compact(F.collect_set(F.when(seen, F.col("source")))).alias("_src"),
         F.array_sort(F.array_compact(F.collect_set(F.when(seen, F.col("category"))))).alias("known_categories"),
         F.size(F.collect_set("category")).alias("_ncat"))
-    d = situations.join(shown, "situation_id").join(a, "situation_id")
+    return _as_known(situations.join(shown, "situation_id").join(a, "situation_id"))
+
+
+def _as_known(d: DataFrame) -> DataFrame:
+    """Scores by what is known of a situation's members."""
     partial = F.col("members_known") < F.col("partial_of")
     pulse = F.when(F.col("members_known") == 0, 0).otherwise(sv.pulse(F.col("_sev"), F.col("_conf"), F.size("_src")))
     share = F.size("known_categories") / F.col("_ncat")
@@ -104,6 +108,28 @@ def partial_situations(situations: DataFrame, ms: DataFrame, reveals: DataFrame,
             .drop("_sev", "_conf", "_src", "_ncat"))
 
 
+def partial_situations_at(situations: DataFrame, ms: DataFrame, reveals: DataFrame, deltas: DataFrame, spans: DataFrame) -> DataFrame:
+    """``partial_situations`` at the ``clock`` of every row of ``deltas`` (situation_id, clock) at once: members
+    become a row a situation and tick (``spans``, see ``deltas_of_ticks``), and what is known is added up over a situation's ticks."""
+    asked = deltas.select("situation_id", "clock").distinct()
+    mine = ms.join(asked.select("situation_id").distinct(), "situation_id", "left_semi")
+    total = mine.groupBy("situation_id").agg(F.count("*").alias("partial_of"), F.size(F.collect_set("category")).alias("_ncat"))
+    edge = with_scalars(mine, spans.agg(F.min("prev").alias("_from")))
+    before = edge.filter(times.epoch(F.col("milestone")) <= F.col("_from")).withColumn("clock", F.col("_from"))
+    seen = before.drop("_from").unionByName(in_spans(mine, "milestone", spans).drop("prev"))
+    per = seen.groupBy("situation_id", "clock").agg(
+        F.count("*").alias("n"), F.max("severity").alias("sev"), F.sum(F.col("confidence").cast("decimal(9,4)")).alias("conf"),
+        F.collect_set("source").alias("src"), F.collect_set("category").alias("cat"))
+    per = per.join(asked.withColumn("_asked", F.lit(True)), ["situation_id", "clock"], "full")
+    so_far = Window.partitionBy("situation_id").orderBy("clock").rowsBetween(Window.unboundedPreceding, 0)
+    sets = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c).over(so_far))))
+    n = F.coalesce(F.sum("n").over(so_far), F.lit(0).cast("bigint"))
+    a = per.select("situation_id", "clock", "_asked", n.alias("members_known"), F.max("sev").over(so_far).alias("_sev"),
+                   (F.sum("conf").over(so_far).cast("double") / n).alias("_conf"), sets("src").alias("_src"), sets("cat").alias("known_categories"))
+    a = a.filter("_asked").drop("_asked").join(total, "situation_id")
+    return _as_known(situations.join(reveals, "situation_id").join(a, "situation_id"))
+
+
 def partial_predictions(partials: DataFrame, edges: DataFrame, n: int = 2) -> DataFrame:
     """Unobserved successors of the known categories with the reason, first ``n`` by
     (trigger, successor). At most one row per category and situation enters the window."""
@@ -185,6 +211,26 @@ def situation_deltas(reveals: DataFrame, ms: DataFrame, prev, cur) -> DataFrame:
     return created.unionByName(updated)
 
 
+def in_spans(rows: DataFrame, t: str, spans: DataFrame) -> DataFrame:
+    """Rows with the span (prev, clock] of epoch seconds that holds their time ``t``; rows in none go. Spans don't meet,
+    so blocks as long as the mean span are met by two spans each on average, and no row is tried against all."""
+    edge = spans.agg(F.min("prev").alias("_lo"), F.greatest(F.lit(1), F.floor((F.max("clock") - F.min("prev")) / F.count("*"))).alias("_size"))
+    block = lambda c: F.floor((F.col(c) - F.col("_lo")) / F.col("_size"))
+    cut = with_scalars(spans, edge).withColumn("_b", F.explode(F.sequence(block("prev"), block("clock")))).select("prev", "clock", "_b")
+    d = with_scalars(rows.withColumn("_t", times.epoch(F.col(t))), edge).withColumn("_b", block("_t"))
+    return d.join(cut, "_b").filter((F.col("_t") > F.col("prev")) & (F.col("_t") <= F.col("clock"))).select(*rows.columns, "prev", "clock")
+
+
+def deltas_of_ticks(reveals: DataFrame, ms: DataFrame, spans: DataFrame) -> DataFrame:
+    """(situation_id, action, clock): ``situation_deltas`` of many ticks at once. ``spans`` (prev, clock), epoch
+    seconds, are the ticks' spans, which follow one another."""
+    created = in_spans(reveals, "reveal_utc", spans).select("situation_id", F.lit("created").alias("action"), "clock")
+    hit = in_spans(ms.select("situation_id", "milestone"), "milestone", spans).select("situation_id", "prev", "clock").distinct()
+    shown = reveals.select("situation_id", times.epoch(F.col("reveal_utc")).alias("_shown"))
+    updated = hit.join(shown, "situation_id").filter(F.col("_shown") <= F.col("prev")).select("situation_id", F.lit("updated").alias("action"), "clock")
+    return created.unionByName(updated)
+
+
 # ------------------------------------------------------------------ expansion and text ------
 def member_events(sit_members: DataFrame) -> DataFrame:
     """Members in start order, numbered."""
@@ -215,13 +261,13 @@ def _message(rows: DataFrame, kind: str, t, fields, *more) -> DataFrame:
     return rows.select(F.lit(kind).alias("type"), times.iso(at(t)).alias("sent_utc"), *more, F.to_json(data, {"ignoreNullFields": "false"}).alias("data"))
 
 
-def situation_message(shown: DataFrame, deltas: DataFrame, t) -> DataFrame:
+def situation_message(shown: DataFrame, deltas: DataFrame, t, by=()) -> DataFrame:
     """A message for each situation created or updated: the situation as far as it is known at t.
     ``shown`` are partial situations (with any stopped feeds applied), ``deltas`` their actions, both by
-    whole key, which ``situation_id`` holds beside the payload; the payload has the shown id."""
-    d = shown.join(deltas, "situation_id").withColumn("_key", F.col("situation_id"))
+    whole key, which ``situation_id`` holds beside the payload, and by the columns ``by``; the payload has the shown id."""
+    d = shown.join(deltas, ["situation_id", *by]).withColumn("_key", F.col("situation_id"))
     d = ids.with_public(d)
-    return _message(d, "situation", t, [c for c in SITUATION_FIELDS if c in d.columns], "action", F.col("_key").alias("situation_id"))
+    return _message(d, "situation", t, [c for c in SITUATION_FIELDS if c in d.columns], "action", F.col("_key").alias("situation_id"), *by)
 
 
 def feedhealth_message(changes: DataFrame, t) -> DataFrame:

@@ -112,26 +112,35 @@ def tick_totals(events: DataFrame, tick_sec: int = 1, late_sec: int = 90) -> Dat
 
 # ------------------------------------------------------------------ deltas ------------------
 def delta_writer(reveals: DataFrame, ms: DataFrame, path: str, situations: DataFrame = None):
-    """``foreachBatch`` function over a stream of clock ticks ``t``: emits situations created and
-    updated since the previous batch, with their message as far as they are known by then where
-    ``situations`` are given. A batch reads the clock that the one before it left and rewrites only its own
+    """``foreachBatch`` function over a stream of clock times ``t``: emits situations created and
+    updated since the previous tick, with their message as far as they are known by then where
+    ``situations`` are given. A batch is one tick; with a column ``tick`` it holds the whole of several, in their order, which
+    are worked on at once. A batch reads the clock that the one before it left and rewrites only its own
     folders, so a retried batch gives the same output."""
     state = Carried(path)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    @own
+    def write(batch: DataFrame, batch_id: int, keep) -> None:
         spark = batch.sparkSession
-        first, cur = batch.agg(F.min(times.epoch(F.col("t"))), F.max(times.epoch(F.col("t")))).first()
+        t = times.epoch(F.col("t"))
+        tick = F.col("tick") if "tick" in batch.columns else F.lit(0)
+        ticks = batch.groupBy(tick.alias("tick")).agg(F.min(t).alias("first"), F.max(t).alias("clock"))
         prev = state.before(spark, "clock", "clock bigint", batch_id).agg(F.max("clock")).first()[0]
-        if cur is None or prev is not None and cur <= prev:
+        before = F.max("clock").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, -1))  # one row a tick
+        prev_of = F.greatest(before, F.lit(prev).cast("bigint"))  # of those that are known
+        spans = ticks.select(F.coalesce(prev_of, F.col("first") - 1).alias("prev"), "clock").filter("clock > prev")
+        spans = keep(spans, "live-ticks")
+        cur = spans.agg(F.max("clock")).first()[0]
+        if cur is None:
             state.leave(spark.range(1).select(F.lit(prev).cast("bigint").alias("clock")), "clock", batch_id)
             return
-        prev = first - 1 if prev is None else prev
-        d = srv.situation_deltas(reveals, ms, int(prev), int(cur))
+        d = srv.deltas_of_ticks(reveals, ms, spans)
         if situations is not None:
-            known = srv.partial_situations(situations, ms, reveals, int(cur))
-            said = srv.situation_message(known, d, int(cur))
-            d = d.join(said.select("situation_id", "data"), "situation_id")
-        state.put(d.withColumn("clock", F.lit(int(cur))), "deltas", batch_id)
+            d = keep(d, "live-deltas")
+            known = srv.partial_situations_at(situations, ms, reveals, d, spans)
+            said = srv.situation_message(known, d, F.timestamp_seconds("clock"), ["clock"])
+            d = said.select("situation_id", "action", "data", "clock")
+        state.put(d, "deltas", batch_id)
         state.leave(spark.range(1).select(F.lit(int(cur)).cast("bigint").alias("clock")), "clock", batch_id)
     return write
 
