@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cityweave.functions import severity as sv
 from cityweave.operators import ingest as ig
-from cityweave.operators.scale import stage_root
+from cityweave.operators.scale import stage, stage_root
 from cityweave.streaming import live, upserts
 
 from .base import CANON, EV, GRID, INTERVAL, P, ROWS, duck, iso, memo, portable, query, r6, ts
@@ -17,23 +17,42 @@ from .situations import ANOM, DET, MILS, _anom, anom_out, asof, detected
 C = F.col
 
 
-SLICES, SLICE_ROWS = 4, 25_000  # at least so many micro-batches, of about so many rows at most
+SLICES, SLICE_ROWS = 4, 25_000  # at least so many ticks of a clock, of about so many rows at most
+MOST, FILE_ROWS = 8, 500_000  # micro-batches at most, and about so many rows a file
 
 
-def sliced(s, d, name, rows, order):
-    """The rows as a stream of several micro-batches: slices of equal span of ``order``, each in files of its
-    own, a slice a trigger. A slice doesn't grow with the table."""
+def tick_of(order, lo, hi, ticks):
+    """Which of ``ticks`` equal spans from lo to hi a row is in."""
+    return F.least(F.floor((C(order) - lo).cast("double") * ticks / F.lit(float(hi - lo + 1))), F.lit(ticks - 1))
+
+
+def slices_of(s, d, name, rows, order):
+    """(path, schema, files a slice, (lo, hi, ticks)): the rows in slices of whole ticks, one after the other. Every
+    slice has the same number of files, which grows with the rows; the slices don't become more."""
     def build():
         path = f"{stage_root(s)}/slices-{name}-{uuid.uuid4().hex}"
         x = rows()
         lo, hi, n = x.agg(F.min(order), F.max(order), F.count("*")).first()
-        slices = max(SLICES, -(-n // SLICE_ROWS))
+        ticks = max(SLICES, -(-n // SLICE_ROWS))
+        slices = min(ticks, MOST)
+        files = max(1, -(-n // (slices * FILE_ROWS)))
+        at = F.floor(tick_of(order, lo, hi, ticks) * slices / ticks)
         for k in range(slices):
-            x.filter(F.floor((C(order) - lo) * slices / (hi - lo + 1)) == k).coalesce(1).write.mode("append").parquet(path)
-        return path, x.schema
+            x.filter(at == k).repartition(files).write.mode("append").parquet(path)
+            there = len(s.read.schema(x.schema).parquet(path).inputFiles()) if files > 1 else k + 1
+            for _ in range((k + 1) * files - there):  # a part without rows gives no file
+                s.createDataFrame([], x.schema).coalesce(1).write.mode("append").parquet(path)
+        return path, x.schema, files, (lo, hi, ticks)
 
-    path, schema = memo(s, d, f"slices-{name}", build)
-    return s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return memo(s, d, f"slices-{name}", build)
+
+
+def sliced(s, d, name, rows, order):
+    """The rows as a stream of several micro-batches: slices of equal span of ``order``, a slice a trigger. Each
+    micro-batch costs its jobs and its states' files besides its rows, so there are ``MOST`` at most and a larger
+    table makes larger ones, spread over more files and tasks."""
+    path, schema, files, _ = slices_of(s, d, name, rows, order)
+    return s.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drain(s, x, mode="append"):
@@ -76,7 +95,7 @@ def power_stream(s, d):
 def late_register(s, d):
     """The register as it comes in: records are up to 500 seconds late."""
     known = event_rows(s, d).select(C("event_id").alias("seq"), C("t").alias("_t"))
-    return complaint_feed(s, d).join(known, "seq").withColumn("arrived", C("_t") + F.pmod(F.hash("seq"), F.lit(500))).drop("_t")
+    return stage(complaint_feed(s, d).join(known, "seq").withColumn("arrived", C("_t") + F.pmod(F.hash("seq"), F.lit(500))).drop("_t"), "register")
 
 
 STORES = {
@@ -146,7 +165,8 @@ _step = "LEAST(n - 1, (t - lo) * n // (hi - lo + 1))"
 def r6_deltas(s, d):
     a = asof(s, d)
     root = f"{stage_root(s)}/deltas-{uuid.uuid4().hex}"
-    ticks = canon_stream(s, d).select(C("start_utc").alias("t"))
+    lo, hi, n = slices_of(s, d, "canon", lambda: portable(s, d, CANON), "t")[-1]
+    ticks = canon_stream(s, d).select(C("start_utc").alias("t"), tick_of("t", lo, hi, n).alias("tick"))
     q = (ticks.writeStream.foreachBatch(live.delta_writer(a.reveals, a.milestones, root, a.situations)).option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
