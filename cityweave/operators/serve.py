@@ -306,12 +306,13 @@ EXACT, PREFIX, COVER = 0, 1, 2
 
 
 def _prefixes(rows: DataFrame, ref: str, others: DataFrame, other: str) -> DataFrame:
-    """``rows`` with each proper prefix ``k`` of a reference that still holds its entity part and is as
-    long as some reference of the other side; those lengths are few."""
-    lengths = others.agg(F.sort_array(F.collect_set(F.length(other))).alias("_lengths"))
-    start = F.greatest(F.instr(F.col(ref), "@"), F.instr(F.col(ref), ":")) + 1
-    fit = F.filter("_lengths", lambda n: (n >= start) & (n < F.length(ref)))
-    return with_scalars(rows, lengths).withColumn("k", F.explode(F.transform(fit, lambda n: F.substring(F.col(ref), F.lit(1), n)))).drop("_lengths")
+    """``rows`` with each proper prefix ``k`` of a reference that still holds its entity part and goes as far beyond it
+    as some reference of the other side; those lengths are few. A reference that is such a prefix has the same
+    entity part, so the lengths of the entities' own names don't matter."""
+    start = lambda c: F.greatest(F.instr(F.col(c), "@"), F.instr(F.col(c), ":")) + 1
+    lengths = others.agg(F.sort_array(F.collect_set(F.length(other) - start(other))).alias("_lengths"))
+    fit = F.filter("_lengths", lambda n: (n >= 0) & (n < F.length(ref) - start(ref)))
+    return with_scalars(rows, lengths).withColumn("k", F.explode(F.transform(fit, lambda n: F.substring(F.col(ref), F.lit(1), n + start(ref))))).drop("_lengths")
 
 
 def lineage(records: DataFrame, events: DataFrame, open_sec: int = 3600) -> DataFrame:
@@ -336,8 +337,8 @@ def lineage(records: DataFrame, events: DataFrame, open_sec: int = 3600) -> Data
     cover = (rec.filter("entity_ref <> '' and t is not null").join(sizes, "entity_ref").withColumn("_b", F.floor(F.col("t") / F.col("_size")))
              .join(blocks, ["entity_ref", "_size", "_b"]).filter("t between s and e").select("record_id", "event_id", F.lit(COVER).alias("kind")))
     hits = exact.unionByName(prefix).unionByName(cover)
-    best = hits.groupBy("record_id").agg(F.min("kind").alias("kind"))
-    return hits.join(best, ["record_id", "kind"])
+    best = F.min("kind").over(Window.partitionBy("record_id"))
+    return hits.withColumn("_best", best).filter("kind = _best").select("record_id", "kind", "event_id")
 
 
 # ------------------------------------------------------------------ feed and resident views -
