@@ -3,7 +3,7 @@
 Sensor series become episodes by counting breaks: with a running count of breaks before each
 row, an episode is one (entity, category, count) group holding its readings and the one break
 that closes it. So the fold is an ordinary partial aggregate, and only the running count needs
-an order (taken by chunks, see ``scale.running_before``)."""
+an order (hot keys' taken by chunks, see ``scale.running_before_hot``)."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +14,7 @@ from ..functions import ids, severity as sv, text as tx, times
 from ..functions.hexgrid import HexGrid, in_bbox
 from ..params import DEFAULT, Params
 from . import places
-from .scale import one_row, rank_in, running_before
+from .scale import one_row, running_before_hot
 from ..functions.numbers import round_exact
 
 GRID = HexGrid()
@@ -84,8 +84,8 @@ def mark_islands(readings: DataFrame, p: Params = DEFAULT, drop_unlocated: bool
     d = readings.filter("located") if drop_unlocated else readings
     above = ~F.col("fault") & F.coalesce(sv.crosses_floor(F.col("category"), F.col("measure")), F.lit(False))
     d = d.withColumn("above", above)
-    return running_before(d, ["source", "entity", "category"], ["seq"],
-                          F.floor(F.col("seq") / p.chunk_rows), F.when(F.col("above"), 0).otherwise(1), "island")
+    return running_before_hot(d, ["source", "entity", "category"], ["seq"],
+                              F.floor(F.col("seq") / p.chunk_rows), F.when(F.col("above"), 0).otherwise(1), "island")
 
 
 def island_candidates(marked: DataFrame) -> DataFrame:
@@ -156,8 +156,8 @@ def power_records(feed: DataFrame, registry: DataFrame, grid: HexGrid = GRID) ->
 def pair_outages(records: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Give every resolved record the number of opening trips up to and including it: a group
     is one opening trip and the restores after it, of which the first closes it."""
-    d = running_before(records.filter("resolved"), ["entity"], ["seq"], F.floor(F.col("seq") / p.chunk_rows),
-                       F.when(F.col("opens"), 1).otherwise(0), "opened")
+    d = running_before_hot(records.filter("resolved"), ["entity"], ["seq"], F.floor(F.col("seq") / p.chunk_rows),
+                           F.when(F.col("opens"), 1).otherwise(0), "opened")
     return d.withColumn("opened", F.col("opened") + F.when(F.col("opens"), 1).otherwise(0))
 
 
@@ -264,8 +264,8 @@ def trailing_counts(events: DataFrame, keys: list, t: str, order: list, seq: str
     w = Window.partitionBy(*keys, "_b").orderBy("_t").rangeBetween(-window_sec, -1)
     before = (two.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
               .filter("_own").select(*keys, F.col("_t").alias(t), "_before"))
-    ranked = rank_in(events, [*keys, t], order, F.floor(F.col(seq) / chunk_rows), "_pos")
-    return (ranked.join(before, [*keys, t]).withColumn(out, F.col("_before") + F.col("_pos"))
+    ranked = running_before_hot(events, [*keys, t], order, F.floor(F.col(seq) / chunk_rows), F.lit(1), "_pos")
+    return (ranked.join(before, [*keys, t]).withColumn(out, F.col("_before") + F.col("_pos") + 1)
             .drop("_before", "_pos"))
 
 

@@ -19,6 +19,7 @@ from ..functions import ids
 
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 PAGE = 10_000
+HOT_ROWS = 200_000  # a key of more rows is cut into chunks; others are sorted whole, spilling as they must
 
 
 def stage_root(spark) -> str:
@@ -111,6 +112,35 @@ def running_before(df: DataFrame, keys: list, order: list, chunk: Column, value:
             .drop("_chunk", "_val", "_run", "_carry"))
 
 
+def hot_keys(df: DataFrame, keys: list) -> DataFrame | None:
+    """The keys of more than ``HOT_ROWS`` rows; None if there are none, which one count a key tells."""
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS).select(*keys)
+    return None if hot.isEmpty() else hot
+
+
+def running_before_hot(df: DataFrame, keys: list, order: list, chunk: Column, value: Column, out: str) -> DataFrame:
+    """``running_before`` for tables of many keys, of which few or none are hot: a key of at most ``HOT_ROWS`` rows is
+    one chunk whatever ``chunk`` says, so it needs no totals and no join. Null keys are keys like others."""
+    d, at = df.withColumn("_val", value.cast("bigint")), [F.col(k) for k in keys]
+    run = F.sum("_val").over
+    before = lambda *by: run(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_val")
+    hot = hot_keys(df, keys)
+    if hot is None:
+        return d.withColumn(out, before(*at)).drop("_val")
+    same = lambda a, b, on: [a[k].eqNullSafe(b[f"_{k}_"]) for k in on]
+    named = lambda x, on: x.withColumnsRenamed({k: f"_{k}_" for k in on})
+    hot = broadcast_if_small(named(hot, keys).withColumn("_hot", F.lit(True)))
+    d = d.join(hot, same(d, hot, keys), "left").drop(*[f"_{k}_" for k in keys])
+    d = d.withColumn("_chunk", F.when(F.col("_hot"), chunk))
+    totals = d.filter("_hot").groupBy(*keys, "_chunk").agg(F.sum("_val").alias("_tot"))
+    carry = totals.select(*keys, "_chunk", (F.sum("_tot").over(Window.partitionBy(*keys).orderBy("_chunk")) - F.col("_tot")).alias("_carry"))
+    d = d.withColumn("_run", before(*at, F.col("_chunk")))
+    on = [*keys, "_chunk"]
+    carry = named(carry, on)
+    d = d.join(carry, same(d, carry, on), "left").withColumn(out, F.col("_run") + F.coalesce("_carry", F.lit(0)))
+    return d.drop("_val", "_run", "_carry", "_hot", "_chunk", *[f"_{k}_" for k in on])
+
+
 def rank_in(df: DataFrame, keys: list, order: list, chunk: Column, out: str) -> DataFrame:
     """1-based position per key in ``order``, by chunks (see ``running_before``)."""
     return running_before(df, keys, order, chunk, F.lit(1), out).withColumn(out, F.col(out) + 1)

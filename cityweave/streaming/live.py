@@ -132,7 +132,7 @@ def delta_writer(reveals: DataFrame, ms: DataFrame, path: str, situations: DataF
         spans = keep(spans, "live-ticks")
         cur = spans.agg(F.max("clock")).first()[0]
         if cur is None:
-            state.leave(spark.range(1).select(F.lit(prev).cast("bigint").alias("clock")), "clock", batch_id)
+            state.leave(spark.range(0, 1, 1, 1).select(F.lit(prev).cast("bigint").alias("clock")), "clock", batch_id)
             return
         d = srv.deltas_of_ticks(reveals, ms, spans)
         if situations is not None:
@@ -141,7 +141,7 @@ def delta_writer(reveals: DataFrame, ms: DataFrame, path: str, situations: DataF
             said = srv.situation_message(known, d, F.timestamp_seconds("clock"), ["clock"])
             d = said.select("situation_id", "action", "data", "clock")
         state.put(d, "deltas", batch_id)
-        state.leave(spark.range(1).select(F.lit(int(cur)).cast("bigint").alias("clock")), "clock", batch_id)
+        state.leave(spark.range(0, 1, 1, 1).select(F.lit(int(cur)).cast("bigint").alias("clock")), "clock", batch_id)
     return write
 
 

@@ -110,9 +110,11 @@ def episode_writer(path: str, p: Params = DEFAULT, drop_unlocated: bool = False,
     @own
     def write(batch: DataFrame, n: int, keep) -> None:
         spark = batch.sparkSession
-        marked = keep(ig.mark_islands(batch, p, drop_unlocated), "live-marked")
+        marked = ig.mark_islands(keep(batch, "live-batch"), p, drop_unlocated)
+        marked = keep(marked, "live-marked") if candidates else marked  # read once more below
         left = state.before(spark, "open", SEGMENT, n)
-        whole = keep(joined(segments(marked).unionByName(left)), "live-segments")
+        parts = segments(marked).filter("n_above > 0 or island = 0")  # of the others, breaks alone, only the first may close what was left open
+        whole = keep(joined(parts.unionByName(left)), "live-segments")
         seen = whole.filter("fresh > 0 and n_above > 0 and n_emitted > 0")
         closed = F.col("end_utc").isNotNull()
         state.put(_dated(seen.select(
@@ -144,7 +146,7 @@ def outage_writer(path: str, p: Params = DEFAULT, candidates: bool = False):
     @own
     def write(batch: DataFrame, n: int, keep) -> None:
         spark = batch.sparkSession
-        paired = ig.pair_outages(batch, p)
+        paired = ig.pair_outages(keep(batch, "live-batch"), p)
         opens, restore = F.col("opens"), F.col("is_restore")
         new = paired.groupBy("entity", "opened").agg(
             F.max(F.when(opens, F.struct(*TRIP))).alias("o"), F.min(F.when(restore, F.struct("seq", "t"))).alias("r"),
@@ -208,7 +210,7 @@ def complaint_writer(path: str, p: Params = DEFAULT, late_sec: int = 600):
         kept = made(d).withColumn("start_sec", times.epoch(F.col("start_utc")))
         kept = kept if latest is None else kept.filter(F.col("start_sec") >= latest - late_sec - p.cluster_window_sec)
         state.leave(kept.select(*[f.split()[0] for f in RECENT.split(", ")]), "recent", n)
-        state.leave(spark.range(1).select(F.lit(latest).cast("bigint").alias("latest")), "clock", n)
+        state.leave(spark.range(0, 1, 1, 1).select(F.lit(latest).cast("bigint").alias("latest")), "clock", n)
 
     return write
 
