@@ -1,11 +1,12 @@
 """Streaming operators drained over the tables read as streams."""
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
 from cityweave.functions import severity as sv
 from cityweave.operators import ingest as ig
-from cityweave.operators.scale import stage, stage_root
+from cityweave.operators.scale import delete_staged, stage, stage_root
 from cityweave.streaming import live, upserts
 
 from .base import CANON, EV, GRID, INTERVAL, P, ROWS, duck, iso, memo, portable, query, r6, ts
@@ -18,7 +19,8 @@ C = F.col
 
 
 SLICES, SLICE_ROWS = 4, 25_000  # at least so many ticks of a clock, of about so many rows at most
-MOST, FILE_ROWS = 8, 500_000  # micro-batches at most, and about so many rows a file
+MOST, FILE_ROWS = 8, 500_000  # micro-batches at most, and about so many rows a file at most
+TASK_ROWS = 20_000  # a slice of more rows has a file for every core, so that its micro-batch is read side by side
 
 
 def tick_of(order, lo, hi, ticks):
@@ -28,20 +30,26 @@ def tick_of(order, lo, hi, ticks):
 
 def slices_of(s, d, name, rows, order):
     """(path, schema, files a slice, (lo, hi, ticks)): the rows in slices of whole ticks, one after the other. Every
-    slice has the same number of files, which grows with the rows; the slices don't become more."""
+    slice has the same number of files, which grows with the rows; the slices don't become more. The table is read
+    once for the bounds and once to part its rows by slice; a slice's files are then made from that part alone."""
     def build():
-        path = f"{stage_root(s)}/slices-{name}-{uuid.uuid4().hex}"
+        path, parted = f"{stage_root(s)}/slices-{name}-{uuid.uuid4().hex}", f"{stage_root(s)}/parted-{name}-{uuid.uuid4().hex}"
         x = rows()
         lo, hi, n = x.agg(F.min(order), F.max(order), F.count("*")).first()
         ticks = max(SLICES, -(-n // SLICE_ROWS))
         slices = min(ticks, MOST)
-        files = max(1, -(-n // (slices * FILE_ROWS)))
+        of = lambda per: max(1, -(-n // (slices * per)))
+        files = max(of(FILE_ROWS), min(of(TASK_ROWS), s.sparkContext.defaultParallelism))
         at = F.floor(tick_of(order, lo, hi, ticks) * slices / ticks)
+        dealt = x.withColumn("_slice", at.cast("int"))
+        dealt.write.partitionBy("_slice").parquet(parted)
+        parts = s.read.schema(dealt.schema).parquet(parted)
         for k in range(slices):
-            x.filter(at == k).repartition(files).write.mode("append").parquet(path)
+            parts.filter(C("_slice") == k).drop("_slice").repartition(files).write.mode("append").parquet(path)
             there = len(s.read.schema(x.schema).parquet(path).inputFiles()) if files > 1 else k + 1
             for _ in range((k + 1) * files - there):  # a part without rows gives no file
                 s.createDataFrame([], x.schema).coalesce(1).write.mode("append").parquet(path)
+        delete_staged(s, [parted])
         return path, x.schema, files, (lo, hi, ticks)
 
     return memo(s, d, f"slices-{name}", build)
@@ -113,6 +121,12 @@ def store(s, d, feed):
     return memo(s, d, f"store-{feed}", lambda: STORES[feed](s, d))
 
 
+def all_stores(s, d):
+    """Every feed's store. The streams run side by side: a small batch of one leaves most cores to the others."""
+    with ThreadPoolExecutor(len(STORES)) as pool:
+        return list(pool.map(lambda feed: store(s, d, feed), STORES))
+
+
 _live = INGEST.replace("WITH ", "WITH " + CATS + ", ", 1).replace("arg_min(h3_cell, seq) AS h3_cell,", "max(measure) AS measure, arg_min(h3_cell, seq) AS h3_cell,").replace(
     "conf AS confidence, raw_ref FROM fo", f"conf AS confidence, raw_ref, round(coalesce(n, measure), 3) AS measure, {ts('t + ' + INTERVAL)} AS received_at FROM fo")
 
@@ -125,7 +139,7 @@ def event_out(e):
 for _name, _feed in (("r1_weather_episodes", "weather_imd"), ("r1_air_episodes", "air_sensors"), ("r1_drain_episodes", "drain_scada"), ("r1_power_events", "power_discom"),
                      ("r1_complaint_events", "civic_complaints")):
     query(_name, f"SELECT * FROM ({_live}) live WHERE source = '{_feed}'")(lambda s, d, feed=_feed: event_out(upserts.current_events(s, store(s, d, feed))))
-query("r1_live_events", _live)(lambda s, d: event_out(upserts.current_events(s, [store(s, d, feed) for feed in STORES])))
+query("r1_live_events", _live)(lambda s, d: event_out(upserts.current_events(s, all_stores(s, d))))
 query("r2_stateful_episodes", _WS + island_sql("wm") + " " + _CSEL)(
     lambda s, d: cand_out(candidates(s, store(s, d, "weather_imd"))))
 query("r3_stateful_outages", f"WITH {OUT}{_PC} SELECT seq, category, measure, {ts('t')} AS start_utc, NULL::varchar AS end_utc FROM pc UNION ALL SELECT seq, category, measure, {ts('t')}, {ts('t_end')} FROM pc WHERE t_end IS NOT NULL")(
