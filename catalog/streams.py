@@ -158,7 +158,12 @@ def live_anomalies(s, d):
     first = x.detection.agg(F.min("t")).first()[0] // P.step_sec * P.step_sec
     events = canon_stream(s, d).filter(C("t") >= x.start)
     span = lambda spark, t0, t1: x.detection.filter(C("t").between(t0, t1))
-    return written(s, live.live_windows(events, P, 600), "anomalies", lambda r: live.anomaly_writer(r, root, span, first, p=P))
+    out = f"{stage_root(s)}/anomalies-{uuid.uuid4().hex}"
+    with live.state_a_core(s):
+        q = (live.live_windows(events, P, 600).writeStream.foreachBatch(live.anomaly_writer(out, root, span, first, p=P))
+             .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return out
 
 
 _final = "we <= (SELECT max(t) FROM ev) - 600"

@@ -3,6 +3,7 @@ changes and rates. Episodes, outages and complaints as they become known are in
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,10 +38,25 @@ def drop_resent(stream: DataFrame, key: str = "event_id", t: str = "start_utc",
     return stream.withWatermark(t, f"{within_sec} seconds").dropDuplicatesWithinWatermark([key])
 
 
+@contextmanager
+def state_a_core(spark: SparkSession):
+    """A stream with state that starts inside keeps it in a partition a core, or fewer where the session says so. Every
+    partition of state writes and commits its files in every micro-batch, however few rows it holds, and nothing
+    joins small ones afterwards as in a batch. A stream keeps the number it began with."""
+    name = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(was), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drain what is available into parquet and return the table."""
-    q = (stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start(path))
+    with state_a_core(stream.sparkSession):
+        q = (stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start(path))
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
