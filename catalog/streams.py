@@ -31,7 +31,8 @@ def tick_of(order, lo, hi, ticks):
 def slices_of(s, d, name, rows, order):
     """(path, schema, files a slice, (lo, hi, ticks)): the rows in slices of whole ticks, one after the other. Every
     slice has the same number of files, which grows with the rows; the slices don't become more. The table is read
-    once for the bounds and once to part its rows by slice; a slice's files are then made from that part alone."""
+    once for the bounds and once to part its rows by slice, which is the one shuffle: each of as many tasks as a slice
+    has files writes a file of every slice, and a slice's files are then copied in turn, a task a file."""
     def build():
         path, parted = f"{stage_root(s)}/slices-{name}-{uuid.uuid4().hex}", f"{stage_root(s)}/parted-{name}-{uuid.uuid4().hex}"
         x = rows()
@@ -41,11 +42,14 @@ def slices_of(s, d, name, rows, order):
         of = lambda per: max(1, -(-n // (slices * per)))
         files = max(of(FILE_ROWS), min(of(TASK_ROWS), s.sparkContext.defaultParallelism))
         at = F.floor(tick_of(order, lo, hi, ticks) * slices / ticks)
-        dealt = x.withColumn("_slice", at.cast("int"))
-        dealt.write.partitionBy("_slice").parquet(parted)
-        parts = s.read.schema(dealt.schema).parquet(parted)
+        # dealt by number, not by value, so that every part has rows from all over the table and is a file of each slice
+        dealt = x.withColumn("_slice", at.cast("int")).withColumn("_deal", F.monotonically_increasing_id())
+        dealt.repartition(files, "_deal").drop("_deal").write.partitionBy("_slice").parquet(parted)
+        parts = s.read.schema(dealt.drop("_deal").schema).parquet(parted)
         for k in range(slices):
-            parts.filter(C("_slice") == k).drop("_slice").repartition(files).write.mode("append").parquet(path)
+            part = parts.filter(C("_slice") == k).drop("_slice")
+            part = part.coalesce(files) if part.rdd.getNumPartitions() >= files else part.repartition(files)
+            part.write.mode("append").parquet(path)
             there = len(s.read.schema(x.schema).parquet(path).inputFiles()) if files > 1 else k + 1
             for _ in range((k + 1) * files - there):  # a part without rows gives no file
                 s.createDataFrame([], x.schema).coalesce(1).write.mode("append").parquet(path)
@@ -69,7 +73,7 @@ def drain(s, x, mode="append"):
 
 
 def weather_stream(s, d):
-    x = sliced(s, d, "rows", lambda: portable(s, d, ROWS), "event_id")
+    x = sliced(s, d, "rows", lambda: portable(s, d, ROWS).select("event_id", "entity", "t", "value", "lat", "lon"), "event_id")  # what is read below
     f = x.select(C("event_id").alias("seq"), C("entity").alias("station_id"), C("t").alias("ts"),
                  F.when((C("value") >= 30) & (C("value") < 32), C("lat") + 1).otherwise(C("lat")).alias("lat"), "lon",
                  F.when(C("value") >= 2, C("value") * 0.2).alias("rain_mm_15min"), (C("value") * 0.2 + 22).alias("temp_c"), F.lit(60).alias("rh_pct"))

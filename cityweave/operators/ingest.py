@@ -84,7 +84,7 @@ def mark_islands(readings: DataFrame, p: Params = DEFAULT, drop_unlocated: bool
     d = readings.filter("located") if drop_unlocated else readings
     above = ~F.col("fault") & F.coalesce(sv.crosses_floor(F.col("category"), F.col("measure")), F.lit(False))
     d = d.withColumn("above", above)
-    return running_before_hot(d, ["source", "entity", "category"], ["seq"],
+    return running_before_hot(d, ["entity", "category", "source"], ["seq"],  # a sort tells most rows apart by its first column
                               F.floor(F.col("seq") / p.chunk_rows), F.when(F.col("above"), 0).otherwise(1), "island")
 
 
@@ -232,7 +232,7 @@ def fold(events: DataFrame) -> DataFrame:
     """One event per (source, raw_ref, category): earliest start, peak measure with its severity,
     latest close and sighting, most cautious confidence, the rest from the first candidate.
     The source is part of the key, so two feeds reporting one thing stay two events."""
-    a = events.groupBy("source", "raw_ref", "category").agg(
+    a = events.groupBy("raw_ref", "category", "source").agg(
         F.min("start_utc").alias("start_utc"), F.max("end_utc").alias("end_utc"),
         F.max(F.struct("measure", -F.col("seq"), "severity")).alias("m"),
         F.min("confidence").alias("confidence"), F.max("received_at").alias("received_at"),

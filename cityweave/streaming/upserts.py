@@ -7,6 +7,10 @@ reads the state that batch n - 1 left and nothing older, and writes its own fold
 is run again changes nothing."""
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,7 @@ from ..operators import ingest as ig
 from ..operators.scale import delete_staged, stage
 from ..params import DEFAULT, Params
 
-KEYS = ["source", "raw_ref", "category"]
+KEYS = ["raw_ref", "category", "source"]  # what tells most rows apart comes first: sorts compare it first
 #: a version: an event as far as it is known; ``opener`` tells episodes apart that share a reference
 VERSION = ("source string, entity string, category string, opener bigint, seq bigint, raw_ref string, start_utc timestamp, end_utc timestamp, lat double, lon double, "
            "h3_cell bigint, measure double, confidence double, resolution string, cap double, n_candidates bigint")
@@ -71,6 +75,13 @@ def own(write):
     return run
 
 
+def together(spark: SparkSession, *writes) -> None:
+    """Writes that don't need each other, side by side: the last tasks of one leave cores to the others."""
+    with ThreadPoolExecutor(len(writes)) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(write)) for write in writes]:
+            done.result()
+
+
 def _dated(versions: DataFrame) -> DataFrame:
     """With the date of the start, in its order, so that a reader of some days skips the rest of a file. A folder a
     day would be as many files a batch as it touches days."""
@@ -79,7 +90,7 @@ def _dated(versions: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ episodes -----------------
-EPISODE = ["source", "entity", "category"]
+EPISODE = ["entity", "category", "source"]
 SEGMENT = ("source string, entity string, category string, island bigint, n_above bigint, n_emitted bigint, breaks bigint, fresh bigint, "
            "open struct<seq:bigint,raw_ref:string,t:timestamp>, peak double, peak_emitted double, end_utc timestamp, confidence double, "
            "first struct<seq:bigint,lat:double,lon:double,h3_cell:bigint,resolution:string>")
@@ -110,24 +121,26 @@ def episode_writer(path: str, p: Params = DEFAULT, drop_unlocated: bool = False,
     @own
     def write(batch: DataFrame, n: int, keep) -> None:
         spark = batch.sparkSession
-        marked = ig.mark_islands(keep(batch, "live-batch"), p, drop_unlocated)
+        marked = ig.mark_islands(batch, p, drop_unlocated)  # the search for hot keys reads the keys' columns alone
         marked = keep(marked, "live-marked") if candidates else marked  # read once more below
         left = state.before(spark, "open", SEGMENT, n)
         parts = segments(marked).filter("n_above > 0 or island = 0")  # of the others, breaks alone, only the first may close what was left open
         whole = keep(joined(parts.unionByName(left)), "live-segments")
         seen = whole.filter("fresh > 0 and n_above > 0 and n_emitted > 0")
         closed = F.col("end_utc").isNotNull()
-        state.put(_dated(seen.select(
+        versions = seen.select(
             *EPISODE, F.col("open.seq").alias("opener"), F.col("first.seq").alias("seq"), F.col("open.raw_ref").alias("raw_ref"), F.col("open.t").alias("start_utc"), "end_utc",
             "first.lat", "first.lon", "first.h3_cell", F.when(closed, F.col("peak")).otherwise(F.col("peak_emitted")).alias("measure"), "confidence", "first.resolution",
-            F.lit(None).cast("double").alias("cap"), F.col("n_emitted").alias("n_candidates"))), "versions", n)
+            F.lit(None).cast("double").alias("cap"), F.col("n_emitted").alias("n_candidates"))
+        still = whole.filter("breaks = 0 and n_above > 0").withColumn("island", F.lit(0).cast("bigint")).withColumn("fresh", F.lit(0).cast("bigint"))
+        writes = [lambda: state.put(_dated(versions), "versions", n), lambda: state.leave(still, "open", n)]
         if candidates:
             head = whole.filter("n_above > 0").select(*EPISODE, "island", "open", "peak")
             d = marked.filter("located").join(head, [*EPISODE, "island"])
-            state.put(d.select(*EPISODE, "seq", F.col("open.raw_ref").alias("raw_ref"), F.col("open.t").alias("start_utc"), F.when(~F.col("above"), F.col("t")).alias("end_utc"),
-                               "lat", "lon", "h3_cell", F.when(F.col("above"), F.col("measure")).otherwise(F.col("peak")).alias("measure"), "confidence", "resolution"), "candidates", n)
-        still = whole.filter("breaks = 0 and n_above > 0")
-        state.leave(still.withColumn("island", F.lit(0).cast("bigint")).withColumn("fresh", F.lit(0).cast("bigint")), "open", n)
+            c = d.select(*EPISODE, "seq", F.col("open.raw_ref").alias("raw_ref"), F.col("open.t").alias("start_utc"), F.when(~F.col("above"), F.col("t")).alias("end_utc"),
+                         "lat", "lon", "h3_cell", F.when(F.col("above"), F.col("measure")).otherwise(F.col("peak")).alias("measure"), "confidence", "resolution")
+            writes.append(lambda: state.put(c, "candidates", n))
+        together(spark, *writes)
 
     return write
 
@@ -157,14 +170,16 @@ def outage_writer(path: str, p: Params = DEFAULT, candidates: bool = False):
         d = whole.filter("fresh > 0").select("entity", "r", "fresh_trip", "o.*").withColumn("e", F.explode("emits"))
         row = ["source", "entity", F.col("e.category").alias("category"), "seq", "raw_ref", F.col("t").alias("start_utc")]
         place = ["lat", "lon", "h3_cell", F.col("e.measure").alias("measure"), "confidence", "resolution"]
-        state.put(_dated(d.select(*row, F.col("seq").alias("opener"), F.col("r.t").alias("end_utc"), *place, "cap",
-                                  (F.lit(1) + F.col("r").isNotNull().cast("bigint")).alias("n_candidates"))), "versions", n)
-        if candidates:
-            opened = d.filter("fresh_trip > 0").select(*row, F.lit(None).cast("timestamp").alias("end_utc"), *place, "cap")
-            state.put(opened.unionByName(d.filter("r is not null").select(*row, F.col("r.t").alias("end_utc"), *place, "cap")), "candidates", n)
+        versions = d.select(*row, F.col("seq").alias("opener"), F.col("r.t").alias("end_utc"), *place, "cap", (F.lit(1) + F.col("r").isNotNull().cast("bigint")).alias("n_candidates"))
         last = whole.groupBy("entity").agg(F.max_by(F.struct("o", "r"), "opened").alias("x"))
         zero = F.lit(0).cast("bigint")
-        state.leave(last.filter("x.r is null").select("entity", zero.alias("opened"), "x.o", "x.r", zero.alias("fresh"), zero.alias("fresh_trip")), "open", n)
+        still = last.filter("x.r is null").select("entity", zero.alias("opened"), "x.o", "x.r", zero.alias("fresh"), zero.alias("fresh_trip"))
+        writes = [lambda: state.put(_dated(versions), "versions", n), lambda: state.leave(still, "open", n)]
+        if candidates:
+            opened = d.filter("fresh_trip > 0").select(*row, F.lit(None).cast("timestamp").alias("end_utc"), *place, "cap")
+            both = opened.unionByName(d.filter("r is not null").select(*row, F.col("r.t").alias("end_utc"), *place, "cap"))
+            writes.append(lambda: state.put(both, "candidates", n))
+        together(spark, *writes)
 
     return write
 
@@ -216,22 +231,21 @@ def complaint_writer(path: str, p: Params = DEFAULT, late_sec: int = 600):
 
 
 # ------------------------------------------------------------------ the store ----------------
-def latest_versions(spark: SparkSession, path: str, days: Column | None = None) -> DataFrame:
-    """The last version of every episode, trip or complaint in a store; ``days`` restricts the dates of starts
-    that are read (a condition on ``date``)."""
-    d = spark.read.schema(VERSION + ", date date, batch bigint").parquet(f"{path}/versions")
+def latest_versions(spark: SparkSession, paths, days: Column | None = None) -> DataFrame:
+    """The last version of every episode, trip or complaint in the stores below ``paths``; ``days`` restricts the
+    dates of starts that are read (a condition on ``date``). All versions of an event meet in one task, sorted, so
+    that folding them needs no further shuffle; they are as many as the batches and openings that share its reference."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    d = spark.read.schema(VERSION + ", date date, batch bigint")
+    d = reduce(DataFrame.unionByName, [d.parquet(f"{path}/versions") for path in paths])
     d = d if days is None else d.filter(days)
     rest = [c for c in d.columns if c not in (*KEYS, "opener", "batch", "date")]
-    return d.groupBy(*KEYS, "opener").agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*KEYS, "opener", "x.*")
+    return d.repartition(*KEYS).groupBy(*KEYS, "opener").agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*KEYS, "opener", "x.*")
 
 
 def current_events(spark: SparkSession, paths, p: Params = DEFAULT, days: Column | None = None) -> DataFrame:
     """Canonical events as far as they are known, one row an event, from the stores below ``paths``."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    d = latest_versions(spark, paths[0], days)
-    for path in paths[1:]:
-        d = d.unionByName(latest_versions(spark, path, days))
-    built = ig.build_events(d, p.namespace).drop("n_candidates")
+    built = ig.build_events(latest_versions(spark, paths, days), p.namespace).drop("n_candidates")
     return ig.fold(built).drop("seq", "n_candidates")
 
 
