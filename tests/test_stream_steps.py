@@ -3,7 +3,7 @@ import threading
 
 from pyspark.sql import functions as F
 
-from catalog import streams
+from catalog import columns, streams
 from cityweave.streaming import upserts
 
 
@@ -57,3 +57,19 @@ def test_readings_are_written_once(spark, tmp_path, monkeypatch):
     upserts.episode_writer(str(tmp_path), candidates=True)(readings(spark, [("A", 1, 70.0), ("A", 2, 20.0)]), 0)
     assert names == ["live-marked", "live-segments"]
     assert spark.read.parquet(str(tmp_path / "candidates")).count() == 2
+
+
+def test_writes_of_outages_run_side_by_side(spark, tmp_path, monkeypatch):
+    """Versions, open trips and candidates were written one after the other; each now waits for the others to begin."""
+    meet, was, seen = threading.Barrier(3), upserts.together, []
+
+    def together(s, *writes):
+        seen.append(len(writes))
+        was(s, *[lambda w=w: (meet.wait(60), w()) for w in writes])
+
+    monkeypatch.setattr(upserts, "together", together)
+    records = columns.power_records(spark, "/root/testdata/sf0.001")
+    upserts.outage_writer(str(tmp_path), candidates=True)(records, 0)
+    trips = records.filter("resolved and opens").select(F.sum(F.size("emits"))).first()[0]
+    assert seen == [3] and spark.read.parquet(str(tmp_path / "versions")).count() == trips > 0
+    assert spark.read.parquet(str(tmp_path / "candidates")).count() >= trips and (tmp_path / "open" / "batch=0").exists()
