@@ -23,17 +23,16 @@ GRID = HexGrid()
 # ------------------------------------------------------------------ readings per feed ----
 def weather_measures(feed: DataFrame, p: Params = DEFAULT, grid: HexGrid = GRID) -> DataFrame:
     """One row per station reading and measure; readings outside the city are flagged."""
-    d = feed.select(
+    measures = {"weather.rain": F.coalesce("rain_mm_15min", F.lit(0.0)),
+                "weather.heat": sv.heat_index(F.col("temp_c"), F.col("rh_pct").cast("double"))}
+    d = feed.select(  # exploded, not unpivoted: rows that a shuffle has brought together stay so
         F.lit("weather_imd").alias("source"), F.col("station_id").alias("entity"), "seq",
         times.from_epoch(F.col("ts")).alias("t"), "lat", "lon",
         in_bbox(F.col("lat"), F.col("lon"), p.bbox).alias("located"),
-        F.coalesce("rain_mm_15min", F.lit(0.0)).alias("weather.rain"),
-        sv.heat_index(F.col("temp_c"), F.col("rh_pct").cast("double")).alias("weather.heat"))
-    d = d.unpivot(["source", "entity", "seq", "t", "lat", "lon", "located"],
-                  ["`weather.rain`", "`weather.heat`"], "category", "measure")
+        F.explode(F.array(*[F.struct(F.lit(k).alias("category"), x.cast("double").alias("measure")) for k, x in measures.items()])).alias("m"))
     return d.select(
-        "source", "entity", "category", "seq", "t", "lat", "lon", grid.cell(F.col("lat"), F.col("lon")).alias("h3_cell"),
-        "measure", F.lit(False).alias("fault"), F.col("located"),
+        "source", "entity", "m.category", "seq", "t", "lat", "lon", grid.cell(F.col("lat"), F.col("lon")).alias("h3_cell"),
+        "m.measure", F.lit(False).alias("fault"), F.col("located"),
         ids.ref_at_epoch("weather_imd", F.col("entity"), F.col("t")).alias("raw_ref"),
         sv.confidence(F.lit(v.CONF_CALIBRATED), F.lit(v.MULT_DIRECT)).alias("confidence"),
         F.lit("direct").alias("resolution"))
@@ -55,19 +54,29 @@ def air_readings(feed: DataFrame, p: Params = DEFAULT, grid: HexGrid = GRID) ->
         sv.confidence(base, F.lit(v.MULT_DIRECT), low).alias("confidence"), F.lit("direct").alias("resolution"))
 
 
-def drain_readings(feed: DataFrame, registry: DataFrame, p: Params = DEFAULT, grid: HexGrid = GRID) -> DataFrame:
-    """Level as percent of channel capacity. Rows of unknown units stay, unresolved."""
-    d = places.registry_lookup(feed, registry, "rtu", grid, ["capacity_cm"])
+def drain_levels(feed: DataFrame) -> DataFrame:
+    """What of a drain's reading needs no registry, as narrow rows."""
     level, volts = tx.channel(F.col("ch"), "LVL_CM"), tx.channel(F.col("ch"), "BATT_V")
-    low = F.when(volts < v.LOW_BATTERY_VOLTS, v.MULT_LOW_BATTERY).otherwise(1.0)
-    t = times.from_scada(F.col("polled"))
-    fault = level.isNull() | (level == v.LEVEL_FAULT)
+    return feed.select("rtu", "seq", times.from_scada(F.col("polled")).alias("t"), level.alias("level"), (volts < v.LOW_BATTERY_VOLTS).alias("low"))
+
+
+def level_fault(level) -> Column:
+    return level.isNull() | (level == v.LEVEL_FAULT)
+
+
+def drain_readings(feed: DataFrame, registry: DataFrame, p: Params = DEFAULT, grid: HexGrid = GRID, gather: bool = False) -> DataFrame:
+    """Level as percent of channel capacity. Rows of unknown units stay, unresolved. ``gather``: a unit's
+    rows meet in one task, still narrow."""
+    d = drain_levels(feed)
+    d = places.registry_lookup(d.repartition("rtu") if gather else d, registry, "rtu", grid, ["capacity_cm"])
+    low = F.when(F.col("low"), v.MULT_LOW_BATTERY).otherwise(1.0)
+    fault = level_fault(F.col("level"))
     return d.select(
         F.lit("drain_scada").alias("source"), F.col("rtu").alias("entity"),
-        F.lit("drain.overflow").alias("category"), "seq", t.alias("t"), "lat", "lon", "h3_cell",
-        F.when(~fault, percent_of_capacity(level, F.col("reg_capacity_cm"))).alias("measure"),
+        F.lit("drain.overflow").alias("category"), "seq", "t", "lat", "lon", "h3_cell",
+        F.when(~fault, percent_of_capacity(F.col("level"), F.col("reg_capacity_cm"))).alias("measure"),
         fault.alias("fault"), F.col("resolved").alias("located"),
-        ids.ref_at_epoch("drain_scada", F.col("rtu"), t).alias("raw_ref"),
+        ids.ref_at_epoch("drain_scada", F.col("rtu"), F.col("t")).alias("raw_ref"),
         sv.confidence(F.lit(v.CONF_CALIBRATED), F.lit(v.MULT_REGISTRY), low).alias("confidence"),
         F.lit("registry").alias("resolution"))
 
@@ -77,15 +86,15 @@ def percent_of_capacity(level, capacity) -> Column:
 
 
 # ------------------------------------------------------------------ threshold episodes ----
-def mark_islands(readings: DataFrame, p: Params = DEFAULT, drop_unlocated: bool = False) -> DataFrame:
+def mark_islands(readings: DataFrame, p: Params = DEFAULT, drop_unlocated: bool = False, whole: bool = False) -> DataFrame:
     """Add ``above`` and ``island`` (breaks seen before the row). A reading below the floor or
     a fault is a break; a missing reading is no row and breaks nothing. Feeds that skip
-    unplaceable readings altogether pass ``drop_unlocated``."""
+    unplaceable readings altogether pass ``drop_unlocated``; ``whole``: no unit is hot."""
     d = readings.filter("located") if drop_unlocated else readings
     above = ~F.col("fault") & F.coalesce(sv.crosses_floor(F.col("category"), F.col("measure")), F.lit(False))
     d = d.withColumn("above", above)
     return running_before_hot(d, ["entity", "category", "source"], ["seq"],  # a sort tells most rows apart by its first column
-                              F.floor(F.col("seq") / p.chunk_rows), F.when(F.col("above"), 0).otherwise(1), "island")
+                              F.floor(F.col("seq") / p.chunk_rows), F.when(F.col("above"), 0).otherwise(1), "island", whole)
 
 
 def island_candidates(marked: DataFrame) -> DataFrame:
@@ -128,10 +137,17 @@ def island_episodes(marked: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ power -----------------
-def power_records(feed: DataFrame, registry: DataFrame, grid: HexGrid = GRID) -> DataFrame:
-    """Feeder records with place, what each trip emits (``emits``) and whether it opens."""
-    d = places.registry_lookup(feed, registry, "feeder_id", grid, ["signal_junctions"])
-    t = times.from_local_iso(F.col("reported_time"))
+def power_reports(feed: DataFrame) -> DataFrame:
+    """What of a feeder's record needs no registry, as narrow rows."""
+    return feed.select("feeder_id", "seq", "event", times.from_local_iso(F.col("reported_time")).alias("t"), "affected_connections", "carries_signals", "signal_junctions")
+
+
+def power_records(feed: DataFrame, registry: DataFrame, grid: HexGrid = GRID, gather: bool = False) -> DataFrame:
+    """Feeder records with place, what each trip emits (``emits``) and whether it opens. ``gather``: a
+    feeder's rows meet in one task, still narrow."""
+    d = power_reports(feed)
+    d = places.registry_lookup(d.repartition("feeder_id") if gather else d, registry, "feeder_id", grid, ["signal_junctions"])
+    t = F.col("t")
     connections = F.coalesce(F.col("affected_connections").cast("double"), F.lit(0.0))
     junctions = F.coalesce(F.expr("nullif(signal_junctions, 0)").cast("double"),
                            F.expr("nullif(reg_signal_junctions, 0)").cast("double"), F.lit(1.0))
@@ -143,7 +159,7 @@ def power_records(feed: DataFrame, registry: DataFrame, grid: HexGrid = GRID) ->
                F.struct(F.lit("traffic.signal_down").alias("category"), junctions.alias("measure")))),
         lambda x: x.isNotNull())
     d = d.select(
-        F.lit("power_discom").alias("source"), F.col("feeder_id").alias("entity"), "seq", "event", t.alias("t"),
+        F.lit("power_discom").alias("source"), F.col("feeder_id").alias("entity"), "seq", "event", "t",
         "lat", "lon", "h3_cell", "resolved", restore.alias("is_restore"),
         F.when(~restore, out).alias("emits"),
         F.when(F.col("event") == "SCHEDULED_CUT", F.lit(v.SCHEDULED_CUT_CAP)).alias("cap"),
@@ -153,11 +169,11 @@ def power_records(feed: DataFrame, registry: DataFrame, grid: HexGrid = GRID) ->
     return d.withColumn("opens", ~F.col("is_restore") & (F.size("emits") > 0))
 
 
-def pair_outages(records: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def pair_outages(records: DataFrame, p: Params = DEFAULT, whole: bool = False) -> DataFrame:
     """Give every resolved record the number of opening trips up to and including it: a group
-    is one opening trip and the restores after it, of which the first closes it."""
+    is one opening trip and the restores after it, of which the first closes it. ``whole``: no feeder is hot."""
     d = running_before_hot(records.filter("resolved"), ["entity"], ["seq"], F.floor(F.col("seq") / p.chunk_rows),
-                           F.when(F.col("opens"), 1).otherwise(0), "opened")
+                           F.when(F.col("opens"), 1).otherwise(0), "opened", whole)
     return d.withColumn("opened", F.col("opened") + F.when(F.col("opens"), 1).otherwise(0))
 
 
@@ -177,8 +193,8 @@ def outage_candidates(paired: DataFrame) -> DataFrame:
     """Trips fan out to their categories; the closing restore re-emits them with an end."""
     s = outage_spans(paired).filter(F.col("o").isNotNull())
     d = s.select("entity", "end_utc", "o.*").withColumn("e", F.explode("emits"))
-    closed = d.filter(F.col("end_utc").isNotNull())
-    d = d.withColumn("end_utc", F.lit(None).cast("timestamp")).unionByName(closed)
+    opened = F.lit(None).cast("timestamp")
+    d = d.withColumn("end_utc", F.explode(F.when(F.col("end_utc").isNotNull(), F.array(opened, F.col("end_utc"))).otherwise(F.array(opened))))
     return d.select("source", "entity", F.col("e.category").alias("category"), "seq", "raw_ref",
                     F.col("t").alias("start_utc"), "end_utc", "lat", "lon", "h3_cell",
                     F.col("e.measure").alias("measure"), "confidence", "resolution", "cap")
@@ -211,8 +227,8 @@ def complaint_candidates(records: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ canonical events -------
-def build_events(candidates: DataFrame, namespace: str = v.EVENT_NAMESPACE) -> DataFrame:
-    """Canonical columns for candidates; the only place the event shape is made."""
+def build_events(candidates: DataFrame, namespace: str = v.EVENT_NAMESPACE, keep: tuple = ()) -> DataFrame:
+    """Canonical columns for candidates; the only place the event shape is made. ``keep``: columns that stay besides."""
     d = candidates
     for name, kind in (("cap", "double"), ("observed", "timestamp")):
         if name not in d.columns:
@@ -225,21 +241,45 @@ def build_events(candidates: DataFrame, namespace: str = v.EVENT_NAMESPACE) -> D
         sv.severity(F.col("category"), F.col("measure"), F.col("cap")).alias("severity"), "confidence",
         "received_at", sv.freshness(F.col("received_at"), F.col("start_utc")).alias("freshness_sec"),
         F.lit(True).alias("is_simulated"), "raw_ref", "resolution",
-        round_exact(F.col("measure").cast("double"), 3).alias("measure"), "seq")
+        round_exact(F.col("measure").cast("double"), 3).alias("measure"), "seq", *keep)
+
+
+_FOLD, _FIRST = ["raw_ref", "category", "source"], ["h3_cell", "lat", "lon", "is_simulated", "resolution"]
+
+
+def _folds(events: DataFrame, by: list, measure: Column, first: Column, n: Column) -> DataFrame:
+    return events.groupBy(*by).agg(
+        F.min("start_utc").alias("start_utc"), F.max("end_utc").alias("end_utc"), F.max(measure).alias("m"),
+        F.min("confidence").alias("confidence"), F.max("received_at").alias("received_at"),
+        F.min_by(first, "seq").alias("f"), F.min("seq").alias("seq"), F.sum(n).alias("n_candidates"))
+
+
+def fold_parts(events: DataFrame, first: list = _FIRST, within: tuple = ()) -> DataFrame:
+    """Events folded as far as those of ``within`` go, to be joined by ``join_parts``."""
+    return _folds(events, [*_FOLD, *within], F.struct("measure", (-F.col("seq")).alias("at"), "severity"), F.struct(*first), F.lit(1))
+
+
+def join_parts(parts: DataFrame) -> DataFrame:
+    """The parts of an event to one: folding in two steps gives what folding at once does."""
+    return _folds(parts, _FOLD, F.col("m"), F.col("f"), F.col("n_candidates")).select(*parts.columns)
+
+
+def one_unit(raw_ref: Column) -> Column:
+    """Whether a reference feed:unit@instant can be read in one way only, so no other unit has it. One that is
+    missing, or whose unit or instant has an ``@``, may be shared."""
+    return F.coalesce(F.regexp_count(raw_ref, F.lit("@")) == 1, F.lit(False))
 
 
 def fold(events: DataFrame) -> DataFrame:
     """One event per (source, raw_ref, category): earliest start, peak measure with its severity,
     latest close and sighting, most cautious confidence, the rest from the first candidate.
     The source is part of the key, so two feeds reporting one thing stay two events."""
-    a = events.groupBy("raw_ref", "category", "source").agg(
-        F.min("start_utc").alias("start_utc"), F.max("end_utc").alias("end_utc"),
-        F.max(F.struct("measure", -F.col("seq"), "severity")).alias("m"),
-        F.min("confidence").alias("confidence"), F.max("received_at").alias("received_at"),
-        F.min_by(F.struct("event_id", "h3_cell", "lat", "lon", "is_simulated", "resolution"), "seq").alias("f"),
-        F.min("seq").alias("seq"), F.count("*").alias("n_candidates"))
-    return a.select(
-        "f.event_id", "source", "category", "f.h3_cell", "f.lat", "f.lon", "start_utc", "end_utc", "m.severity",
+    return folded(fold_parts(events, ["event_id", *_FIRST]), F.col("f.event_id"))
+
+
+def folded(parts: DataFrame, event_id: Column) -> DataFrame:
+    return parts.select(
+        event_id.alias("event_id"), "source", "category", "f.h3_cell", "f.lat", "f.lon", "start_utc", "end_utc", "m.severity",
         "confidence", "received_at", sv.freshness(F.col("received_at"), F.col("start_utc")).alias("freshness_sec"),
         "f.is_simulated", "raw_ref", "f.resolution", "m.measure", "seq", "n_candidates")
 
@@ -322,11 +362,16 @@ def unhealthy_entities(readings: DataFrame) -> DataFrame:
     return readings.filter(F.col("fault") & F.col("located")).select("source", "entity").distinct()
 
 
-def feed_stats(rows: DataFrame, reason: Column) -> DataFrame:
+def unit_counts(readings: DataFrame, unit: str, by: list) -> DataFrame:
+    """(entity, by, n, t): readings and the newest time of each unit, in one narrow pass over a feed."""
+    return readings.groupBy(F.col(unit).alias("entity"), *by).agg(F.count("*").alias("n"), F.max("t").alias("t"))
+
+
+def feed_stats(rows: DataFrame, reason: Column, n: Column | None = None) -> DataFrame:
     """(feed, drop_reason, n, last): counts and newest arrival per drop reason over every raw row of
-    a feed (``source``, ``t``), dropped ones included."""
+    a feed (``source``, ``t``), dropped ones included. ``n``: the raw rows that a row stands for."""
     seen = sv.received_at(F.col("t"), sv.interval_of(F.col("source")))
-    return rows.groupBy(F.col("source").alias("feed"), reason.alias("drop_reason")).agg(F.count("*").alias("n"), F.max(seen).alias("last"))
+    return rows.groupBy(F.col("source").alias("feed"), reason.alias("drop_reason")).agg((F.count("*") if n is None else F.sum(n)).alias("n"), F.max(seen).alias("last"))
 
 
 def feed_health(arrivals: DataFrame, feeds: DataFrame, now: Column, killed=(), errors=None,

@@ -5,6 +5,7 @@ collects a full key in one task: running operators work per (key, chunk) and car
 totals; as-of lookups work per (key, time bucket)."""
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -76,6 +77,13 @@ def staging(spark):
         drop_staged(spark, mark)
 
 
+def release(spark) -> None:
+    """Let go of the shuffle files of finished jobs: Spark deletes them when the driver's garbage is
+    collected, which on a quiet driver may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only after measuring that the side is within ``max_rows`` and, as text,
     ``max_bytes``; a larger side goes unhinted to a shuffle join (split by AQE where a key is hot)."""
@@ -112,19 +120,22 @@ def running_before(df: DataFrame, keys: list, order: list, chunk: Column, value:
             .drop("_chunk", "_val", "_run", "_carry"))
 
 
-def hot_keys(df: DataFrame, keys: list) -> DataFrame | None:
-    """The keys of more than ``HOT_ROWS`` rows; None if there are none, which one count a key tells."""
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT_ROWS).select(*keys)
+def hot_keys(df: DataFrame, keys: list, n: Column | None = None) -> DataFrame | None:
+    """The keys of more than ``HOT_ROWS`` rows; None if there are none, which one count a key tells. ``n``: the rows
+    that a row of ``df`` stands for."""
+    hot = df.groupBy(*keys).agg((F.count("*") if n is None else F.sum(n)).alias("_n")).filter(F.col("_n") > HOT_ROWS).select(*keys)
     return None if hot.isEmpty() else hot
 
 
-def running_before_hot(df: DataFrame, keys: list, order: list, chunk: Column, value: Column, out: str) -> DataFrame:
+def running_before_hot(df: DataFrame, keys: list, order: list, chunk: Column, value: Column, out: str,
+                       whole: bool = False) -> DataFrame:
     """``running_before`` for tables of many keys, of which few or none are hot: a key of at most ``HOT_ROWS`` rows is
-    one chunk whatever ``chunk`` says, so it needs no totals and no join. Null keys are keys like others."""
+    one chunk whatever ``chunk`` says, so it needs no totals and no join. Null keys are keys like others. ``whole``: no
+    key is hot, as the caller has counted."""
     d, at = df.withColumn("_val", value.cast("bigint")), [F.col(k) for k in keys]
     run = F.sum("_val").over
     before = lambda *by: run(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_val")
-    hot = hot_keys(df, keys)
+    hot = None if whole else hot_keys(df, keys)
     if hot is None:
         return d.withColumn(out, before(*at)).drop("_val")
     same = lambda a, b, on: [a[k].eqNullSafe(b[f"_{k}_"]) for k in on]

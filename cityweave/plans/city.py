@@ -19,7 +19,8 @@ from ..operators import score as sc
 from ..operators import serve as srv
 from ..operators import situations as st
 from ..operators import timeline as tl
-from ..operators.scale import stage
+from ..operators import places
+from ..operators.scale import broadcast_if_small, delete_staged, hot_keys, release, stage
 from ..params import DEFAULT, Params
 
 
@@ -31,41 +32,78 @@ class Ingested:
     arrivals: DataFrame
 
 
+def _unit_events(feed: DataFrame, unit: str, units: DataFrame, candidates, p: Params, name: str) -> list[DataFrame]:
+    """A feed's events as staged parts. A unit's rows meet in one task, in one shuffle of the feed's own columns, and all
+    that follows is done there; the rows of hot units go by chunks, apart from the others. A feed's shuffle files
+    go before the next feed's are written. ``candidates(rows, whole)``: from rows of the feed."""
+    same = lambda hot: feed[unit].eqNullSafe(hot["entity"])
+    hot = hot_keys(units, ["entity"], F.col("n"))
+    rows = [(feed, True)]
+    if hot is not None:
+        hot = broadcast_if_small(stage(hot, f"{name}-hot"))
+        rows = [(feed.join(hot, same(hot), "left_anti"), True), (feed.join(hot, same(hot), "left_semi"), False)]
+    parts = []
+    for some, whole in rows:
+        built = ig.build_events(candidates(some, whole), p.namespace, ("entity",))
+        parts.append(stage(ig.fold_parts(built, within=("entity",)).withColumn("one_unit", ig.one_unit(F.col("raw_ref"))).drop("entity"), f"{name}-events"))
+        release(feed.sparkSession)
+    return parts
+
+
 def ingest(spark: SparkSession, weather: DataFrame, complaints: DataFrame, power: DataFrame, drains: DataFrame,
            air: DataFrame, feeders: DataFrame, channels: DataFrame, now=None, p: Params = DEFAULT, widths: dict = None) -> Ingested:
     """Five raw feeds (each with ``seq``) and two registries to canonical events, a drop ledger
     and feed health as of ``now`` (default: the newest arrival).
 
-    Each feed is read and normalised once; what follows reads the staged rows. ``widths`` gives the
-    span of ``seq`` that one task sorts for feeds whose ``seq`` isn't a row number."""
+    Each feed is read twice: once to count its units, once for its events, in one shuffle of its own columns. What
+    is kept is a row a unit and the events, without what can be told from their other columns; a feed's shuffle
+    files go before the next feed's are written. ``widths`` gives the span of ``seq`` that one task sorts for
+    feeds whose ``seq`` isn't a row number."""
     grid = HexGrid(p.hex_edge_m, *p.centre)
     of = lambda feed: p.but(chunk_rows=(widths or {}).get(feed, p.chunk_rows))
-    w = stage(ig.weather_measures(weather, p, grid), "weather")
-    a, d = stage(ig.air_readings(air, p, grid), "air"), stage(ig.drain_readings(drains, channels, p, grid), "drains")
-    marked = [ig.mark_islands(w, of("weather_imd"), True), ig.mark_islands(a, of("air_sensors")), ig.mark_islands(d, of("drain_scada"), True)]
-    records = stage(ig.power_records(power, feeders, grid), "power")
-    outages = ig.pair_outages(records, of("power_discom"))
-    register = stage(ig.complaint_records(complaints, p, grid), "register")
-
-    built = [ig.build_events(ig.island_episodes(m), p.namespace) for m in marked]
-    built += [ig.build_events(ig.outage_candidates(outages), p.namespace), ig.build_events(ig.complaint_candidates(register), p.namespace)]
-    union = built[0]
-    for b in built[1:]:
-        union = union.unionByName(b)
-    folded = stage(ig.fold(union), "events")
+    temporary: list[str] = []
+    keep = lambda df, name: stage(df, name, temporary)
+    located, fault = F.col("located"), F.coalesce("fault", F.lit(False))
+    wx = weather.select("station_id", times.from_epoch(F.col("ts")).alias("t"), in_bbox(F.col("lat"), F.col("lon"), p.bbox).alias("located"), F.lit(False).alias("fault"))
+    levels = ig.drain_levels(drains).withColumn("fault", ig.level_fault(F.col("level")))
+    places_of = lambda units, registry: places.registry_lookup(units, registry.select("id", "lat", "lon"), "entity", grid, []).withColumnRenamed("resolved", "located")
+    w = keep(ig.unit_counts(wx, "station_id", ["located", "fault"]), "weather-units")
+    a = keep(ig.unit_counts(ig.air_readings(air, p, grid), "entity", ["located", "fault"]), "air-units")
+    d = keep(ig.unit_counts(levels, "rtu", ["fault"]), "drain-units")
+    f = keep(ig.unit_counts(ig.power_reports(power), "feeder_id", []), "feeder-units")
+    register = keep(ig.complaint_records(complaints, p, grid).select("complaint_id", "status", "category", "seq", "t", "lat", "lon", "h3_cell", "drop_reason"), "register")
+    release(spark)
+
+    def sensors(readings, feed, drop_unlocated=False):
+        return lambda rows, whole: ig.island_episodes(ig.mark_islands(readings(rows, whole), of(feed), drop_unlocated, whole))
+
+    gathered = lambda rows, unit, whole: rows.repartition(unit) if whole else rows
+    parts = _unit_events(drains, "rtu", d, sensors(lambda x, whole: ig.drain_readings(x, channels, p, grid, whole), "drain_scada", True), p, "drains")
+    parts += _unit_events(weather, "station_id", w, sensors(lambda x, whole: ig.weather_measures(gathered(x, "station_id", whole), p, grid), "weather_imd", True), p, "weather")
+    parts += _unit_events(power, "feeder_id", f, lambda x, whole: ig.outage_candidates(ig.pair_outages(ig.power_records(x, feeders, grid, whole), of("power_discom"), whole)), p, "power")
+    parts += _unit_events(air, "sensor", a, sensors(lambda x, whole: ig.air_readings(gathered(x, "sensor", whole), p, grid), "air_sensors"), p, "air")
+    built = ig.build_events(ig.complaint_candidates(register), p.namespace)
+    parts.append(stage(ig.fold_parts(built).withColumn("one_unit", F.lit(True)), "register-events"))
+    union = parts[0]
+    for x in parts[1:]:
+        union = union.unionByName(x)
+    shared = union.filter(~F.col("one_unit"))
+    if not shared.isEmpty():
+        union = union.filter("one_unit").unionByName(stage(ig.join_parts(shared.drop("one_unit")), "shared-events").withColumn("one_unit", F.lit(True)))
+    folded = ig.folded(union, ids.event_id(F.col("raw_ref"), F.col("category"), p.namespace))
     events = ig.cluster_complaints(folded, of("civic_complaints")).drop("seq", "n_candidates")
 
-    # one pass per feed gives newest arrival, totals and drops
-    located, fault = F.col("located"), F.coalesce("fault", F.lit(False))
+    # units give newest arrival, totals and drops
     reason = F.when(~located, "unresolved").when(fault, "faulty")
-    wx = weather.select(F.lit("weather_imd").alias("source"), times.from_epoch(F.col("ts")).alias("t"),
-                        in_bbox(F.col("lat"), F.col("lon"), p.bbox).alias("located"), F.lit(False).alias("fault"))
-    stats = ig.feed_stats(wx, reason)
-    for r in (a, d):
-        stats = stats.unionByName(ig.feed_stats(r, reason))
-    stats = stats.unionByName(ig.feed_stats(records, F.when(~F.col("resolved"), "unresolved")))
-    stats = stats.unionByName(ig.feed_stats(register.withColumn("source", F.lit("civic_complaints")), F.col("drop_reason")))
+    feed = lambda units, name: units.withColumn("source", F.lit(name))
+    stats = ig.feed_stats(feed(w, "weather_imd"), reason, F.col("n"))
+    stats = stats.unionByName(ig.feed_stats(feed(a, "air_sensors"), reason, F.col("n")))
+    stats = stats.unionByName(ig.feed_stats(feed(places_of(d, channels), "drain_scada"), reason, F.col("n")))
+    stats = stats.unionByName(ig.feed_stats(feed(places_of(f, feeders), "power_discom"), F.when(~located, "unresolved"), F.col("n")))
+    stats = stats.unionByName(ig.feed_stats(feed(register, "civic_complaints"), F.col("drop_reason")))
     stats = stage(stats, "feed-stats")
+    delete_staged(spark, temporary)
+    release(spark)
     # complaints of unknown type do not count as a sign of life
     arrivals = stats.groupBy("feed").agg(F.max(F.when(~F.col("drop_reason").eqNullSafe("unmapped_type"), F.col("last"))).alias("last"),
                                          F.sum("n").alias("records"))
