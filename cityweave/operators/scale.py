@@ -143,6 +143,7 @@ def running_before_hot(df: DataFrame, keys: list, order: list, chunk: Column, va
     hot = broadcast_if_small(named(hot, keys).withColumn("_hot", F.lit(True)))
     d = d.join(hot, same(d, hot, keys), "left").drop(*[f"_{k}_" for k in keys])
     d = d.withColumn("_chunk", F.when(F.col("_hot"), chunk))
+    d = d.repartition(*at, F.col("_chunk"))  # else rows that a join has brought together by key would stay in one task
     totals = d.filter("_hot").groupBy(*keys, "_chunk").agg(F.sum("_val").alias("_tot"))
     carry = totals.select(*keys, "_chunk", (F.sum("_tot").over(Window.partitionBy(*keys).orderBy("_chunk")) - F.col("_tot")).alias("_carry"))
     d = d.withColumn("_run", before(*at, F.col("_chunk")))

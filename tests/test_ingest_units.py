@@ -1,10 +1,11 @@
 """Ingest by units: one narrow shuffle a feed, the same events as all candidates folded at once."""
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from cityweave.operators import ingest as ig, scale
+from cityweave.operators import ingest as ig, places, scale
 from cityweave.params import Params
 from cityweave.plans import city
 from test_ingest import IN, feeds, folder  # noqa: F401
@@ -77,3 +78,19 @@ def test_a_units_rows_are_shuffled_once(spark):
               parts(ig.outage_candidates(ig.pair_outages(ig.power_records(f["power"], f["feeders"], gather=True), whole=True)))):
         plan = d._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_hot_units_are_dealt_out_by_chunk_after_a_shuffled_registry(spark, monkeypatch):
+    """The join has all rows of a unit in one task; counted there, a hot unit would be sorted whole."""
+    monkeypatch.setattr(scale, "HOT_ROWS", 10)
+    monkeypatch.setattr(places, "broadcast_if_small", lambda df: df)
+    f, limit = odd_feeds(spark), "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        d = ig.mark_islands(ig.drain_readings(f["drains"], f["channels"]), Params(chunk_rows=7))
+        plan = d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(limit, old)
+    window = plan[plan.index("Window ["):]
+    assert re.match(r"Window .*\n[^\n]*Sort [^\n]*\n[^\n]*Exchange hashpartitioning\([^\n]*_chunk", window), plan
